@@ -30,3 +30,25 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
          AND word_chars BETWEEN 2 * n_words AND 20 * n_words AS kept
 FROM b
 """
+
+_FOLD = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_ALNUM = rf"regexp_extract_all({_FOLD}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+SQL["op10_decontaminate"] = rf"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, {_ALNUM} AS w FROM documents),
+b AS (SELECT CAST(item_id AS VARCHAR) AS item, {_ALNUM} AS w FROM benchmark WHERE item_id IS NOT NULL),
+iw AS (
+  SELECT DISTINCT item, n, array_to_string(w[i:i+n-1], ' ') AS gram
+  FROM (SELECT item, w, least(len(w), 13) AS n, unnest(range(1, len(w) - least(len(w), 13) + 2)) AS i FROM b WHERE len(w) > 0)
+), ns AS (SELECT DISTINCT n FROM iw),
+g AS (
+  SELECT k, n, i, array_to_string(w[i:i+n-1], ' ') AS gram
+  FROM (SELECT k, n, w, unnest(range(1, len(w) - n + 2)) AS i FROM d, ns WHERE len(w) >= n)
+), hit AS (SELECT k, g.n, i, item FROM g JOIN iw USING (n, gram)),
+words AS (SELECT k, count(DISTINCT i + o) AS n_hit FROM (SELECT k, i, unnest(range(0, n)) AS o FROM hit) GROUP BY k),
+names AS (SELECT k, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT k, item FROM hit) GROUP BY k)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+       CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN words USING (k) LEFT JOIN names USING (k)
+"""
