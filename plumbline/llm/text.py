@@ -12,6 +12,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
+from plumbline.session import ship
+
 #: Bytes of text that a kernel works on at a time (a longer text is worked on alone).
 CHUNK_BYTES = 1 << 20
 #: Rows of an Arrow batch that Spark hands to Python: whole texts, so not the default 10,000.
@@ -24,7 +26,8 @@ _INVERSE = pow(_BASE, -1, 1 << 64)
 
 
 def prepare(spark) -> None:
-    """Set what every operator of this package needs of a session: small Arrow batches."""
+    """Set what every operator of this package needs of a session: small Arrow batches, its code on workers."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
 
 
