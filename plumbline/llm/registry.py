@@ -30,8 +30,15 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(read(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from plumbline.llm.near import near_duplicates
+
+    return near_duplicates(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
+    "op6_near_duplicates": op6_near_duplicates,
     "op8_suffix_dedup": op8_suffix_dedup,
     "op10_decontaminate": op10_decontaminate,
 }
