@@ -36,8 +36,15 @@ def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from plumbline.llm.lm import lm_score
+
+    return lm_score(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_lm_score": op2_lm_score,
     "op6_near_duplicates": op6_near_duplicates,
     "op8_suffix_dedup": op8_suffix_dedup,
     "op10_decontaminate": op10_decontaminate,

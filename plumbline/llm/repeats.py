@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm import text as T
+from plumbline.llm.graph import checkpointed
 from plumbline.llm.suffixes import repeated_windows
 
 GROUP_BYTES = 1_500_000
@@ -128,18 +129,20 @@ def repeated_ranges(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
                 yield pa.RecordBatch.from_pydict({"id": batch.column(0).take(pa.array(c[0])), "d1": c[1], "d2": c[2], "key": c[3], "content": c[4], "a": c[5].astype(np.int32), "b": c[6].astype(np.int32), "again": pa.array(c[7])})
 
     rows = source.mapInArrow(emit, f"id {kind}, d1 long, d2 long, key long, content long, a int, b int, again boolean")
-    distinct = rows.groupBy("key", "content").agg(F.count("*").alias("n"), F.min(F.struct("id", "d1", "d2", "a", "b")).alias("at"), F.max("again").alias("again"))
-    keys = distinct.groupBy("key").agg(F.count("*").alias("segments"), F.max("again").alias("recurs"), F.sum(F.col("at.b") - F.col("at.a") + (length - 1)).alias("bytes")).where("segments > 1 or recurs")
-    whole = (
-        rows.select("key", "content", "d1", "d2", "a", "b").join(distinct.where("n > 1").select("key", "content"), ["key", "content"])
-        .select("d1", "d2", "a", (F.col("b") + (length - 1)).alias("b")).distinct()
-    )
+    shared = rows.groupBy("key").agg(F.count("*").alias("n"), F.max("again").alias("again")).where("n > 1 or again").select("key")
+    # Most segments have a key of their own; all that follows works on the others.
+    some = checkpointed(rows.join(shared, "key"))
+    counts = some.groupBy("key", "content").agg(F.count("*").alias("n"), F.max("again").alias("again"), F.max(F.col("b") - F.col("a")).alias("windows"))
+    keys = counts.groupBy("key").agg(F.count("*").alias("segments"), F.max("again").alias("recurs"), F.sum(F.col("windows") + (length - 1)).alias("bytes")).where("segments > 1 or recurs")
+    status = checkpointed(counts.join(keys.select("key", "bytes"), "key", "left").where("n > 1 or bytes is not null").select("key", "content", "n", "bytes"))
+    marked = some.join(status, ["key", "content"])
+    whole = marked.where("n > 1").select("d1", "d2", "a", (F.col("b") + (length - 1)).alias("b")).distinct()
 
     def wanted(chosen):
         """Segments to cut from their texts, at one place each, by text."""
         return (
-            distinct.join(keys.where(chosen).select("key", "bytes"), "key").select("at.id", "at.d1", "at.d2", "at.a", "at.b", "key", "n")
-            .groupBy("id", "d1", "d2").agg(F.collect_list(F.struct("a", "b", "key", "n")).alias("segments"))
+            marked.where(chosen).groupBy("key", "content", "n").agg(F.min(F.struct("id", "d1", "d2", "a", "b")).alias("at"))
+            .groupBy("at.id", "at.d1", "at.d2").agg(F.collect_list(F.struct("at.a", "at.b", "key", "n")).alias("segments"))
         )
 
     def pack(batches):
@@ -224,7 +227,9 @@ def repeated_ranges(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     hot_rows = pieces(F.col("bytes") > group_bytes).dropDuplicates(["d1", "d2", "at"]).select("n", "d1", "d2", "at", "data").mapInArrow(windows, "w1 long, w2 long, n long, d1 long, d2 long, a int")
     recurring = hot_rows.groupBy("w1", "w2").agg(F.count("*").alias("times")).where("times > 1").select("w1", "w2")
     hot = hot_rows.where("n = 1").join(recurring, ["w1", "w2"]).select("d1", "d2", "a", (F.col("a") + length).alias("b"))
-    found = whole.unionByName(cold).unionByName(hot)
+    found = whole.unionByName(cold)
+    if keys.where(F.col("bytes") > group_bytes).limit(1).count():
+        found = found.unionByName(hot)
     return found.groupBy("d1", "d2").agg(F.collect_list(F.struct("a", "b")).alias("ranges"))
 
 
