@@ -52,3 +52,29 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
        coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM d LEFT JOIN words USING (k) LEFT JOIN names USING (k)
 """
+
+SQL["op2_lm_score"] = rf"""
+WITH crc AS (
+  SELECT list_transform(range(256), lambda i: list_reduce([i] || range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t
+), d AS (
+  SELECT row_number() OVER () AS k, doc_id, regexp_extract_all({_FOLD}, '[^\x20\x09-\x0D]+') || [CAST(NULL AS VARCHAR)] AS w,
+         xor(list_reduce([4294967295] || list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT)),
+                         lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 7 = 2 AS held_out
+  FROM documents, crc
+), tok AS (
+  SELECT k, held_out, i, coalesce('w' || w[i], '/') AS x, CASE WHEN i = 1 THEN '/' ELSE 'w' || w[i-1] END AS u
+  FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM d)
+), uni AS (SELECT x, count(*) AS c FROM tok WHERE NOT held_out GROUP BY x),
+bi AS (SELECT u, x, count(*) AS c2 FROM tok WHERE NOT held_out GROUP BY u, x),
+nv AS (SELECT CAST(sum(c) AS BIGINT) AS n, count(*) AS v FROM uni),
+s AS (
+  SELECT k, coalesce(a.c, 0) AS c, coalesce(b.c, 0) AS cu, coalesce(c2, 0) AS c2,
+         (coalesce(a.c, 0) + 1) / CAST(n + v + 1 AS DOUBLE) AS p, greatest(0.4, pow(1.0 + coalesce(b.c, 0), -0.25)) AS f
+  FROM tok LEFT JOIN uni a ON tok.x = a.x LEFT JOIN uni b ON tok.u = b.x LEFT JOIN bi ON tok.u = bi.u AND tok.x = bi.x, nv
+), z AS (
+  SELECT k, count(*) AS n_tokens, count(*) FILTER (c > 0) AS n_known, sum(log10(p)) AS base_score,
+         sum(CASE WHEN cu > 0 THEN log10((1 - f) * c2 / CAST(cu AS DOUBLE) + f * p) ELSE log10(p) END) AS score
+  FROM s GROUP BY k
+)
+SELECT doc_id, held_out, n_tokens, n_known, n AS train_tokens, base_score, score FROM d JOIN z USING (k), nv
+"""
