@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -42,9 +43,17 @@ def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score(read(spark, sf_dir, "documents"))
 
 
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from plumbline.llm.classifier import classify, grades, train
+
+    docs = read(spark, sf_dir, "documents")
+    return classify(docs, train(docs, grades(read(spark, sf_dir, "labels")))).withColumn("rejected", ~F.col("kept"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_lm_score": op2_lm_score,
+    "op5_quality_classifier": op5_quality_classifier,
     "op6_near_duplicates": op6_near_duplicates,
     "op8_suffix_dedup": op8_suffix_dedup,
     "op10_decontaminate": op10_decontaminate,

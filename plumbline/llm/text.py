@@ -87,23 +87,28 @@ FOLD = np.arange(256)
 FOLD[0x41:0x5B] += 0x20
 
 
-def words(texts: list[bytes], inside: np.ndarray, fold: bool) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of each word, number of words of each text); a word is a longest run of bytes of ``inside``.
+def word_parts(texts: list[bytes], inside: np.ndarray, fold: bool, prefixes: tuple[int, ...] = (), suffixes: tuple[int, ...] = ()) -> tuple[list[np.ndarray], np.ndarray]:
+    """([hash of each word, then of its first or last bytes], number of words of each text).
 
-    ``fold`` reads A-Z as a-z. Hashes have 64 bits and depend on the word alone.
+    A word is a longest run of bytes of ``inside``; ``fold`` reads A-Z as a-z. Hashes have 64 bits and
+    depend on the bytes alone.
     """
     lengths = np.fromiter(map(len, texts), np.int64, len(texts))
     data = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
-    mask = inside[data]
-    edge = np.diff(mask.view(np.int8), prepend=np.int8(0))
+    edge = np.diff(inside[data].view(np.int8), prepend=np.int8(0))
     begin, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     up, down = _POWERS.get(len(data) + 1)
     table = _TABLE[FOLD] if fold else _TABLE
     total = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(table[data] * up[:-1], out=total[1:])
-    hashes = mix((total[end] - total[begin]) * down[begin])
-    ends = np.cumsum(lengths + 1)
-    counts = np.diff(np.searchsorted(begin, ends), prepend=0)
+    spans = [(begin, end), *((begin, np.minimum(begin + n, end)) for n in prefixes), *((np.maximum(end - n, begin), end) for n in suffixes)]
+    counts = np.diff(np.searchsorted(begin, np.cumsum(lengths + 1)), prepend=0)
+    return [mix((total[b] - total[a]) * down[a]) for a, b in spans], counts
+
+
+def words(texts: list[bytes], inside: np.ndarray, fold: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of each word, number of words of each text), as in ``word_parts``."""
+    (hashes,), counts = word_parts(texts, inside, fold)
     return hashes, counts
 
 
