@@ -78,3 +78,32 @@ s AS (
 )
 SELECT doc_id, held_out, n_tokens, n_known, n AS train_tokens, base_score, score FROM d JOIN z USING (k), nv
 """
+
+_HEAD = "'<|im_start|>' || replace(coalesce(role, ''), '<|', '< |') || chr(10)"
+_BODY = "replace(coalesce(text, ''), '<|', '< |') || '<|im_end|>' || chr(10)"
+
+
+def _side(name: str, own: str) -> str:
+    return f"""{name} AS (
+  SELECT p, string_agg({_HEAD} || {_BODY}, '' ORDER BY i) AS said,
+         string_agg('0:' || length({_HEAD}) || ',' || CASE WHEN role = 'assistant' THEN '1:' ELSE '0:' END || length({_BODY}), ',' ORDER BY i) AS mask
+  FROM s JOIN lcp USING (p) WHERE {own} AND i > n GROUP BY p
+)"""
+
+
+SQL["op9_preference_pairs"] = rf"""
+WITH t AS (SELECT DISTINCT conv_id, turn, role, text FROM conversations WHERE conv_id IS NOT NULL),
+s AS (
+  SELECT CAST(floor(conv_id / 2) AS BIGINT) AS p, conv_id % 2 = 0 AS side, role, text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS i FROM t
+), pairs AS (SELECT p, count(*) FILTER (side) AS nc, count(*) FILTER (NOT side) AS nr FROM s GROUP BY p),
+same AS (
+  SELECT a.p, a.i, count(*) OVER (PARTITION BY a.p ORDER BY a.i) AS k FROM s a JOIN s b
+    ON a.p = b.p AND a.i = b.i AND a.side AND NOT b.side AND a.role IS NOT DISTINCT FROM b.role AND a.text IS NOT DISTINCT FROM b.text
+), lcp AS (SELECT pairs.p, CAST(coalesce(max(i) FILTER (i = k), 0) AS BIGINT) AS n, any_value(nc) AS nc, any_value(nr) AS nr FROM pairs LEFT JOIN same ON pairs.p = same.p GROUP BY pairs.p),
+prompt AS (SELECT p, string_agg({_HEAD} || {_BODY}, '' ORDER BY i) AS said FROM s JOIN lcp USING (p) WHERE side AND i <= n GROUP BY p),
+{_side("c", "side")}, {_side("r", "NOT side")}
+SELECT lcp.p AS pair_id, n AS n_prompt_turns, coalesce(prompt.said, '') AS prompt, coalesce(c.said, '') AS chosen, coalesce(c.mask, '') AS chosen_mask,
+       coalesce(r.said, '') AS rejected, coalesce(r.mask, '') AS rejected_mask, nc = n AND nr = n AS tied
+FROM lcp LEFT JOIN prompt USING (p) LEFT JOIN c USING (p) LEFT JOIN r USING (p)
+"""

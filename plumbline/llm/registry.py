@@ -50,11 +50,27 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(docs, train(docs, grades(read(spark, sf_dir, "labels")))).withColumn("rejected", ~F.col("kept"))
 
 
+def op4_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from plumbline.llm.mixing import mix_sources
+
+    return mix_sources(read(spark, sf_dir, "documents"))
+
+
+def op9_preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversation 2k is the chosen side of pair k and conversation 2k + 1 the rejected one."""
+    from plumbline.llm.chat import mask_of, preference_pairs, text_of
+
+    pairs = preference_pairs(read(spark, sf_dir, "conversations"), pair=F.floor(F.col("conv_id") / 2), chosen=F.pmod(F.col("conv_id"), F.lit(2)) == 0)
+    return pairs.select("pair_id", "n_prompt_turns", "prompt", text_of("chosen").alias("chosen"), mask_of("chosen").alias("chosen_mask"), text_of("rejected").alias("rejected"), mask_of("rejected").alias("rejected_mask"), "tied")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_lm_score": op2_lm_score,
+    "op4_pfair_mixing": op4_pfair_mixing,
     "op5_quality_classifier": op5_quality_classifier,
     "op6_near_duplicates": op6_near_duplicates,
     "op8_suffix_dedup": op8_suffix_dedup,
+    "op9_preference_pairs": op9_preference_pairs,
     "op10_decontaminate": op10_decontaminate,
 }
