@@ -107,3 +107,13 @@ SELECT lcp.p AS pair_id, n AS n_prompt_turns, coalesce(prompt.said, '') AS promp
        coalesce(r.said, '') AS rejected, coalesce(r.mask, '') AS rejected_mask, nc = n AND nr = n AS tied
 FROM lcp LEFT JOIN prompt USING (p) LEFT JOIN c USING (p) LEFT JOIN r USING (p)
 """
+
+_CHUNKS = " || ".join(f"lpad(translate(to_base(CAST('0x' || substr(h, {10 * k + 1}, 10) AS BIGINT), 32), '0123456789ABCDEFGHIJKLMNOPQRSTUV', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'), 8, 'A')" for k in range(4))
+
+SQL["op3_warc_round_trip"] = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
+f AS (SELECT h, min(page_id) AS first FROM p GROUP BY h)
+SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, {_CHUNKS} AS payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to
+FROM p JOIN f USING (h)
+"""

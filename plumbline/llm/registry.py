@@ -64,12 +64,27 @@ def op9_preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select("pair_id", "n_prompt_turns", "prompt", text_of("chosen").alias("chosen"), mask_of("chosen").alias("chosen_mask"), text_of("rejected").alias("rejected"), mask_of("rejected").alias("rejected_mask"), "tied")
 
 
+def op3_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from plumbline.llm.warc import archive_folder, read_archives, write_archives
+
+    manifest = write_archives(read(spark, sf_dir, "pages"), archive_folder(spark))
+    return read_archives(manifest).select(F.col("page").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"))
+
+
+def op7_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from plumbline.llm.html import extract_main_text
+
+    return extract_main_text(read(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_lm_score": op2_lm_score,
+    "op3_warc_round_trip": op3_warc_round_trip,
     "op4_pfair_mixing": op4_pfair_mixing,
     "op5_quality_classifier": op5_quality_classifier,
     "op6_near_duplicates": op6_near_duplicates,
+    "op7_html_main_text": op7_html_main_text,
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_preference_pairs": op9_preference_pairs,
     "op10_decontaminate": op10_decontaminate,
