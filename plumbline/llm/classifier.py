@@ -117,12 +117,13 @@ def train(docs: DataFrame, ratings: DataFrame, *, id_col: str = "doc_id", text_c
     return fit([np.frombuffer(r["found"], np.int32).astype(np.int64) for r in rows], np.array([r["grade"] for r in rows]), levels)
 
 
-def classify(docs: DataFrame, model: OrdinalModel, *, id_col: str = "doc_id", text_col: str = "text", accept: float = 0.5) -> DataFrame:
+def classify(docs: DataFrame, model: OrdinalModel, *, id_col: str = "doc_id", text_col: str = "text", accept: float = 0.5, carry: bool = False) -> DataFrame:
     """(id, expected_grade, p_top, kept) of every row of ``docs``.
 
     ``p_top`` is the probability of the highest grade and ``kept`` is ``p_top >= accept``. Null and
     empty texts have no words and get what the thresholds and style features give. Repeated rows and
-    null ids each get their row; an empty table gives an empty result; other columns are ignored.
+    null ids each get their row; an empty table gives an empty result; other columns are ignored, or with
+    ``carry`` come along in a struct ``row`` of all columns of ``docs``, so that a selection needs no join.
     """
     T.prepare(docs.sparkSession)
     kind = docs.select(id_col).schema[0].dataType.simpleString()
@@ -132,9 +133,13 @@ def classify(docs: DataFrame, model: OrdinalModel, *, id_col: str = "doc_id", te
         own = OrdinalModel(*shared.value)
         for batch in batches:
             tails = own.tails(features(T.utf8(batch.column(1))))
-            yield pa.RecordBatch.from_pydict({"id": batch.column(0), "expected_grade": tails.sum(axis=1), "p_top": tails[:, -1], "kept": pa.array(tails[:, -1] >= accept)})
+            own_columns = {"row": batch.column(2)} if carry else {}
+            yield pa.RecordBatch.from_pydict({"id": batch.column(0), "expected_grade": tails.sum(axis=1), "p_top": tails[:, -1], "kept": pa.array(tails[:, -1] >= accept)} | own_columns)
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col)).mapInArrow(score, f"id {kind}, expected_grade double, p_top double, kept boolean").withColumnRenamed("id", id_col)
+    row = [F.struct(*docs.columns).alias("row")] if carry else []
+    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *row)
+    schema = f"id {kind}, expected_grade double, p_top double, kept boolean" + (f", row {source.schema['row'].dataType.simpleString()}" if carry else "")
+    return source.mapInArrow(score, schema).withColumnRenamed("id", id_col)
 
 
 def grades(labels: DataFrame) -> DataFrame:

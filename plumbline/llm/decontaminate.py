@@ -53,13 +53,14 @@ def window_hashes(words: np.ndarray, span: int) -> np.ndarray:
     return T.ngrams(words, np.array([len(words)]), n)[0] if n else np.empty(0, np.uint64)
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", span: int = SPAN, k: int = K, share: int = 20, broadcast_bytes: int = 8 << 20) -> DataFrame:
+def decontaminate(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", span: int = SPAN, k: int = K, share: int = 20, broadcast_bytes: int = 8 << 20, carry: bool = False) -> DataFrame:
     """One row for each row of ``docs``: id, n_words, n_hit, n_items, items_sha256, contaminated, items.
 
     ``contaminated``: n_hit > 0 and share * n_hit >= n_words. Null and empty texts have no words and
     are clean; null and empty items have no window; equal items (or repeated ids) count once by id;
     repeated documents each get a row; empty tables give empty results or clean documents; other
-    columns are ignored. Item ids of a document are kept as a sorted list of strings.
+    columns are ignored. Item ids of a document are kept as a sorted list of strings. With ``carry`` all
+    columns of ``docs`` come along in a struct ``row``, so that a selection needs no join.
 
     Plan: the item windows become a table (fingerprint, length, item, window hashes). Document
     fingerprints are semi-joined with it, by broadcast when the fingerprints of the items are
@@ -113,7 +114,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id",
                         owner, fps = owner[hit], fps[hit]
                     owners.append(owner)
                     found.append(fps)
-                yield ids.slice(start, len(part)), part, words, counts, np.concatenate(owners), np.concatenate(found)
+                row = batch.column(2).slice(start, len(part)) if batch.num_columns > 2 else None
+                yield ids.slice(start, len(part)), row, part, words, counts, np.concatenate(owners), np.concatenate(found)
 
     def resolve(data: bytes, candidates) -> tuple[int, list[str]]:
         """Extend: (words inside an occurring window, ids of the items with such windows)."""
@@ -133,14 +135,16 @@ def decontaminate(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id",
             np.add.at(covered, at + n, -1)
         return int((np.cumsum(covered)[:-1] > 0).sum()), sorted(hit_items)
 
-    def result(ids, n_words, n_hit, found):
-        return pa.RecordBatch.from_pydict({
+    def result(ids, row, n_words, n_hit, found):
+        return pa.RecordBatch.from_pydict(({"row": row} if carry else {}) | {
             "id": ids, "n_words": pa.array(n_words, pa.int64()), "n_hit": pa.array(n_hit, pa.int64()), "n_items": pa.array([len(x) for x in found], pa.int64()),
             "items_sha256": pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in found]), "contaminated": pa.array([h > 0 and share * h >= n for h, n in zip(n_hit, n_words, strict=True)], pa.bool_()), "items": pa.array(found, pa.list_(pa.string())),
         })
 
     schema = f"id {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<string>"
-    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *([F.struct(*docs.columns).alias("row")] if carry else []))
+    if carry:
+        schema = f"row {source.schema['row'].dataType.simpleString()}, {schema}"
     if small:
         rows = prints.collect()  # at most broadcast_bytes, as measured above
         table = {n: np.unique(np.array([r["fp"] for r in rows if r["n"] == n], np.int64).view(np.uint64)) for n in {r["n"] for r in rows}}
@@ -149,41 +153,42 @@ def decontaminate(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id",
             by_print.setdefault(r["fp"] & (2**64 - 1), set()).add((r["item"], r["n"], bytes(r["windows"])))
 
         def local(batches):
-            for ids, part, _, counts, owner, fps in scan(batches, table):
+            for ids, row, part, _, counts, owner, fps in scan(batches, table):
                 n_hit, found = [0] * len(part), [[] for _ in part]
                 candidates: dict[int, set[tuple[str, int, bytes]]] = {}
                 for i, fp in set(zip(owner.tolist(), fps.tolist(), strict=True)):
                     candidates.setdefault(i, set()).update(by_print[fp])
                 for i, entries in candidates.items():
                     n_hit[i], found[i] = resolve(part[i], entries)
-                yield result(ids, counts.tolist(), n_hit, found)
+                yield result(ids, row, counts.tolist(), n_hit, found)
 
         return source.mapInArrow(local, schema).withColumnRenamed("id", id_col)
 
     def emit(batches):
-        for ids, part, _, _, owner, fps in scan(batches):
+        for ids, _, part, _, _, owner, fps in scan(batches):
             names = np.array([hashlib.blake2b(x, digest_size=8).digest() for x in part])
             yield pa.RecordBatch.from_pydict({"id": ids.take(pa.array(owner)), "digest": pa.array([bytes(names[i]) for i in owner], pa.binary()), "fp": pa.array(fps.view(np.int64))})
 
     def finish(batches):
         for batch in batches:
-            data = batch.to_pydict()
             n_words, n_hit, found = [], [], []
-            for text, own in zip(T.utf8(batch.column(1)), data["windows"], strict=True):
+            for text, own in zip(T.utf8(batch.column(1)), batch.column(2).to_pylist(), strict=True):
                 n_words.append(int(T.words([text], T.ALNUM, fold=True)[1][0]))
                 hit, items_found = resolve(text, [(x["item"], x["n"], x["windows"]) for x in own or []])
                 n_hit.append(hit)
                 found.append(items_found)
-            yield result(batch.column(0), n_words, n_hit, found)
+            yield result(batch.column(0), batch.column(3) if carry else None, n_words, n_hit, found)
+
+    names = source.columns
 
     def digest(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_pydict({"id": batch.column(0), "text": batch.column(1), "digest": pa.array([hashlib.blake2b(x, digest_size=8).digest() for x in T.utf8(batch.column(1))], pa.binary())})
+            yield pa.RecordBatch.from_pydict(dict(zip(names, batch.columns, strict=True)) | {"digest": pa.array([hashlib.blake2b(x, digest_size=8).digest() for x in T.utf8(batch.column(1))], pa.binary())})
 
     hits = (
-        source.mapInArrow(emit, f"id {kind}, digest binary, fp long").join(prints.distinct(), "fp")
+        source.select("id", "text").mapInArrow(emit, f"id {kind}, digest binary, fp long").join(prints.distinct(), "fp")
         .select("id", "digest", F.struct("item", "n", "windows").alias("w")).distinct().groupBy("id", "digest").agg(F.collect_list("w").alias("windows"))
     )
-    marked = source.mapInArrow(digest, f"id {kind}, text string, digest binary").alias("d")
-    joined = marked.join(hits.alias("h"), F.col("d.id").eqNullSafe(F.col("h.id")) & (F.col("d.digest") == F.col("h.digest")), "left").select("d.id", "d.text", "h.windows")
+    marked = source.mapInArrow(digest, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in source.schema) + ", digest binary").alias("d")
+    joined = marked.join(hits.alias("h"), F.col("d.id").eqNullSafe(F.col("h.id")) & (F.col("d.digest") == F.col("h.digest")), "left").select("d.id", "d.text", "h.windows", *(["d.row"] if carry else []))
     return joined.mapInArrow(finish, schema).withColumnRenamed("id", id_col)

@@ -117,3 +117,13 @@ SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, {_CHUNKS} AS payl
        CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to
 FROM p JOIN f USING (h)
 """
+
+_DECODED = "regexp_replace(replace(replace(replace(replace(line, '&quot;', chr(34)), '&lt;', '<'), '&gt;', '>'), '&#39;', chr(39)), '&amp;?', '&', 'g')"
+
+#: For pages of one article of headings and paragraphs, as the page table has them.
+SQL["op7_html_main_text"] = rf"""
+WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '<article>(.*)</article>', 1, 's') AS t FROM pages),
+b AS (SELECT page_id, url, string_split(regexp_replace(regexp_replace(regexp_replace(t, '<br>', ' ', 'g'), '</?(p|h1)>', chr(30), 'g'), '<[^>]*>', '', 'g'), chr(30)) AS ls FROM a),
+c AS (SELECT page_id, url, list_filter(list_transform(ls, lambda line: trim(regexp_replace({_DECODED}, '\s+', ' ', 'g'))), lambda line: line <> '') AS ls FROM b)
+SELECT page_id, url, coalesce(array_to_string(ls, chr(10)), '') AS text, CAST(length(coalesce(array_to_string(ls, chr(10)), '')) AS BIGINT) AS n_chars FROM c
+"""
