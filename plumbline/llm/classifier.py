@@ -19,7 +19,7 @@ from plumbline.llm import text as T
 
 BITS = 18
 #: Rated rows that training takes at most: those with the least hash of their id. Fixed and documented.
-SAMPLE_ROWS = 12_000
+SAMPLE_ROWS = 10_000
 #: Longest text of the training sample, in characters; longer ones are left out of training alone.
 SAMPLE_CHARS = 50_000
 
@@ -67,8 +67,10 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, levels: int, *, epochs: int
     """Maximum likelihood with an L2 penalty by AdaGrad over mini-batches; features of fewer than ``least`` rows stay 0."""
     rng = np.random.default_rng(seed)
     size = 1 << BITS
-    often = np.bincount(np.concatenate(rows), minlength=size) >= least
-    rows = [r[often[r]] for r in rows]
+    seen = np.zeros(size, np.int32)
+    for r in rows:
+        seen[r] += 1  # indices of a row are distinct
+    rows = [r[seen[r] >= least] for r in rows]
     w, w_sq = np.zeros(size), np.full(size, 1e-8)
     share = np.clip(np.cumsum(np.bincount(grades, minlength=levels)) / len(grades), 0.01, 0.99)[:-1]
     t, t_sq = np.sort(np.log(share / (1 - share))), np.full(levels - 1, 1e-8)
@@ -111,10 +113,10 @@ def train(docs: DataFrame, ratings: DataFrame, *, id_col: str = "doc_id", text_c
             yield pa.RecordBatch.from_pydict({"id": batch.column(0).cast(pa.string()), "grade": batch.column(1), "found": pa.array([f.astype(np.int32).tobytes() for f in found], pa.binary())})
 
     rows = texts.join(F.broadcast(rated), "id").select("id", "grade", "text").mapInArrow(extract, "id string, grade int, found binary").dropDuplicates(["id", "found", "grade"]).limit(2 * sample_rows).collect()
-    rows.sort(key=lambda r: (r["id"], r["grade"], bytes(r["found"])))
     if not rows:
         return OrdinalModel(np.zeros(1 << BITS), np.zeros(levels - 1))
-    return fit([np.frombuffer(r["found"], np.int32).astype(np.int64) for r in rows], np.array([r["grade"] for r in rows]), levels)
+    rows = sorted((r["id"], r["grade"], bytes(r["found"])) for r in rows)
+    return fit([np.frombuffer(r[2], np.int32) for r in rows], np.array([r[1] for r in rows]), levels)
 
 
 def classify(docs: DataFrame, model: OrdinalModel, *, id_col: str = "doc_id", text_col: str = "text", accept: float = 0.5, carry: bool = False) -> DataFrame:
