@@ -112,11 +112,18 @@ def train(docs: DataFrame, ratings: DataFrame, *, id_col: str = "doc_id", text_c
             found = features(T.utf8(batch.column(2)))
             yield pa.RecordBatch.from_pydict({"id": batch.column(0).cast(pa.string()), "grade": batch.column(1), "found": pa.array([f.astype(np.int32).tobytes() for f in found], pa.binary())})
 
-    rows = texts.join(F.broadcast(rated), "id").select("id", "grade", "text").mapInArrow(extract, "id string, grade int, found binary").dropDuplicates(["id", "found", "grade"]).limit(2 * sample_rows).collect()
-    if not rows:
+    def learn(batches):
+        """All sampled rows are one task: their number is bounded, and the driver only gets the weights."""
+        rows = sorted({(i, g, f) for batch in batches for i, g, f in zip(*(c.to_pylist() for c in batch.columns), strict=True)})
+        if rows:
+            model = fit([np.frombuffer(r[2], np.int32) for r in rows], np.array([r[1] for r in rows]), levels)
+            yield pa.RecordBatch.from_pydict({"weights": [model.weights.astype(np.float32).tobytes()], "thresholds": [model.thresholds.tolist()]})
+
+    found = texts.join(F.broadcast(rated), "id").select("id", "grade", "text").mapInArrow(extract, "id string, grade int, found binary")
+    learned = found.repartition(1).mapInArrow(learn, "weights binary, thresholds array<double>").collect()
+    if not learned:
         return OrdinalModel(np.zeros(1 << BITS), np.zeros(levels - 1))
-    rows = sorted((r["id"], r["grade"], bytes(r["found"])) for r in rows)
-    return fit([np.frombuffer(r[2], np.int32) for r in rows], np.array([r[1] for r in rows]), levels)
+    return OrdinalModel(np.frombuffer(learned[0]["weights"], np.float32).astype(np.float64), np.array(learned[0]["thresholds"]))
 
 
 def classify(docs: DataFrame, model: OrdinalModel, *, id_col: str = "doc_id", text_col: str = "text", accept: float = 0.5, carry: bool = False) -> DataFrame:
