@@ -118,6 +118,17 @@ def _ranges(hashes: np.ndarray, parts: int) -> np.ndarray:
     return np.searchsorted(hashes, np.array(bounds, np.uint64), "right")
 
 
+def _pack(hashes: np.ndarray) -> bytes:
+    """Sorted hashes as steps, byte by byte of significance, which compresses: high bytes of steps are 0."""
+    steps = np.diff(hashes, prepend=np.zeros(1, np.uint64))
+    return np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def _unpack(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(data, np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64)
+
+
 def _slices(batches, slice_bytes: int):
     """(ids, texts) of about ``slice_bytes``, across record batches."""
     ids, texts, size = [], [], 0
@@ -173,12 +184,12 @@ def lm_score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
             ends, at = _ranges(kinds, parts), 0
             for p, end in enumerate(ends.tolist()):
                 if end > at or not p:
-                    yield pa.RecordBatch.from_pydict({"part": pa.array([p], pa.int32()), "n": pa.array([0 if p else len(words)], pa.int64()), "hashes": pa.array([kinds[at:end].tobytes()], pa.binary())})
+                    yield pa.RecordBatch.from_pydict({"part": pa.array([p], pa.int32()), "n": pa.array([0 if p else len(words)], pa.int64()), "hashes": pa.array([_pack(kinds[at:end])], pa.binary())})
                 at = end
 
     def distinct(batches):
         for rows in _groups(batches, 3):
-            kinds = np.unique(np.concatenate([np.frombuffer(r[2], np.uint64) for r in rows]))
+            kinds = np.unique(np.concatenate([_unpack(r[2]) for r in rows]))
             yield pa.RecordBatch.from_pydict({"n": pa.array([sum(r[1] for r in rows)], pa.int64()), "kinds": pa.array([len(kinds)], pa.int64())})
 
     figures = (
@@ -199,7 +210,7 @@ def lm_score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
             ends, at = _ranges(hashes, parts), 0
             for p, end in enumerate(ends.tolist()):
                 if end > at:
-                    yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([name], pa.int64()), pa.array([hashes[at:end].tobytes()], pa.binary()), pa.array([press.compress(counts[at:end].tobytes())], pa.binary()), pa.array([None], pa.list_(arrow_id))], names=["part", "slice", "hashes", "body", "ids"])
+                    yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([name], pa.int64()), pa.array([_pack(hashes[at:end])], pa.binary()), pa.array([press.compress(counts[at:end].tobytes())], pa.binary()), pa.array([None], pa.list_(arrow_id))], names=["part", "slice", "hashes", "body", "ids"])
                 at = end
 
     def answer(batches):
@@ -208,7 +219,7 @@ def lm_score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
             asked = [r for r in rows if r[2] is not None]
             out = [(r[1], -1, r[3], r[4]) for r in rows if r[2] is None]
             if asked:
-                hashes = [np.frombuffer(r[2], np.uint64) for r in asked]
+                hashes = [_unpack(r[2]) for r in asked]
                 counts = np.concatenate([np.frombuffer(unpress.decompress(r[3]), np.uint32) for r in asked])
                 known, place = np.unique(np.concatenate(hashes), return_inverse=True)
                 sums = np.bincount(place, weights=counts, minlength=len(known)).astype(np.int64)
