@@ -19,8 +19,8 @@ def category_means(rows: DataFrame, *, smoothing: float, prior: Column | None =
 
 
 def naive_encoding(rows: DataFrame, *, smoothing: float = 0.0) -> DataFrame:
-    """(id, split, y, encoded) from the means of train and test rows together: the leak itself."""
-    return rows.join(category_means(rows, smoothing=smoothing).select("category", "encoded"), "category").select("id", "split", "y", "encoded")
+    """(id, category, split, y, encoded) from the means of train and test rows together: the leak itself."""
+    return rows.join(category_means(rows, smoothing=smoothing).select("category", "encoded"), "category").select("id", "category", "split", "y", "encoded")
 
 
 def train_only_encoding(rows: DataFrame, *, smoothing: float = 0.0) -> DataFrame:
@@ -57,10 +57,10 @@ def cardinality_profile(rows: DataFrame) -> DataFrame:
     return cells.crossJoin(F.broadcast(total)).select("bucket", "categories", "rows", (F.col("rows") / F.col("total")).alias("share"))
 
 
-def leak_by_rarity(encoded: DataFrame, rows: DataFrame, *, least: int = 30) -> DataFrame:
-    """(bucket, rows, correlation) of encoding and label by the size of the category; thin or constant buckets go."""
-    sizes = rows.groupBy("category").agg(F.count("*").alias("size"))
+def leak_by_rarity(encoded: DataFrame, *, least: int = 30) -> DataFrame:
+    """(bucket, rows, correlation) of encoding and label (category, y, encoded) by the size of the category; thin or constant buckets go."""
+    sizes = encoded.groupBy("category").agg(F.count("*").alias("size"))
     bucket = F.when(F.col("size") == 1, "1").when(F.col("size") < 5, "2-4").when(F.col("size") < 20, "5-19").when(F.col("size") < 100, "20-99").otherwise("100+")
-    joined = encoded.join(rows.select("id", "category"), "id").join(sizes, "category").groupBy(bucket.alias("bucket"))
+    joined = encoded.join(sizes, "category").groupBy(bucket.alias("bucket"))
     cells = joined.agg(F.count("*").alias("rows"), F.corr("encoded", "y").alias("correlation"), F.stddev_pop("y").alias("spread"))
     return cells.where((F.col("rows") >= least) & (F.col("spread") > 0)).select("bucket", "rows", "correlation")

@@ -535,7 +535,7 @@ def category_means(spark, d):
 
 @query
 def encoding_naive(spark, d):
-    return EN.naive_encoding(_categories(spark, d))
+    return EN.naive_encoding(_categories(spark, d)).drop("category")
 
 
 @query
@@ -560,8 +560,7 @@ def cardinality_profile(spark, d):
 
 @query
 def leak_by_rarity(spark, d):
-    rows = _categories(spark, d)
-    return EN.leak_by_rarity(EN.naive_encoding(rows), rows)
+    return EN.leak_by_rarity(EN.naive_encoding(_categories(spark, d)))
 
 
 # --- association rules
