@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from plumbline.operators.clusters import distance
 from plumbline.operators.reduce import moments, second_moments
@@ -104,7 +105,10 @@ def local_outlier_factor(rows: DataFrame, *, neighbours: int = 35) -> DataFrame:
     cut = rows.select(F.col("id").alias("i"), "x", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"))
     left = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select("block", "other", F.lit(True).alias("own"), "i", "x")
     right = cut.withColumn("to", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select(F.col("to").alias("block"), F.col("block").alias("other"), F.lit(False).alias("own"), "i", "x")
-    kind = dict(rows.dtypes)["id"]
+    kind, arrow = dict(rows.dtypes)["id"], to_arrow_type(rows.schema["id"].dataType)
+
+    def emit(out):
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (arrow, arrow, pa.float64()), strict=True)], names=["i", "j", "d"])
 
     def nearest(held):
         mine, theirs = [r for r in held if r[2]], [r for r in held if not r[2]]
@@ -129,9 +133,9 @@ def local_outlier_factor(rows: DataFrame, *, neighbours: int = 35) -> DataFrame:
                     held = []
                 held.append(row)
             if out:
-                yield pa.RecordBatch.from_pydict({"i": [o[0] for o in out], "j": [o[1] for o in out], "d": [o[2] for o in out]})
+                yield emit(out)
         if held and (out := nearest(held)):
-            yield pa.RecordBatch.from_pydict({"i": [o[0] for o in out], "j": [o[1] for o in out], "d": [o[2] for o in out]})
+            yield emit(out)
 
     found = left.unionByName(right).repartition("block", "other").sortWithinPartitions("block", "other").mapInArrow(run, f"i {kind}, j {kind}, d double")
     knn = found.withColumn("r", F.row_number().over(Window.partitionBy("i").orderBy("d", "j"))).where(F.col("r") <= neighbours)
