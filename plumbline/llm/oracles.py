@@ -76,7 +76,7 @@ s AS (
          sum(CASE WHEN cu > 0 THEN log10((1 - f) * c2 / CAST(cu AS DOUBLE) + f * p) ELSE log10(p) END) AS score
   FROM s GROUP BY k
 )
-SELECT doc_id, held_out, n_tokens, n_known, n AS train_tokens, base_score, score FROM d JOIN z USING (k), nv
+SELECT doc_id, held_out, n_tokens, n_known, n AS train_tokens, round(base_score, 6) AS base_score, round(score, 6) AS score FROM d JOIN z USING (k), nv
 """
 
 _HEAD = "'<|im_start|>' || replace(coalesce(role, ''), '<|', '< |') || chr(10)"

@@ -40,7 +40,8 @@ def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     from plumbline.llm.lm import lm_score
 
-    return lm_score(read(spark, sf_dir, "documents"))
+    scores = lm_score(read(spark, sf_dir, "documents"))
+    return scores.withColumn("base_score", F.round("base_score", 6)).withColumn("score", F.round("score", 6))
 
 
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
