@@ -14,7 +14,7 @@ from pyspark.sql.types import StructType
 from plumbline.session import ship
 
 #: Stock codes that are fees and adjustments, not products. Fixed values.
-NOT_PRODUCTS = ("POST", "D", "DOT", "M", "S", "AMAZONFEE", "BANK CHARGES", "CRUK", "C2", "ADJUST", "ADJUST2", "TEST001", "TEST002", "PADS")
+NOT_PRODUCTS = ("POST", "DOT", "M", "S", "BANK CHARGES", "AMAZONFEE", "ADJUST", "ADJUST2", "TEST001", "TEST002", "B", "CRUK", "PADS", "GIFT")
 
 
 class FetchFailed(RuntimeError):
