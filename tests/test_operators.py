@@ -293,3 +293,15 @@ def test_readers(spark, tmp_path):
     assert readers.manifest(spark, str(tmp_path / "t.arff")).first()["bytes"] == (tmp_path / "t.arff").stat().st_size
     raw = spark.createDataFrame([("C1", " post ", 1, 1.0), ("C2", " a1", -2, 3.0), ("3", "b", 1, 0.0)], "Invoice string, StockCode string, Quantity int, Price double")
     assert [tuple(r) for r in readers.clean_ledger(raw).select("StockCode", "is_return", "revenue").collect()] == [("A1", True, -6.0)]
+
+
+def test_neighbourhoods_are_judged_over_all_rows(spark):
+    x = np.random.default_rng(16).normal(size=(700, 6))
+    x[50:60] = x[50]
+    k, rank = 12, lambda v: np.argsort(np.argsort(np.round(np.linalg.norm(v[:, None] - v[None], axis=2), 9) + np.diag(np.full(len(v), np.inf)), axis=1, kind="stable"), axis=1)
+    a, b = rank(x), rank(x[:, :3])
+    penalty = np.where((b < k) & (a >= k), a - k, 0).sum()
+    table = lambda v: spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(v)], "id int, x array<double>")
+    rows, flat = table(x), table(x[:, :3])
+    assert one(reduce.trustworthiness(rows, flat))["trustworthiness"] == pytest.approx(1 - 2 / (700 * k * (2 * 700 - 3 * k - 1)) * penalty, abs=1e-12)
+    assert one(reduce.neighbourhood_overlap(rows, flat))["overlap"] == pytest.approx(((a < k) & (b < k)).sum() / 700 / k, abs=1e-12)
