@@ -4,8 +4,10 @@ Sources have integer weights with sum A. A source's documents form blocks; block
 weight a has the release time floor(j A / a) and the deadline ceil((j + 1) A / a), and each slot goes to
 the released block with the earliest deadline (ties: the
 shorter wait for the following deadline, then the source). After any
-number of slots, every source is less than one block from its target share. The schedule repeats every
-A slots, so one frame of A slots is simulated and a block's slot follows from its number alone.
+number of slots, every source is less than one block from its target share. Weights are exact: those
+that are not integers are scaled to integers by the common denominator of their fractions, never rounded.
+The schedule repeats every A slots, so at most one frame of A slots is simulated, and never more slots
+than there are blocks to place.
 
 A source that runs out leaves the mix and the others go on in a new phase with their own weights, so
 all documents get a place; ``phase`` 0 is the stretch that holds the target weights of all sources.
@@ -15,14 +17,19 @@ from __future__ import annotations
 
 import heapq
 import math
+from fractions import Fraction
+from itertools import islice
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Largest sum of the integer weights, and so the largest frame that is simulated and broadcast.
+#: Largest sum of integer weights that ``integer_weights`` keeps.
 MAX_FRAME = 10_000
-#: Rows of all phases' frames up to which they are broadcast.
+#: Rows of all phases' frames, and of their spans, up to which they are broadcast.
 BROADCAST_ROWS = 200_000
+#: Weights and frames beyond this are never reached by a block's number; they are written as this.
+_LONG = 1 << 62
 
 
 def integer_weights(weights: dict[str, float], frame: int = 1000) -> dict[str, int]:
@@ -40,8 +47,19 @@ def integer_weights(weights: dict[str, float], frame: int = 1000) -> dict[str, i
     return whole
 
 
-def frame_schedule(weights: dict[str, int]) -> list[tuple[str, int]]:
-    """(source, block within the frame) of each slot of a frame: earliest deadline first among released blocks."""
+def exact_weights(weights: dict[str, float]) -> dict[str, int]:
+    """The least integers in exactly the proportions of the weights."""
+    if not weights or any(not 0 < w < math.inf for w in weights.values()):
+        raise ValueError("weights must be positive")
+    parts = {k: Fraction(w) for k, w in weights.items()}
+    scale = math.lcm(*(p.denominator for p in parts.values()))
+    whole = {k: int(p * scale) for k, p in parts.items()}
+    common = math.gcd(*whole.values())
+    return {k: w // common for k, w in whole.items()}
+
+
+def slots(weights: dict[str, int]):
+    """(source, block within the frame) of each slot of a frame, one by one: earliest deadline first among released blocks."""
     total = sum(weights.values())
 
     def window(source: str, j: int) -> tuple[int, int, int, str, int]:
@@ -52,37 +70,52 @@ def frame_schedule(weights: dict[str, int]) -> list[tuple[str, int]]:
     waiting = [window(s, 0) for s in weights]
     heapq.heapify(waiting)
     ready: list[tuple[int, int, str, int]] = []
-    out = []
-    for slot in range(total):
+    slot = 0
+    while slot < total:
         while waiting and waiting[0][0] <= slot:
             _, *rest = heapq.heappop(waiting)
             heapq.heappush(ready, tuple(rest))
         deadline, _, source, j = heapq.heappop(ready)
         if deadline <= slot:
             raise AssertionError("a deadline was missed")
-        out.append((source, j))
+        yield source, j
+        slot += 1
         if j + 1 < weights[source]:
             heapq.heappush(waiting, window(source, j + 1))
-    return out
+
+
+def frame_schedule(weights: dict[str, int]) -> list[tuple[str, int]]:
+    """All slots of a frame."""
+    return list(slots(weights))
 
 
 def plan_phases(blocks: dict[str, int], weights: dict[str, int]) -> list[dict]:
     """Phases of the mix: which blocks of each source, their first slot, and the frame that places them.
 
-    A phase ends in front of the first slot that would go to a source with no block left.
+    A phase ends in front of the first slot that would go to a source with no block left. The frame of a
+    phase that ends within it stops there.
     """
     left = {s: n for s, n in blocks.items() if n}
     taken, slot, phases = dict.fromkeys(left, 0), 0, []
     while left:
         own = {s: weights[s] for s in left}
-        frame = frame_schedule(own)
-        total = len(frame)
-        # A source with n blocks lacks block n first at this slot of the phase.
-        place = {key: at for at, key in enumerate(frame)}
-        ends = {s: n // own[s] * total + place[s, n % own[s]] for s, n in left.items()}
-        length = min(ends.values())
-        used = {s: length // total * own[s] + sum(1 for source, _ in frame[: length % total] if source == s) for s in left}
-        phases.append({"phase": len(phases), "start": slot, "total": total, "frame": frame, "first": {s: taken[s] for s in left}, "used": used, "weights": own})
+        total, frame = sum(own.values()), []
+        for source, j in slots(own):
+            if j == left[source]:
+                break
+            frame.append((source, j))
+        if len(frame) < total:
+            length, used = len(frame), {}
+            for source, _ in frame:
+                used[source] = used.get(source, 0) + 1
+        else:
+            # A source with n blocks lacks block n first at this slot of the phase.
+            place = {key: at for at, key in enumerate(frame)}
+            length = min(n // own[s] * total + place[s, n % own[s]] for s, n in left.items())
+            used = {s: length // total * own[s] for s in left}
+            for source, _ in islice(frame, length % total):
+                used[source] += 1
+        phases.append({"phase": len(phases), "start": slot, "total": total, "frame": frame, "first": {s: taken[s] for s in used}, "used": used, "weights": {s: own[s] for s in used}})
         slot += length
         for s, n in used.items():
             taken[s] += n
@@ -91,49 +124,58 @@ def plan_phases(blocks: dict[str, int], weights: dict[str, int]) -> list[dict]:
     return phases
 
 
-def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, *, id_col: str = "doc_id", source_col: str = "source", block_rows: int = 8, buckets: int | None = None) -> DataFrame:
+def _table(spark, rows: list[tuple], kinds: dict[str, pa.DataType]) -> DataFrame:
+    columns = list(zip(*rows, strict=True)) or [()] * len(kinds)
+    out = spark.createDataFrame(pa.table([pa.array(c, t) for c, t in zip(columns, kinds.values(), strict=True)], names=list(kinds)))
+    return F.broadcast(out) if len(rows) <= BROADCAST_ROWS else out
+
+
+def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, *, id_col: str = "doc_id", source_col: str = "source", block_rows: int = 8, buckets: int | None = None, carry: bool = False) -> DataFrame:
     """(id, source, position, slot, block, phase) of every row of ``docs``: its place in the mix.
 
     Documents of a source are taken in the order of a hash of their id, ``block_rows`` to a block (the
     last block of a source may be short). Without ``weights`` a source weighs the square
     root of its rows; sources that ``weights`` does not name weigh the least weight named. A null source is a source of its own (named
     by an empty text, apart from a source with that name only in the output). Null ids and repeated rows
-    each get a place; an empty table gives an empty result; other columns are ignored.
+    each get a place; an empty table gives an empty result; other columns are ignored, or with ``carry``
+    come along in a struct ``row`` of all columns of ``docs``, so that each row gets its own place; rows
+    with a null id are then spread by a hash of the row.
 
     Ranks within a source come from counts of (source, bucket), so a source with most rows is spread
-    over all buckets; the driver gets one row for each source.
+    over all buckets; the driver gets one row for each source, of any number, and plans at most one slot for
+    each block.
     """
     spark = docs.sparkSession
     buckets = buckets or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     kind = docs.select(id_col).schema[0].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source")).withColumn("h", F.xxhash64("id", F.lit(7)))
+    row = [F.struct(*docs.columns).alias("row")] if carry else []
+    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), *row)
+    whole = F.xxhash64("row", F.lit(7)) if carry else F.xxhash64("id", F.lit(7))
+    rows = rows.withColumn("h", F.when(F.col("id").isNull(), whole).otherwise(F.xxhash64("id", F.lit(7))))
     rows = rows.withColumn("s", F.when(F.col("source").isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), "source"))).withColumn("bucket", F.pmod("h", F.lit(buckets)).cast("int"))
     sizes = rows.groupBy("s", "bucket").agg(F.count("*").alias("n"))
     by_source = {r["s"]: r["n"] for r in sizes.groupBy("s").agg(F.sum("n").alias("n")).collect()}
-    empty = f"{id_col} {kind}, source string, position long, slot long, block long, phase int"
+    empty = f"{id_col} {kind}, source string, position long, slot long, block long, phase int" + (f", row {rows.schema['row'].dataType.simpleString()}" if carry else "")
     if not by_source:
         return spark.createDataFrame([], empty)
     named = {("-" if k is None else f"+{k}"): w for k, w in (weights or {}).items()}
-    if len(by_source) > MAX_FRAME:
-        raise ValueError(f"more than {MAX_FRAME} sources")
     least = min(named.values(), default=0)
-    shares = integer_weights({s: named.get(s, least) if named else math.sqrt(by_source[s]) for s in sorted(by_source)})
+    shares = exact_weights({s: named.get(s, least) if named else math.sqrt(by_source[s]) for s in sorted(by_source)})
     phases = plan_phases({s: -(-n // block_rows) for s, n in by_source.items()}, shares)
 
-    # Both are small: a row for each source and phase, and for each slot of a phase's frame.
-    spans = [(p["phase"], s, p["first"][s], p["first"][s] + p["used"][s], p["start"], p["total"], p["weights"][s]) for p in phases for s in p["used"]]
+    # A row for each source and phase with a block there, and for each slot of a phase's frame: at most the number of blocks.
+    spans = [(p["phase"], s, p["first"][s], p["first"][s] + n, p["start"], min(p["total"], _LONG), min(p["weights"][s], _LONG)) for p in phases for s, n in p["used"].items() if n]
     frames = [(p["phase"], s, j, at) for p in phases for at, (s, j) in enumerate(p["frame"])]
-    small = F.broadcast if len(frames) <= BROADCAST_ROWS else (lambda df: df)
-    spans = spark.createDataFrame(spans, "phase int, s string, first long, stop long, start long, total long, weight long")
-    frames = spark.createDataFrame(frames, "phase int, s string, inner long, at long")
+    spans = _table(spark, spans, {"phase": pa.int32(), "s": pa.string(), "first": pa.int64(), "stop": pa.int64(), "start": pa.int64(), "total": pa.int64(), "weight": pa.int64()})
+    frames = _table(spark, frames, {"phase": pa.int32(), "s": pa.string(), "inner": pa.int64(), "at": pa.int64()})
 
     before = sizes.withColumn("before", F.sum("n").over(Window.partitionBy("s").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))).select("s", "bucket", F.coalesce("before", F.lit(0)).alias("before"))
-    order = Window.partitionBy("s", "bucket").orderBy("h", "id")
+    order = Window.partitionBy("s", "bucket").orderBy("h", "id", *([whole] if carry else []))
     ranked = rows.withColumn("rank", F.row_number().over(order) - 1).join(before, ["s", "bucket"]).withColumn("rank", F.col("rank") + F.col("before"))
     ranked = ranked.withColumn("block", F.floor(F.col("rank") / block_rows)).withColumn("offset", F.col("rank") % block_rows)
     ranked, spans = ranked.alias("r"), spans.alias("p")
-    placed = ranked.join(small(spans), (F.col("r.s") == F.col("p.s")) & (F.col("block") >= F.col("first")) & (F.col("block") < F.col("stop"))).drop(F.col("p.s"))
+    placed = ranked.join(spans, (F.col("r.s") == F.col("p.s")) & (F.col("block") >= F.col("first")) & (F.col("block") < F.col("stop"))).drop(F.col("p.s"))
     placed = placed.withColumn("own", F.col("block") - F.col("first")).withColumn("inner", F.col("own") % F.col("weight"))
-    placed = placed.join(small(frames), ["phase", "s", "inner"])
+    placed = placed.join(frames, ["phase", "s", "inner"])
     slot = F.col("start") + F.floor(F.col("own") / F.col("weight")) * F.col("total") + F.col("at")
-    return placed.select(F.col("id").alias(id_col), "source", (slot * block_rows + F.col("offset")).alias("position"), slot.alias("slot"), "block", "phase")
+    return placed.select(F.col("id").alias(id_col), "source", (slot * block_rows + F.col("offset")).alias("position"), slot.alias("slot"), "block", "phase", *(["row"] if carry else []))

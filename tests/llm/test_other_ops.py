@@ -11,7 +11,7 @@ from plumbline.llm import warc
 from plumbline.llm.chat import mask_of, preference_pairs, text_of
 from plumbline.llm.classifier import classify, features, fit, train
 from plumbline.llm.html import blocks, extract_main_text
-from plumbline.llm.mixing import frame_schedule, integer_weights, mix_sources, plan_phases
+from plumbline.llm.mixing import exact_weights, frame_schedule, integer_weights, mix_sources, plan_phases
 from pyspark.sql import functions as F
 
 # --- mixing
@@ -58,6 +58,25 @@ def test_mix_places_every_row(spark):
         integer_weights({"a": 0})
 
 
+def test_exact_weights_do_not_drift(spark):
+    weights = {"+a": 1 / 3, "+b": 2**0.5, "+c": 1.0}
+    phase = plan_phases({"+a": 20_000, "+b": 40_000, "+c": 40_000}, exact_weights(weights))[0]
+    got, total = Counter(), sum(weights.values())
+    for t, (s, _) in enumerate(phase["frame"], 1):
+        got[s] += 1
+        assert all(abs(got[k] - t * w / total) < 1 for k, w in weights.items())
+    assert t > 50_000 and exact_weights({"a": 0.5, "b": 0.25, "c": 0.25}) == {"a": 2, "b": 1, "c": 1}
+    for bad in (0, float("inf"), float("nan")):
+        with pytest.raises(ValueError):
+            exact_weights({"a": bad})
+
+
+def test_mix_takes_any_number_of_sources(spark):
+    df = spark.range(25_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("s"), F.col("id") % 12_000).alias("source"))
+    out = mix_sources(df, block_rows=1)
+    assert out.count() == out.select("position").distinct().count() == 25_000 and out.agg(F.max("position")).first()[0] == 24_999
+
+
 # --- archives
 
 
