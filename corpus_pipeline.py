@@ -1,8 +1,8 @@
 """The corpus pipeline: five stages over ``documents``, each written as Parquet and read again.
 
 Each stage takes (spark, docs, sf_dir) and returns the documents that it keeps with the columns of
-``documents``; the last gives each document its place in the mix. Null or repeated ids go through: what
-a stage decides for an id and text holds for all rows with them.
+``documents``; the last gives each document its place in the mix. Null or repeated ids go through: each
+row has its own decision, columns and place, whatever its id. Rows that agree in all columns are copies.
 """
 
 from __future__ import annotations
@@ -24,10 +24,10 @@ from plumbline.session import checkpoint_dir
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
-def _chosen(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose id is one of ``ids`` (null ids match null)."""
-    keep = ids.select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(keep, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi").select(*COLUMNS)
+def _key():
+    """A row's key: its id, null ids last, and 128 bits of all columns (a null counts as a value)."""
+    marks = [c for name in COLUMNS for c in (F.col(name).isNull(), F.col(name))]
+    return F.struct(F.col("doc_id").isNull().alias("lost"), "doc_id", F.xxhash64(F.lit(1), *marks).alias("h1"), F.xxhash64(F.lit(2), *marks).alias("h2"))
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,16 +38,16 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Stage 6: of each class of near copies the document with the least id stays."""
-    found = near_duplicates(docs)
-    return _chosen(docs, found.where(F.col("doc_id").eqNullSafe(F.col("class_id")))).dropDuplicates(["doc_id", "text"])
+    keyed = docs.withColumn("key", _key())
+    found = near_duplicates(keyed, id_col="key")
+    heads = found.where(F.col("key") == F.col("class_id")).select(F.col("key").alias("kept")).distinct()
+    return keyed.join(heads, F.col("key").eqNullSafe(F.col("kept")), "left_semi").dropDuplicates(["key"]).select(*COLUMNS)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Stage 8: byte strings of 200 that occur twice are cut out; documents of which nothing is left go."""
-    left = remove_repeats(docs).where((F.col("n_removed") == 0) | (F.trim("text") != "")).select("doc_id", "text")
-    rest = docs.select("doc_id", "lang", "source").dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "own_id")
-    joined = left.join(rest, F.col("doc_id").eqNullSafe(F.col("own_id")))
-    return joined.select("doc_id", "text", "lang", "source", F.char_length("text").cast("long").alias("n_chars"))
+    left = remove_repeats(docs, carry=True).where((F.col("n_removed") == 0) | (F.trim("text") != ""))
+    return left.select("doc_id", "text", "row.lang", "row.source", F.char_length("text").cast("long").alias("n_chars"))
 
 
 def contamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,8 +57,7 @@ def contamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Stage 4: each document with its place in the mix of sources."""
-    placed = mix_sources(docs).select(F.col("doc_id").alias("own_id"), "position", "slot", "phase")
-    return docs.join(placed.dropDuplicates(["own_id"]), F.col("doc_id").eqNullSafe(F.col("own_id"))).select(*COLUMNS, "position", "slot", "phase")
+    return mix_sources(docs, carry=True).select("row.*", "position", "slot", "phase").select(*COLUMNS, "position", "slot", "phase")
 
 
 STAGES = [

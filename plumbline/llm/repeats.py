@@ -233,17 +233,19 @@ def repeated_ranges(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     return found.groupBy("d1", "d2").agg(F.collect_list(F.struct("a", "b")).alias("ranges"))
 
 
-def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 200, group_bytes: int = GROUP_BYTES) -> DataFrame:
+def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 200, group_bytes: int = GROUP_BYTES, carry: bool = False) -> DataFrame:
     """(id, text, n_bytes, n_removed, n_spans, kept_sha256) of every row of ``docs``.
 
     ``text`` is what is left, read as UTF-8 without characters that a cut has split (it may be empty);
     the figures are of bytes. Null and empty texts, and texts under ``length`` bytes, lose nothing.
     Repeated rows are documents of their own, so their texts repeat and are removed as a whole. Null
-    ids are ids like others, an empty table gives an empty result, and other columns are ignored.
+    ids are ids like others, an empty table gives an empty result, and other columns are ignored, or with
+    ``carry`` come along in a struct ``row`` of all columns of ``docs`` but the text.
     """
     T.prepare(docs.sparkSession)
     kind = docs.select(id_col).schema[0].dataType.simpleString()
-    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *([F.struct(*(c for c in docs.columns if c != text_col)).alias("row")] if carry else []))
+    also = f", row {source.schema['row'].dataType.simpleString()}" if carry else ""
     ranges = repeated_ranges(docs, id_col=id_col, text_col=text_col, length=length, group_bytes=group_bytes)
 
     def pack(batches):
@@ -251,7 +253,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         for batch in batches:
             texts = T.utf8(batch.column(1))
             marks = [digest(x) for x in texts]
-            yield pa.RecordBatch.from_pydict({"id": batch.column(0), "d1": pa.array([m[0] for m in marks], pa.int64()), "d2": pa.array([m[1] for m in marks], pa.int64()), "z": pa.array([press.compress(x) for x in texts], pa.binary())})
+            yield pa.RecordBatch.from_pydict({"id": batch.column(0), "d1": pa.array([m[0] for m in marks], pa.int64()), "d2": pa.array([m[1] for m in marks], pa.int64()), "z": pa.array([press.compress(x) for x in texts], pa.binary())} | ({"row": batch.column(2)} if carry else {}))
 
     def finish(batches):
         unpress = zstandard.ZstdDecompressor()
@@ -267,8 +269,8 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
                 left = b"".join([*kept, data[at:]])
                 for k, v in (("text", left.decode("utf-8", "ignore")), ("n_bytes", len(data)), ("n_removed", len(data) - len(left)), ("n_spans", len(spans)), ("kept_sha256", hashlib.sha256(left).hexdigest())):
                     out[k].append(v)
-            yield pa.RecordBatch.from_pydict({"id": batch.column(0), "text": pa.array(out["text"], pa.string()), "n_bytes": pa.array(out["n_bytes"], pa.int64()), "n_removed": pa.array(out["n_removed"], pa.int64()), "n_spans": pa.array(out["n_spans"], pa.int64()), "kept_sha256": pa.array(out["kept_sha256"], pa.string())})
+            yield pa.RecordBatch.from_pydict({"id": batch.column(0), "text": pa.array(out["text"], pa.string()), "n_bytes": pa.array(out["n_bytes"], pa.int64()), "n_removed": pa.array(out["n_removed"], pa.int64()), "n_spans": pa.array(out["n_spans"], pa.int64()), "kept_sha256": pa.array(out["kept_sha256"], pa.string())} | ({"row": batch.column(3)} if carry else {}))
 
-    packed = source.mapInArrow(pack, f"id {kind}, d1 long, d2 long, z binary")
-    joined = packed.join(ranges, ["d1", "d2"], "left").select("id", "z", "ranges")
-    return joined.mapInArrow(finish, f"id {kind}, text string, n_bytes long, n_removed long, n_spans long, kept_sha256 string").withColumnRenamed("id", id_col)
+    packed = source.mapInArrow(pack, f"id {kind}, d1 long, d2 long, z binary{also}")
+    joined = packed.join(ranges, ["d1", "d2"], "left").select("id", "z", "ranges", *(["row"] if carry else []))
+    return joined.mapInArrow(finish, f"id {kind}, text string, n_bytes long, n_removed long, n_spans long, kept_sha256 string{also}").withColumnRenamed("id", id_col)

@@ -239,3 +239,22 @@ def test_pipeline_stages(spark):
     assert {r["doc_id"] for r in clean.collect()} == {r["doc_id"] for r in cut.collect()} - bad
     mixed = pipeline.mixture(spark, clean, d)
     assert mixed.count() == clean.count() == mixed.select("position").distinct().count()
+
+
+def test_pipeline_rows_with_null_and_repeated_ids(spark):
+    import corpus_pipeline as pipeline
+
+    rnd = random.Random(9)
+    prose = lambda: " ".join(f"w{rnd.randrange(5000)}" for _ in range(120))
+    texts = [prose() for _ in range(6)]
+    rows = [(i, t, "en", f"s{k}") for k, (i, t) in enumerate(zip([None, None, None, 7, 7, 8], texts, strict=True))]
+    rows += [(None, texts[0] + " end", "de", "s9"), (7, texts[4] + " end", "de", "s9"), (7, texts[5] + " end", "de", "s9"), (None, None, None, "a"), (None, None, "a", None), rows[3]]
+    docs = spark.createDataFrame([(*r, len(r[1] or "")) for r in rows], "doc_id long, text string, lang string, source string, n_chars long").cache()
+    kept = pipeline.near_copies(spark, docs, "").cache()
+    got = Counter((r["doc_id"], (r["text"] or "").removesuffix(" end")) for r in kept.collect())
+    assert got == Counter([(None, texts[0]), (None, texts[1]), (None, texts[2]), (7, texts[3]), (7, texts[4]), (7, texts[5]), (None, ""), (None, "")])
+    assert set(kept.collect()) <= set(docs.collect())
+    few = docs.limit(6)
+    assert set(pipeline.repeats(spark, few, "").collect()) == set(few.collect())
+    mixed = pipeline.mixture(spark, few, "")
+    assert {tuple(r)[:5] for r in mixed.collect()} == {tuple(r) for r in few.collect()} and mixed.select("position").distinct().count() == 6
