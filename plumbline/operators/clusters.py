@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from itertools import combinations
+from functools import reduce
 
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
@@ -28,24 +28,32 @@ def adjusted_rand(a: DataFrame, b: DataFrame) -> DataFrame:
     return both.crossJoin(left).crossJoin(right).select(F.when(most == chance, 1.0).otherwise((F.col("s") - chance) / (most - chance)).alias("ari"))
 
 
+def _agreements(labelled: DataFrame, *keys: str) -> DataFrame:
+    """(*keys, ari) of the labels la and lb of each group of rows, as ``adjusted_rand``, in one plan."""
+    cells = labelled.groupBy(*keys, "la", "lb").agg(F.count("*").alias("n"))
+    pairs = lambda c: F.sum(c * (c - 1) / 2)
+    both = cells.groupBy(*keys).agg(pairs(F.col("n")).alias("s"), F.sum("n").alias("t"))
+    left = cells.groupBy(*keys, "la").agg(F.sum("n").alias("n")).groupBy(*keys).agg(pairs(F.col("n")).alias("sa"))
+    right = cells.groupBy(*keys, "lb").agg(F.sum("n").alias("n")).groupBy(*keys).agg(pairs(F.col("n")).alias("sb"))
+    every = F.col("t") * (F.col("t") - 1) / 2
+    chance, most = F.col("sa") * F.col("sb") / every, (F.col("sa") + F.col("sb")) / 2
+    return both.join(left, [*keys]).join(right, [*keys]).select(*keys, F.when(most == chance, 1.0).otherwise((F.col("s") - chance) / (most - chance)).alias("ari"))
+
+
 def reseed_agreement(rows: DataFrame, k: int, *, seeds: int = 12) -> DataFrame:
     """(seed_a, seed_b, ari) for all pairs of seeds."""
-    labels = {s: fit_labels(rows, k, seed=s).cache() for s in range(seeds)}
-    out = None
-    for a, b in combinations(labels, 2):
-        one = adjusted_rand(labels[a], labels[b]).select(F.lit(a).alias("seed_a"), F.lit(b).alias("seed_b"), "ari")
-        out = one if out is None else out.unionByName(one)
-    return out
+    labels = reduce(DataFrame.unionByName, [fit_labels(rows, k, seed=s).select(F.lit(s).alias("seed"), "id", "label") for s in range(seeds)]).cache()
+    a, b = labels.select(F.col("seed").alias("seed_a"), "id", F.col("label").alias("la")), labels.select(F.col("seed").alias("seed_b"), "id", F.col("label").alias("lb"))
+    return _agreements(a.join(b, "id").where("seed_a < seed_b"), "seed_a", "seed_b")
 
 
 def resample_agreement(rows: DataFrame, k: int, *, rounds: int = 12, fraction: float = 0.8, seed: int = 0) -> DataFrame:
     """(round, ari) of fits on hashed samples against the fit on all rows."""
-    whole, out = fit_labels(rows, k, seed=seed).cache(), None
+    whole, parts = fit_labels(rows, k, seed=seed).select("id", F.col("label").alias("la")), []
     for r in range(rounds):
         part = rows.where(F.pmod(F.xxhash64("id", F.lit(seed + 1 + r)), F.lit(1000)) < int(1000 * fraction))
-        one = adjusted_rand(whole, fit_labels(part, k, seed=seed + 1 + r)).select(F.lit(r).alias("round"), "ari")
-        out = one if out is None else out.unionByName(one)
-    return out
+        parts.append(fit_labels(part, k, seed=seed + 1 + r).select(F.lit(r).alias("round"), "id", F.col("label").alias("lb")))
+    return _agreements(whole.join(reduce(DataFrame.unionByName, parts), "id"), "round")
 
 
 def shuffled_columns(rows: DataFrame, *, seed: int = 0) -> DataFrame:
@@ -83,12 +91,14 @@ def inertia_curve(rows: DataFrame, ks: list[int], *, starts: int = 4) -> DataFra
     return rows.sparkSession.createDataFrame(out, "k int, inertia double")
 
 
-def assess(rows: DataFrame, k: int, *, seeds: int = 4, rounds: int = 4, sample: int = 1000) -> DataFrame:
+def assess(rows: DataFrame, k: int, *, seeds: int = 12, rounds: int = 12, sample: int = 4000) -> DataFrame:
     """One row (k, silhouette, silhouette_on_shuffled, reseed_ari, resample_ari, beats_null, stable)."""
+    rows = rows.select("id", "x").cache()
     real = silhouette(rows, fit_labels(rows, k, seed=0), sample=sample).first()[0]
     null_rows = shuffled_columns(rows).cache()
     null = silhouette(null_rows, fit_labels(null_rows, k, seed=0), sample=sample).first()[0]
     again = reseed_agreement(rows, k, seeds=seeds).agg(F.median("ari")).first()[0]
     part = resample_agreement(rows, k, rounds=rounds).agg(F.median("ari")).first()[0]
     null_rows.unpersist()
+    rows.unpersist()
     return rows.sparkSession.createDataFrame([(k, real, null, again, part, real > null, again >= 0.75 and part >= 0.75)], "k int, silhouette double, silhouette_on_shuffled double, reseed_ari double, resample_ari double, beats_null boolean, stable boolean")

@@ -178,7 +178,7 @@ def cluster_inertia(spark, d):
 
 @query
 def cluster_verdict(spark, d):
-    return CL.assess(_vectors(spark, d), 10, seeds=3, rounds=2, sample=300)
+    return CL.assess(_vectors(spark, d), 10)
 
 
 @query

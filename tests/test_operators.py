@@ -305,3 +305,19 @@ def test_neighbourhoods_are_judged_over_all_rows(spark):
     rows, flat = table(x), table(x[:, :3])
     assert one(reduce.trustworthiness(rows, flat))["trustworthiness"] == pytest.approx(1 - 2 / (700 * k * (2 * 700 - 3 * k - 1)) * penalty, abs=1e-12)
     assert one(reduce.neighbourhood_overlap(rows, flat))["overlap"] == pytest.approx(((a < k) & (b < k)).sum() / 700 / k, abs=1e-12)
+
+
+def test_cluster_verdict_judges_all_rows(spark, monkeypatch):
+    import __spark_entry__ as entry
+    from plumbline.sources import views
+
+    d, used = "/root/testdata/sf0.001", {}
+    for name in ("reseed_agreement", "resample_agreement"):
+        made = getattr(clusters, name)
+        monkeypatch.setattr(clusters, name, lambda *a, made=made, name=name, **b: used.setdefault(name, made(*a, **b)))
+    rows = views.vectors(spark, d).select("id", "x").cache()
+    got = one(entry.queries()["cluster_verdict"](spark, d))
+    assert got["silhouette"] == pytest.approx(one(clusters.silhouette(rows, clusters.fit_labels(rows, 10, seed=0), sample=10**6))["silhouette"], abs=2e-6)
+    assert used["reseed_agreement"].count() == 66 and used["resample_agreement"].count() == 12
+    a, b = (clusters.fit_labels(rows, 10, seed=s) for s in (3, 7))
+    assert one(used["reseed_agreement"].where("seed_a = 3 and seed_b = 7"))["ari"] == pytest.approx(one(clusters.adjusted_rand(a, b))["ari"])
