@@ -260,7 +260,7 @@ def svd_variance(spark, d):
 
 @query
 def nmf_weights(spark, d):
-    found = RD.nmf(RD.build_matrix(V.ledger(spark, d), customers=200, products=40), 4, iterations=10)
+    found = RD.nmf(RD.build_matrix(V.ledger(spark, d)), 4, iterations=10)
     return spark.createDataFrame([(k, float(v)) for k, v in enumerate(found.explained)], "component int, share double")
 
 
@@ -275,7 +275,7 @@ def embedding_quality(spark, d):
 
 @query
 def customer_matrix(spark, d):
-    return RD.build_matrix(V.ledger(spark, d), customers=100, products=30).select("id", F.aggregate("x", F.lit(0.0), lambda s, v: s + v).alias("total"))
+    return RD.build_matrix(V.ledger(spark, d)).select("id", F.aggregate("x", F.lit(0.0), lambda s, v: s + v).alias("total"))
 
 
 # --- anomalies

@@ -321,3 +321,13 @@ def test_cluster_verdict_judges_all_rows(spark, monkeypatch):
     assert used["reseed_agreement"].count() == 66 and used["resample_agreement"].count() == 12
     a, b = (clusters.fit_labels(rows, 10, seed=s) for s in (3, 7))
     assert one(used["reseed_agreement"].where("seed_a = 3 and seed_b = 7"))["ari"] == pytest.approx(one(clusters.adjusted_rand(a, b))["ari"])
+
+
+def test_matrix_queries_keep_700_customers_and_120_products(spark, monkeypatch):
+    import __spark_entry__ as entry
+
+    seen, made = [], reduce.nmf
+    monkeypatch.setattr(reduce, "nmf", lambda rows, k, **b: (seen.append((rows.count(), len(rows.first()["x"]))), made(rows, k, iterations=1))[1])
+    assert entry.queries()["customer_matrix"](spark, "/root/testdata/sf0.01").count() == 700
+    entry.queries()["nmf_weights"](spark, "/root/testdata/sf0.01")
+    assert seen == [(700, 120)]
