@@ -162,7 +162,8 @@ def _distances(x: np.ndarray, others: np.ndarray) -> np.ndarray:
 def _by_block_pair(rows: DataFrame, wanted: DataFrame, found, schema: str) -> DataFrame:
     """``found`` of each pair of blocks: its rows of ``wanted`` (id, x, also) against a block of ``rows`` (id, x).
 
-    No pair of rows leaves a task; blocks have at most about 2,000 rows.
+    No pair of rows leaves a task; blocks have about 2,000 rows at most. ``found`` gets
+    the distances to the block's rows, infinite to the row itself.
     """
     ship(rows.sparkSession)
     n = rows.count()
@@ -178,7 +179,13 @@ def _by_block_pair(rows: DataFrame, wanted: DataFrame, found, schema: str) -> Da
         if not mine or not theirs:
             return
         ids, x = [r[3] for r in theirs], np.array([r[4] for r in theirs])
-        out = [o for r in mine for o in found(r[3], np.array(r[4]), r[5], ids, x)]
+        place = {j: at for at, j in enumerate(ids)}
+        out = []
+        for _, _, _, i, own, also in mine:
+            d = _distances(np.array(own), x)
+            if i in place:
+                d[place[i]] = np.inf
+            out += found(i, np.array(own), also, ids, d)
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
 
@@ -199,11 +206,10 @@ def nearest(rows: DataFrame, k: int) -> DataFrame:
     """(id, other): the ``k`` nearest rows of every row, exactly, by distance and id."""
     kind = dict(rows.dtypes)["id"]
 
-    def found(i, x, _, ids, others):
-        d = _distances(x, others)
-        apart = np.array([j != i for j in ids])
-        least = np.partition(d[apart], min(k, apart.sum()) - 1)[min(k, apart.sum()) - 1] if apart.any() else -1.0
-        return [(i, j, v) for v, j in sorted((float(d[at]), ids[at]) for at in np.flatnonzero(apart & (d <= least)))[:k]]
+    def found(i, x, _, ids, d):
+        last = min(k, len(d)) - 1
+        near = np.flatnonzero((d <= np.partition(d, last)[last]) & (d < np.inf))
+        return [(i, j, v) for v, j in sorted((float(d[at]), ids[at]) for at in near)[:k]]
 
     pairs = _by_block_pair(rows, rows.select("id", "x", F.lit(0).alias("also")), found, f"id {kind}, other {kind}, d double")
     return pairs.withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy("d", "other"))).where(F.col("r") <= k).select("id", "other")
@@ -214,13 +220,9 @@ def ranks_of(rows: DataFrame, pairs: DataFrame) -> DataFrame:
     kind = dict(rows.dtypes)["id"]
     also = pairs.join(rows.select(F.col("id").alias("other"), F.col("x").alias("y")), "other").groupBy("id").agg(F.collect_list(F.struct("other", "y")).alias("also"))
 
-    def found(i, x, also, ids, others):
-        d = _distances(x, others)
-        apart = np.array([j != i for j in ids])
-        bounds = _distances(x, np.array([e["y"] for e in also]))
-        for e, bound in zip(also, bounds, strict=True):
-            ties = sum(ids[at] < e["other"] for at in np.flatnonzero(apart & (d == bound)))
-            yield i, e["other"], int((apart & (d < bound)).sum()) + int(ties)
+    def found(i, x, also, ids, d):
+        for e, bound in zip(also, _distances(x, np.array([e["y"] for e in also])), strict=True):
+            yield i, e["other"], int((d < bound).sum()) + sum(ids[at] < e["other"] for at in np.flatnonzero(d == bound))
 
     counts = _by_block_pair(rows, rows.join(also, "id").select("id", "x", "also"), found, f"id {kind}, other {kind}, n long")
     return counts.groupBy("id", "other").agg(F.sum("n").alias("r"))
