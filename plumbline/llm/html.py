@@ -2,9 +2,9 @@
 
 A page becomes blocks of text. Blocks inside an article or main element are its text, blocks inside
 menus, headers, footers, sidebars, notices, adverts, forms and comments are not. On pages without such
-an element the other blocks are open: their words form the host's token streams, whose long substrings
-repeated at other places of the host's distinct pages are found by suffix sorting (``repeats``) and
-removed as boilerplate; the unique runs stay.
+an element the other blocks are open: their words form the host's token streams, whose repeated long
+substrings are found by suffix sorting (``repeats``). Those on enough distinct pages of the host are
+removed as boilerplate; runs that repeat within a page or on a few pages stay.
 """
 
 from __future__ import annotations
@@ -24,6 +24,8 @@ from plumbline.llm.repeats import _union, digest, repeated_ranges
 
 #: Words of a host's repeated substring.
 TOKENS = 8
+#: Distinct open pages that boilerplate is on: at least so many, and this share of the host's.
+PAGES, SHARE = 3, 0.25
 # Element names of HTML by role.
 DROPPED = frozenset("nav aside footer form script style noscript template iframe object select button svg canvas dialog menu head title".split())
 RAW = frozenset("script style noscript template iframe textarea title svg".split())
@@ -117,12 +119,14 @@ def open_stream(host: bytes, texts: list[str]) -> bytes:
     return T.mix(words ^ np.uint64(xxhash.xxh3_64_intdigest(host))).tobytes()
 
 
-def extract_main_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", tokens: int = TOKENS) -> DataFrame:
+def extract_main_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", tokens: int = TOKENS, least_pages: int = PAGES, share: float = SHARE) -> DataFrame:
     """(id, url, text, n_chars) of every row of ``pages``; the text is empty if there is none.
 
     Null and empty pages have no text; null and broken urls share the empty host; repeated rows and
     equal pages of a host count as one page, so their text is no boilerplate for being repeated with
-    them; an empty table gives an empty result; other columns are ignored. Lines are blocks.
+    them; an empty table gives an empty result; other columns are ignored. Lines are blocks. A run of
+    ``tokens`` words is boilerplate if it is on at least ``least_pages`` distinct pages of its host that
+    have open blocks, and on at least ``share`` of them.
     """
     T.prepare(pages.sparkSession)
     kind = pages.select(id_col).schema[0].dataType.simpleString()
@@ -130,7 +134,7 @@ def extract_main_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str
 
     def parse(batches):
         for n, batch in enumerate(batches):
-            own: dict[str, list] = {k: [] for k in ("texts", "stream", "d1", "d2")}
+            own: dict[str, list] = {k: [] for k in ("texts", "stream", "host", "d1", "d2")}
             for k, (i, url, page) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True)):
                 found = blocks(page or "")
                 inside = [t for t, main in found if main]
@@ -138,20 +142,40 @@ def extract_main_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str
                 stream = open_stream(_host(url), undecided) if undecided else None
                 # Pages without a stream get a key of their own: they match nothing and spread over all tasks.
                 mark = digest(stream or f"{i}/{n}/{k}".encode())
-                for name, v in (("texts", inside or undecided), ("stream", stream), ("d1", mark[0]), ("d2", mark[1])):
+                for name, v in (("texts", inside or undecided), ("stream", stream), ("host", xxhash.xxh3_64_intdigest(_host(url)) >> 1), ("d1", mark[0]), ("d2", mark[1])):
                     own[name].append(v)
-            yield pa.RecordBatch.from_pydict({"id": batch.column(0), "url": batch.column(1), "texts": pa.array(own["texts"], pa.list_(pa.string())), "stream": pa.array(own["stream"], pa.binary()), "d1": pa.array(own["d1"], pa.int64()), "d2": pa.array(own["d2"], pa.int64())})
+            yield pa.RecordBatch.from_pydict({"id": batch.column(0), "url": batch.column(1), "texts": pa.array(own["texts"], pa.list_(pa.string())), "stream": pa.array(own["stream"], pa.binary()), "host": pa.array(own["host"], pa.int64()), "d1": pa.array(own["d1"], pa.int64()), "d2": pa.array(own["d2"], pa.int64())})
 
-    parsed = source.mapInArrow(parse, f"id {kind}, url string, texts array<string>, stream binary, d1 long, d2 long")
-    undecided = parsed.where("stream is not null").select("d1", "d2", "stream").dropDuplicates(["d1", "d2"])
+    parsed = source.mapInArrow(parse, f"id {kind}, url string, texts array<string>, stream binary, host long, d1 long, d2 long")
+    undecided = parsed.where("stream is not null").select("d1", "d2", "host", "stream").dropDuplicates(["d1", "d2"])
     repeats = repeated_ranges(undecided, id_col="d1", text_col="stream", length=8 * tokens)
 
+    def windows(batches):
+        """Each distinct run of ``tokens`` words in the repeated ranges of a page, with its places."""
+        for batch in batches:
+            for d1, d2, host, stream, ranges in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                at: dict[tuple[int, int], list[int]] = {}
+                for a, b in _union([(r["a"], r["b"]) for r in ranges]):
+                    for k in range(-(-a // 8), b // 8 - tokens + 1):
+                        at.setdefault(digest(stream[8 * k : 8 * (k + tokens)]), []).append(k)
+                if at:
+                    yield pa.RecordBatch.from_pydict({
+                        "d1": pa.array([d1] * len(at), pa.int64()), "d2": pa.array([d2] * len(at), pa.int64()), "host": pa.array([host] * len(at), pa.int64()),
+                        "w1": pa.array([w[0] for w in at], pa.int64()), "w2": pa.array([w[1] for w in at], pa.int64()), "at": pa.array(list(at.values()), pa.list_(pa.int32())),
+                    })
+
+    need = undecided.groupBy("host").agg(F.greatest(F.lit(least_pages), F.ceil(F.count("*") * F.lit(share))).alias("need"))
+    runs = undecided.join(repeats, ["d1", "d2"]).select("d1", "d2", "host", "stream", "ranges").mapInArrow(windows, "d1 long, d2 long, host long, w1 long, w2 long, at array<int>")
+    common = runs.groupBy("host", "w1", "w2").agg(F.count("*").alias("pages")).join(need, "host").where("pages >= need").select("w1", "w2")
+    places = runs.join(common, ["w1", "w2"]).select("d1", "d2", F.explode("at").alias("k"))
+    repeats = places.groupBy("d1", "d2").agg(F.collect_list("k").alias("starts"))
+
     def finish(batches):
         for batch in batches:
             texts = []
             for own, ranges in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 if ranges:
-                    spans = _union([(-(-r["a"] // 8), r["b"] // 8) for r in ranges])
+                    spans = _union([(k, k + tokens) for k in ranges])
                     covered, at, left = {i for a, b in spans for i in range(a, b)}, 0, []
                     for t in own:
                         words = [w for w in re.split(r"[\x20\x09-\x0D]+", t) if w]
@@ -163,5 +187,5 @@ def extract_main_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str
                 texts.append("\n".join(own))
             yield pa.RecordBatch.from_pydict({"id": batch.column(0), "url": batch.column(1), "text": pa.array(texts, pa.string()), "n_chars": pa.array([len(t) for t in texts], pa.int64())})
 
-    joined = parsed.join(repeats, ["d1", "d2"], "left").select("id", "url", "texts", "ranges")
+    joined = parsed.join(repeats, ["d1", "d2"], "left").select("id", "url", "texts", "starts")
     return joined.mapInArrow(finish, f"id {kind}, url string, text string, n_chars long").withColumnRenamed("id", id_col).withColumnRenamed("url", url_col)

@@ -150,6 +150,21 @@ def test_host_boilerplate_is_removed(spark):
     assert extract_main_text(df.limit(0)).count() == 0
 
 
+def test_boilerplate_is_on_many_distinct_pages(spark):
+    rnd = random.Random(4)
+    prose = lambda n=30: " ".join(f"w{rnd.randrange(9999)}" for _ in range(n))
+    run, article, footer = prose(10), prose(), prose(12)
+    texts = [prose() for _ in range(16)]
+    texts[0] = f"{run} {texts[0]} {run}"  # repeats within one page
+    texts[1], texts[2] = f"{texts[1]} {article}", f"{article} {texts[2]}"  # on two pages
+    for k in range(3, 6):
+        texts[k] += f" {run[:-1]}x {article}"  # the article is on five of 24 pages: fewer than a quarter
+    rows = [(k, "http://h.example/", f"<p>{t}</p><p>{footer}</p>") for k, t in enumerate(texts)]
+    rows += [(k, "http://h.example/", f"<p>{prose()}</p>") for k in range(16, 24)]
+    got = {r["page_id"]: r["text"] for r in extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert {k: got[k] for k in range(16)} == dict(enumerate(texts))
+
+
 # --- chat
 
 
