@@ -1,9 +1,9 @@
-"""N-gram Jaccard join of documents by a MinHash LSH forest with exact verification.
+"""N-gram Jaccard join of documents by MinHash bands with exact verification.
 
 Texts with the same set of word shingles are one *class*; classes are joined, not copies. Each class
-has a signature of ``trees`` prefixes; a tree is a sorted trie of prefixes of up to ``deepest`` MinHash
-values. The join starts from whole prefixes and shortens them until the share of pairs at the threshold
-that meet in a tree, 1 - (1 - t**depth)**trees, reaches the target recall. Classes that meet form
+has ``trees`` bands of ``depth`` MinHash values, matched for equality; no tries are built. The depth is the
+longest, up to ``deepest``, at which the share of pairs at the threshold that meet in a band,
+1 - (1 - t**depth)**trees, reaches the target recall. Classes that meet form
 candidate components; within these (in blocks, if they are large) every pair is verified exactly.
 """
 
