@@ -298,7 +298,7 @@ def local_outlier_factor(spark, d):
 
 @query
 def isolation_forest(spark, d):
-    return AN.isolation_forest(_vectors(spark, d), trees=50)
+    return AN.isolation_forest(_vectors(spark, d), trees=300)
 
 
 @query
@@ -326,7 +326,7 @@ def stationarity(spark, d):
 
 @query
 def spurious_regression(spark, d):
-    found = TS.spurious_regression(spark, 200, trials=50)
+    found = TS.spurious_regression(spark, 200, trials=300)
     return found.groupBy("kind").agg(F.avg(F.col("significant").cast("double")).alias("significant"), F.count("*").alias("trials"))
 
 
@@ -373,10 +373,10 @@ def regularisation_path(spark, d):
 @query
 def selection_stability(spark, d):
     rows, columns = _engineered(spark, d)
-    return RG.selection_frequency(spark, RG.bootstrap_fits(rows.select("id", "y", *columns), columns, c=0.002, replicates=6), columns)
+    return RG.selection_frequency(spark, RG.bootstrap_fits(rows.select("id", "y", *columns), columns, c=0.002, replicates=200), columns)
 
 
 @query
 def pairwise_stability(spark, d):
     rows, columns = _engineered(spark, d)
-    return RG.pairwise_stability(spark, RG.bootstrap_fits(rows.select("id", "y", *columns), columns, c=0.002, replicates=4, seed=1))
+    return RG.pairwise_stability(spark, RG.bootstrap_fits(rows.select("id", "y", *columns), columns, c=0.002, replicates=40, seed=1))

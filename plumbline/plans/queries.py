@@ -588,7 +588,7 @@ def association_rules(spark, d):
 
 @query
 def permutation_null(spark, d):
-    return BK.permutation_null(BK.build_baskets(V.baskets(spark, d)), replicates=5)
+    return BK.permutation_null(BK.build_baskets(V.baskets(spark, d)), replicates=20)
 
 
 @query

@@ -331,3 +331,20 @@ def test_matrix_queries_keep_700_customers_and_120_products(spark, monkeypatch):
     assert entry.queries()["customer_matrix"](spark, "/root/testdata/sf0.01").count() == 700
     entry.queries()["nmf_weights"](spark, "/root/testdata/sf0.01")
     assert seen == [(700, 120)]
+
+
+def test_repetitions_are_the_reference_numbers(spark, monkeypatch):
+    import __spark_entry__ as entry
+    from plumbline.operators import regularise
+
+    class Seen(Exception):
+        pass
+
+    def stop(*_, **b):
+        raise Seen(next(b[k] for k in ("replicates", "trees", "trials") if k in b))
+
+    for module, name in ((regularise, "bootstrap_fits"), (basket, "permutation_null"), (anomaly, "isolation_forest"), (timeseries, "spurious_regression")):
+        monkeypatch.setattr(module, name, stop)
+    for name, n in (("selection_stability", 200), ("pairwise_stability", 40), ("permutation_null", 20), ("isolation_forest", 300), ("spurious_regression", 300)):
+        with pytest.raises(Seen, match=f"^{n}$"):
+            entry.queries()[name](spark, "/root/testdata/sf0.001")
