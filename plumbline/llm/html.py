@@ -1,191 +1,406 @@
-"""Main text of web pages: markup rules, and a suffix array of each host for what markup leaves open.
+"""Main text of web pages: what markup bounds, and what each host's suffix array finds repeated.
 
-A page becomes blocks of text. Blocks inside an article or main element are its text, blocks inside
-menus, headers, footers, sidebars, notices, adverts, forms and comments are not. On pages without such
-an element the other blocks are open: their words form the host's token streams, whose repeated long
-substrings are found by suffix sorting (``repeats``). Those on enough distinct pages of the host are
-removed as boilerplate; runs that repeat within a page or on a few pages stay.
+A page becomes blocks of text. Markup bounds what can be main text: blocks inside an article or main
+element where a page has one, and no menus, headers, footers, sidebars, notices, adverts, forms or
+comments. The words of *all* blocks of a page, in order, are its token stream. Substrings of a host's
+streams that lie on many distinct pages are boilerplate and are cut from the main text; unique runs, runs
+that repeat within a page, and articles that were posted again stay.
+
+The suffix array of a host is built by the tasks that hold its pages: each sorts the suffixes of its
+pages' streams, reads the repeated substrings off adjacent prefixes, and counts the pages of each; the
+counts are added up over tasks. A host of any size is spread over all tasks. Only stretches of a stream
+that can be boilerplate are sorted: those whose least gram hashes lie on enough pages of the host.
 """
 
 from __future__ import annotations
 
 import re
 from html import unescape
-from urllib.parse import urlsplit
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm import text as T
-from plumbline.llm.repeats import _union, digest, repeated_ranges
+from plumbline.llm.decontaminate import _sliding_min
+from plumbline.llm.suffixes import suffix_order
 
-#: Words of a host's repeated substring.
-TOKENS = 8
-#: Distinct open pages that boilerplate is on: at least so many, and this share of the host's.
+#: Words of a host's repeated substring, and of the grams that select stretches of a stream.
+TOKENS, GRAM = 8, 3
+#: Distinct pages of a host that boilerplate is on: at least so many, and this share of the host's,
+#: outside and inside an article or main element.
 PAGES, SHARE = 3, 0.25
+MAIN_PAGES, MAIN_SHARE = 5, 0.5
+#: Rows of a table up to which it is broadcast (8 or 17 bytes a row); larger ones are joined.
+BROADCAST_ROWS = 400_000
+#: Parts of a hot host's pages where boilerplate is joined.
+SALTS = 32
 # Element names of HTML by role.
 DROPPED = frozenset("nav aside footer form script style noscript template iframe object select button svg canvas dialog menu head title".split())
 RAW = frozenset("script style noscript template iframe textarea title svg".split())
 MAIN = frozenset(["article", "main"])
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead title tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Words in class, id or role that mark what is not main text.
-UNWANTED = re.compile(r"(?:^|[\s_-])(?:ad|ads|advert|adverts|advertisement|advertising|banner|breadcrumb|breadcrumbs|comment|comments|cookie|cookies|consent|disclaimer|footer|gdpr|header|masthead|menu|modal|nav|navbar|navigation|newsletter|notice|overlay|pagination|popup|promo|promoted|related|replies|respond|share|sharing|sidebar|social|sponsor|sponsored|subscribe|toolbar|widget|complementary|contentinfo|search)(?:$|[\s_-])", re.I)
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
+#: Last parts of class names, ids and roles that mark what is not main text (``cookie-notice``, ``ad``).
+UNWANTED = re.compile(r"(?<![^\s_-])(?:ads?|adverts?|advertisements?|advertising|banner|breadcrumbs?|comments?|cookies?|consent|disclaimer|footer|gdpr|menu|modal|nav|navbar|navigation|newsletter|notices?|overlay|pagination|popup|promo|promoted|related|replies|respond|share|sharing|sidebar|social|sponsor|sponsored|subscribe|toolbar|complementary|contentinfo)(?=\s|$)", re.I)
+_NAME = re.compile(r"[a-zA-Z][a-zA-Z0-9:-]*")
+_STEP = re.compile(r">|=\s*([\"'])")
+_RAW_END = {name: re.compile(rf"</{name}\s*>", re.I) for name in RAW}
 _MARKS = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)(?:hidden(?:\s|=|$|/)|aria-hidden\s*=\s*[\"']?true|style\s*=\s*[\"'][^\"']*display\s*:\s*none)", re.I)
 _SPACE = re.compile(r"[\s\xa0]+")
+#: The host of a url; null and broken urls have the empty host.
+HOST = r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#]*@)?(\[[^\]/?#]*\]|[^/?#:\[\]]+)"
+
 
+def tags(page: str):
+    """(start, end, whether it closes, name or None, attributes) of each tag or comment, in one forward pass.
 
-def _unwanted(name: str, attributes: str, in_main: bool) -> bool:
-    if name in DROPPED or (name == "header" and not in_main):
-        return True
-    if not attributes or name in ("html", "body"):
-        return False
-    return any(UNWANTED.search(a or b or c) for a, b, c in _MARKS.findall(attributes)) or bool(_HIDDEN.search(attributes))
+    An opening bracket without an end is text. What was not found once is not searched again, so the
+    time is linear in the page.
+    """
+    at, n, quotes, brackets = 0, len(page), {'"': True, "'": True}, True
+    while brackets and (start := page.find("<", at)) >= 0:
+        lead = page[start + 1 : start + 2]
+        if page.startswith("<!--", start):
+            end = page.find("-->", start + 4)
+            at = n if end < 0 else end + 3
+            yield start, at, False, None, ""
+        elif lead in ("!", "?") and lead:
+            end = page.find(">", start)
+            if end < 0:
+                return
+            at = end + 1
+            yield start, at, False, None, ""
+        elif name := _NAME.match(page, start + 1 + (lead == "/")):
+            place = name.end()
+            while True:
+                step = _STEP.search(page, place)
+                if step is None:
+                    brackets = False
+                    break
+                mark, place = step.group(1), step.end()
+                if mark is None:
+                    break
+                if quotes[mark]:
+                    close = page.find(mark, place)
+                    if close < 0:
+                        quotes[mark] = False
+                    else:
+                        place = close + 1
+            if brackets:
+                at = place
+                yield start, at, lead == "/", name.group().lower(), page[name.end() : at - 1]
+        else:
+            at = start + 1
 
 
-def blocks(page: str) -> list[tuple[str, bool]]:
-    """(text, whether it is inside an article or main element) of a page's wanted blocks, in order."""
-    out: list[tuple[str, bool]] = []
-    stack: list[tuple[str, bool, bool]] = []  # name, unwanted, main; each includes what is around
+def blocks(page: str) -> list[tuple[str, bool, bool]]:
+    """(text, whether markup keeps it, whether it is inside an article or main element) of each block, in order.
+
+    A mark (class, id or role) does not drop an element that holds a main heading or most of the main text.
+    """
+    found: list[tuple[str, bool, bool, int, bool]] = []  # text, dropped by name, main, mark, in h1
+    stack: list[tuple[str, bool, bool, int, bool]] = []  # name, then what holds inside it
+    inline, outer = [{}], {}  # open inline elements of each block level, open block elements
+    above = [0]  # the mark around each mark; 0 is none
     held: list[str] = []
-    held_state = (False, False)
+    state = (False, False, 0, False)
 
     def close() -> None:
         if held:
             text = _SPACE.sub(" ", unescape("".join(held))).strip()
             if text:
-                out.append((text, held_state[1]))
+                found.append((text, *state))
             held.clear()
 
-    at, n = 0, len(page)
-    while at <= n:
-        tag = _TAG.search(page, at)
-        end = tag.start() if tag else n
-        unwanted, main = stack[-1][1:] if stack else (False, False)
-        if end > at and not unwanted:
-            if held and held_state != (unwanted, main):
-                close()
-            held_state = (unwanted, main)
-            held.append(page[at:end])
-        if not tag:
-            break
-        at = tag.end()
-        closing, name, attributes = tag.group(1), tag.group(2), tag.group(3)
+    def pop() -> str:
+        name = stack.pop()[0]
+        if name in BLOCK:
+            inline.pop()
+            outer[name] -= 1
+        else:
+            inline[-1][name] -= 1
+        return name
+
+    def say(piece: str) -> None:
+        nonlocal state
+        now = stack[-1][1:] if stack else (False, False, 0, False)
+        if held and now != state:
+            close()
+        state = now
+        held.append(piece)
+
+    at, raw_end = 0, 0
+    for start, end, closing, name, attributes in tags(page):
+        if start < raw_end:
+            continue
+        if start > at:
+            say(page[at:start])
+        at = end
         if name is None:
             continue
-        name = name.lower()
         if name == "br":
             if held:
                 held.append(" ")
             continue
-        if name in BLOCK:
+        block = name in BLOCK
+        if block:
             close()
         if closing:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    del stack[k:]
-                    break
+            if (outer if block else inline[-1]).get(name):
+                while pop() != name:
+                    pass
+            continue
+        if name in VOID or attributes.rstrip().endswith("/") and not block:
             continue
-        if name in VOID or attributes.rstrip().endswith("/") and name not in BLOCK:
+        _, dropped, main, mark, head = stack[-1] if stack else ("", False, False, 0, False)
+        if name in RAW:
+            stop = _RAW_END[name].search(page, end)
+            at = raw_end = stop.end() if stop else len(page)
             continue
         if name == "p":  # a paragraph ends where a block begins
             while stack and stack[-1][0] == "p":
-                stack.pop()
-        stack.append((name, unwanted or _unwanted(name, attributes, main), main or name in MAIN))
-        if name in RAW:
-            stop = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
-            stack.pop()
-            at = stop.end() if stop else n
+                pop()
+        if attributes and name not in ("html", "body"):
+            dropped = dropped or bool(_HIDDEN.search(attributes))
+            if any(UNWANTED.search(a or b or c) for a, b, c in _MARKS.findall(attributes)):
+                above.append(mark)
+                mark = len(above) - 1
+        stack.append((name, dropped or name in DROPPED or name == "header" and not main, main or name in MAIN, mark, head or name == "h1"))
+        if block:
+            inline.append({})
+            outer[name] = outer.get(name, 0) + 1
+        else:
+            inline[-1][name] = inline[-1].get(name, 0) + 1
+    if at < len(page):
+        say(page[at:])
     close()
-    return out
 
+    bounded = any(main for _, _, main, _, _ in found)
+    inside = [not dropped and main >= bounded for _, dropped, main, _, _ in found]
+    size, heads, total = [0] * len(above), [False] * len(above), 0
+    for (text, _, _, mark, head), own in zip(found, inside, strict=True):
+        if own:
+            total += len(text)
+            size[mark] += len(text)
+            heads[mark] |= head
+    for k in range(len(above) - 1, 0, -1):
+        size[above[k]] += size[k]
+        heads[above[k]] |= heads[k]
+    out = [False] * len(above)
+    for k in range(1, len(above)):
+        out[k] = out[above[k]] or not (heads[k] or 2 * size[k] > total)
+    return [(text, own and not out[mark], main) for (text, _, main, mark, _), own in zip(found, inside, strict=True)]
 
-def _host(url: str | None) -> bytes:
-    try:
-        return (urlsplit(url or "").hostname or "").encode()
-    except ValueError:
-        return b""
 
+def _windows(hashes: np.ndarray, counts: np.ndarray, tokens: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(64 bits, 64 more bits, number of each stream) of the windows of ``tokens`` words."""
+    one, runs = T.ngrams(hashes, counts, tokens)
+    return one.view(np.int64), T.ngrams(T.mix(hashes + np.uint64(1)), counts, tokens)[0].view(np.int64), runs
 
-def open_stream(host: bytes, texts: list[str]) -> bytes:
-    """Eight bytes for each word of the open blocks, salted by the host, so that streams of hosts never match."""
-    joined = [t.encode() for t in texts]
-    words, _ = T.words(joined, ~T.SPACES, fold=False)
-    return T.mix(words ^ np.uint64(xxhash.xxh3_64_intdigest(host))).tobytes()
 
+def repeated_on_pages(pieces: list[np.ndarray], page_of: list[int], tokens: int):
+    """(a position of each distinct window of ``tokens`` symbols, distinct pages that it is on), by suffix sorting.
 
-def extract_main_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", tokens: int = TOKENS, least_pages: int = PAGES, share: float = SHARE) -> DataFrame:
+    ``pieces`` are stretches of token streams; windows do not cross their ends.
+    """
+    sizes = np.array([len(p) for p in pieces])
+    flat = np.concatenate(pieces)
+    owner = np.repeat(np.array(page_of), sizes)
+    room = np.arange(len(flat)) + tokens <= np.repeat(np.cumsum(sizes), sizes)
+    symbols = np.unique(flat, return_inverse=True)[1]
+    order = suffix_order(symbols, tokens)
+    order = order[room[order]]
+    if not len(order):
+        return flat, order, order
+    same = np.ones(len(order) - 1, bool)
+    for k in range(tokens):
+        same &= symbols[order[:-1] + k] == symbols[order[1:] + k]
+    group = np.append(0, np.cumsum(~same))
+    first = np.flatnonzero(np.append(True, ~same))
+    pairs = np.unique(group * (int(owner.max()) + 1) + owner[order])
+    return flat, order[first], np.bincount(pairs // (int(owner.max()) + 1), minlength=len(first))
+
+
+def extract_main_text(
+    pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", tokens: int = TOKENS, least_pages: int = PAGES, share: float = SHARE,
+    main_pages: int = MAIN_PAGES, main_share: float = MAIN_SHARE, broadcast_rows: int = BROADCAST_ROWS,
+) -> DataFrame:
     """(id, url, text, n_chars) of every row of ``pages``; the text is empty if there is none.
 
-    Null and empty pages have no text; null and broken urls share the empty host; repeated rows and
-    equal pages of a host count as one page, so their text is no boilerplate for being repeated with
-    them; an empty table gives an empty result; other columns are ignored. Lines are blocks. A run of
-    ``tokens`` words is boilerplate if it is on at least ``least_pages`` distinct pages of its host that
-    have open blocks, and on at least ``share`` of them.
+    Null and empty pages have no text; null and broken urls share the empty host; equal pages of a host
+    count as one page; an empty table gives an empty result; other columns are ignored. Lines are blocks.
+    A run of ``tokens`` words is boilerplate if it is on at least ``least_pages`` distinct pages of its
+    host, and on at least ``share`` of them; inside an article or main element it takes ``main_pages`` and
+    ``main_share``, and a page that would lose more than half of its words there loses none (an article
+    that was posted again). ``least_pages`` 0 leaves the suffix arrays out.
     """
-    T.prepare(pages.sparkSession)
+    spark = pages.sparkSession
+    T.prepare(spark)
     kind = pages.select(id_col).schema[0].dataType.simpleString()
-    source = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).alias("html"))
-
-    def parse(batches):
-        for n, batch in enumerate(batches):
-            own: dict[str, list] = {k: [] for k in ("texts", "stream", "host", "d1", "d2")}
-            for k, (i, url, page) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True)):
-                found = blocks(page or "")
-                inside = [t for t, main in found if main]
-                undecided = [] if inside else [t for t, _ in found]
-                stream = open_stream(_host(url), undecided) if undecided else None
-                # Pages without a stream get a key of their own: they match nothing and spread over all tasks.
-                mark = digest(stream or f"{i}/{n}/{k}".encode())
-                for name, v in (("texts", inside or undecided), ("stream", stream), ("host", xxhash.xxh3_64_intdigest(_host(url)) >> 1), ("d1", mark[0]), ("d2", mark[1])):
-                    own[name].append(v)
-            yield pa.RecordBatch.from_pydict({"id": batch.column(0), "url": batch.column(1), "texts": pa.array(own["texts"], pa.list_(pa.string())), "stream": pa.array(own["stream"], pa.binary()), "host": pa.array(own["host"], pa.int64()), "d1": pa.array(own["d1"], pa.int64()), "d2": pa.array(own["d2"], pa.int64())})
-
-    parsed = source.mapInArrow(parse, f"id {kind}, url string, texts array<string>, stream binary, host long, d1 long, d2 long")
-    undecided = parsed.where("stream is not null").select("d1", "d2", "host", "stream").dropDuplicates(["d1", "d2"])
-    repeats = repeated_ranges(undecided, id_col="d1", text_col="stream", length=8 * tokens)
-
-    def windows(batches):
-        """Each distinct run of ``tokens`` words in the repeated ranges of a page, with its places."""
+    url = F.col(url_col).cast("string")
+    source = pages.select(F.col(id_col).alias("id"), url.alias("url"), F.col(html_col).alias("html"), F.xxhash64(F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), HOST, 1))).alias("host"))
+    gram = max(1, min(GRAM, tokens - 1))
+
+    def parsed(column, hosts):
+        """(pages' blocks, salted word hashes, words of each block, words of each page) by chunks of a batch."""
+        texts = ["" if x is None else x for x in column.to_pylist()]
+        salts = T.mix(hosts.to_numpy().view(np.uint64))
+        size = start = 0
+        for k, page in enumerate(texts):
+            size += len(page)
+            if size > T.CHUNK_BYTES or k == len(texts) - 1:
+                own = [blocks(x) for x in texts[start : k + 1]]
+                words, counts = T.words([t.encode() for page in own for t, _, _ in page], ~T.SPACES, fold=False)
+                ends = np.cumsum(np.append(0, counts))
+                places = np.cumsum([0, *map(len, own)])
+                totals = ends[places[1:]] - ends[places[:-1]]
+                yield slice(start, k + 1), own, T.mix(words ^ np.repeat(salts[start : k + 1], totals)), counts, totals
+                size, start = 0, k + 1
+
+    def least(words, totals):
+        """(least gram hash of each window, windows of each page)."""
+        grams, runs = T.ngrams(words, totals, gram)
+        width, room = tokens - gram + 1, np.maximum(totals - tokens + 1, 0)
+        if len(grams) < width:
+            return np.empty(0, np.uint64), room
+        every = _sliding_min(grams, width)
+        starts = np.cumsum(runs) - runs
+        return every[np.repeat(starts, room) + (np.arange(room.sum()) - np.repeat(np.cumsum(room) - room, room))], room
+
+    def keys(found, hosts, room):
+        """The host and the least gram of each window in one integer, 32 bits each: it only selects stretches."""
+        return (np.repeat(hosts.view(np.uint64) << np.uint64(32), room) | (found >> np.uint64(32))).view(np.int64)
+
+    def emit_keys(batches):
         for batch in batches:
-            for d1, d2, host, stream, ranges in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                at: dict[tuple[int, int], list[int]] = {}
-                for a, b in _union([(r["a"], r["b"]) for r in ranges]):
-                    for k in range(-(-a // 8), b // 8 - tokens + 1):
-                        at.setdefault(digest(stream[8 * k : 8 * (k + tokens)]), []).append(k)
-                if at:
-                    yield pa.RecordBatch.from_pydict({
-                        "d1": pa.array([d1] * len(at), pa.int64()), "d2": pa.array([d2] * len(at), pa.int64()), "host": pa.array([host] * len(at), pa.int64()),
-                        "w1": pa.array([w[0] for w in at], pa.int64()), "w2": pa.array([w[1] for w in at], pa.int64()), "at": pa.array(list(at.values()), pa.list_(pa.int32())),
-                    })
-
-    need = undecided.groupBy("host").agg(F.greatest(F.lit(least_pages), F.ceil(F.count("*") * F.lit(share))).alias("need"))
-    runs = undecided.join(repeats, ["d1", "d2"]).select("d1", "d2", "host", "stream", "ranges").mapInArrow(windows, "d1 long, d2 long, host long, w1 long, w2 long, at array<int>")
-    common = runs.groupBy("host", "w1", "w2").agg(F.count("*").alias("pages")).join(need, "host").where("pages >= need").select("w1", "w2")
-    places = runs.join(common, ["w1", "w2"]).select("d1", "d2", F.explode("at").alias("k"))
-    repeats = places.groupBy("d1", "d2").agg(F.collect_list("k").alias("starts"))
-
-    def finish(batches):
+            for part, _, words, _, totals in parsed(batch.column(0), batch.column(1)):
+                found, room = least(words, totals)
+                marked = keys(found, batch.column(1).to_numpy()[part], room)
+                ends = np.cumsum(room)
+                own = [np.unique(marked[b - n : b]) for b, n in zip(ends.tolist(), room.tolist(), strict=True) if n]
+                if own:
+                    yield pa.RecordBatch.from_pydict({"key": np.concatenate(own)})
+
+    def finish(batches, table=None):
+        """Main texts; ``table``: sorted windows of boilerplate, their other bits, whether they are so in main text."""
         for batch in batches:
-            texts = []
-            for own, ranges in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                if ranges:
-                    spans = _union([(k, k + tokens) for k in ranges])
-                    covered, at, left = {i for a, b in spans for i in range(a, b)}, 0, []
-                    for t in own:
-                        words = [w for w in re.split(r"[\x20\x09-\x0D]+", t) if w]
-                        kept = [w for k, w in enumerate(words, at) if k not in covered]
-                        at += len(words)
+            hosts, texts = batch.column(3), []
+            for part, own, words, counts, totals in parsed(batch.column(2), hosts):
+                hit, strong = np.zeros(len(words) + 1, np.int64), np.zeros(len(words) + 1, np.int64)
+                one, two, runs = _windows(words, totals, tokens)
+                firsts = np.repeat(np.cumsum(totals) - totals, runs) + (np.arange(runs.sum()) - np.repeat(np.cumsum(runs) - runs, runs))
+                if table is not None:
+                    own_tables = [table] if len(table[0]) else []
+                else:  # each row brings its host's boilerplate
+                    got = [x for x in batch.column(4)[part].to_pylist() if x]
+                    own_tables = [_sorted([(w["w1"], w["w2"], w["strong"]) for x in got for w in x])] if got else []
+                for w1, w2, main in own_tables:
+                    at = np.minimum(np.searchsorted(w1, one), len(w1) - 1)
+                    ok = (w1[at] == one) & (w2[at] == two)
+                    for mark, which in ((hit, ok), (strong, ok & main[at])):
+                        np.add.at(mark, firsts[which], 1)
+                        np.add.at(mark, firsts[which] + tokens, -1)
+                covered, surely = np.cumsum(hit)[:-1] > 0, np.cumsum(strong)[:-1] > 0
+                at_block = at_word = 0
+                for page in own:
+                    sizes = counts[at_block : at_block + len(page)].tolist()
+                    inside = any(k and m for _, k, m in page)
+                    gone = surely if inside else covered
+                    lines, lost, total = [], 0, 0
+                    for (text, kept, _), n in zip(page, sizes, strict=True):
                         if kept:
-                            left.append(" ".join(kept))
-                    own = left
-                texts.append("\n".join(own))
+                            off = gone[at_word : at_word + n]
+                            lines.append((text, off))
+                            lost, total = lost + int(off.sum()), total + n
+                        at_word += n
+                    if inside and 2 * lost > total:
+                        lost = 0
+                    if lost:
+                        left = [" ".join(w for w, x in zip(text.split(" "), off, strict=True) if not x) if off.any() else text for text, off in lines]
+                    else:
+                        left = [text for text, _ in lines]
+                    texts.append("\n".join(x for x in left if x))
+                    at_block += len(page)
             yield pa.RecordBatch.from_pydict({"id": batch.column(0), "url": batch.column(1), "text": pa.array(texts, pa.string()), "n_chars": pa.array([len(t) for t in texts], pa.int64())})
 
-    joined = parsed.join(repeats, ["d1", "d2"], "left").select("id", "url", "texts", "starts")
-    return joined.mapInArrow(finish, f"id {kind}, url string, text string, n_chars long").withColumnRenamed("id", id_col).withColumnRenamed("url", url_col)
+    schema = f"id {kind}, url string, text string, n_chars long"
+    nothing = _sorted([])
+    if not least_pages:
+        return source.mapInArrow(lambda batches: finish(batches, nothing), schema).withColumnRenamed("id", id_col).withColumnRenamed("url", url_col)
+
+    streams = source.where(F.length("html") > 0).select("html", "host", F.md5("html").alias("mark"))
+    distinct = streams.select("host", "mark").distinct().groupBy("host").agg(F.count("*").alias("n"))
+    need = lambda least, part: F.greatest(F.lit(least), F.ceil(F.col("n") * F.lit(part)))
+    needs = distinct.where(F.col("n") >= least_pages).select("host", need(least_pages, share).alias("need"), need(main_pages, main_share).alias("need_main"))
+    # Each window's least gram is on at least as many pages as the window. Keys hold the low half of a host.
+    low = needs.groupBy(F.shiftleft("host", 32).alias("low")).agg(F.min("need").alias("need"))
+    often = streams.select("html", "host").mapInArrow(emit_keys, "key long").groupBy("key").agg(F.count("*").alias("pages")).where(F.col("pages") >= least_pages)
+    often = often.join(low, F.shiftleft(F.shiftright("key", 32), 32) == F.col("low")).where(F.col("pages") >= F.col("need")).select("key")
+    taken = often.limit(broadcast_rows + 1).toArrow().column(0).to_numpy()
+    # More keys than may be broadcast select nothing: whole streams are sorted then.
+    chosen = np.sort(taken) if len(taken) <= broadcast_rows else None
+    if chosen is not None and not len(chosen):
+        return source.mapInArrow(lambda batches: finish(batches, nothing), schema).withColumnRenamed("id", id_col).withColumnRenamed("url", url_col)
+
+    def emit_stretches(batches):
+        for batch in batches:
+            hosts = batch.column(1).to_numpy()
+            for part, own, words, _, totals in parsed(batch.column(0), batch.column(1)):
+                found, room = least(words, totals)
+                marked = keys(found, hosts[part], room)
+                good = np.ones(len(marked), bool) if chosen is None else chosen[np.minimum(np.searchsorted(chosen, marked), len(chosen) - 1)] == marked
+                out: dict[str, list] = {"lengths": [], "tokens": []}
+                at_word = at_window = 0
+                for n, windows in zip(totals.tolist(), room.tolist(), strict=True):
+                    hits = np.flatnonzero(good[at_window : at_window + windows])
+                    breaks = np.flatnonzero(np.diff(hits) > 1)
+                    firsts, lasts = (hits[np.append(0, breaks + 1)], hits[np.append(breaks, len(hits) - 1)]) if len(hits) else (hits, hits)
+                    out["lengths"].append((lasts - firsts + tokens).tolist())
+                    out["tokens"].append(b"".join(words[at_word + a : at_word + b + tokens].tobytes() for a, b in zip(firsts.tolist(), lasts.tolist(), strict=True)))
+                    at_word, at_window = at_word + n, at_window + windows
+                keep = pa.array([bool(x) for x in out["lengths"]])
+                yield pa.RecordBatch.from_pydict({"host": batch.column(1)[part], "mark": batch.column(2)[part], "lengths": pa.array(out["lengths"], pa.list_(pa.int32())), "tokens": pa.array(out["tokens"], pa.binary())}).filter(keep)
+
+    def sort_suffixes(batches):
+        for batch in batches:
+            pieces, page_of, size, rows = [], [], 0, batch.num_rows
+            hosts = batch.column(0).to_numpy()
+            for k, (lengths, data) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+                at, words = 0, np.frombuffer(data, np.uint64)
+                for n in lengths:
+                    pieces.append(words[at : at + n])
+                    page_of.append(k)
+                    at += n
+                size += at
+                if pieces and (size > 1 << 20 or k == rows - 1):
+                    flat, firsts, counted = repeated_on_pages(pieces, page_of, tokens)
+                    if len(firsts):
+                        owner = np.repeat(np.array(page_of), [len(p) for p in pieces])[firsts]
+                        own = flat[firsts[:, None] + np.arange(tokens)].ravel()
+                        one, two, _ = _windows(own, np.full(len(firsts), tokens), tokens)
+                        yield pa.RecordBatch.from_pydict({"host": hosts[owner], "w1": one, "w2": two, "pages": counted.astype(np.int64)})
+                    pieces, page_of, size = [], [], 0
+
+    stretches = streams.mapInArrow(emit_stretches, "host long, mark string, lengths array<int>, tokens binary").dropDuplicates(["host", "mark"]).select("host", "lengths", "tokens")
+    counted = stretches.mapInArrow(sort_suffixes, "host long, w1 long, w2 long, pages long").groupBy("host", "w1", "w2").agg(F.sum("pages").alias("pages"))
+    boiler = counted.join(needs, "host").where("pages >= need").select("host", "w1", "w2", (F.col("pages") >= F.col("need_main")).alias("strong"))
+    rows = boiler.select("w1", "w2", "strong").limit(broadcast_rows + 1).toArrow()
+    if rows.num_rows <= broadcast_rows:
+        table = _sorted(list(zip(*(c.to_pylist() for c in rows.columns), strict=True)))
+        out = source.mapInArrow(lambda batches: finish(batches, table), schema)
+    else:
+        # A host's boilerplate is at most 1 / share times as long as its mean page, so it fits in a row.
+        by_host = boiler.groupBy("host").agg(F.collect_list(F.struct("w1", "w2", "strong")).alias("boiler")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        salted = source.withColumn("salt", F.pmod(F.xxhash64("id", "html"), F.lit(SALTS)).cast("int"))
+        out = salted.join(by_host, ["host", "salt"], "left").select("id", "url", "html", "host", "boiler").mapInArrow(finish, schema)
+    return out.withColumnRenamed("id", id_col).withColumnRenamed("url", url_col)
+
+
+def _sorted(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Windows as arrays in the order of their first 64 bits."""
+    rows = sorted(rows)
+    one, two, strong = (list(c) for c in zip(*rows, strict=True)) if rows else ([], [], [])
+    return np.array(one, np.int64), np.array(two, np.int64), np.array(strong, bool)

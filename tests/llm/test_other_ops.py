@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 import zlib
 from collections import Counter
 
@@ -131,10 +132,66 @@ PAGE = """<html><head><title>T</title><script>var a="</p><article>x</article>";<
  three<p>Four <b>bold</b></p><div class="share">Share</div><!-- no --><form>Send</form><section id="comments"><p>Nice!</p></section></article><aside>Side</aside><footer>Foot</footer></body></html>"""
 
 
+def kept(page):
+    return [t for t, keep, _ in blocks(page) if keep]
+
+
 def test_blocks_of_an_article():
-    assert [t for t, main in blocks(PAGE) if main] == ["Head & line", "One two <b> three", "Four bold"]
-    assert blocks("") == [] and blocks("<nav>x") == [] and blocks("plain") == [("plain", False)]
-    assert blocks("<script>x") == [] and blocks("<p>a<p>b") == [("a", False), ("b", False)]
+    assert kept(PAGE) == ["Head & line", "One two <b> three", "Four bold"]
+    assert blocks("") == [] and kept("<nav>x") == [] and blocks("plain") == [("plain", True, False)]
+    assert blocks("<script>x") == [] and kept("<p>a<p>b") == ["a", "b"] and kept("a < b, c <d") == ["a < b, c <d"]
+    assert kept("<b>x<article><p>y</b> z</p></article>") == ["y z"]
+
+
+def test_marks_keep_headings_and_most_of_the_text():
+    assert kept('<article><div class="entry-header"><h1>Title</h1></div><p>text</p></article>') == ["Title", "text"]
+    assert kept('<article><div class="page-banner"><h1>Title</h1></div><p>text</p></article>') == ["Title", "text"]
+    assert kept('<main><div class="elementor-widget"><p>Body text</p></div></main>') == ["Body text"]
+    assert kept('<main><div class="with sidebar"><p>Body text of some length</p><div class="comments">I agree</div></div><p>end</p></main>') == ["Body text of some length", "end"]
+    assert kept('<main><p>One two three</p><p class="search-result">found</p><p class="legal-notice">law</p><p id="ad">buy</p><p role="navigation">up</p><p hidden>h</p><div style="display: none">n</div></main>') == ["One two three", "found"]
+    assert kept("<article><p>text</p><form>Send</form><aside>by</aside><footer>end</footer><header>top</header></article>") == ["text", "top"]
+
+
+@pytest.mark.parametrize("page", ["<a " * 350_000, "<div>" * 100_000 + "</q>" * 100_000, "<i><div><b>" * 50_000 + "</i>" * 50_000, '<a x="' * 100_000, "<a " + "= " * 300_000, "<" * 1_000_000, '<div class="ad">' * 50_000 + "x", '<p class="' + "a" * 1_000_000 + '">x'])
+def test_long_pages_take_linear_time(page):
+    began = time.perf_counter()
+    blocks(page)
+    assert time.perf_counter() - began < 5
+
+
+def main_texts(spark, rows, **options):
+    return {r["page_id"]: r["text"] for r in extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string"), **options).collect()}
+
+
+def test_suffix_arrays_decide_in_articles_too(spark):
+    rnd = random.Random(8)
+    prose = lambda n=60: " ".join(f"w{rnd.randrange(99_999)}" for _ in range(n))
+    plea, own, posted = "please join our list " + prose(6), [prose() for _ in range(12)], prose()
+    page = lambda *texts: "<nav>a b</nav><article>" + "".join(f"<p>{t}</p>" for t in texts) + "</article>"
+    rows = [(k, "http://h/", page(t, plea)) for k, t in enumerate(own)]
+    rows += [(20 + k, "http://h/", page(posted, f"end {k}")) for k in range(11)]  # posted again and again: stays
+    rows += [(40, "http://other/", page(own[0], plea)), (41, "http://h/", page(own[0], plea))]
+    got = main_texts(spark, rows)
+    assert {k: got[k] for k in range(12)} == dict(enumerate(own))
+    assert all(got[20 + k] == f"{posted}\nend {k}" for k in range(11)) and got[40] == f"{own[0]}\n{plea}" and got[41] == own[0]
+    assert main_texts(spark, rows, broadcast_rows=0) == main_texts(spark, rows, broadcast_rows=25) == got
+    off = main_texts(spark, rows, least_pages=0)
+    assert all(off[k] == f"{t}\n{plea}" for k, t in enumerate(own))
+
+
+def test_pages_match_brute_force(spark):
+    rnd = random.Random(12)
+    words = [f"w{i}" for i in range(30)]
+    rows = [(k, f"http://h{k % 3}/", f"<p>{' '.join(rnd.choice(words) for _ in range(rnd.randint(0, 50)))}</p>") for k in range(45)]
+    rows += [(100 + k, "http://h0/", rows[0][2]) for k in range(5)]
+    got = main_texts(spark, rows, tokens=2)
+    for host in range(3):
+        own = {k: h[3:-4].split() for k, u, h in rows if u == f"http://h{host}/"}
+        seen = Counter(w for t in {tuple(t) for t in own.values() if t} for w in {t[i : i + 2] for i in range(len(t) - 1)})
+        need = max(3, -(-len({tuple(t) for t in own.values()}) // 4))
+        for k, t in own.items():
+            gone = {i + d for i in range(len(t) - 1) if seen[tuple(t[i : i + 2])] >= need for d in (0, 1)}
+            assert got[k] == " ".join(w for i, w in enumerate(t) if i not in gone)
 
 
 def test_host_boilerplate_is_removed(spark):
