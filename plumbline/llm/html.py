@@ -44,12 +44,13 @@ BLOCK = frozenset("address article aside blockquote body caption center dd detai
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Last parts of class names, ids and roles that mark what is not main text (``cookie-notice``, ``ad``).
 UNWANTED = re.compile(r"(?<![^\s_-])(?:ads?|adverts?|advertisements?|advertising|banner|breadcrumbs?|comments?|cookies?|consent|disclaimer|footer|gdpr|menu|modal|nav|navbar|navigation|newsletter|notices?|overlay|pagination|popup|promo|promoted|related|replies|respond|share|sharing|sidebar|social|sponsor|sponsored|subscribe|toolbar|complementary|contentinfo)(?=\s|$)", re.I)
+#: Tags without attribute values; others are scanned step by step.
+_PLAIN = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^<>\"'=]*)>")
 _NAME = re.compile(r"[a-zA-Z][a-zA-Z0-9:-]*")
 _STEP = re.compile(r">|=\s*([\"'])")
 _RAW_END = {name: re.compile(rf"</{name}\s*>", re.I) for name in RAW}
 _MARKS = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)(?:hidden(?:\s|=|$|/)|aria-hidden\s*=\s*[\"']?true|style\s*=\s*[\"'][^\"']*display\s*:\s*none)", re.I)
-_SPACE = re.compile(r"[\s\xa0]+")
 #: The host of a url; null and broken urls have the empty host.
 HOST = r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#]*@)?(\[[^\]/?#]*\]|[^/?#:\[\]]+)"
 
@@ -62,6 +63,10 @@ def tags(page: str):
     """
     at, n, quotes, brackets = 0, len(page), {'"': True, "'": True}, True
     while brackets and (start := page.find("<", at)) >= 0:
+        if plain := _PLAIN.match(page, start):
+            at = plain.end()
+            yield start, at, plain[1] == "/", plain[2].lower(), plain[3]
+            continue
         lead = page[start + 1 : start + 2]
         if page.startswith("<!--", start):
             end = page.find("-->", start + 4)
@@ -110,7 +115,7 @@ def blocks(page: str) -> list[tuple[str, bool, bool]]:
 
     def close() -> None:
         if held:
-            text = _SPACE.sub(" ", unescape("".join(held))).strip()
+            text = " ".join(unescape("".join(held)).split())
             if text:
                 found.append((text, *state))
             held.clear()
@@ -244,8 +249,12 @@ def extract_main_text(
     source = pages.select(F.col(id_col).alias("id"), url.alias("url"), F.col(html_col).alias("html"), F.xxhash64(F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), HOST, 1))).alias("host"))
     gram = max(1, min(GRAM, tokens - 1))
 
-    def parsed(column, hosts):
-        """(pages' blocks, salted word hashes, words of each block, words of each page) by chunks of a batch."""
+    def parsed(column, hosts, wanted=None):
+        """(pages' blocks, salted word hashes, words of each block, words of each page) by chunks of a batch.
+
+        Pages of other hosts than ``wanted`` (those with boilerplate) get no words.
+        """
+        own_hosts = np.ones(len(hosts), bool) if wanted is None else np.isin(hosts.to_numpy(), wanted)
         texts = ["" if x is None else x for x in column.to_pylist()]
         salts = T.mix(hosts.to_numpy().view(np.uint64))
         size = start = 0
@@ -253,7 +262,7 @@ def extract_main_text(
             size += len(page)
             if size > T.CHUNK_BYTES or k == len(texts) - 1:
                 own = [blocks(x) for x in texts[start : k + 1]]
-                words, counts = T.words([t.encode() for page in own for t, _, _ in page], ~T.SPACES, fold=False)
+                words, counts = T.words([t.encode() if ok else b"" for page, ok in zip(own, own_hosts[start : k + 1], strict=True) for t, _, _ in page], ~T.SPACES, fold=False)
                 ends = np.cumsum(np.append(0, counts))
                 places = np.cumsum([0, *map(len, own)])
                 totals = ends[places[1:]] - ends[places[:-1]]
@@ -285,10 +294,10 @@ def extract_main_text(
                     yield pa.RecordBatch.from_pydict({"key": np.concatenate(own)})
 
     def finish(batches, table=None):
-        """Main texts; ``table``: sorted windows of boilerplate, their other bits, whether they are so in main text."""
+        """Main texts; ``table``: the windows of boilerplate, as from ``_sorted``."""
         for batch in batches:
             hosts, texts = batch.column(3), []
-            for part, own, words, counts, totals in parsed(batch.column(2), hosts):
+            for part, own, words, counts, totals in parsed(batch.column(2), hosts, table and table[3]):
                 hit, strong = np.zeros(len(words) + 1, np.int64), np.zeros(len(words) + 1, np.int64)
                 one, two, runs = _windows(words, totals, tokens)
                 firsts = np.repeat(np.cumsum(totals) - totals, runs) + (np.arange(runs.sum()) - np.repeat(np.cumsum(runs) - runs, runs))
@@ -296,8 +305,8 @@ def extract_main_text(
                     own_tables = [table] if len(table[0]) else []
                 else:  # each row brings its host's boilerplate
                     got = [x for x in batch.column(4)[part].to_pylist() if x]
-                    own_tables = [_sorted([(w["w1"], w["w2"], w["strong"]) for x in got for w in x])] if got else []
-                for w1, w2, main in own_tables:
+                    own_tables = [_sorted([(w["w1"], w["w2"], w["strong"], 0) for x in got for w in x])] if got else []
+                for w1, w2, main, _ in own_tables:
                     at = np.minimum(np.searchsorted(w1, one), len(w1) - 1)
                     ok = (w1[at] == one) & (w2[at] == two)
                     for mark, which in ((hit, ok), (strong, ok & main[at])):
@@ -345,8 +354,12 @@ def extract_main_text(
     if chosen is not None and not len(chosen):
         return source.mapInArrow(lambda batches: finish(batches, nothing), schema).withColumnRenamed("id", id_col).withColumnRenamed("url", url_col)
 
+    hosts_chosen = None if chosen is None else np.unique(chosen >> 32)
+
     def emit_stretches(batches):
         for batch in batches:
+            if hosts_chosen is not None:
+                batch = batch.filter(pa.array(np.isin(batch.column(1).to_numpy() << 32 >> 32, hosts_chosen)))
             hosts = batch.column(1).to_numpy()
             for part, own, words, _, totals in parsed(batch.column(0), batch.column(1)):
                 found, room = least(words, totals)
@@ -387,7 +400,7 @@ def extract_main_text(
     stretches = streams.mapInArrow(emit_stretches, "host long, mark string, lengths array<int>, tokens binary").dropDuplicates(["host", "mark"]).select("host", "lengths", "tokens")
     counted = stretches.mapInArrow(sort_suffixes, "host long, w1 long, w2 long, pages long").groupBy("host", "w1", "w2").agg(F.sum("pages").alias("pages"))
     boiler = counted.join(needs, "host").where("pages >= need").select("host", "w1", "w2", (F.col("pages") >= F.col("need_main")).alias("strong"))
-    rows = boiler.select("w1", "w2", "strong").limit(broadcast_rows + 1).toArrow()
+    rows = boiler.select("w1", "w2", "strong", "host").limit(broadcast_rows + 1).toArrow()
     if rows.num_rows <= broadcast_rows:
         table = _sorted(list(zip(*(c.to_pylist() for c in rows.columns), strict=True)))
         out = source.mapInArrow(lambda batches: finish(batches, table), schema)
@@ -399,8 +412,8 @@ def extract_main_text(
     return out.withColumnRenamed("id", id_col).withColumnRenamed("url", url_col)
 
 
-def _sorted(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Windows as arrays in the order of their first 64 bits."""
+def _sorted(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Windows (two longs, whether they are boilerplate in main text, host) as arrays in order; the hosts once each."""
     rows = sorted(rows)
-    one, two, strong = (list(c) for c in zip(*rows, strict=True)) if rows else ([], [], [])
-    return np.array(one, np.int64), np.array(two, np.int64), np.array(strong, bool)
+    one, two, strong, hosts = (list(c) for c in zip(*rows, strict=True)) if rows else ([], [], [], [])
+    return np.array(one, np.int64), np.array(two, np.int64), np.array(strong, bool), np.unique(np.array(hosts, np.int64))
