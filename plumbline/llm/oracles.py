@@ -62,19 +62,22 @@ WITH crc AS (
                          lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 7 = 2 AS held_out
   FROM documents, crc
 ), tok AS (
-  SELECT k, held_out, i, coalesce('w' || w[i], '/') AS x, CASE WHEN i = 1 THEN '/' ELSE 'w' || w[i-1] END AS u
+  SELECT k, held_out, i, coalesce('w' || w[i], '/') AS x, CASE WHEN i = 1 THEN '/' ELSE 'w' || w[i-1] END AS u, CASE WHEN i = 2 THEN '/' WHEN i > 2 THEN 'w' || w[i-2] END AS t
   FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM d)
 ), uni AS (SELECT x, count(*) AS c FROM tok WHERE NOT held_out GROUP BY x),
 bi AS (SELECT u, x, count(*) AS c2 FROM tok WHERE NOT held_out GROUP BY u, x),
+tri AS (SELECT t, u, x, count(*) AS c3 FROM tok WHERE NOT held_out AND t IS NOT NULL GROUP BY t, u, x),
 nv AS (SELECT CAST(sum(c) AS BIGINT) AS n, count(*) AS v FROM uni),
 s AS (
-  SELECT k, coalesce(a.c, 0) AS c, coalesce(b.c, 0) AS cu, coalesce(c2, 0) AS c2,
-         (coalesce(a.c, 0) + 1) / CAST(n + v + 1 AS DOUBLE) AS p, greatest(0.4, pow(1.0 + coalesce(b.c, 0), -0.25)) AS f
-  FROM tok LEFT JOIN uni a ON tok.x = a.x LEFT JOIN uni b ON tok.u = b.x LEFT JOIN bi ON tok.u = bi.u AND tok.x = bi.x, nv
-), z AS (
+  SELECT k, coalesce(a.c, 0) AS c, coalesce(b.c, 0) AS cu, coalesce(bi.c2, 0) AS c2, coalesce(h.c2, 0) AS ctu, coalesce(c3, 0) AS c3, (coalesce(a.c, 0) + 1) / CAST(n + v + 1 AS DOUBLE) AS p
+  FROM tok LEFT JOIN uni a ON tok.x = a.x LEFT JOIN uni b ON tok.u = b.x LEFT JOIN bi ON tok.u = bi.u AND tok.x = bi.x
+  LEFT JOIN bi h ON tok.t = h.u AND tok.u = h.x LEFT JOIN tri ON tok.t = tri.t AND tok.u = tri.u AND tok.x = tri.x, nv
+), f AS (SELECT *, greatest(0.4, pow(1.0 + cu, -0.25)) AS f2, greatest(0.4, pow(1.0 + ctu, -0.25)) AS f3 FROM s),
+p2 AS (SELECT *, CASE WHEN cu > 0 THEN (1 - f2) * c2 / CAST(cu AS DOUBLE) + f2 * p ELSE p END AS p2 FROM f),
+z AS (
   SELECT k, count(*) AS n_tokens, count(*) FILTER (c > 0) AS n_known, sum(log10(p)) AS base_score,
-         sum(CASE WHEN cu > 0 THEN log10((1 - f) * c2 / CAST(cu AS DOUBLE) + f * p) ELSE log10(p) END) AS score
-  FROM s GROUP BY k
+         sum(log10(CASE WHEN ctu > 0 THEN (1 - f3) * c3 / CAST(ctu AS DOUBLE) + f3 * p2 ELSE p2 END)) AS score
+  FROM p2 GROUP BY k
 )
 SELECT doc_id, held_out, n_tokens, n_known, n AS train_tokens, round(base_score, 6) AS base_score, round(score, 6) AS score FROM d JOIN z USING (k), nv
 """

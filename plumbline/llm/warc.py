@@ -114,13 +114,24 @@ def http_payload(fields: dict[str, str], block: bytes) -> tuple[int, bytes | Non
     return size, payload
 
 
-def _open(uri: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(uri)
+#: Hadoop's names of object stores that Arrow knows by another name.
+SCHEMES = {"s3a": "s3", "s3n": "s3", "abfss": "abfs"}
 
 
-def archive_folder(spark: SparkSession) -> str:
+def open_folder(uri: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of a shared folder or file, and its path there."""
+    scheme, mark, rest = uri.partition("://")
+    return pafs.FileSystem.from_uri(f"{SCHEMES.get(scheme, scheme)}{mark}{rest}")
+
+
+def shared_folder(spark: SparkSession, kind: str) -> str:
+    """A new folder of the cluster's shared checkpoint folder; one of this machine only where that is unset."""
     base = checkpoint_dir(spark, tempfile.gettempdir() + "/plumbline-checkpoints")
-    return f"{base.rstrip('/')}/warc-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+
+
+def archive_folder(spark: SparkSession) -> str:
+    return shared_folder(spark, "warc")
 
 
 def write_archives(pages: DataFrame, folder: str, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_payload: int = 0, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
@@ -153,7 +164,7 @@ def write_archives(pages: DataFrame, folder: str, *, id_col: str = "page_id", ur
     rows = joined.select("p.id", "p.url", "p.html", "p.digest", F.col("r.digest").isNotNull().alias("again"), "r.first")
 
     def write(batches):
-        files, where = _open(folder)
+        files, where = open_folder(folder)
         files.create_dir(where, recursive=True)
         out, name, size, records = None, "", 0, 0
         for batch in batches:
@@ -192,7 +203,7 @@ def read_archives(manifest: DataFrame, *, payloads: bool = False) -> DataFrame:
         rows, size = [], 0
         for batch in batches:
             for uri in batch.column(0).to_pylist():
-                files, path = _open(uri)
+                files, path = open_folder(uri)
                 with files.open_input_stream(path, compression=None) as stream:
                     for data in members(stream):
                         fields, block = parse(data)

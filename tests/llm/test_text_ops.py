@@ -78,38 +78,52 @@ def test_order_changes_work_and_not_verdicts(spark):
 # --- language model
 
 
-def brute_lm(rows):
+def brute_lm(rows, order):
     tokens = lambda t: re.findall(WORD, (t or "").translate({65 + i: 97 + i for i in range(26)})) + [None]
     held = lambda i: zlib.crc32(b"" if i is None else str(i).encode()) % 7 == 2
-    c, b = Counter(), Counter()
+    c = Counter()
     for i, t in rows:
         if not held(i):
-            w = tokens(t)
-            c.update(w)
-            b.update(zip(["<s>", *w], w, strict=False))
-    n, v = sum(c.values()), len(c)
-    c["<s>"] = c[None]
+            w = ["<s>", *tokens(t)]
+            c["<s>",] += 1
+            c.update(tuple(w[k - n + 1 : k + 1]) for k in range(1, len(w)) for n in range(1, order + 1) if k - n + 1 >= 0)
+    n, v = sum(x for g, x in c.items() if len(g) == 1 and g != ("<s>",)), sum(len(g) == 1 and g != ("<s>",) for g in c)
+
+    def p(word, context):
+        if not context:
+            return (c[word,] + 1) / (n + v + 1)
+        lower = p(word, context[1:])
+        if not c[context]:
+            return lower
+        f = max(0.4, (1 + c[context]) ** -0.25)
+        return (1 - f) * c[*context, word] / c[context] + f * lower
+
     out = []
     for i, t in rows:
-        w = tokens(t)
-        p = {x: (c[x] + 1) / (n + v + 1) for x in w}
-        score = 0.0
-        for u, x in zip(["<s>", *w], w, strict=False):
-            f = max(0.4, (1 + c[u]) ** -0.25)
-            score += math.log10((1 - f) * b[u, x] / c[u] + f * p[x]) if c[u] else math.log10(p[x])
-        out.append((i, held(i), len(w), sum(c[x] > 0 for x in w), n, round(sum(math.log10(p[x]) for x in w), 6), round(score, 6)))
+        w = ["<s>", *tokens(t)]
+        score = sum(math.log10(p(w[k], tuple(w[max(0, k - order + 1) : k]))) for k in range(1, len(w)))
+        out.append((i, held(i), len(w) - 1, sum(c[x,] > 0 for x in w[1:]), n, round(sum(math.log10(p(x, ())) for x in w[1:]), 6), round(score, 6)))
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("options", [{}, {"slice_bytes": 2000, "parts": 3}])
+@pytest.mark.parametrize("options", [{}, {"slice_bytes": 2000, "parts": 3}, {"order": 1}, {"order": 2}, {"order": 5, "slice_bytes": 1000}])
 def test_lm_matches_brute_force(spark, options):
     rnd = random.Random(5)
-    vocabulary = ["The", "the", "of", "à", "CAT", "cat", "É", *(f"w{i}" for i in range(50))]
+    vocabulary = ["The", "the", "of", "à", "CAT", "cat", "É", *(f"w{i}" for i in range(20))]
     rows = [(i, " ".join(rnd.choice(vocabulary) for _ in range(rnd.randint(0, 40)))) for i in range(120)] + [(None, "the cat"), (700, None), (701, ""), (3, "the"), (3, "the")]
+    rows += [(800 + i, "the cat of the cat of w1 w2 " + " ".join(rnd.choice(vocabulary[:4]) for _ in range(9))) for i in range(20)] + [(900, "Long words of the cat " * 20_000)]
     found = lm_score(frame(spark, rows), **options)
     got = sorted(((*tuple(r)[:5], round(r[5], 6), round(r[6], 6)) for r in found.collect()), key=str)
-    assert got == brute_lm(rows)
-    assert lm_score(frame(spark, rows).limit(0)).count() == 0
+    same = lambda xs: [(*x[:5], pytest.approx(x[5], rel=1e-9, abs=2e-6), pytest.approx(x[6], rel=1e-9, abs=2e-6)) for x in xs]
+    assert got == same(brute_lm(rows, options.get("order", 3)))
+    assert lm_score(frame(spark, rows).limit(0), **options).count() == 0
+
+
+def test_lm_deals_slices_evenly(spark):
+    rows = spark.range(0, 4000, numPartitions=64).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.sequence(F.col("id"), F.col("id") + 30)).alias("text"))
+    answers = lm_score(rows, slice_bytes=3000, parts=64)
+    sizes = answers.groupBy(F.spark_partition_id()).count().select("count").collect()
+    assert len(sizes) > 40 and max(r[0] for r in sizes) < 6 * 4000 / 64
 
 
 # --- decontamination
