@@ -240,7 +240,7 @@ def lm_score(
             yield pa.RecordBatch.from_pydict({"n": pa.array([sum(r[1] for r in rows)], pa.int64()), "kinds": pa.array([len(kinds)], pa.int64())})
 
     figures = (
-        manifest.mapInArrow(vocabulary, "part int, n long, hashes binary").repartition(parts, "part").sortWithinPartitions("part")
+        manifest.mapInArrow(vocabulary, "part int, n long, hashes binary").repartitionById(parts, "part").sortWithinPartitions("part")
         .mapInArrow(distinct, "n long, kinds long").agg(F.sum("n").alias("n"), F.sum("kinds").alias("kinds")).first()
     )
     total, kinds_total = figures["n"] or 0, figures["kinds"] or 0
@@ -282,6 +282,6 @@ def lm_score(
                 names=["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
             )
 
-    questions = manifest.mapInArrow(ask, "part int, slice long, name string, hashes binary, counts binary").repartition(parts, "part").sortWithinPartitions("part")
+    questions = manifest.mapInArrow(ask, "part int, slice long, name string, hashes binary, counts binary").repartitionById(parts, "part").sortWithinPartitions("part")
     answers = questions.mapInArrow(answer, "slice long, part int, name string, counts binary").repartition(parts, "slice").sortWithinPartitions("slice", "part")
     return answers.mapInArrow(score, f"id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double").withColumnRenamed("id", id_col)
