@@ -1,10 +1,12 @@
-"""N-gram Jaccard join of documents by MinHash bands with exact verification.
-
-Texts with the same set of word shingles are one *class*; classes are joined, not copies. Each class
-has ``trees`` bands of ``depth`` MinHash values, matched for equality; no tries are built. The depth is the
-longest, up to ``deepest``, at which the share of pairs at the threshold that meet in a band,
-1 - (1 - t**depth)**trees, reaches the target recall. Classes that meet form
-candidate components; within these (in blocks, if they are large) every pair is verified exactly.
+"""N-gram Jaccard join of documents: MinHash LSH forest with exact verification.
+
+Texts with the same set of word shingles are one *class*; classes are joined, not copies. A class has
+``trees`` signatures of ``deepest`` MinHash values. Each tree keeps its signatures as a sorted list, in which
+a trie's nodes are runs of equal prefixes: classes whose signatures agree longest are neighbours. Matched
+prefixes are shortened from ``deepest`` values until pairs at the threshold meet in some tree with the
+target recall, 1 - (1 - t**depth)**trees; at that depth each class is linked to its next one in the list, so
+a common prefix makes a chain and no hub. Chains of all trees connect candidates; within such a group (in
+blocks, if it is large) the pairs that share a prefix in some tree are verified exactly.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm import text as T
-from plumbline.llm.graph import checkpointed, components
+from plumbline.llm.graph import checkpointed, components, salted_join
 
 WORDS = 5
 
@@ -49,46 +51,64 @@ def shingle_sets(texts: list[bytes], n: int = WORDS) -> list[np.ndarray]:
 
 
 class Forest:
-    """Prefix keys of shingle sets in each tree."""
+    """Signatures of shingle sets in each tree: a key of the first ``depth`` values, and the others in order."""
 
-    def __init__(self, trees: int, depth: int) -> None:
+    def __init__(self, trees: int, depth: int, deepest: int) -> None:
         rng = np.random.default_rng(411)
-        self.trees, self.depth = trees, depth
-        self.xor = rng.integers(0, 1 << 63, trees * depth, dtype=np.uint64) * np.uint64(2)
-        self.times = rng.integers(0, 1 << 63, trees * depth, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        self.trees, self.depth, self.deepest = trees, depth, max(depth, deepest)
+        size = trees * self.deepest
+        self.xor = rng.integers(0, 1 << 63, size, dtype=np.uint64) * np.uint64(2)
+        self.times = rng.integers(0, 1 << 63, size, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
-    def prefixes(self, sets: list[np.ndarray]) -> np.ndarray:
-        """(sets, trees) keys: the tree and its first ``depth`` MinHash values, hashed together."""
+    def signatures(self, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Two (sets, trees) arrays: the shortest prefix (tree and values hashed together), and the values after it, 16 bits each."""
         sizes = np.array([len(x) for x in sets])
         flat, starts = np.concatenate(sets), np.cumsum(sizes) - sizes
-        out = np.empty((len(sets), self.trees), np.uint64)
+        keys, rest = np.empty((2, len(sets), self.trees), np.uint64)
         for tree in range(self.trees):
-            key = np.full(len(sets), tree + 1, np.uint64)
-            for k in range(tree * self.depth, (tree + 1) * self.depth):
-                h = (flat ^ self.xor[k]) * self.times[k]
-                key = T.mix(key * np.uint64(0x9E3779B97F4A7C15) + np.minimum.reduceat(h ^ (h >> np.uint64(32)), starts))
-            out[:, tree] = key
-        return out
-
-
-def _linked(sets: list[np.ndarray], rows: range, columns: range, threshold: float):
-    """For each row member: the column members after it whose Jaccard similarity reaches the threshold."""
+            key, more = np.full(len(sets), tree + 1, np.uint64), np.zeros(len(sets), np.uint64)
+            for k in range(self.deepest):
+                at = tree * self.deepest + k
+                h = (flat ^ self.xor[at]) * self.times[at]
+                least = np.minimum.reduceat(h ^ (h >> np.uint64(32)), starts)
+                if k < self.depth:
+                    key = T.mix(key * np.uint64(0x9E3779B97F4A7C15) + least)
+                else:
+                    more = (more << np.uint64(16)) | (T.mix(least) >> np.uint64(48))
+            keys[:, tree], rest[:, tree] = key, more
+        return keys, rest
+
+
+def _met(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Whether each left class shares a prefix with each right class in some tree."""
+    met = np.zeros((len(left), len(right)), bool)
+    for tree in range(left.shape[1]):
+        met |= left[:, tree, None] == right[None, :, tree]
+    return met
+
+
+def _linked(sets: list[np.ndarray], keys: np.ndarray, rows: range, columns: range, threshold: float):
+    """For each row member: the column members after it that it met and whose Jaccard similarity reaches the threshold."""
     sizes = np.array([len(x) for x in sets])
     ids = np.unique(np.concatenate(sets), return_inverse=True)[1]
     starts = np.cumsum(sizes) - sizes
-    mark = np.zeros(int(ids.max()) + 1, np.int32)
-    lo = starts[columns.start]
-    part, offsets, own = ids[lo : starts[columns.stop - 1] + sizes[columns.stop - 1]], starts[columns.start : columns.stop] - lo, sizes[columns.start : columns.stop]
+    mark = np.zeros(int(ids.max()) + 1, bool)
+    met = _met(keys[rows.start : rows.stop], keys[columns.start : columns.stop])
     for i in rows:
-        mine = ids[starts[i] : starts[i] + sizes[i]]
-        mark[mine] = 1
-        both = np.add.reduceat(mark[part], offsets)
-        mark[mine] = 0
-        hit = columns.start + np.flatnonzero(both >= threshold * (own + sizes[i] - both) - 1e-9)
-        yield i, hit[hit > i]
-
-
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, threshold: float = 0.8, recall: float = 0.99999, trees: int = 24, block: int = 512, block_bytes: int = 8 << 20) -> DataFrame:
+        others = columns.start + np.flatnonzero(met[i - rows.start])
+        # Sizes alone bound the similarity.
+        others = others[(others > i) & (np.minimum(sizes[others], sizes[i]) >= threshold * np.maximum(sizes[others], sizes[i]) - 1e-9)]
+        if not len(others):
+            continue
+        mark[ids[starts[i] : starts[i] + sizes[i]]] = True
+        counts, own = sizes[others], np.cumsum(sizes[others]) - sizes[others]
+        flat = ids[np.repeat(starts[others] - own, counts) + np.arange(counts.sum())]
+        both = np.add.reduceat(mark[flat].astype(np.int64), own)
+        mark[ids[starts[i] : starts[i] + sizes[i]]] = False
+        yield i, others[both >= threshold * (counts + sizes[i] - both) - 1e-9]
+
+
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, threshold: float = 0.8, recall: float = 0.99999, trees: int = 24, deepest: int = 8, block: int = 512, block_bytes: int = 8 << 20) -> DataFrame:
     """(id, class_id, copy_id, n_copies, n_links) of every row of ``docs``.
 
     ``n_links``: the number of other shingle sets with a similarity of ``threshold`` or more;
@@ -105,7 +125,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     T.prepare(spark)
     kind = docs.select(id_col).schema[0].dataType.simpleString()
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    forest = Forest(trees, prefix_depth(threshold, trees, recall))
+    forest = Forest(trees, prefix_depth(threshold, trees, recall, deepest), deepest)
 
     def sign(batches):
         for batch in batches:
@@ -114,24 +134,38 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
                 sets = shingle_sets(part, words)
                 filled = [i for i, x in enumerate(sets) if len(x)]
                 keys: list[list[int] | None] = [None] * len(part)
+                rest: list[list[int] | None] = [None] * len(part)
                 if filled:
-                    for i, own in zip(filled, forest.prefixes([sets[i] for i in filled]).view(np.int64).tolist(), strict=True):
-                        keys[i] = own
+                    found = forest.signatures([sets[i] for i in filled])
+                    for i, own, more in zip(filled, *(x.view(np.int64).tolist() for x in found), strict=True):
+                        keys[i], rest[i] = own, more
                 yield pa.RecordBatch.from_pydict({
                     "id": ids.slice(start, len(part)), "c": pa.array([xxhash.xxh3_128_digest(x.tobytes()) if len(x) else None for x in sets], pa.binary()),
-                    "size": pa.array([len(x) for x in sets], pa.int64()), "keys": pa.array(keys, pa.list_(pa.int64())),
+                    "size": pa.array([len(x) for x in sets], pa.int64()), "keys": pa.array(keys, pa.list_(pa.int64())), "rest": pa.array(rest, pa.list_(pa.int64())),
                 })
 
-    signed = checkpointed(source.mapInArrow(sign, f"id {kind}, c binary, size long, keys array<long>"))
-    classes = signed.where("c is not null").groupBy("c").agg(F.count("*").alias("n_copies"), F.min("id").alias("copy_id"), F.max("size").alias("size"), F.min_by("keys", "size").alias("keys"))
+    signed = checkpointed(source.mapInArrow(sign, f"id {kind}, c binary, size long, keys array<long>, rest array<long>"))
+    classes = signed.where("c is not null").groupBy("c").agg(F.count("*").alias("n_copies"), F.min("id").alias("copy_id"), F.max("size").alias("size"), F.min_by(F.struct("keys", "rest"), "size").alias("s")).select("c", "n_copies", "copy_id", "size", "s.keys", "s.rest")
     classes = checkpointed(classes)
 
-    met = classes.select("c", F.explode("keys").alias("key"))
-    hubs = met.groupBy("key").agg(F.count("*").alias("n"), F.min("c").alias("hub")).where("n > 1").select("key", "hub")
-    candidates = components(met.join(hubs, "key").select(F.col("c").alias("u"), F.col("hub").alias("v")))
-    candidates = candidates.join(classes.select(F.col("c").alias("node"), "copy_id", "size"), "node")
+    def neighbours(batches):
+        """Links of each class to the next one of its tree's sorted list, as long as the shortest prefix agrees."""
+        key, last = None, None
+        for batch in batches:
+            rows = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            pairs = []
+            for k, c in zip(*rows, strict=True):
+                if k == key and c != last:
+                    pairs.append((last, c))
+                key, last = k, c
+            if pairs:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in zip(*pairs, strict=True)], names=["u", "v"])
+
+    lists = classes.select("c", F.explode(F.arrays_zip("keys", "rest")).alias("s")).select("s.keys", "c", "s.rest")
+    candidates = checkpointed(components(lists.repartition("keys").sortWithinPartitions("keys", "rest", "c").select("keys", "c").mapInArrow(neighbours, "u binary, v binary")))
+    candidates = candidates.join(classes.select(F.col("c").alias("node"), "copy_id", "size", "keys"), "node")
     blocks = candidates.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("size") * 8 / block_bytes)).cast("int").alias("blocks"))
-    members = candidates.join(blocks, "root").select("node", "copy_id", "root", "blocks")
+    members = salted_join(candidates, blocks, "root", "node").select("node", "copy_id", "root", "blocks", "keys")
 
     def pack(batches):
         press = zstandard.ZstdCompressor(level=1)
@@ -144,26 +178,26 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     def deal(batches):
         unpress = zstandard.ZstdDecompressor()
         for batch in batches:
-            for z, node, root, n in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+            for z, node, root, n, keys in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
                 data = shingle_sets([unpress.decompress(z)], words)[0].tobytes()
                 mine = xxhash.xxh3_64_intdigest(node) % n
                 other = range(n)
                 yield pa.RecordBatch.from_pydict({
                     "root": pa.array([root] * n, pa.binary()), "i": pa.array([min(mine, x) for x in other], pa.int32()), "j": pa.array([max(mine, x) for x in other], pa.int32()),
-                    "right": pa.array([x < mine for x in other]), "c": pa.array([node] * n, pa.binary()), "data": pa.array([data] * n, pa.binary()),
+                    "right": pa.array([x < mine for x in other]), "c": pa.array([node] * n, pa.binary()), "data": pa.array([data] * n, pa.binary()), "keys": pa.array([np.array(keys, np.int64).tobytes()] * n, pa.binary()),
                 })
 
     texts = source.mapInArrow(pack, f"id {kind}, c binary, z binary").alias("t")
     dealt = (
         texts.join(members.alias("m"), (F.col("t.c") == F.col("m.node")) & F.col("t.id").eqNullSafe(F.col("m.copy_id")))
-        .select("t.z", "m.node", "m.root", "m.blocks").mapInArrow(deal, "root binary, i int, j int, right boolean, c binary, data binary")
+        .select("t.z", "m.node", "m.root", "m.blocks", "m.keys").mapInArrow(deal, "root binary, i int, j int, right boolean, c binary, data binary, keys binary")
     )
 
     def verify(group):
         """Rows (class, links, least class linked with it here) of one block pair."""
-        seen: dict[bytes, tuple[bool, bytes]] = {}
+        seen: dict[bytes, tuple[bool, bytes, bytes]] = {}
         for row in group:
-            seen.setdefault(row[4], (row[3], row[5]))  # repeated rows of one document come once
+            seen.setdefault(row[4], (row[3], row[5], row[6]))  # repeated rows of one document come once
         names = sorted(seen, key=lambda c: (seen[c][0], c))
         left = sum(not seen[c][0] for c in names)
         rows, columns = (range(len(names)), range(len(names))) if group[0][1] == group[0][2] else (range(left), range(left, len(names)))
@@ -177,7 +211,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
                 x = parent[x]
             return x
 
-        for i, hits in _linked([np.frombuffer(seen[c][1], np.uint64) for c in names], rows, columns, threshold):
+        for i, hits in _linked([np.frombuffer(seen[c][1], np.uint64) for c in names], np.array([np.frombuffer(seen[c][2], np.int64) for c in names]), rows, columns, threshold):
             links[i] += len(hits)
             for j in hits.tolist():
                 links[j] += 1
@@ -190,7 +224,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     def verified(batches):
         held, out = [], []
         for batch in batches:
-            for row in zip(*(batch.column(k).to_pylist() for k in range(6)), strict=True):
+            for row in zip(*(batch.column(k).to_pylist() for k in range(7)), strict=True):
                 if held and row[:3] != held[0][:3]:
                     out += verify(held)
                     held = []
@@ -206,7 +240,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     links = found.groupBy("c").agg(F.sum("links").alias("n_links"))
     grouped = classes.select("c", "n_copies", "copy_id").join(links, "c", "left").join(roots, "c", "left").withColumn("root", F.coalesce("root", "c"))
     heads = grouped.groupBy("root").agg(F.min("copy_id").alias("class_id"))
-    known = grouped.join(heads, "root").select("c", "class_id", "copy_id", "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    known = salted_join(grouped, heads, "root", "c").select("c", "class_id", "copy_id", "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links"))
     out = signed.select("id", "c").join(known, "c", "left")
     return out.select(
         F.col("id").alias(id_col), F.when(F.col("c").isNull(), F.col("id")).otherwise(F.col("class_id")).alias("class_id"), F.when(F.col("c").isNull(), F.col("id")).otherwise(F.col("copy_id")).alias("copy_id"),

@@ -130,3 +130,21 @@ b AS (SELECT page_id, url, string_split(regexp_replace(regexp_replace(regexp_rep
 c AS (SELECT page_id, url, list_filter(list_transform(ls, lambda line: trim(regexp_replace({_DECODED}, '\s+', ' ', 'g'))), lambda line: line <> '') AS ls FROM b)
 SELECT page_id, url, coalesce(array_to_string(ls, chr(10)), '') AS text, CAST(length(coalesce(array_to_string(ls, chr(10)), '')) AS BIGINT) AS n_chars FROM c
 """
+
+SQL["op6_near_duplicates"] = rf"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS k, doc_id, {_WORDS} AS w FROM documents),
+sh AS (
+  SELECT DISTINCT k, array_to_string(w[i:i+n-1], ' ') AS gram
+  FROM (SELECT k, w, least(len(w), 5) AS n, unnest(range(1, len(w) - least(len(w), 5) + 2)) AS i FROM d WHERE len(w) > 0)
+), sets AS (SELECT k, sha256(string_agg(gram, chr(10) ORDER BY gram)) AS c, count(*) AS size FROM sh GROUP BY k),
+classes AS (SELECT c, any_value(size) AS size, count(*) AS n_copies, min(doc_id) AS copy_id, min(k) AS k FROM sets JOIN d USING (k) GROUP BY c),
+cs AS (SELECT c, size, gram FROM classes JOIN sh USING (k)),
+links AS (
+  SELECT a.c AS u, b.c AS v FROM cs a JOIN cs b ON a.gram = b.gram AND a.c <> b.c AND 5 * least(a.size, b.size) >= 4 * greatest(a.size, b.size)
+  GROUP BY a.c, b.c HAVING 5 * count(*) >= 4 * (any_value(a.size) + any_value(b.size) - count(*))
+), reach(c, r) AS (SELECT c, c FROM classes UNION SELECT reach.c, v FROM reach JOIN links ON r = u),
+heads AS (SELECT reach.c AS c, min(copy_id) AS class_id FROM reach JOIN classes ON r = classes.c GROUP BY reach.c),
+n AS (SELECT u AS c, count(*) AS n_links FROM links GROUP BY u)
+SELECT doc_id, coalesce(class_id, doc_id) AS class_id, coalesce(copy_id, doc_id) AS copy_id, coalesce(n_copies, 1) AS n_copies, coalesce(n_links, 0) AS n_links
+FROM d LEFT JOIN sets USING (k) LEFT JOIN classes USING (c) LEFT JOIN heads USING (c) LEFT JOIN n USING (c)
+"""
