@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.operators.metrics import auc
+
 
 def _smooth(total: Column, n: Column, prior: Column, m: float) -> Column:
     """n / (n + m) of the category's mean and m / (n + m) of the prior."""
@@ -64,3 +69,23 @@ def leak_by_rarity(encoded: DataFrame, *, least: int = 30) -> DataFrame:
     joined = encoded.join(sizes, "category").groupBy(bucket.alias("bucket"))
     cells = joined.agg(F.count("*").alias("rows"), F.corr("encoded", "y").alias("correlation"), F.stddev_pop("y").alias("spread"))
     return cells.where((F.col("rows") >= least) & (F.col("spread") > 0)).select("bucket", "rows", "correlation")
+
+
+def fit_and_score(encoded: DataFrame) -> DataFrame:
+    """One row (train_auc, test_auc) of a logistic model on the encoded column alone; rows of (id, split, y, encoded)."""
+    rows = VectorAssembler(inputCols=["encoded"], outputCol="features").transform(encoded.select("id", "split", F.col("y").cast("double").alias("y"), "encoded"))
+    model = LogisticRegression(labelCol="y", regParam=0.0, maxIter=200, tol=1e-8).fit(rows.where("split = 'train'"))
+    scored = model.transform(rows).select("split", "y", F.get(vector_to_array("probability"), F.lit(1)).alias("score"))
+    train, test = (auc(scored.where(F.col("split") == side)).select(F.col("auc").alias(f"{side}_auc")) for side in ("train", "test"))
+    return train.crossJoin(test)
+
+
+def label_encode(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """``rows`` with ``<column>_code``: the place of each value, from 0 in the order of values; null is -1.
+
+    A column's distinct values are ranked in one task, so they should be categories: far fewer than rows.
+    """
+    for c in columns:
+        codes = rows.select(c).where(F.col(c).isNotNull()).distinct().withColumn(f"{c}_code", F.row_number().over(Window.orderBy(c)) - 1)
+        rows = rows.join(codes, c, "left").withColumn(f"{c}_code", F.coalesce(f"{c}_code", F.lit(-1)))
+    return rows

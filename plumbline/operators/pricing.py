@@ -122,7 +122,7 @@ def priced_gini(rows: DataFrame) -> DataFrame:
 
     The first trapezoid starts at the first row (no origin); rows of equal rates are one step.
     """
-    rate = F.col("predicted") / F.greatest("exposure", F.lit(1e-9))
+    rate = F.round(F.col("predicted") / F.greatest("exposure", F.lit(1e-9)), 12)  # a factor's rate, without noise of the division
     each = rows.groupBy(rate.alias("rate")).agg(F.sum("actual").alias("l"), F.sum("exposure").alias("e"))
     total = each.agg(F.greatest(F.sum("l"), F.lit(1e-12)).alias("tl"), F.greatest(F.sum("e"), F.lit(1e-12)).alias("te"), F.min("rate").alias("first"))
     run = running_totals(each, "rate", {"cl": F.col("l"), "ce": F.col("e")}).crossJoin(F.broadcast(total))

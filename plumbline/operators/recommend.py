@@ -64,13 +64,15 @@ def item_knn(train: DataFrame, users: DataFrame, *, neighbours: int = 50, k: int
 
 
 def random_items(train: DataFrame, users: DataFrame, *, k: int = 10, seed: int = 0) -> DataFrame:
-    """Unseen items in the order of a seeded hash, by the same bound on ranks as ``popularity``."""
+    """Unseen items in the order of a seeded hash (MD5, the same in every engine), by the same bound on ranks as ``popularity``."""
     seen = train.select("user", "item").distinct()
-    items = train.select("item").distinct().orderBy(F.xxhash64("item", F.lit(seed)), "item")
+    place = F.md5(F.concat_ws("/", F.col("item").cast("string"), F.lit(str(seed))))
+    items = train.select("item").distinct().withColumn("h", place).orderBy("h", "item")
     need = seen.groupBy("user").agg(F.count("*").alias("seen")).join(users, "user", "right").select("user", (F.coalesce("seen", F.lit(0)) + k).alias("need"))
     most = need.agg(F.max("need").alias("m")).first()["m"] or 0
-    top = items.limit(int(most)).withColumn("place", F.row_number().over(Window.orderBy(F.xxhash64("item", F.lit(seed)), "item")))
-    offered = need.join(F.broadcast(top), F.col("place") <= F.col("need")).select("user", "item", F.xxhash64("user", "item", F.lit(seed)).cast("double").alias("score"))
+    top = items.limit(int(most)).withColumn("place", F.row_number().over(Window.orderBy("h", "item")))
+    draw = F.conv(F.substring(F.md5(F.concat_ws("/", F.col("user").cast("string"), F.col("item").cast("string"), F.lit(str(seed)))), 1, 8), 16, 10).cast("double")
+    offered = need.join(F.broadcast(top), F.col("place") <= F.col("need")).select("user", "item", draw.alias("score"))
     return _rank(offered.join(seen, ["user", "item"], "left_anti"), k)
 
 

@@ -73,7 +73,7 @@ def read_arff(spark: SparkSession, path: str) -> DataFrame:
     for row in lines.where(F.lower("line").startswith("@attribute")).collect():
         _, name, kind = row["line"].split(None, 2)
         columns.append(f"`{name.strip(chr(39) + chr(34))}` {'double' if kind.lower().startswith(('numeric', 'real', 'integer')) else 'string'}")
-    body = lines.where(~F.col("line").startswith("@"))
+    body = lines.where(~F.col("line").rlike(r"(?i)^@(relation|attribute|data)(\s|$)"))
     return body.select(F.from_csv("line", ", ".join(columns), {"quote": "'", "nullValue": "?", "ignoreLeadingWhiteSpace": "true"}).alias("r")).select("r.*")
 
 
@@ -90,9 +90,9 @@ def status(spark: SparkSession, sources: list[Source], folder: str) -> DataFrame
 
 
 def clean_ledger(raw: DataFrame) -> DataFrame:
-    """Retail lines: trimmed upper-case codes of products, positive prices, returns flagged by invoice C..., revenue."""
+    """Retail lines: trimmed upper-case codes (a missing code is no fee), positive prices, returns flagged by invoice C..., revenue."""
     code = F.upper(F.trim("StockCode"))
-    rows = raw.withColumn("StockCode", code).where(~F.col("StockCode").isin(*NOT_PRODUCTS) & (F.col("Price") > 0))
+    rows = raw.withColumn("StockCode", code).where(~F.coalesce(F.col("StockCode").isin(*NOT_PRODUCTS), F.lit(False)) & (F.col("Price") > 0))
     return rows.withColumn("is_return", F.col("Invoice").startswith("C")).withColumn("revenue", F.col("Quantity") * F.col("Price"))
 
 

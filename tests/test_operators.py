@@ -348,3 +348,25 @@ def test_repetitions_are_the_reference_numbers(spark, monkeypatch):
     for name, n in (("selection_stability", 200), ("pairwise_stability", 40), ("permutation_null", 20), ("isolation_forest", 300), ("spurious_regression", 300)):
         with pytest.raises(Seen, match=f"^{n}$"):
             entry.queries()[name](spark, "/root/testdata/sf0.001")
+
+
+def test_label_codes_and_scores_of_encodings(spark):
+    rows = spark.createDataFrame([(1, "b"), (2, "a"), (3, None), (4, "b")], "id int, c string")
+    assert {r["id"]: r["c_code"] for r in encoding.label_encode(rows, ["c"]).collect()} == {1: 1, 2: 0, 3: -1, 4: 1}
+    rnd = random.Random(7)
+    data = [(1, "train" if k % 2 else "test", int(rnd.random() < x), x) for k in range(2000) for x in [rnd.random()]]  # ids repeat
+    found = one(encoding.fit_and_score(spark.createDataFrame(data, "id int, split string, y int, encoded double")))
+    assert all(abs(v - 5 / 6) < 0.04 for v in found.values())
+
+
+def test_readers_keep_odd_rows(spark, tmp_path):
+    (tmp_path / "a.arff").write_text("@relation r\n@attribute name string\n@Attribute n numeric\n@DATA\n@odd,1\nb,?\n")
+    assert [tuple(r) for r in readers.read_arff(spark, str(tmp_path / "a.arff")).collect()] == [("@odd", 1.0), ("b", None)]
+    raw = spark.createDataFrame([("1", None, 2, 3.0), ("C1", " post", 1, 1.0), ("C2", "a ", 1, 1.0)], "Invoice string, StockCode string, Quantity int, Price double")
+    assert {(r["StockCode"], r["is_return"]) for r in readers.clean_ledger(raw).collect()} == {(None, False), ("A", True)}
+
+
+def test_random_and_shuffled_are_the_same_each_time(spark):
+    series = spark.createDataFrame([("s", k, 10.0 + k * k % 7) for k in range(50)], "series string, idx int, value double")
+    a, b = (sorted(r["value"] for r in x.collect()) for x in (backtest.shuffled_series(series), backtest.shuffled_series(series, seed=1)))
+    assert len(a) == len(b) == 50 and abs(a[-1] / b[-1]) > 0 and backtest.shuffled_series(series).exceptAll(backtest.shuffled_series(series)).count() == 0
