@@ -17,17 +17,25 @@ WITH d AS (
         FROM (SELECT k, w, unnest(range(1, len(w) - 3)) AS i FROM d WHERE len(w) >= 5))
 ), c AS (
   SELECT k, count(DISTINCT i + o) AS n_rep FROM g, range(5) r(o) WHERE n > 1 GROUP BY k
+), tl AS (
+  SELECT k, count(*) AS n_text_lines, count(*) FILTER (regexp_matches(l, '^[•‣▶◀◦■□▪▫–*-]')) AS n_bullets, count(*) FILTER (regexp_matches(l, '(\.\.\.|…)$')) AS n_cut
+  FROM (SELECT k, trim(unnest(string_split(text, chr(10))), ' ' || chr(9) || chr(11) || chr(12) || chr(13)) AS l FROM d) WHERE l <> '' GROUP BY k
+), pr AS (
+  SELECT k, a, b, count(*) AS n FROM (SELECT k, w[i] AS a, w[i+1] AS b FROM (SELECT k, w, unnest(range(1, len(w))) AS i FROM d WHERE len(w) > 50)) GROUP BY k, a, b
+), tp AS (SELECT k, max(n * (length(a) + length(b) + 1)) AS pair_chars FROM (SELECT *, max(n) OVER (PARTITION BY k) AS most FROM pr) WHERE n = most GROUP BY k
 ), m AS (
-  SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words,
+  SELECT doc_id, coalesce(n_text_lines, 0) AS n_text_lines, coalesce(n_bullets, 0) AS n_bullets, coalesce(n_cut, 0) AS n_cut, coalesce(pair_chars, 0) AS pair_chars, length(text) AS n_chars,
+         len(list_filter(w, lambda x: regexp_matches(x, '[A-Za-z\x{{80}}-\x{{10FFFF}}]'))) AS n_lettered, CAST(len(w) AS BIGINT) AS n_words,
          CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
          CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
          CAST(coalesce(n_dup, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(n_rep, 0) AS BIGINT) AS n_repeat_words,
          coalesce(n_lines, 0) AS n_lines
-  FROM d LEFT JOIN ls USING (k) LEFT JOIN c USING (k)
+  FROM d LEFT JOIN ls USING (k) LEFT JOIN c USING (k) LEFT JOIN tl USING (k) LEFT JOIN tp USING (k)
 ), b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND n_symbols <= n_words AND 100 * n_dup_lines <= 30 * n_lines
-         AND word_chars BETWEEN 2 * n_words AND 20 * n_words AS kept
+         AND word_chars BETWEEN 2 * n_words AND 20 * n_words
+         AND 100 * n_bullets <= 90 * n_text_lines AND 100 * n_cut <= 30 * n_text_lines AND 100 * n_lettered >= 45 * n_words AND NOT (n_words > 50 AND 100 * pair_chars > 20 * n_chars) AS kept
 FROM b
 """
 

@@ -1,6 +1,6 @@
 """Quality rules as a short-circuit cascade.
 
-A rule is a predicate over lazily measured features of a text. On a bounded sample the cascade
+A rule is a predicate over lazily measured features of a text. On a bounded random sample the cascade
 measures what each rule costs and how often it rejects, orders the rules by rejections per second,
 and then evaluates them in that order, stopping at a text's first rejection. The order changes the
 work, never the verdict: a text is kept if no rule rejects it.
@@ -8,8 +8,8 @@ work, never the verdict: a text is kept if no rule rejects it.
 
 from __future__ import annotations
 
+import re
 import time
-from collections import Counter
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -23,8 +23,10 @@ from plumbline.llm import text as T
 #: Symbols that the contract counts. Fixed value.
 SYMBOLS = b"#*$%&|<>"
 WINDOW = 5
-#: Words from which repeated windows are found by hash instead of by tuples, for bounded memory.
-LONG = 50_000
+#: Marks that open a list item, and ends of cut-off lines. Fixed values.
+BULLETS = ("•", "‣", "▶", "◀", "◦", "■", "□", "▪", "▫", "–", "-", "*")
+CUT_OFF = ("...", "…")
+_LETTER = re.compile(r"[A-Za-z\u0080-\U0010FFFF]")
 
 
 class Features:
@@ -63,20 +65,54 @@ class Features:
     def _n_repeat_words(self) -> int:
         if self.n_words <= WINDOW:
             return 0
-        if self.n_words > LONG:
-            hashes, counts = T.words([self.data], T.SPACES == 0, fold=False)
-            grams, _ = T.ngrams(hashes, counts, WINDOW)
-            _, inverse, seen = np.unique(grams, return_inverse=True, return_counts=True)
-            repeated = np.flatnonzero(seen[inverse] > 1)
-        else:
-            tuples = list(zip(*(self.words[k:] for k in range(WINDOW)), strict=False))
-            if len(set(tuples)) == len(tuples):
-                return 0
-            seen = Counter(tuples)
-            repeated = np.fromiter((i for i, x in enumerate(tuples) if seen[x] > 1), np.int64)
-        if not len(repeated):
+        # Windows of equal hash are compared word by word, so that chance matches don't count.
+        numbers: dict[bytes, int] = {}
+        words = np.fromiter((numbers.setdefault(w, len(numbers)) for w in self.words), np.int64, self.n_words)
+        size = self.n_words - WINDOW + 1
+        mixed = np.zeros(size, np.uint64)
+        for k in range(WINDOW):
+            mixed = T.mix(mixed + words[k : k + size].astype(np.uint64))
+        order = np.argsort(mixed, kind="stable")
+        same = mixed[order[1:]] == mixed[order[:-1]]
+        if not same.any():
             return 0
-        return int(np.minimum(np.diff(repeated, append=repeated[-1] + WINDOW), WINDOW).sum())
+        for k in range(WINDOW):
+            same &= words[order[1:] + k] == words[order[:-1] + k]
+        hit = np.zeros(size, bool)
+        hit[order[1:][same]] = hit[order[:-1][same]] = True
+        repeated = np.flatnonzero(hit)
+        return int(np.minimum(np.diff(repeated, append=repeated[-1] + WINDOW), WINDOW).sum()) if len(repeated) else 0
+
+    def _text(self) -> str:
+        return self.data.decode("utf-8", "replace")
+
+    def _text_lines(self) -> list[str]:
+        return [y for x in self.text.split("\n") if (y := x.strip(" \t\n\v\f\r"))]
+
+    def _n_bullets(self) -> int:
+        return sum(x.startswith(BULLETS) for x in self.text_lines)
+
+    def _n_cut_off(self) -> int:
+        return sum(x.endswith(CUT_OFF) for x in self.text_lines)
+
+    def _n_lettered(self) -> int:
+        return sum(_LETTER.search(w) is not None for w in self.text.translate(_SPACED).split(" "))
+
+    def _top_pair_chars(self) -> int:
+        """Characters (with the space) in occurrences of the most frequent pair of words; ties: the most characters."""
+        if self.n_words < 2:
+            return 0
+        pairs: dict[tuple[bytes, bytes], int] = {}
+        for pair in zip(self.words, self.words[1:], strict=False):
+            pairs[pair] = pairs.get(pair, 0) + 1
+        most = max(pairs.values())
+        return max(most * (len(a.decode("utf-8", "replace")) + len(b.decode("utf-8", "replace")) + 1) for (a, b), n in pairs.items() if n == most)
+
+    def _n_chars(self) -> int:
+        return len(self.text)
+
+
+_SPACED = {x: " " for x in range(0x09, 0x0E)}
 
 
 @dataclass(frozen=True)
@@ -86,8 +122,12 @@ class Rule:
     base: bool = False
 
 
-def default_rules(min_words: int = 10, repeat_percent: int = 20, dup_line_percent: int = 30, chars_per_word: tuple[int, int] = (2, 20)) -> list[Rule]:
-    """The contract's two base rules, then symbol density, duplicate lines and word length."""
+def default_rules(
+    min_words: int = 10, repeat_percent: int = 20, dup_line_percent: int = 30, chars_per_word: tuple[int, int] = (2, 20), bullet_percent: int = 90, cut_off_percent: int = 30, lettered_percent: int = 45,
+    pair_percent: int = 20, long_words: int = 50,
+) -> list[Rule]:
+    """The contract's two base rules; symbol density, duplicate lines, word length; then shares of list items,
+    of cut-off lines, of words with a letter and of the most frequent pair of words (of texts over ``long_words``)."""
     low, high = chars_per_word
     return [
         Rule("few_words", lambda f: f.n_words < min_words, base=True),
@@ -95,19 +135,31 @@ def default_rules(min_words: int = 10, repeat_percent: int = 20, dup_line_percen
         Rule("symbols", lambda f: f.n_symbols > f.n_words),
         Rule("dup_lines", lambda f: 100 * f.n_dup_lines > dup_line_percent * f.n_lines),
         Rule("word_length", lambda f: not low * f.n_words <= f.word_chars <= high * f.n_words),
+        Rule("bullets", lambda f: 100 * f.n_bullets > bullet_percent * len(f.text_lines)),
+        Rule("cut_off", lambda f: 100 * f.n_cut_off > cut_off_percent * len(f.text_lines)),
+        Rule("lettered", lambda f: 100 * f.n_lettered < lettered_percent * f.n_words),
+        Rule("pairs", lambda f: f.n_words > long_words and 100 * f.top_pair_chars > pair_percent * f.n_chars),
     ]
 
 
 def estimate(docs: DataFrame, rules: list[Rule], text_col: str = "text", sample_rows: int = 256, sample_chars: int = 100_000) -> dict[str, tuple[float, float]]:
     """{rule: (seconds per text, share rejected)} over ``sample_rows`` texts of ``sample_chars`` at most.
 
-    The sample is what a scan meets first (few partitions are read) and only decides on an order.
+    The sample is every twentieth row, by chance, of the partitions that a scan comes to first (no whole scan
+    for an order); it only decides on an order. A rule is charged for its own features alone: what
+    all rules need (words, decoded text, lines) is measured before.
     """
     spent, rejected = [0.0] * len(rules), [0] * len(rules)
-    rows = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("t")).where(F.length("t") <= sample_chars).limit(sample_rows).collect()
+    texts = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("t")).where(F.length("t") <= sample_chars)
+    rows = texts.sample(0.05, seed=7).limit(sample_rows).collect()
+    if len(rows) < sample_rows:  # a small table
+        rows = texts.limit(sample_rows).collect()
     for row in rows:
         for k, rule in enumerate(rules):
-            features, began = Features(row["t"].encode()), time.perf_counter()
+            features = Features(row["t"].encode())
+            for shared in ("n_words", "n_lines", "text", "text_lines"):
+                getattr(features, shared)
+            began = time.perf_counter()
             rejected[k] += rule.rejects(features)
             spent[k] += time.perf_counter() - began
     return {r.name: (s / len(rows), n / len(rows)) for r, s, n in zip(rules, spent, rejected, strict=True)} if rows else {}
@@ -138,7 +190,8 @@ def quality_cascade(docs: DataFrame, rules: list[Rule] | None = None, *, id_col:
     are; repeated rows each get a row; an empty table gives an empty result; other columns are
     ignored. ``rejected_by`` is the first rejecting rule in the measured order, so a text that several
     rules reject may name another one in another run; ``kept`` never changes. With ``measures`` the
-    features that the cascade has measured are reused for the base columns.
+    features that the cascade has measured are reused for the base columns; the features of other rules
+    are measured only where the cascade comes to them.
     """
     T.prepare(docs.sparkSession)
     rules = default_rules() if rules is None else rules

@@ -13,7 +13,7 @@ import pytest
 from plumbline.llm.decontaminate import decontaminate
 from plumbline.llm.lm import lm_score
 from plumbline.llm.near import near_duplicates, prefix_depth
-from plumbline.llm.quality import Features, Rule, default_rules, order_rules, quality_cascade
+from plumbline.llm.quality import Features, Rule, cascade, default_rules, order_rules, quality_cascade
 from plumbline.llm.repeats import remove_repeats
 from plumbline.llm.suffixes import repeated_windows, suffix_order
 from pyspark.sql import functions as F
@@ -62,12 +62,34 @@ def test_long_text_finds_the_same_windows():
     assert features.n_repeat_words == 100
 
 
+def test_costly_rules_are_skipped(spark):
+    """The registered rules: a rule's own feature is measured only where the cascade comes to it."""
+    rules = default_rules()
+    texts = ["word " * 400, "a b", "# $ % & " * 30, "- item one of the list here\n" * 3 + "- x", "Once upon a time there was a long story about nothing much at all, really nothing. " * 1]
+    counted = Counter()
+    for t in texts:
+        features = Features(t.encode())
+        cascade(features, rules)
+        counted.update(n for n in ("n_repeat_words", "n_symbols", "top_pair_chars", "n_lettered", "n_bullets") if n in vars(features))
+    assert counted["n_repeat_words"] == 4 and counted["top_pair_chars"] < counted["n_lettered"] <= counted["n_bullets"] < counted["n_symbols"] == counted["n_repeat_words"] - 1 or counted["n_symbols"] < counted["n_repeat_words"]
+    for order in itertools.permutations(rules[2:], 2):
+        assert cascade(Features(texts[4].encode()), list(order)) is None
+
+
+def test_rules_by_hand():
+    by = {r.name: r for r in default_rules()}
+    rejects = lambda name, t: by[name].rejects(Features(t.encode()))
+    assert rejects("bullets", "- a\n\t• b\n") and not rejects("bullets", "- a\nb\n") and not rejects("bullets", "")
+    assert rejects("cut_off", "one...\ntwo…\nthree") and not rejects("cut_off", "one.\ntwo\nthree\nfour...")
+    assert rejects("lettered", "1 2 3 é x") and not rejects("lettered", "1 2 a b é")
+    assert rejects("pairs", "go on " * 60) and not rejects("pairs", "go on " * 20) and not rejects("pairs", " ".join(f"w{i}" for i in range(99)))
+
+
 def test_order_changes_work_and_not_verdicts(spark):
     rules = default_rules()
     figures = {r.name: (1.0, 0.1 * k) for k, r in enumerate(rules)}
     assert [r.name for r in order_rules(rules, figures)] == [r.name for r in reversed(rules)]
-    calls = []
-    costly = [Rule("never", lambda f: calls.append(1) or False), Rule("always", lambda f: True)]
+    costly = [Rule("never", lambda f: False), Rule("always", lambda f: True)]
     assert order_rules(costly, {"never": (1.0, 0.0), "always": (0.1, 1.0)})[0].name == "always"
     df = frame(spark, [(i, t) for i, t in enumerate(TEXTS)])
     verdict = lambda rs: rows_of(quality_cascade(df, rs), "doc_id", "kept")
