@@ -20,6 +20,8 @@ from plumbline.llm import text as T
 
 SPAN = 13
 K = 5
+#: Parts of a frequent fingerprint's or item's documents where they are joined.
+SALTS = 8
 
 
 def _sliding_min(values: np.ndarray, width: int) -> np.ndarray:
@@ -62,10 +64,10 @@ def decontaminate(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id",
     columns are ignored. Item ids of a document are kept as a sorted list of strings. With ``carry`` all
     columns of ``docs`` come along in a struct ``row``, so that a selection needs no join.
 
-    Plan: the item windows become a table (fingerprint, length, item, window hashes). Document
-    fingerprints are semi-joined with it, by broadcast when the fingerprints of the items are
-    measured to fit ``broadcast_bytes`` and by shuffle otherwise; only hit documents are read again
-    with the windows of their items.
+    Plan: an item becomes a row of its fingerprints and window hashes. Document fingerprints meet the
+    items' by broadcast when all items are measured to fit ``broadcast_bytes`` and by shuffle otherwise;
+    then the windows of an item are joined once for each document that one of its fingerprints hit, and
+    extended there.
     """
     spark = docs.sparkSession
     T.prepare(spark)
@@ -74,8 +76,9 @@ def decontaminate(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id",
     width = span - k + 1
 
     def item_rows(batches):
+        """An item's fingerprints, length of a window, and its distinct windows."""
         for batch in batches:
-            out: dict[str, list] = {"fp": [], "n": [], "item": [], "windows": []}
+            out: dict[str, list] = {"item": [], "n": [], "prints": [], "windows": []}
             for item, text in zip(batch.column(0).to_pylist(), T.utf8(batch.column(1)), strict=True):
                 words, counts = T.words([text], T.ALNUM, fold=True)
                 if item is None or not len(words):
@@ -83,14 +86,13 @@ def decontaminate(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id",
                 n = min(len(words), span)
                 windows = np.unique(window_hashes(words, span))
                 prints = np.unique(winnow(words, counts, k, width)[0]) if n == span else windows
-                blob = windows.tobytes()
-                for fp in prints.view(np.int64).tolist():
-                    for key, value in (("fp", fp), ("n", n), ("item", str(item)), ("windows", blob)):
-                        out[key].append(value)
-            yield pa.RecordBatch.from_pydict({"fp": pa.array(out["fp"], pa.int64()), "n": pa.array(out["n"], pa.int32()), "item": pa.array(out["item"], pa.string()), "windows": pa.array(out["windows"], pa.binary())})
-
-    prints = items.select(F.col(item_col), F.col(item_text_col)).mapInArrow(item_rows, "fp long, n int, item string, windows binary")
-    size = prints.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.length("windows") + F.length("item") + 40), F.lit(0)).alias("bytes"), F.collect_set("n").alias("n")).first()
+                for key, value in (("item", str(item)), ("n", n), ("prints", prints.view(np.int64).tolist()), ("windows", windows.tobytes())):
+                    out[key].append(value)
+            yield pa.RecordBatch.from_pydict({"item": pa.array(out["item"], pa.string()), "n": pa.array(out["n"], pa.int32()), "prints": pa.array(out["prints"], pa.list_(pa.int64())), "windows": pa.array(out["windows"], pa.binary())})
+
+    # A row for each item: its windows are held once, whatever the number of its fingerprints.
+    rows_of_items = items.select(F.col(item_col), F.col(item_text_col)).mapInArrow(item_rows, "item string, n int, prints array<long>, windows binary")
+    size = rows_of_items.agg(F.coalesce(F.sum(F.length("windows") + 8 * F.size("prints") + F.length("item") + 40), F.lit(0)).alias("bytes"), F.collect_set("n").alias("n")).first()
     short = sorted(n for n in size["n"] if n < span)
     small = size["bytes"] <= broadcast_bytes
     kind = docs.select(id_col).schema[0].dataType.simpleString()
@@ -146,11 +148,13 @@ def decontaminate(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id",
     if carry:
         schema = f"row {source.schema['row'].dataType.simpleString()}, {schema}"
     if small:
-        rows = prints.collect()  # at most broadcast_bytes, as measured above
-        table = {n: np.unique(np.array([r["fp"] for r in rows if r["n"] == n], np.int64).view(np.uint64)) for n in {r["n"] for r in rows}}
+        rows = rows_of_items.collect()  # at most broadcast_bytes, as measured above
+        table = {n: np.unique(np.concatenate([np.array(r["prints"], np.int64) for r in rows if r["n"] == n]).view(np.uint64)) for n in {r["n"] for r in rows}}
         by_print: dict[int, set[tuple[str, int, bytes]]] = {}
         for r in rows:
-            by_print.setdefault(r["fp"] & (2**64 - 1), set()).add((r["item"], r["n"], bytes(r["windows"])))
+            own = (r["item"], r["n"], bytes(r["windows"]))
+            for fp in r["prints"]:
+                by_print.setdefault(fp & (2**64 - 1), set()).add(own)
 
         def local(batches):
             for ids, row, part, _, counts, owner, fps in scan(batches, table):
@@ -185,10 +189,13 @@ def decontaminate(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id",
         for batch in batches:
             yield pa.RecordBatch.from_pydict(dict(zip(names, batch.columns, strict=True)) | {"digest": pa.array([hashlib.blake2b(x, digest_size=8).digest() for x in T.utf8(batch.column(1))], pa.binary())})
 
-    hits = (
-        source.select("id", "text").mapInArrow(emit, f"id {kind}, digest binary, fp long").join(prints.distinct(), "fp")
-        .select("id", "digest", F.struct("item", "n", "windows").alias("w")).distinct().groupBy("id", "digest").agg(F.collect_list("w").alias("windows"))
-    )
+    # Fingerprints find (document, item); the windows of an item come after, once for each such pair. A passage
+    # that many documents or items share is a frequent fingerprint: documents' rows are salted.
+    prints = rows_of_items.select(F.explode("prints").alias("fp"), "item", "n").distinct().withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    found = source.select("id", "text").mapInArrow(emit, f"id {kind}, digest binary, fp long").withColumn("salt", F.pmod(F.xxhash64("digest"), F.lit(SALTS)).cast("int"))
+    pairs = found.join(prints, ["fp", "salt"]).select("id", "digest", "item", "n").distinct().withColumn("salt", F.pmod(F.xxhash64("digest"), F.lit(SALTS)).cast("int"))
+    whole = rows_of_items.select("item", "n", "windows").distinct().withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    hits = pairs.join(whole, ["item", "n", "salt"]).groupBy("id", "digest").agg(F.collect_list(F.struct("item", "n", "windows")).alias("windows"))
     marked = source.mapInArrow(digest, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in source.schema) + ", digest binary").alias("d")
     joined = marked.join(hits.alias("h"), F.col("d.id").eqNullSafe(F.col("h.id")) & (F.col("d.digest") == F.col("h.digest")), "left").select("d.id", "d.text", "h.windows", *(["d.row"] if carry else []))
     return joined.mapInArrow(finish, schema).withColumnRenamed("id", id_col)
