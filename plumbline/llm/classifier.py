@@ -20,8 +20,6 @@ from plumbline.llm import text as T
 BITS = 18
 #: Rated rows that training takes at most: those with the least hash of their id. Fixed and documented.
 SAMPLE_ROWS = 10_000
-#: Longest text of the training sample, in characters; longer ones are left out of training alone.
-SAMPLE_CHARS = 50_000
 
 _UPPER = np.zeros(256, bool)
 _UPPER[0x41:0x5B] = True
@@ -99,13 +97,14 @@ def train(docs: DataFrame, ratings: DataFrame, *, id_col: str = "doc_id", text_c
     """Fit on at most ``sample_rows`` rated texts, those with the least hash of their id.
 
     Rows without a text, id or grade, and grades outside 0..levels-1, are not used; without any row all
-    weights are 0 and every text gets the same probabilities.
+    weights are 0 and every text gets the same probabilities. Texts of any length are used whole: a row of
+    the sample is its distinct feature indices, at most 2**BITS of them.
     """
     T.prepare(docs.sparkSession)
     rated = ratings.where(F.col(id_col).isNotNull() & F.col(grade_col).between(0, levels - 1)).select(F.col(id_col).alias("id"), F.col(grade_col).cast("int").alias("grade"))
     # The bound comes first: at most sample_rows ratings are ever joined with texts.
     rated = rated.withColumn("h", F.xxhash64(F.col("id"))).orderBy("h", "id", "grade").limit(sample_rows).select("id", "grade")
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull() & (F.length("text") <= SAMPLE_CHARS))
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull())
 
     def extract(batches):
         for batch in batches:
