@@ -19,14 +19,14 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def salted_join(left: DataFrame, right: DataFrame, on: str, by: str, how: str = "inner", salts: int = 16) -> DataFrame:
+def salted_join(left: DataFrame, right: DataFrame, on: str | list[str], by: str | list[str], how: str = "inner", salts: int = 16) -> DataFrame:
     """``left`` joined with ``right``, which has one row for each ``on``: rows of a frequent key are dealt out by ``by``.
 
     ``right`` comes ``salts`` times, so it should be the narrow side.
     """
-    dealt = left.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(salts)).cast("int"))
+    dealt = left.withColumn("_salt", F.pmod(F.xxhash64(*([by] if isinstance(by, str) else by)), F.lit(salts)).cast("int"))
     copies = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return dealt.join(copies, [on, "_salt"], how).drop("_salt")
+    return dealt.join(copies, [*([on] if isinstance(on, str) else on), "_salt"], how).drop("_salt")
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm import text as T
-from plumbline.llm.graph import checkpointed
+from plumbline.llm.graph import checkpointed, salted_join
 from plumbline.session import checkpoint_dir
 
 VERSION = b"WARC/1.1"
@@ -153,7 +153,7 @@ def write_archives(pages: DataFrame, folder: str, *, id_col: str = "page_id", ur
 
     measured = source.select("id", "html").mapInArrow(measure, f"id {kind}, digest string, size long").where(F.col("size") >= min_payload).select("id", "digest")
     first = measured.groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
-    repeats = measured.distinct().join(first, "digest").where(~F.col("id").eqNullSafe(F.col("first"))).select("id", "digest", "first")
+    repeats = salted_join(measured.distinct(), first, "digest", "id").where(~F.col("id").eqNullSafe(F.col("first"))).select("id", "digest", "first")
 
     def tag(batches):
         for batch in batches:
