@@ -156,3 +156,19 @@ n AS (SELECT u AS c, count(*) AS n_links FROM links GROUP BY u)
 SELECT doc_id, coalesce(class_id, doc_id) AS class_id, coalesce(copy_id, doc_id) AS copy_id, coalesce(n_copies, 1) AS n_copies, coalesce(n_links, 0) AS n_links
 FROM d LEFT JOIN sets USING (k) LEFT JOIN classes USING (c) LEFT JOIN heads USING (c) LEFT JOIN n USING (c)
 """
+
+#: Bytes as hexadecimal digits, two a byte; windows are compared by 128 bits.
+SQL["op8_suffix_dedup"] = """
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT k, i, md5_number(h[2*i+1:2*i+400]) AS m FROM (SELECT k, h, unnest(range(0, len(h) // 2 - 199)) AS i FROM d WHERE len(h) >= 400)),
+hit AS (SELECT k, i FROM (SELECT k, i, count(*) OVER (PARTITION BY m) AS n FROM w) WHERE n > 1),
+marked AS (SELECT k, i, CASE WHEN lag(i) OVER (PARTITION BY k ORDER BY i) >= i - 200 THEN 0 ELSE 1 END AS fresh FROM hit),
+spans AS (SELECT k, min(i) AS a, max(i) + 200 AS b FROM (SELECT k, i, sum(fresh) OVER (PARTITION BY k ORDER BY i) AS g FROM marked) GROUP BY k, g),
+gaps AS (
+  SELECT k, lag(b, 1, 0) OVER (PARTITION BY k ORDER BY a) AS a, a AS b FROM spans
+  UNION ALL SELECT k, max(b), max(len(h)) // 2 FROM spans JOIN d USING (k) GROUP BY k
+), kept AS (SELECT k, string_agg(h[2*a+1:2*b], '' ORDER BY a) AS h FROM gaps JOIN d USING (k) GROUP BY k),
+f AS (SELECT k, sum(b - a) AS n_removed, count(*) AS n_spans FROM spans GROUP BY k)
+SELECT doc_id, CAST(len(d.h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(kept.h, d.h))) AS kept_sha256
+FROM d LEFT JOIN f USING (k) LEFT JOIN kept USING (k)
+"""

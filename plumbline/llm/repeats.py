@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm import text as T
-from plumbline.llm.graph import checkpointed
+from plumbline.llm.graph import checkpointed, salted_join
 from plumbline.llm.suffixes import repeated_windows
 
 GROUP_BYTES = 1_500_000
@@ -226,7 +226,7 @@ def repeated_ranges(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     hot_rows = pieces(F.col("bytes") > group_bytes).dropDuplicates(["d1", "d2", "at"]).select("n", "d1", "d2", "at", "data").mapInArrow(windows, "w1 long, w2 long, n long, d1 long, d2 long, a int")
     recurring = hot_rows.groupBy("w1", "w2").agg(F.count("*").alias("times")).where("times > 1").select("w1", "w2")
-    hot = hot_rows.where("n = 1").join(recurring, ["w1", "w2"]).select("d1", "d2", "a", (F.col("a") + length).alias("b"))
+    hot = salted_join(hot_rows.where("n = 1"), recurring, ["w1", "w2"], ["d1", "a"]).select("d1", "d2", "a", (F.col("a") + length).alias("b"))
     found = whole.unionByName(cold)
     if keys.where(F.col("bytes") > group_bytes).limit(1).count():
         found = found.unionByName(hot)
@@ -250,9 +250,10 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
 
     def pack(batches):
         press = zstandard.ZstdCompressor(level=1)
-        for batch in batches:
+        for n, batch in enumerate(batches):
             texts = T.utf8(batch.column(1))
-            marks = [digest(x) for x in texts]
+            # A text too short for a window has a key of its own: it matches nothing, and such texts spread over all tasks.
+            marks = [digest(x if len(x) >= length else f"{n}/{k}".encode()) for k, x in enumerate(texts)]
             yield pa.RecordBatch.from_pydict({"id": batch.column(0), "d1": pa.array([m[0] for m in marks], pa.int64()), "d2": pa.array([m[1] for m in marks], pa.int64()), "z": pa.array([press.compress(x) for x in texts], pa.binary())} | ({"row": batch.column(2)} if carry else {}))
 
     def finish(batches):
@@ -272,5 +273,6 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
             yield pa.RecordBatch.from_pydict({"id": batch.column(0), "text": pa.array(out["text"], pa.string()), "n_bytes": pa.array(out["n_bytes"], pa.int64()), "n_removed": pa.array(out["n_removed"], pa.int64()), "n_spans": pa.array(out["n_spans"], pa.int64()), "kept_sha256": pa.array(out["kept_sha256"], pa.string())} | ({"row": batch.column(3)} if carry else {}))
 
     packed = source.mapInArrow(pack, f"id {kind}, d1 long, d2 long, z binary{also}")
-    joined = packed.join(ranges, ["d1", "d2"], "left").select("id", "z", "ranges", *(["row"] if carry else []))
+    # Exact copies share a key, so their rows are salted.
+    joined = salted_join(packed, ranges, ["d1", "d2"], "id", "left", salts=8).select("id", "z", "ranges", *(["row"] if carry else []))
     return joined.mapInArrow(finish, f"id {kind}, text string, n_bytes long, n_removed long, n_spans long, kept_sha256 string{also}").withColumnRenamed("id", id_col)
