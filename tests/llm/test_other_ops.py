@@ -285,6 +285,64 @@ def test_classifier_edges(spark):
     assert (train(docs, ratings.limit(0)).weights == 0).all()
 
 
+def test_classifier_on_held_out_labels():
+    """Three quarters of the labels of sf0.1 to fit, the rest to judge: the figures that the README gives."""
+    import duckdb
+
+    d = "/root/testdata/sf0.1"
+    rows = duckdb.sql(f"SELECT text, CASE WHEN toxic = 1 THEN 0 WHEN quality = 1 THEN 2 ELSE 1 END FROM '{d}/documents.parquet' JOIN '{d}/labels.parquet' USING (doc_id) WHERE text IS NOT NULL ORDER BY md5(CAST(doc_id AS VARCHAR))").fetchall()
+    grade, found = np.array([r[1] for r in rows]), features([r[0].encode() for r in rows])
+    cut = len(rows) * 3 // 4
+    accepted, truth = fit(found[:cut], grade[:cut], 3).tails(found[cut:])[:, 1] >= 0.5, grade[cut:]
+    assert (accepted == (truth == 2)).mean() > 0.93 and accepted[truth == 2].mean() > 0.97
+    assert accepted[truth == 1].mean() < 0.2 and accepted[truth == 0].mean() < 0.3
+
+
+def test_classifier_takes_texts_of_any_length(spark):
+    rows = [(i, " ".join(["good"] * 30), 2) for i in range(8)] + [(100 + i, "bad " * 30_000, 0) for i in range(8)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    model = train(docs, spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, grade int"))
+    assert {r["doc_id"]: r["kept"] for r in classify(docs, model).collect()} == {i: g == 2 for i, _, g in rows}
+
+
+# --- mixing against brute force
+
+
+def test_places_match_brute_force(spark):
+    """Slot by slot over all sources with blocks left: the earliest deadline among released blocks, by exact fractions."""
+    from fractions import Fraction
+
+    rnd = random.Random(3)
+    for trial in range(4):
+        sources = {f"s{k}": rnd.randint(0, 25) for k in range(5)} | {"last": 3}
+        weights = {s: rnd.choice([0.1, 1 / 3, 2.0, 7.0, 2**0.5]) for s in sources}
+        rows = [(1000 * k + i, s) for k, (s, n) in enumerate(sources.items()) for i in range(n)]
+        got = mix_sources(spark.createDataFrame(rows, "doc_id long, source string"), weights, block_rows=1).collect()
+        left, slot, expected = {s: n for s, n in sources.items() if n}, 0, {}
+        taken = dict.fromkeys(left, 0)
+        while left:
+            total, start, place = sum(Fraction(weights[s]) for s in left), slot, dict.fromkeys(left, 0)
+            while True:
+                now = slot - start
+                windows = []
+                for s, j in place.items():
+                    rate = Fraction(weights[s]) / total
+                    release, deadline, after = (j / rate).__floor__(), ((j + 1) / rate).__ceil__(), ((j + 2) / rate).__ceil__()
+                    if release <= now:
+                        windows.append((deadline, after - deadline, "+" + s, s))
+                s = min(windows)[3]
+                if place[s] == left[s]:
+                    break
+                expected[slot] = (s, taken[s] + place[s])
+                place[s] += 1
+                slot += 1
+            for s, n in place.items():
+                taken[s] += n
+                left[s] -= n
+            left = {s: n for s, n in left.items() if n}
+        assert {r["position"]: (r["source"], r["block"]) for r in got} == expected, trial
+
+
 # --- pipeline
 
 
@@ -330,3 +388,24 @@ def test_pipeline_rows_with_null_and_repeated_ids(spark):
     assert set(pipeline.repeats(spark, few, "").collect()) == set(few.collect())
     mixed = pipeline.mixture(spark, few, "")
     assert {tuple(r)[:5] for r in mixed.collect()} == {tuple(r) for r in few.collect()} and mixed.select("position").distinct().count() == 6
+
+
+def test_pipeline_on_odd_tables(spark, tmp_path):
+    import corpus_pipeline as pipeline
+
+    rnd = random.Random(10)
+    prose = lambda n: " ".join(f"w{rnd.randrange(9000)}" for _ in range(n))
+    passage = prose(20)
+    rows = [(k, prose(60), "en", f"s{k % 3}", 1) for k in range(40)] + [(None, prose(60), None, None, None), (5, prose(60), "en", "s0", 1), (90, None, None, None, None), (91, "", "", "", 0)]
+    rows += [(92, prose(150_000), "en", "s1", 1), (93, passage, "en", "s1", 1), rows[0], rows[0]]
+    ddl = "doc_id long, text string, lang string, source string, n_chars long"
+    tables = {"documents": (rows, ddl), "labels": ([(k, 1, 0) for k in range(40)], "doc_id long, quality int, toxic int"), "benchmark": ([(1, passage), (None, prose(20))], "item_id long, text string")}
+    for name, (data, kinds) in tables.items():
+        frame = spark.createDataFrame(data, kinds)
+        frame.write.parquet(str(tmp_path / "odd" / f"{name}.parquet"))
+        frame.limit(0).write.parquet(str(tmp_path / "none" / f"{name}.parquet"))
+    out = pipeline.run(spark, str(tmp_path / "odd")).collect()
+    ids = Counter(r["doc_id"] for r in out)
+    assert {k for k in ids if k is not None} >= set(range(40)) | {92} and 93 not in ids and ids[0] == 1 and ids[5] == 2 and ids[None] == 1
+    assert len({r["position"] for r in out}) == len(out) and next(r for r in out if r["doc_id"] == 92)["text"] == rows[-4][1]
+    assert pipeline.run(spark, str(tmp_path / "none")).count() == 0
