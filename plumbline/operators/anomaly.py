@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
+from plumbline.functions.running import running_totals
 from plumbline.operators.clusters import distance
 from plumbline.operators.reduce import moments, second_moments
 from plumbline.session import ship
@@ -156,7 +157,13 @@ def top_k_overlap(a: DataFrame, b: DataFrame, *, k: int) -> DataFrame:
 
 def spearman(a: DataFrame, b: DataFrame) -> DataFrame:
     """One row (rank_correlation) of ordinal ranks, ties broken by id."""
-    rank = lambda s, name: s.select("id", F.row_number().over(Window.orderBy("score", "id")).alias(name))
+
+    def rank(s: DataFrame, name: str) -> DataFrame:
+        """Ranks from the rows up to each score and the place among equal scores."""
+        upto = running_totals(s.groupBy("score").agg(F.count("*").alias("_n")), "score", {"_upto": F.col("_n")})
+        own = s.select("id", "score", F.row_number().over(Window.partitionBy("score").orderBy("id")).alias("_k"))
+        return own.join(upto, "score").select("id", (F.col("_upto") - F.col("_n") + F.col("_k")).alias(name))
+
     return rank(a, "ra").join(rank(b, "rb"), "id").agg(F.corr("ra", "rb").alias("rank_correlation"))
 
 

@@ -38,7 +38,7 @@ def popularity(train: DataFrame, users: DataFrame, *, k: int = 10) -> DataFrame:
     need = seen.groupBy("user").agg(F.count("*").alias("seen")).join(users, "user", "right").select("user", (F.coalesce("seen", F.lit(0)) + k).alias("need"))
     most = need.agg(F.max("need").alias("m")).first()["m"] or 0
     top = ranked.limit(int(most)).withColumn("place", F.row_number().over(Window.orderBy(F.desc("score"), "item")))
-    offered = need.join(F.broadcast(top), F.col("place") <= F.col("need")).select("user", "item", "score")
+    offered = need.select("user", F.explode(F.sequence(F.lit(1), F.col("need").cast("int"))).alias("place")).join(top, "place").select("user", "item", "score")
     return _rank(offered.join(seen, ["user", "item"], "left_anti"), k)
 
 
@@ -72,7 +72,7 @@ def random_items(train: DataFrame, users: DataFrame, *, k: int = 10, seed: int =
     most = need.agg(F.max("need").alias("m")).first()["m"] or 0
     top = items.limit(int(most)).withColumn("place", F.row_number().over(Window.orderBy("h", "item")))
     draw = F.conv(F.substring(F.md5(F.concat_ws("/", F.col("user").cast("string"), F.col("item").cast("string"), F.lit(str(seed)))), 1, 8), 16, 10).cast("double")
-    offered = need.join(F.broadcast(top), F.col("place") <= F.col("need")).select("user", "item", draw.alias("score"))
+    offered = need.select("user", F.explode(F.sequence(F.lit(1), F.col("need").cast("int"))).alias("place")).join(top, "place").select("user", "item", draw.alias("score"))
     return _rank(offered.join(seen, ["user", "item"], "left_anti"), k)
 
 
