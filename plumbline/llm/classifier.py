@@ -61,14 +61,22 @@ class OrdinalModel:
         return 1 / (1 + np.exp(-np.clip(self.logits(rows), -50, 50)))
 
 
-def fit(rows: list[np.ndarray], grades: np.ndarray, levels: int, *, epochs: int = 15, rate: float = 0.1, penalty: float = 1e-3, least: int = 4, seed: int = 0) -> OrdinalModel:
-    """Maximum likelihood with an L2 penalty by AdaGrad over mini-batches; features of fewer than ``least`` rows stay 0."""
+def fit(rows: list[np.ndarray], grades: np.ndarray, levels: int, *, epochs: int = 15, rate: float = 0.1, penalty: float = 1e-3, least: int = 4, evidence: float = 3.0, seed: int = 0) -> OrdinalModel:
+    """Maximum likelihood with an L2 penalty by AdaGrad over mini-batches.
+
+    Features of fewer than ``least`` rows, and those whose mean grade is within ``evidence`` standard errors of
+    the mean of all rows (fewer in samples so small that none could reach it), stay 0: else the many words
+    that say nothing outweigh the few that do.
+    """
     rng = np.random.default_rng(seed)
     size = 1 << BITS
-    seen = np.zeros(size, np.int32)
-    for r in rows:
+    seen, sums = np.zeros(size, np.int32), np.zeros(size)
+    for r, grade in zip(rows, grades.tolist(), strict=True):
         seen[r] += 1  # indices of a row are distinct
-    rows = [r[seen[r] >= least] for r in rows]
+        sums[r] += grade
+    off = np.abs(sums - seen * grades.mean()) / np.sqrt(np.maximum(seen, 1)) / max(grades.std(), 1e-9)
+    used_at_all = (seen >= least) & (off >= min(evidence, len(rows) ** 0.5 / 2))
+    rows = [r[used_at_all[r]] for r in rows]
     w, w_sq = np.zeros(size), np.full(size, 1e-8)
     share = np.clip(np.cumsum(np.bincount(grades, minlength=levels)) / len(grades), 0.01, 0.99)[:-1]
     t, t_sq = np.sort(np.log(share / (1 - share))), np.full(levels - 1, 1e-8)
