@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Rows of a replicate that one window of the permutation holds, about.
+BUCKET_ROWS = 50_000
+
 
 def build_baskets(lines: DataFrame) -> DataFrame:
     """Distinct (basket, item) of baskets with two items or more."""
@@ -49,12 +52,14 @@ def permuted_baskets(baskets: DataFrame, replicates: int, *, seed: int = 0) -> D
     """(replicate, basket, item): the pool of items dealt anew to slots of the same sizes, duplicates in a basket dropped.
 
     Slots and pool are ranked by bucket, so no replicate is one sorted task: rank within a bucket of a
-    hash and match the ranks of equal buckets, whose sizes are equal as both are dealt from one list.
+    hash and match the ranks of equal buckets, whose sizes are equal as both are dealt from one list. A
+    bucket has about ``BUCKET_ROWS`` rows, so small tables are one bucket a replicate.
     """
+    buckets = max(1, baskets.count() // BUCKET_ROWS)
     rows = baskets.select("basket", "item").withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
     slots = rows.withColumn("h", F.xxhash64("replicate", "basket", "item", F.lit(seed)))
     bucket = Window.partitionBy("replicate", "bucket")
-    slots = slots.withColumn("bucket", F.pmod(F.xxhash64("replicate", "basket", "item", F.lit(seed + 1)), F.lit(64)))
+    slots = slots.withColumn("bucket", F.pmod(F.xxhash64("replicate", "basket", "item", F.lit(seed + 1)), F.lit(buckets)))
     ranked = slots.withColumn("k", F.row_number().over(bucket.orderBy("basket", "item"))).withColumn("j", F.row_number().over(bucket.orderBy("h", "basket", "item")))
     deal = ranked.select("replicate", "bucket", F.col("k").alias("slot"), "basket")
     pool = ranked.select("replicate", "bucket", F.col("j").alias("slot"), "item")

@@ -5,12 +5,10 @@ All metrics start from counts by distinct score, so ties are exact and one aggre
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.functions.running import running_totals
+from plumbline.functions.running import exact_quantiles, running_totals
 
 
 def by_score(scored: DataFrame, *, digits: int | None = None, groups: tuple[str, ...] = ()) -> DataFrame:
@@ -50,23 +48,12 @@ def roc(scored: DataFrame) -> DataFrame:
 def auc(scored: DataFrame, *, groups: tuple[str, ...] = ()) -> DataFrame:
     """(groups, auc): the share of (positive, negative) pairs in order, ties counting half; 0.5 if a class is missing."""
     each = by_score(scored, groups=groups)
-    if groups:
-        below = F.sum(F.col("n") - F.col("pos")).over(Window.partitionBy(*groups).orderBy("score").rowsBetween(Window.unboundedPreceding, 0))
-        run = each.withColumn("negatives", below)
-    else:
-        run = running_totals(each, "score", {"negatives": F.col("n") - F.col("pos")})
+    run = running_totals(each, "score", {"negatives": F.col("n") - F.col("pos")}, groups=groups)
     own = F.col("n") - F.col("pos")
     figures = run.groupBy(*groups).agg(F.sum(F.col("pos") * (F.col("negatives") - own / 2)).alias("wins"), F.sum("pos").alias("p"), F.sum(own).alias("m"))
     return figures.select(*groups, F.when((F.col("p") > 0) & (F.col("m") > 0), F.col("wins") / (F.col("p") * F.col("m"))).otherwise(0.5).alias("auc"))
 
 
-def trapezoid(points: DataFrame, x: str, y: str) -> DataFrame:
-    """One row (area) under the points in the order of x."""
-    order = Window.orderBy(x, y)  # points of a curve: one row for each distinct score
-    step = (F.col(x) - F.lag(x).over(order)) * (F.col(y) + F.lag(y).over(order)) / 2
-    return points.select(step.alias("step")).agg(F.coalesce(F.sum("step"), F.lit(0.0)).alias("area"))
-
-
 def evaluate_at(scored: DataFrame, thresholds: list[float], *, cost_miss: float, cost_alarm: float) -> DataFrame:
     """(threshold, cost, tp, fp, fn, tn, recall, precision, accuracy) of predicting score >= threshold, in one pass."""
     picks = scored.sparkSession.createDataFrame([(float(t),) for t in thresholds], "threshold double")
@@ -132,7 +119,7 @@ def calibration_curve(scored: DataFrame, *, bins: int = 10) -> DataFrame:
 def quantile_reliability(scored: DataFrame, *, bins: int = 12) -> DataFrame:
     """(bin, predicted, observed, n) on quantile bins: a bin begins at an inner distinct quantile and holds at least one row."""
     q = [k / bins for k in range(bins + 1)]
-    edges = scored.agg(F.array_distinct(F.percentile("score", q)).alias("edges"))
+    edges = exact_quantiles(scored, "score", q, "edges").select(F.array_distinct("edges").alias("edges"))
     inner = F.slice("edges", F.lit(2), F.greatest(F.size("edges") - 2, F.lit(0)))
     binned = scored.crossJoin(F.broadcast(edges.select(inner.alias("inner")))).withColumn("bin", F.size(F.filter("inner", lambda e: e <= F.col("score"))))
     return binned.groupBy("bin").agg(F.avg("score").alias("predicted"), F.avg("y").alias("observed"), F.count("*").alias("n"))
@@ -184,7 +171,3 @@ def poisson_deviance(rows: DataFrame, predicted: str, actual: str) -> DataFrame:
     """One row (deviance): twice the mean of y ln(y / mu) - (y - mu), with mu at least 1e-9."""
     mu, y = F.greatest(F.col(predicted), F.lit(1e-9)), F.col(actual)
     return rows.agg((2 * F.avg(F.when(y > 0, y * F.log(y / mu)).otherwise(0.0) - (y - mu))).alias("deviance"))
-
-
-def normal_cdf(z: float) -> float:
-    return 0.5 * math.erfc(-z / math.sqrt(2))

@@ -9,7 +9,7 @@ from pyspark.ml.regression import GeneralizedLinearRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.functions.running import running_totals
+from plumbline.functions.running import exact_quantiles, running_totals
 
 #: Exposure edges of the credibility table. Fixed values.
 EXPOSURE_EDGES = [0.0, 0.05, 0.15, 0.35, 0.6, 0.85, 1.0]
@@ -25,7 +25,7 @@ def band(value: Column, edges: list[float], prefix: str) -> Column:
 
 def quantile_band(rows: DataFrame, column: str, bins: int, prefix: str, out: str) -> DataFrame:
     """``rows`` with right-closed quantile bands prefix1..prefixN."""
-    cuts = rows.agg(F.percentile(column, [k / bins for k in range(1, bins)]).alias("_cuts"))
+    cuts = exact_quantiles(rows, column, [k / bins for k in range(1, bins)], "_cuts")
     return rows.crossJoin(F.broadcast(cuts)).withColumn(out, F.concat(F.lit(prefix), (F.size(F.filter("_cuts", lambda c: c < F.col(column))) + 1).cast("string"))).drop("_cuts")
 
 
@@ -107,12 +107,19 @@ def lift_table(rows: DataFrame, *, order: str = "predicted", bins: int = 10) ->
 
     Rows of (id, predicted, actual, exposure); the order is by prediction, then id.
     """
-    each = rows.groupBy(F.col(order).alias("_p")).agg(F.sort_array(F.collect_list("id")).alias("_ids"), F.count("*").alias("_k"))
-    run = running_totals(each, "_p", {"_upto": F.col("_k")})
-    placed = run.select(F.posexplode("_ids").alias("_i", "id"), (F.col("_upto") - F.col("_k") + F.col("_i")).alias("_at"))
     total = rows.agg(F.count("*").alias("_n"))
-    decile = F.size(F.filter(F.sequence(F.lit(1), F.lit(bins - 1)), lambda b: F.floor(F.col("_n") * b / bins) <= F.col("_at"))) + 1
-    binned = rows.join(placed.select("id", "_at"), "id").crossJoin(F.broadcast(total)).withColumn("decile", decile)
+    each = rows.groupBy(F.col(order).alias("_p")).agg(F.count("*").alias("_k"))
+    run = running_totals(each, "_p", {"_upto": F.col("_k")}).crossJoin(F.broadcast(total))
+
+    def decile(at: Column) -> Column:
+        return F.size(F.filter(F.sequence(F.lit(1), F.lit(bins - 1)), lambda b: F.floor(F.col("_n") * b / bins) <= at)) + 1
+
+    span = run.select("_p", "_n", (F.col("_upto") - F.col("_k")).alias("_from"), decile(F.col("_upto") - F.col("_k")).alias("_low"), decile(F.col("_upto") - 1).alias("_high"))
+    joined = rows.join(span, F.col(order).eqNullSafe(F.col("_p")))
+    # Only predictions that an edge cuts (fewer than bins) need their rows in the order of ids.
+    split = running_totals(joined.where("_low < _high").withColumn("_one", F.lit(1)), "id", {"_place": F.col("_one")}, groups=("_p",))
+    binned = joined.where("_low = _high").withColumn("decile", F.col("_low")).select("decile", "predicted", "actual", "exposure")
+    binned = binned.unionByName(split.withColumn("decile", decile(F.col("_from") + F.col("_place") - 1)).select("decile", "predicted", "actual", "exposure"))
     cells = binned.groupBy("decile").agg(F.count("*").alias("policies"), F.sum("exposure").alias("exposure_years"), (F.sum("predicted") / F.sum("exposure")).alias("predicted"), (F.sum("actual") / F.sum("exposure")).alias("actual"))
     return cells.withColumn("ratio", F.when(F.col("predicted") != 0, F.col("actual") / F.col("predicted")))
 
@@ -142,5 +149,5 @@ def credible_bands(rows: DataFrame, *, edges: list[float] | None = None, least_y
 
 def cap_losses(rows: DataFrame, column: str, *, quantile: float = 0.995) -> DataFrame:
     """``rows`` with positive losses capped at their quantile."""
-    cap = rows.where(F.col(column) > 0).agg(F.percentile(column, quantile).alias("_cap"))
+    cap = exact_quantiles(rows.where(F.col(column) > 0), column, [quantile]).select(F.get("cuts", F.lit(0)).alias("_cap"))
     return rows.crossJoin(F.broadcast(cap)).withColumn(column, F.least(F.col(column), F.coalesce("_cap", F.col(column)))).drop("_cap")

@@ -7,6 +7,11 @@ from pyspark.ml.recommendation import ALS
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.functions.running import exact_quantiles
+
+#: Items of a user that meet in one row when pairs are made.
+ITEM_BLOCK = 500
+
 
 def build_interactions(rows: DataFrame, *, min_user: int = 5, min_item: int = 10) -> DataFrame:
     """Rows of users with ``min_user`` rows and items with ``min_item``, both counted before filtering."""
@@ -18,7 +23,7 @@ def build_interactions(rows: DataFrame, *, min_user: int = 5, min_item: int = 10
 def temporal_split(rows: DataFrame, *, quantile: float = 0.8) -> DataFrame:
     """``rows`` (ts) with role: train up to one global quantile of time, test after it."""
     at = F.unix_micros(F.col("ts").cast("timestamp"))
-    cut = rows.agg(F.percentile(at, quantile).alias("_cut"))
+    cut = exact_quantiles(rows, at, [quantile]).select(F.get("cuts", F.lit(0)).alias("_cut"))
     return rows.crossJoin(F.broadcast(cut)).withColumn("role", F.when(at <= F.col("_cut"), "train").otherwise("test")).drop("_cut")
 
 
@@ -45,8 +50,13 @@ def popularity(train: DataFrame, users: DataFrame, *, k: int = 10) -> DataFrame:
 def item_similarity(train: DataFrame, *, neighbours: int = 50) -> DataFrame:
     """(item, other, similarity): cosine of the binary columns, each item's strongest neighbours (ties kept)."""
     seen = train.select("user", "item").distinct()
-    sets = seen.groupBy("user").agg(F.sort_array(F.collect_set("item")).alias("items"))
-    pairs = sets.select("items", F.posexplode("items").alias("k", "a")).select("a", F.explode(F.slice("items", F.col("k") + 2, F.size("items"))).alias("b"))
+    # A heavy user's items are dealt into blocks, and each pair of blocks is a row, so no task pairs all of them.
+    size = F.count("*").over(Window.partitionBy("user"))
+    dealt = seen.withColumn("blocks", F.ceil(size / ITEM_BLOCK)).withColumn("block", F.pmod(F.xxhash64("item"), F.col("blocks")))
+    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).groupBy("user", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
+    sets = met.agg(F.sort_array(F.collect_list(F.struct("item", "block"))).alias("items"))
+    first = sets.select("lo", "hi", "items", F.posexplode("items").alias("k", "x"))
+    pairs = first.select("lo", "hi", "x", F.explode(F.slice("items", F.col("k") + 2, F.size("items"))).alias("y")).where("lo = hi or x.block <> y.block").select(F.col("x.item").alias("a"), F.col("y.item").alias("b"))
     both = pairs.groupBy("a", "b").agg(F.count("*").alias("n"))
     counts = seen.groupBy("item").agg(F.count("*").alias("c"))
     joined = both.join(counts.select(F.col("item").alias("a"), F.col("c").alias("ca")), "a").join(counts.select(F.col("item").alias("b"), F.col("c").alias("cb")), "b")
@@ -82,8 +92,16 @@ def als(train: DataFrame, users: DataFrame, *, factors: int = 16, regularisation
     iu, ii = StringIndexer(inputCol="u", outputCol="ui").fit(pairs), StringIndexer(inputCol="i", outputCol="ix").fit(pairs)
     data = ii.transform(iu.transform(pairs)).select(F.col("ui").cast("int").alias("ui"), F.col("ix").cast("int").alias("ix"), F.lit(1.0).alias("r"), "u", "i")
     model = ALS(rank=factors, maxIter=iterations, regParam=regularisation, alpha=alpha, implicitPrefs=True, userCol="ui", itemCol="ix", ratingCol="r", seed=seed).fit(data)
-    most = data.groupBy("ui").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
-    offered = model.recommendForAllUsers(k + int(most)).select("ui", F.explode("recommendations").alias("e")).select("ui", F.col("e.ix").alias("ix"), F.col("e.rating").alias("score"))
+    # Users are offered k items more than they have seen, by classes of doubling size: one heavy user lengthens only its own list.
+    asked = data.join(users.select(F.col("user").cast("string").alias("u")).distinct(), "u", "left_semi")
+    need = asked.groupBy("ui").agg(F.ceil(F.log2(F.count("*"))).cast("int").alias("size")).cache()
+    offered = None
+    for (size,) in sorted(need.select("size").distinct().collect()):
+        one = model.recommendForUserSubset(need.where(F.col("size") == size).select("ui"), k + (1 << size)).select("ui", F.explode("recommendations").alias("e")).select("ui", F.col("e.ix").alias("ix"), F.col("e.rating").alias("score"))
+        offered = one if offered is None else offered.unionByName(one)
+    need.unpersist()
+    if offered is None:
+        return train.select("user", "item", F.lit(0).alias("rank")).limit(0)
     names = data.select("ui", F.col("u")).distinct().join(offered, "ui").join(data.select("ix", "i").distinct(), "ix")
     kinds = dict(train.dtypes)
     scored = names.select(F.col("u").cast(kinds["user"]).alias("user"), F.col("i").cast(kinds["item"]).alias("item"), "score").join(users, "user", "left_semi")

@@ -102,42 +102,59 @@ def truncated_svd(rows: DataFrame, k: int) -> Decomposition:
     return Decomposition("svd", axes, values[:k] / values.sum(), np.zeros(p), np.ones(p))
 
 
-def nmf(rows: DataFrame, k: int, *, iterations: int = 100, seed: int = 0) -> Decomposition:
-    """Non-negative factors by multiplicative updates, components ordered by weight.
+def _oriented(rows: DataFrame, k: int) -> np.ndarray:
+    """k x p non-negative start values from the columns' second moments.
 
-    An iteration passes over the rows once: each partition updates its own rows' weights for the current
-    components and returns the sums that the components' update needs (k x p and k x k numbers).
+    Each singular vector gives its heavier half (of the two signs), scaled by the root of its singular value; zeros,
+    which multiplicative updates can't leave, become a hundredth of the component's mean.
     """
-    ship(rows.sparkSession)
     p = len(rows.first()["x"])
-    rng = np.random.default_rng(seed)
+    values, axes = _top(second_moments(rows.select(F.transform("x", lambda v: F.greatest(v, F.lit(0.0))).alias("x")), np.zeros(p), np.ones(p)), k)
+    up, down = np.clip(axes, 0, None), np.clip(-axes, 0, None)
+    start = np.where((np.linalg.norm(up, axis=1) >= np.linalg.norm(down, axis=1))[:, None], up, down)
+    start = start * np.sqrt(np.sqrt(values[: len(start)]))[:, None]
+    if len(start) < k:  # more components than columns
+        start = np.vstack([start, np.repeat(start.mean(axis=0, keepdims=True), k - len(start), axis=0) * np.linspace(0.5, 1.5, k - len(start))[:, None]])
+    return np.maximum(start, np.maximum(start.mean(axis=1, keepdims=True) / 100, 1e-9))
+
+
+def nmf(rows: DataFrame, k: int, *, iterations: int = 100) -> Decomposition:
+    """Non-negative factors by multiplicative updates, from a start that singular vectors give (no seed).
+
+    ``explained`` is a component's share of the reconstruction's total (the sum of its weights over rows times the
+    sum of its coordinates); components come in its order. Negative values count as 0. An iteration passes over
+    the rows once: each partition solves for its rows' weights and returns what the update of the components
+    needs (k x p and k x k numbers).
+    """
+    ship(rows.sparkSession)
     data = rows.select("id", "x").cache()
-    mean = max(float(np.clip(moments(data)[0], 0, None).mean()), 1e-12)
-    h = np.abs(rng.normal(np.sqrt(mean / k), np.sqrt(mean / k) * 0.1, (k, p))) + 1e-6
+    h = _oriented(data, k)
+    p = h.shape[1]
 
     def pass_over(h):
         def add(batches):
-            top, low, squares = np.zeros((k, p)), np.zeros((k, k)), np.zeros(k)
+            top, low, mass = np.zeros((k, p)), np.zeros((k, k)), np.zeros(k)
             for batch in batches:
                 x = np.clip(np.stack(batch.column(1).to_numpy(zero_copy_only=False)), 0, None)
-                w = np.full((len(x), k), np.sqrt(mean / k))
-                gram = h @ h.T
+                w = np.repeat(x.sum(axis=1, keepdims=True) / max(h.sum(), 1e-12), k, axis=1) + 1e-12
+                gram, pull = h @ h.T, x @ h.T
                 for _ in range(30):
-                    w *= (x @ h.T) / (w @ gram + 1e-10)
-                top, low, squares = top + w.T @ x, low + w.T @ w, squares + (w**2).sum(axis=0)
-            yield pa.RecordBatch.from_pydict({"s": [np.concatenate([top.ravel(), low.ravel(), squares]).tolist()]})
+                    w *= pull / np.maximum(w @ gram, 1e-12)
+                top, low, mass = top + w.T @ x, low + w.T @ w, mass + w.sum(axis=0)
+            yield pa.RecordBatch.from_pydict({"s": [np.concatenate([top.ravel(), low.ravel(), mass]).tolist()]})
 
         row = data.mapInArrow(add, "s array<double>").agg(Summarizer.sum(array_to_vector("s")).alias("s")).first()["s"].toArray()
         return row[: k * p].reshape(k, p), row[k * p : k * p + k * k].reshape(k, k), row[-k:]
 
-    squares = np.ones(k)
+    mass = np.ones(k)
     for _ in range(iterations):
-        top, low, squares = pass_over(h)
-        h *= top / (low @ h + 1e-10)
+        top, low, mass = pass_over(h)
+        h = h * top / np.maximum(low @ h, 1e-12)
     data.unpersist()
-    weight = squares * (h**2).sum(axis=1)
-    order = np.argsort(-weight)
-    return Decomposition("nmf", h[order], weight[order] / max(weight.sum(), 1e-10), np.zeros(p), np.ones(p))
+    share = mass * h.sum(axis=1)
+    share = share / max(share.sum(), 1e-12)
+    order = sorted(range(k), key=lambda c: (-share[c], c))
+    return Decomposition("nmf", h[order], share[order], np.zeros(p), np.ones(p))
 
 
 def neighbour_ranks(rows: DataFrame, *, sample: int = 600, seed: int = 0) -> DataFrame:

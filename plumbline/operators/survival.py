@@ -138,26 +138,21 @@ def fit_cox(rows: DataFrame, columns: list[str], *, iterations: int = 40, tolera
     return Cox(columns, beta.tolist(), errors.tolist(), float(likelihood), int(n), int(events or 0))
 
 
-def concordance(rows: DataFrame, *, cells: int = 64) -> DataFrame:
+def concordance(rows: DataFrame) -> DataFrame:
     """One row (c_index, pairs): Harrell's index of ``risk``; 0.5 without comparable pairs.
 
-    Rows are counted by (duration, risk). Durations are cut into ``cells`` ranges: pairs of different
-    ranges follow from counts by range and risk, and only pairs within a range are joined.
+    Rows are counted by (duration, risk) and durations numbered. Two numbers differ first in one bit, so each
+    pair of durations meets once: at that bit, within the numbers that agree above it. There running counts
+    over risk give the later rows below and at each event's risk: rows x bits in all, and no pair is formed.
     """
     each = rows.groupBy("duration", "risk").agg(F.count("*").alias("n"), F.sum(F.col("observed").cast("int")).alias("d"))
-    cuts = each.agg(F.percentile_approx("duration", [i / cells for i in range(1, cells)], 2000).alias("cuts"))
-    cut = each.crossJoin(F.broadcast(cuts)).withColumn("cell", F.size(F.filter("cuts", lambda c: c < F.col("duration")))).drop("cuts")
-    later = cut.groupBy("cell", "risk").agg(F.sum("n").alias("n"))
-    within = cut.alias("a").join(cut.alias("b"), (F.col("a.cell") == F.col("b.cell")) & (F.col("b.duration") > F.col("a.duration")) & (F.col("a.d") > 0))
-    tally = lambda d, n, ra, rb: [F.sum(F.when(rb < ra, d * n).otherwise(0)).alias("c"), F.sum(F.when(rb == ra, d * n).otherwise(0)).alias("t"), F.sum(d * n).alias("all")]
-    near = within.agg(*tally(F.col("a.d"), F.col("b.n"), F.col("a.risk"), F.col("b.risk")))
-    # Between ranges: for each event row, later ranges' rows of lower and of equal risk, by running counts over risk.
-    events = cut.where("d > 0").groupBy("cell", "risk").agg(F.sum("d").alias("d"))
-    grid = events.select("cell", "risk", "d", F.lit(0).cast("long").alias("n")).withColumn("own", F.col("cell"))
-    spread = later.select(F.explode(F.sequence(F.lit(0), F.col("cell") - 1)).alias("own"), "risk", "n", F.col("cell")).where("cell > 0")
-    line = grid.select("own", "risk", "d", "n").unionByName(spread.select("own", "risk", F.lit(0).cast("long").alias("d"), "n")).groupBy("own", "risk").agg(F.sum("d").alias("d"), F.sum("n").alias("n"))
-    below = F.coalesce(F.sum("n").over(Window.partitionBy("own").orderBy("risk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    total = F.sum("n").over(Window.partitionBy("own"))
-    far = line.select((F.col("d") * below).alias("c"), (F.col("d") * F.col("n")).alias("t"), (F.col("d") * total).alias("all")).agg(F.sum("c").alias("c"), F.sum("t").alias("t"), F.sum("all").alias("all"))
-    both = near.unionByName(far).agg(*(F.coalesce(F.sum(k), F.lit(0)).cast("double").alias(k) for k in ("c", "t", "all")))
+    times = each.select("duration").distinct()
+    bits = max(1, times.count().bit_length())
+    numbered = each.join(running_totals(times, "duration", {"t": F.lit(1)}), "duration")
+    bit = numbered.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(bits - 1)))).withColumn("late", F.expr("shiftright(t, level) & 1") == 1)
+    node = bit.groupBy("level", F.expr("shiftright(t, level + 1)").alias("node"), "risk")
+    line = node.agg(F.sum(F.when(F.col("late"), 0).otherwise(F.col("d"))).alias("d"), F.sum(F.when(F.col("late"), F.col("n")).otherwise(0)).alias("n"))
+    run = running_totals(line, "risk", {"upto": F.col("n")}, groups=("level", "node")).where("d > 0 or n > 0")
+    figures = run.groupBy("level", "node").agg(F.sum(F.col("d") * (F.col("upto") - F.col("n"))).alias("c"), F.sum(F.col("d") * F.col("n")).alias("t"), (F.sum("d") * F.sum("n")).alias("all"))
+    both = figures.agg(*(F.coalesce(F.sum(k), F.lit(0)).cast("double").alias(k) for k in ("c", "t", "all")))
     return both.select(F.when(F.col("all") > 0, (F.col("c") + F.col("t") / 2) / F.col("all")).otherwise(0.5).alias("c_index"), F.col("all").cast("long").alias("pairs"))

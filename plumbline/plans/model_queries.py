@@ -7,6 +7,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
+from plumbline.functions.running import exact_quantiles
 from plumbline.operators import anomaly as AN
 from plumbline.operators import calibration as CA
 from plumbline.operators import clusters as CL
@@ -141,7 +142,7 @@ def calibrators(spark, d):
 def tree_models(spark, d):
     """AUC of boosted trees, a forest and naive Bayes on rows by chance and in time."""
     rows = _lines(spark, d)
-    late = rows.agg(F.percentile(F.unix_seconds(F.col("l_shipdate").cast("timestamp")), 0.8).alias("cut"))
+    late = exact_quantiles(rows, F.unix_seconds(F.col("l_shipdate").cast("timestamp")), [0.8]).select(F.get("cuts", F.lit(0)).alias("cut"))
     rows = rows.crossJoin(F.broadcast(late)).withColumn("late", F.unix_seconds(F.col("l_shipdate").cast("timestamp")) > F.col("cut"))
     data = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(rows).withColumnRenamed("y", "label")
     models = {"boosted": GBTClassifier(maxIter=5, maxDepth=3, seed=1), "forest": RandomForestClassifier(numTrees=10, maxDepth=4, seed=1), "bayes": NaiveBayes(modelType="gaussian")}
@@ -203,7 +204,7 @@ def _interactions(spark, d):
     ledger = V.ledger(spark, d).where("not is_return")
     parts = V.table(spark, d, "part").select(F.col("p_partkey").alias("item"), F.concat("p_brand", F.lit("/"), "p_type").alias("product"))
     rows = ledger.select(F.col("customer").alias("user"), "item", "ts").join(parts, "item").select("user", F.col("product").alias("item"), "ts")
-    return RE.temporal_split(RE.build_interactions(rows))
+    return RE.temporal_split(RE.build_interactions(rows)).checkpoint()
 
 
 def _sides(spark, d):

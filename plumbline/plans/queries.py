@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from plumbline.functions.running import trapezoid
 from plumbline.operators import backtest as BT
 from plumbline.operators import basket as BK
 from plumbline.operators import elasticity as EL
@@ -129,7 +130,7 @@ def roc(spark, d):
 def roc_area(spark, d):
     points = M.roc(V.scored_documents(spark, d)).select("fpr", "tpr")
     start = spark.createDataFrame([(0.0, 0.0)], "fpr double, tpr double")
-    return M.trapezoid(points.unionByName(start), "fpr", "tpr")
+    return trapezoid(points.unionByName(start), "fpr", "tpr")
 
 
 @query

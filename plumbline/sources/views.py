@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from plumbline.functions.running import positions
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -64,7 +66,7 @@ def scored_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(idx, home, away, home_goals, away_goals, outcome 0..2): consecutive events paired in time order."""
     events = table(spark, sf_dir, "events").select("ts", "event_id", "user_id", F.floor(F.col("value") / 25).cast("int").alias("goals"))
-    ordered = indexed(events, "ts", "event_id")
+    ordered = positions(events, F.unix_micros(F.col("ts").cast("timestamp")), ["event_id"])
     halves = ordered.withColumn("m", (F.col("idx") / 2).cast("int")).groupBy("m").agg(
         F.max(F.when(F.col("idx") % 2 == 0, F.col("user_id"))).alias("home"), F.max(F.when(F.col("idx") % 2 == 1, F.col("user_id"))).alias("away"),
         F.max(F.when(F.col("idx") % 2 == 0, F.col("goals"))).alias("home_goals"), F.max(F.when(F.col("idx") % 2 == 1, F.col("goals"))).alias("away_goals"),
