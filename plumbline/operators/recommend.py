@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.running import exact_quantiles
+from plumbline.session import checkpointed
 
 #: Items of a user that meet in one row when pairs are made.
 ITEM_BLOCK = 500
@@ -110,6 +111,7 @@ def als(train: DataFrame, users: DataFrame, *, factors: int = 16, regularisation
 
 def evaluate(recommended: DataFrame, train: DataFrame, test: DataFrame, *, k: int = 10) -> DataFrame:
     """One row (precision, recall, ndcg, coverage, novelty, users) over users with test items and recommendations."""
+    recommended = checkpointed(recommended)  # k rows a user, read twice
     relevant = test.select("user", "item").distinct().withColumn("hit", F.lit(1))
     sizes = relevant.groupBy("user").agg(F.count("*").alias("relevant"))
     total = train.agg(F.count("*").alias("rows"), F.countDistinct("item").alias("items"))

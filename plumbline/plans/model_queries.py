@@ -19,6 +19,7 @@ from plumbline.operators import reduce as RD
 from plumbline.operators import regularise as RG
 from plumbline.operators import timeseries as TS
 from plumbline.plans.queries import query
+from plumbline.session import checkpointed
 from plumbline.sources import views as V
 
 # --- pricing
@@ -204,7 +205,7 @@ def _interactions(spark, d):
     ledger = V.ledger(spark, d).where("not is_return")
     parts = V.table(spark, d, "part").select(F.col("p_partkey").alias("item"), F.concat("p_brand", F.lit("/"), "p_type").alias("product"))
     rows = ledger.select(F.col("customer").alias("user"), "item", "ts").join(parts, "item").select("user", F.col("product").alias("item"), "ts")
-    return RE.temporal_split(RE.build_interactions(rows)).checkpoint()
+    return checkpointed(RE.temporal_split(RE.build_interactions(rows)))
 
 
 def _sides(spark, d):

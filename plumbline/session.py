@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import os
+import tempfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 ROOT = str(Path(__file__).resolve().parent.parent)
 
@@ -29,5 +30,17 @@ def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "8g
 
 
 def checkpoint_dir(spark: SparkSession, unset: str) -> str:
-    """The shared folder of the cluster (``spark.checkpoint.dir``); ``unset`` where it is not set."""
-    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", unset)
+    """The shared folder of the cluster (``spark.checkpoint.dir``); ``unset`` where it is not set, in local sessions alone."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+    return found or unset
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df``, written to the cluster's shared checkpoint folder and cut from its lineage."""
+    spark: SparkSession = df.sparkSession
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(checkpoint_dir(spark, tempfile.gettempdir() + "/plumbline-checkpoints"))
+    return df.checkpoint()

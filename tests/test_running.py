@@ -74,3 +74,17 @@ def test_heavy_users_pair_by_blocks(spark, monkeypatch):
     whole = sorted(map(tuple, recommend.item_similarity(rows, neighbours=50).collect()))
     monkeypatch.setattr(recommend, "ITEM_BLOCK", 7)
     assert sorted(map(tuple, recommend.item_similarity(rows, neighbours=50).collect())) == whole and len(whole) == 40 * 39
+
+
+def test_clusters_need_a_shared_folder():
+    from types import SimpleNamespace
+
+    from plumbline.session import checkpoint_dir
+
+    def session(master, folder=None):
+        return SimpleNamespace(conf={"spark.checkpoint.dir": folder}, sparkContext=SimpleNamespace(master=master, getConf=dict))
+
+    assert checkpoint_dir(session("local[4]"), "/tmp/x") == "/tmp/x"
+    assert checkpoint_dir(session("spark://host:7077", "/shared"), "/tmp/x") == "/shared"
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        checkpoint_dir(session("spark://host:7077"), "/tmp/x")
