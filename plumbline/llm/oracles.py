@@ -172,3 +172,36 @@ f AS (SELECT k, sum(b - a) AS n_removed, count(*) AS n_spans FROM spans GROUP BY
 SELECT doc_id, CAST(len(d.h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(kept.h, d.h))) AS kept_sha256
 FROM d LEFT JOIN f USING (k) LEFT JOIN kept USING (k)
 """
+
+
+def _clusters(k: int, rounds: int, size: int) -> str:
+    """Lloyd's rounds written out: each assigns all vectors, then takes exact floors of means."""
+    near = """SELECT id, arg_min(c, struct_pack(d := d, c := c)) AS c, min(d) AS d FROM (
+    SELECT v.id AS id, m.c AS c, sum((v.x - m.x) * (v.x - m.x)) AS d FROM v JOIN c{r} m USING (i) GROUP BY v.id, m.c) GROUP BY id"""
+    parts = [
+        f"""v AS MATERIALIZED (
+  SELECT id, vec_id, i, CAST(floor(1024 * CAST(embedding[i] AS DOUBLE)) AS BIGINT) AS x
+  FROM (SELECT row_number() OVER () AS id, vec_id, embedding, unnest(range(1, {size + 1})) AS i FROM embeddings
+        WHERE len(embedding) = {size} AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0)
+)""",
+        f"""c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY h, xs) - 1 AS c, unnest(range(1, {size + 1})) AS i, unnest(xs) AS x
+  FROM (SELECT sha256('3:' || vec_id) AS h, list(x ORDER BY i) AS xs FROM v GROUP BY id, vec_id ORDER BY h, xs LIMIT {k})
+)""",
+    ]
+    for r in range(rounds):
+        parts.append(f"a{r} AS MATERIALIZED ({near.format(r=r)})")
+        parts.append(f"""c{r + 1} AS MATERIALIZED (
+  SELECT m.c AS c, m.i AS i, coalesce((s - ((s % n) + n) % n) // n, m.x) AS x
+  FROM c{r} m LEFT JOIN (SELECT a.c AS c, i, CAST(sum(x) AS BIGINT) AS s, count(*) AS n FROM v JOIN a{r} a USING (id) GROUP BY a.c, i) t ON m.c = t.c AND m.i = t.i
+)""")
+    parts.append(f"a{rounds} AS MATERIALIZED ({near.format(r=rounds)})")
+    parts.append(f"marks AS (SELECT c, sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY i)) AS h FROM c{rounds} GROUP BY c)")
+    return f"""WITH {", ".join(parts)}
+SELECT vec_id, CAST(c AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance, CAST(sum(d) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia,
+       CAST(sum(d) OVER () AS BIGINT) AS inertia, h AS centroid_sha256
+FROM a{rounds} JOIN (SELECT DISTINCT id, vec_id FROM v) USING (id) JOIN marks USING (c)
+"""
+
+
+SQL["op11_centroid_clusters"] = _clusters(8, 10, 64)
