@@ -205,3 +205,56 @@ FROM a{rounds} JOIN (SELECT DISTINCT id, vec_id FROM v) USING (id) JOIN marks US
 
 
 SQL["op11_centroid_clusters"] = _clusters(8, 10, 64)
+
+_BLANK = r"[^\x20\x09-\x0D]"
+
+#: The plain dynamic program, turn by turn: (cost, audit, text) of each last role.
+SQL["op12_conversation_repair"] = rf"""
+WITH RECURSIVE crc AS (
+  SELECT list_transform(range(256), lambda i: list_reduce([i] || range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t
+), named AS (
+  SELECT *, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS name FROM conversations
+), drawn AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         xor(list_reduce([4294967295] || list_transform(string_split(name, ''), lambda x: CAST(ascii(x) AS BIGINT)), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 20 AS h
+  FROM named, crc
+), kept AS (
+  SELECT conv_id, turn, CASE WHEN h = 4 THEN 'user' ELSE role END AS role,
+         CASE WHEN h = 1 THEN '' WHEN h = 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(range(CASE WHEN h = 3 THEN 2 ELSE 1 END)) AS copy
+  FROM drawn WHERE h > 0
+), ordered AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i FROM kept
+), marked AS (
+  SELECT *, CASE WHEN NOT regexp_matches(text, '{_BLANK}') THEN 'b' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'd'
+                 WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') THEN 't' ELSE '' END AS fault,
+         lag(role[1]) OVER (PARTITION BY conv_id ORDER BY i) || role[1] NOT IN ('su', 'ua', 'au') AS illegal
+  FROM ordered
+), bridge(f, t, n, said) AS (VALUES ('-', 's', '', ''), ('-', 'u', '', ''), ('-', 'a', 'I', 'user:' || chr(10)), ('s', 'u', '', ''), ('s', 'a', 'I', 'user:' || chr(10)),
+  ('u', 'a', '', ''), ('u', 'u', 'I', 'assistant:' || chr(10)), ('a', 'u', '', ''), ('a', 'a', 'I', 'user:' || chr(10))
+), dp AS (
+  SELECT DISTINCT conv_id, CAST(0 AS BIGINT) AS i, '-' AS st, {{'cost': 0, 'audit': '', 'said': ''}} AS best FROM conversations
+  UNION ALL
+  SELECT conv_id, i, st, min(best) FROM (
+    SELECT dp.conv_id, dp.i + 1 AS i, dp.st AS st, {{'cost': best.cost + 2, 'audit': best.audit || 'D', 'said': best.said}} AS best
+    FROM dp JOIN marked m ON dp.conv_id IS NOT DISTINCT FROM m.conv_id AND m.i = dp.i + 1
+    UNION ALL
+    SELECT dp.conv_id, dp.i + 1, b.t,
+           {{'cost': best.cost + 5 * length(b.n) + CASE WHEN m.role[1] = b.t THEN 0 ELSE 1 END + CASE WHEN fault = 't' THEN 5 ELSE 0 END,
+             'audit': best.audit || b.n || CASE WHEN m.role[1] = b.t THEN 'K' ELSE 'R' END,
+             'said': best.said || b.said || CASE WHEN m.role[1] = b.t THEN m.role WHEN b.t = 'u' THEN 'user' ELSE 'assistant' END || ':' || m.text || chr(10)}}
+    FROM dp JOIN marked m ON dp.conv_id IS NOT DISTINCT FROM m.conv_id AND m.i = dp.i + 1 JOIN bridge b ON b.f = dp.st
+    WHERE fault NOT IN ('b', 'd') AND (b.t <> 's' OR m.role[1] = 's')
+  ) GROUP BY conv_id, i, st
+), f AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate,
+         count(*) FILTER (fault = 't') AS truncated, count(*) FILTER (illegal) AS illegal, max(i) AS n FROM marked GROUP BY conv_id
+), ends AS (
+  SELECT dp.conv_id AS conv_id, min({{'cost': best.cost + 5 * length(e.n), 'audit': best.audit || e.n, 'said': best.said || e.said}}) AS best
+  FROM dp LEFT JOIN f ON dp.conv_id IS NOT DISTINCT FROM f.conv_id
+  JOIN (VALUES ('-', '', ''), ('s', 'II', 'user:' || chr(10) || 'assistant:' || chr(10)), ('u', 'I', 'assistant:' || chr(10)), ('a', '', '')) e(f, n, said) ON e.f = dp.st
+  WHERE dp.i = coalesce(f.n, 0) GROUP BY dp.conv_id
+)
+SELECT ends.conv_id AS conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+       CAST(best.cost AS BIGINT) AS cost, best.audit AS audit, sha256(CASE WHEN best.said = '' THEN '' ELSE best.said[:-2] END) AS repaired_sha256
+FROM ends LEFT JOIN f ON ends.conv_id IS NOT DISTINCT FROM f.conv_id
+"""

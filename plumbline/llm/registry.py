@@ -84,6 +84,12 @@ def op11_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cluster_vectors(read(spark, sf_dir, "embeddings"))
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from plumbline.llm.repair import repair_conversations
+
+    return repair_conversations(read(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_lm_score": op2_lm_score,
@@ -96,4 +102,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_preference_pairs": op9_preference_pairs,
     "op10_decontaminate": op10_decontaminate,
     "op11_centroid_clusters": op11_centroid_clusters,
+    "op12_conversation_repair": op12_conversation_repair,
 }

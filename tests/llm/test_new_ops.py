@@ -8,6 +8,7 @@ from itertools import product
 
 import numpy as np
 from plumbline.llm.centroids import above, assign, below, between, cluster_vectors, shift
+from plumbline.llm.repair import Repair, repair_conversations
 from pyspark.sql import functions as F
 
 # --- centroids
@@ -69,3 +70,116 @@ def test_far_vectors_are_cut_to_the_bound(spark):
     df = spark.createDataFrame([(1, [3e38, 0.0]), (2, [-3e38, 0.0]), (3, [0.0, 0.0])], "vec_id long, embedding array<float>")
     got = {r["vec_id"]: r["distance"] for r in cluster_vectors(df, k=1, rounds=0, size=2).collect()}
     assert sorted(got.values())[0] == 0 and max(got.values()) in (1 << 56, 1 << 54)
+
+
+# --- conversations
+
+RIGHT = re.compile(r"(s?(ua)+)?")
+
+
+def cheapest(turns):
+    """Every series of edits, by search over what is said: (cost, audit, lines); turns are (role, text, must go, truncated)."""
+
+    @cache
+    def rest(at, last):
+        """Best (cost, audit, lines) from turn ``at`` where ``last`` is the initial said last ('' for none)."""
+        follows = {"": "su", "s": "u", "u": "a", "a": "u"}[last]
+        found = [(0, "", ())] if at == len(turns) and last in ("", "a") else []
+        if at < len(turns):
+            role, text, must_go, cut = turns[at]
+            c, a, lines = rest(at + 1, last)
+            found.append((c + 2, "D" + a, lines))
+            if not must_go:
+                for letter, price, to in [("K", 0, role), ("R", 1, "user"), ("R", 1, "assistant")]:
+                    if to[:1] and to[:1] in follows:
+                        c, a, lines = rest(at + 1, to[0])
+                        found.append((c + price + 5 * cut, letter + a, (f"{to}:{text}", *lines)))
+        return min(found + inserts(at, last, follows))
+
+    def inserts(at, last, follows):
+        out = []
+        for to in ("user", "assistant"):
+            if to[0] in follows:
+                for c, a, lines in plain(at, to[0], 1):
+                    out.append((c + 5, "I" + a, (f"{to}:", *lines)))
+        return out
+
+    def plain(at, last, depth):
+        """As ``rest`` after an inserted turn; at most two turns are inserted in a row, more are never cheaper."""
+        follows = {"": "su", "s": "u", "u": "a", "a": "u"}[last]
+        found = [(0, "", ())] if at == len(turns) and last == "a" else []
+        if at < len(turns):
+            role, text, must_go, cut = turns[at]
+            c, a, lines = rest(at + 1, last)
+            found.append((c + 2, "D" + a, lines))
+            if not must_go:
+                for letter, price, to in [("K", 0, role), ("R", 1, "user"), ("R", 1, "assistant")]:
+                    if to[:1] and to[:1] in follows:
+                        c, a, lines = rest(at + 1, to[0])
+                        found.append((c + price + 5 * cut, letter + a, (f"{to}:{text}", *lines)))
+        if depth < 2:
+            for to in ("user", "assistant"):
+                if to[0] in follows:
+                    found += [(c + 5, "I" + a, (f"{to}:", *lines)) for c, a, lines in plain(at, to[0], depth + 1)]
+        return found
+
+    return rest(0, "")
+
+
+def test_repairs_equal_a_search_of_all_edits():
+    rnd = random.Random(8)
+    for _ in range(1500):
+        turns = [(rnd.choice(["user", "assistant", "system", "tool", "", "ushers", "Assistant"]) if rnd.random() < 0.5 else rnd.choice(["user", "assistant"]), rnd.choice("xyz"), rnd.random() < 0.15, rnd.random() < 0.2) for _ in range(rnd.randint(0, 9))]
+        repair = Repair()
+        for t in turns:
+            repair.turn(*t)
+        cost, audit, lines = cheapest(tuple(turns))
+        assert repair.result() == (cost, audit, hashlib.sha256("\n".join(lines).encode()).hexdigest()), turns
+        assert RIGHT.fullmatch("".join(line[0] for line in lines))
+
+
+def conversation(rows):
+    """Figures of one conversation's turns (turn, role, text), ordered."""
+    seen, turns, count = set(), [], dict.fromkeys("bdt", 0)
+    for _, role, text in rows:
+        body = text.strip(" \t\n\v\f\r")
+        fault = "b" if not body else "d" if (role, text) in seen else "t" if body[-1] not in ".!?" else ""
+        seen.add((role, text))
+        if fault:
+            count[fault] += 1
+        turns.append((role, text, fault in ("b", "d"), fault == "t"))
+    named = [t for t, _, _ in rows if t is not None]
+    illegal = sum(a[1][:1] + b[1][:1] not in ("su", "ua", "au") for a, b in zip(rows, rows[1:], strict=False))
+    cost, audit, lines = cheapest(tuple(turns))
+    gaps = max(named) - min(named) + 1 - len(set(named)) if named else 0
+    return (gaps, count["b"], count["d"], count["t"], illegal, cost, audit, hashlib.sha256("\n".join(lines).encode()).hexdigest())
+
+
+def test_conversations_are_damaged_and_repaired(spark):
+    rnd = random.Random(9)
+    text = lambda: rnd.choice([None, "", " \t\n", "Yes.", "No", "Really? ", "é!", "a\u00a0", "Same."])
+    rows = [(rnd.choice([1, 2, 3, None, 77]), rnd.choice([None, *range(12)]), rnd.choice(["user", "assistant", "system", None, "", "umpire"]), text()) for _ in range(90)]
+    drop = next(i for i in range(1000, 2000) if zlib.crc32(f"{i}:0".encode()) % 20 == 0)
+    rows += [(drop, 0, "user", "Gone."), (500, 3, "user", "x" * 2_000_000 + "."), (500, 4, "assistant", "y\n" * 500_000)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("conv", F.lit(1)).withColumn("gone", F.lit("x")).withColumn("seen", F.lit(0))
+    expected = {}
+    for conv in {r[0] for r in rows}:
+        own = []
+        for c, turn, role, said in rows:
+            if c == conv:
+                damage = zlib.crc32(":".join(" " if x is None else str(x) for x in (c, turn)).encode()) % 20
+                role, said = (" " if role is None else role), (" " if said is None else said)
+                said = "" if damage == 1 else re.sub("[.!?]", "", said) if damage == 2 else said
+                own += [(turn, "user" if damage == 4 else role, said)] * (0 if damage == 0 else 2 if damage == 3 else 1)
+        expected[conv] = conversation(sorted(own, key=lambda r: (r[0] is not None, r[0] or 0, r[1].encode(), r[2].encode())))
+    got = {r[0]: tuple(r)[1:] for r in repair_conversations(df).collect()}
+    assert got == expected and got[drop] == (0, 0, 0, 0, 0, 0, "", hashlib.sha256(b"").hexdigest())
+    assert repair_conversations(df.limit(0)).count() == 0
+
+
+def test_right_conversations_stay(spark):
+    rows = [(1, 0, "system", "Be kind."), (1, 1, "user", "Hi!"), (1, 2, "assistant", "Hello.")] + [(2, i, ("user", "assistant")[i % 2], f"Turn {i}.") for i in range(3000)]
+    got = {r["conv_id"]: r for r in repair_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), damage=False).collect()}
+    assert (got[1]["cost"], got[1]["audit"]) == (0, "KKK") and (got[2]["cost"], got[2]["audit"]) == (0, "K" * 3000)
+    said = "\n".join(f"{r}:{t}" for c, _, r, t in rows if c == 2)
+    assert got[2]["repaired_sha256"] == hashlib.sha256(said.encode()).hexdigest() and got[2]["illegal"] == got[2]["gaps"] == 0
