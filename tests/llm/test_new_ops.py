@@ -4,7 +4,6 @@ import hashlib
 import math
 import random
 import zlib
-from itertools import product
 
 import numpy as np
 from plumbline.llm.centroids import above, assign, below, between, cluster_vectors, shift
@@ -81,47 +80,21 @@ def cheapest(turns):
     """Every series of edits, by search over what is said: (cost, audit, lines); turns are (role, text, must go, truncated)."""
 
     @cache
-    def rest(at, last):
-        """Best (cost, audit, lines) from turn ``at`` where ``last`` is the initial said last ('' for none)."""
+    def rest(at, last, put=0):
+        """Best from turn ``at``; ``last`` is the initial said last ('' for none), after ``put`` turns inserted in a row (more than two are never cheaper)."""
         follows = {"": "su", "s": "u", "u": "a", "a": "u"}[last]
         found = [(0, "", ())] if at == len(turns) and last in ("", "a") else []
+        steps = [(5, "I", to, at, put + 1, f"{to}:") for to in ("user", "assistant") if put < 2]
         if at < len(turns):
             role, text, must_go, cut = turns[at]
-            c, a, lines = rest(at + 1, last)
-            found.append((c + 2, "D" + a, lines))
+            if tail := rest(at + 1, last):
+                found.append((tail[0] + 2, "D" + tail[1], tail[2]))
             if not must_go:
-                for letter, price, to in [("K", 0, role), ("R", 1, "user"), ("R", 1, "assistant")]:
-                    if to[:1] and to[:1] in follows:
-                        c, a, lines = rest(at + 1, to[0])
-                        found.append((c + price + 5 * cut, letter + a, (f"{to}:{text}", *lines)))
-        return min(found + inserts(at, last, follows))
-
-    def inserts(at, last, follows):
-        out = []
-        for to in ("user", "assistant"):
-            if to[0] in follows:
-                for c, a, lines in plain(at, to[0], 1):
-                    out.append((c + 5, "I" + a, (f"{to}:", *lines)))
-        return out
-
-    def plain(at, last, depth):
-        """As ``rest`` after an inserted turn; at most two turns are inserted in a row, more are never cheaper."""
-        follows = {"": "su", "s": "u", "u": "a", "a": "u"}[last]
-        found = [(0, "", ())] if at == len(turns) and last == "a" else []
-        if at < len(turns):
-            role, text, must_go, cut = turns[at]
-            c, a, lines = rest(at + 1, last)
-            found.append((c + 2, "D" + a, lines))
-            if not must_go:
-                for letter, price, to in [("K", 0, role), ("R", 1, "user"), ("R", 1, "assistant")]:
-                    if to[:1] and to[:1] in follows:
-                        c, a, lines = rest(at + 1, to[0])
-                        found.append((c + price + 5 * cut, letter + a, (f"{to}:{text}", *lines)))
-        if depth < 2:
-            for to in ("user", "assistant"):
-                if to[0] in follows:
-                    found += [(c + 5, "I" + a, (f"{to}:", *lines)) for c, a, lines in plain(at, to[0], depth + 1)]
-        return found
+                steps += [(price + 5 * cut, letter, to, at + 1, 0, f"{to}:{text}") for letter, price, to in [("K", 0, role), ("R", 1, "user"), ("R", 1, "assistant")]]
+        for price, letter, to, then, count, line in steps:
+            if to and to[0] in follows and (tail := rest(then, to[0], count)):
+                found.append((tail[0] + price, letter + tail[1], (line, *tail[2])))
+        return min(found, default=None)
 
     return rest(0, "")
 
