@@ -3,7 +3,9 @@
 import hashlib
 import math
 import random
+import re
 import zlib
+from functools import cache
 
 import numpy as np
 from plumbline.llm.centroids import above, assign, below, between, cluster_vectors, shift
