@@ -90,6 +90,15 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair_conversations(read(spark, sf_dir, "conversations"))
 
 
+def op13_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from plumbline.llm.private import KINDS, find_private, labelled_forms, listed, train
+
+    found = find_private(read(spark, sf_dir, "documents"), train(labelled_forms(spark)))
+    base = F.filter("spans", lambda s: s["base"])
+    counts = [F.size(F.filter("spans", lambda s, k=k: s["base"] & (s["kind"] == k))).cast("long").alias(f"n_{k}") for k in KINDS]
+    return found.select("doc_id", *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed("spans").alias("spans"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_lm_score": op2_lm_score,
@@ -103,4 +112,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_decontaminate": op10_decontaminate,
     "op11_centroid_clusters": op11_centroid_clusters,
     "op12_conversation_repair": op12_conversation_repair,
+    "op13_private_data": op13_private_data,
 }

@@ -6,9 +6,11 @@ import random
 import re
 import zlib
 from functools import cache
+from itertools import product
 
 import numpy as np
 from plumbline.llm.centroids import above, assign, below, between, cluster_vectors, shift
+from plumbline.llm.private import KINDS, added_spans, barred, base_spans, expectations, find_private, labelled_forms, learn, listed, luhn, padded, plausible, train, viterbi
 from plumbline.llm.repair import Repair, repair_conversations
 from pyspark.sql import functions as F
 
@@ -158,3 +160,76 @@ def test_right_conversations_stay(spark):
     assert (got[1]["cost"], got[1]["audit"]) == (0, "KKK") and (got[2]["cost"], got[2]["audit"]) == (0, "K" * 3000)
     said = "\n".join(f"{r}:{t}" for c, _, r, t in rows if c == 2)
     assert got[2]["repaired_sha256"] == hashlib.sha256(said.encode()).hexdigest() and got[2]["illegal"] == got[2]["gaps"] == 0
+
+
+# --- personal data
+
+#: Patterns of the contract as they stand.
+PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+
+def plain_spans(text):
+    found = []
+    for kind in KINDS:
+        for m in re.finditer(PATTERNS[kind], text):
+            digits = "".join(c for c in m.group() if c in "0123456789")
+            good = {"email": True, "ip": all(int(p) <= 255 for p in m.group().split(".")) if kind == "ip" else True, "card": 13 <= len(digits) <= 19 and luhn(digits), "phone": 9 <= len(digits) <= 15}[kind]
+            if good:
+                found.append((kind, *m.span()))
+    return found
+
+
+def test_base_spans_are_those_of_the_patterns():
+    rnd = random.Random(3)
+    assert luhn("4539578763621486") and not luhn("4539578763621487")
+    for _ in range(4000):
+        text = "".join(rnd.choice(["@", ".", "a", "b-c", "_", "%", "+", " ", "-", "(", ")", "1", "25", "256", "0", "00255", "4539578763621486", "4539 5787 6362 1486", "\n", "é", "x@y.z"]) for _ in range(rnd.randint(0, 25)))
+        assert base_spans(text) == plain_spans(text), text
+    for text in ("a" * 400_000, "1" * 400_000, "a@" * 200_000, "1." * 200_000, "+1" * 200_000, "+" + "1 " * 200_000, "@" * 400_000, "a@b." * 100_000):
+        assert len(base_spans(text)) < 200_000  # and in time
+
+
+def test_viterbi_and_expectations_equal_enumeration():
+    rng = np.random.default_rng(4)
+    for kinds in (1, 2):
+        width, shut = 2 * kinds + 1, barred(kinds)
+        moves, n = np.where(shut, -1e4, rng.normal(size=(width + 1, width))), np.array([4, 1, 0, 3, 5])
+        scores = rng.normal(size=(n.sum(), width)) * 2
+        paths, chance, total, went = viterbi(scores, n, moves), [], 0.0, np.zeros((width + 1, width))
+        for i, size in enumerate(n):
+            own = scores[n[:i].sum() : n[:i].sum() + size]
+            ways = {y: sum(own[t, y[t]] + moves[y[t - 1] if t else -1, y[t]] for t in range(size)) for y in product(range(width), repeat=int(size))}
+            assert tuple(paths[i]) == max(ways, key=ways.get)
+            if size:
+                z = sum(math.exp(v) for v in ways.values() if v > -5e3)
+                total += math.log(z)
+                for y, v in ways.items():
+                    if v > -5e3:
+                        for t in range(size):
+                            went[y[t - 1] if t else -1, y[t]] += math.exp(v) / z
+                chance.append(np.array([[sum(math.exp(v) for y, v in ways.items() if y[t] == c and v > -5e3) / z for c in range(width)] for t in range(size)]))
+        some = n > 0
+        got, moved, logs = expectations(padded(scores, n)[some], n[some], moves)
+        assert np.allclose(got[np.arange(got.shape[1])[None] < n[some][:, None]], np.concatenate(chance)) and np.allclose(moved, went) and math.isclose(logs, total)
+
+
+def test_field_finds_other_ways_to_write(spark):
+    field = train(labelled_forms(spark))
+    parse = lambda s: [(k, int(a), int(b)) for k, a, b in (x.rsplit(":", 2) for x in s.split(",") if x)]
+    held = [(r["text"], parse(r["spans"])) for r in labelled_forms(spark, seed=77).collect()]
+    got = added_spans(field, [t for t, _ in held], [[] for _ in held])
+    true, found = {(i, s) for i, (_, spans) in enumerate(held) for s in spans}, {(i, s) for i, spans in enumerate(got) for s in spans}
+    assert len(true & found) >= 0.95 * len(true) and len(true & found) >= 0.98 * len(found)
+    rows = [(1, "Ring (017) 555-7713 or jane [at] mail.example.com now"), (2, None), (3, ""), (None, "plain words only.\nIn 2024, 3.5 of 10, v1.2.3"), (4, "me@b.example, 4539578763621486, 10.0.0.1 and +1 (017) 555-7713"), (4, "me@b.example, 4539578763621486, 10.0.0.1 and +1 (017) 555-7713"), (5, "word " * 300_000 + "a.b@c.de" + " 12 34" * 20_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("id", F.lit("x")).withColumn("spans", F.lit(1))
+    out = find_private(df, field, redact=True).withColumn("listed", listed("spans")).collect()
+    by = {r["doc_id"]: r for r in out if r["doc_id"] != 5}
+    assert len(out) == 7 and by[1]["redacted"] == "Ring [PHONE] or [EMAIL] now" and not any(s["base"] for s in by[1]["spans"])
+    assert by[2]["spans"] == by[3]["spans"] == by[None]["spans"] == [] and by[2]["redacted"] == ""
+    assert by[4]["listed"] == "email:0:12,ip:32:40,card:14:30,phone:45:62" and by[4]["redacted"] == "[EMAIL], [CARD], [IP] and [PHONE]"
+    assert "email:1500000:1500008" in next(r["listed"] for r in out if r["doc_id"] == 5)
+    assert find_private(df.limit(0), field).count() == 0
+    empty = train(labelled_forms(spark).limit(0))
+    assert all(s["base"] for r in find_private(df, empty).collect() for s in r["spans"])
+    other = learn([(f"room {i}-B9", [("room", 5, 5 + len(f"{i}-B9"))]) for i in range(20, 60)])
+    assert [k for k, _, _ in added_spans(other, ["in room 33-B9"], [[]])[0]] == ["room"] and plausible("room", "x")
