@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import bisect
 import math
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.session import ship
+from plumbline.functions.growing import expanding_quantiles
 
 
 def _order():
@@ -30,33 +28,12 @@ def hindsight_labels(series: DataFrame, *, lower: float = 0.33, upper: float = 0
 def realtime_labels(series: DataFrame, *, lower: float = 0.33, upper: float = 0.8, warmup: int = 500) -> DataFrame:
     """(series, idx, value, label) from quantiles of earlier values alone; -1 for the first ``warmup`` rows.
 
-    A sorted list grows with the series (a binary search and an insertion for each row), which spares the
-    quadratic work of a percentile over an expanding window; series run in parallel.
+    Quantiles of the growing past are found by wavelet descent, also over many tasks for one long series.
+    Rows without a value are left out.
     """
-    ship(series.sparkSession)
-
-    def quantile(past: list[float], q: float) -> float:
-        at = q * (len(past) - 1)
-        low = math.floor(at)
-        high = min(low + 1, len(past) - 1)
-        return past[low] + (past[high] - past[low]) * (at - low)
-
-    def label(batches):
-        name, past = None, []
-        for batch in batches:
-            labels = []
-            for s, v in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                if s != name:
-                    name, past = s, []
-                if len(past) < max(warmup, 1):
-                    labels.append(-1)
-                else:
-                    labels.append(2 if v >= quantile(past, upper) else 0 if v <= quantile(past, lower) else 1)
-                bisect.insort(past, v)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(labels, pa.int32())], names=["series", "idx", "value", "label"])
-
-    rows = series.select(F.col("series").cast("string"), F.col("idx").cast("int"), "value")
-    return rows.repartition("series").sortWithinPartitions("series", "idx").mapInArrow(label, "series string, idx int, value double, label int")
+    found = expanding_quantiles(series, [lower, upper])
+    labels = label_by_quantile(F.col("value"), F.get("quantiles", F.lit(0)), F.get("quantiles", F.lit(1)))
+    return found.select("series", F.col("idx").cast("int").alias("idx"), "value", F.when(F.col("past") < max(warmup, 1), -1).otherwise(labels).cast("int").alias("label"))
 
 
 def _pairs(labels: DataFrame) -> DataFrame:

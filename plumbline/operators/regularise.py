@@ -2,52 +2,43 @@
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.operators import metrics as M
-from plumbline.operators.calibration import logistic_scores
+from plumbline.operators.batched import Fit, Model, fit_all, scores
 
+#: Share of the penalty that is l1, by name.
+SHARES = {"l1": 1.0, "l2": 0.0, "none": 0.0}
 
-def fit_penalised(train: DataFrame, test: DataFrame, columns: list[str], *, penalty: str, c: float, l1_ratio: float = 0.5) -> tuple[DataFrame, list[float]]:
-    """((penalty, c, train_auc, test_auc, selected), coefficients); selected: weights beyond 1e-6."""
-    scored, model = logistic_scores(train, test, columns, penalty=penalty, c=c, l1_ratio=l1_ratio)
-    own, _ = logistic_scores(train, train, columns, penalty=penalty, c=c, l1_ratio=l1_ratio)
-    beta = model.coefficients.toArray().tolist()
-    row = M.auc(own).select(F.col("auc").alias("train_auc")).crossJoin(M.auc(scored).select(F.col("auc").alias("test_auc")))
-    return row.select(F.lit(penalty).alias("penalty"), F.lit(float(c)).alias("c"), "train_auc", "test_auc", F.lit(sum(abs(b) > 1e-6 for b in beta)).alias("selected")), beta
+
+def penalty_model(penalty: str, c: float, l1_ratio: float = 0.5) -> Model:
+    return Model(f"{penalty}/{c:g}", math.inf if penalty == "none" else c, SHARES.get(penalty, l1_ratio))
+
+
+def fit_penalised(train: DataFrame, test: DataFrame, columns: list[str], models: list[Model]) -> tuple[DataFrame, list[Fit]]:
+    """((model, train_auc, test_auc, selected), fits) of all models at once; selected: weights beyond 1e-6."""
+    fits = fit_all(train, columns, models)
+    picked = train.sparkSession.createDataFrame([(f.model.name, int(f.selected.sum())) for f in fits], "model string, selected int")
+    judged = [M.auc(scores(rows, columns, fits), groups=("model",)).withColumnRenamed("auc", name) for rows, name in ((train, "train_auc"), (test, "test_auc"))]
+    return picked.join(judged[0], "model").join(judged[1], "model").select("model", "train_auc", "test_auc", "selected"), fits
 
 
 def regularisation_path(train: DataFrame, test: DataFrame, columns: list[str], *, strengths: list[float], penalty: str = "l1") -> DataFrame:
-    """(c, column, coefficient) at each strength."""
-    train.cache()
-    rows = []
-    for c in strengths:
-        _, model = logistic_scores(train, test, columns, penalty=penalty, c=c)
-        rows += [(float(c), name, float(b)) for name, b in zip(columns, model.coefficients.toArray(), strict=True)]
-    train.unpersist()
-    return train.sparkSession.createDataFrame(rows, "c double, column string, coefficient double")
+    """(c, column, coefficient, selected, train_auc, test_auc) at each strength; all strengths are one batch of fits."""
+    models = [penalty_model(penalty, c) for c in strengths]
+    judged, fits = fit_penalised(train, test, columns, models)
+    rows = [(f.model.name, float(c), name, float(b)) for c, f in zip(strengths, fits, strict=True) for name, b in zip(columns, f.beta, strict=False)]
+    return train.sparkSession.createDataFrame(rows, "model string, c double, column string, coefficient double").join(judged, "model").drop("model")
 
 
 def bootstrap_fits(rows: DataFrame, columns: list[str], *, c: float, replicates: int, seed: int = 0) -> list[list[float]]:
-    """Coefficients of l1 fits on Poisson bootstrap weights from a seeded hash of the id."""
-    out = []
-    rows.cache()
-    for r in range(replicates):
-        u = (F.pmod(F.xxhash64("id", F.lit(seed), F.lit(r)), F.lit(1 << 30)) + 0.5) / (1 << 30)
-        cuts, total, p = [], 0.0, 0.36787944117144233  # Poisson(1): P(0) = 1/e
-        for k in range(1, 7):
-            total += p
-            cuts.append(total)
-            p /= k
-        weight = sum(((u > cut).cast("double") for cut in cuts), F.lit(0.0))
-        sample = rows.withColumn("w", weight).where("w > 0")
-        _, model = logistic_scores(sample, sample, columns, penalty="l1", c=c, weight="w")
-        out.append(model.coefficients.toArray().tolist())
-    rows.unpersist()
-    return out
+    """Coefficients of l1 fits on Poisson bootstrap weights drawn from the id; all replicates are one batch of fits."""
+    fits = fit_all(rows, columns, [Model(str(r), c, 1.0, 100_000 * seed + r) for r in range(replicates)])
+    return [f.beta[:-1].tolist() for f in fits]
 
 
 def selection_frequency(spark, fits: list[list[float]], columns: list[str]) -> DataFrame:

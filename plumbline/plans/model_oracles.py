@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from plumbline.plans import oracles as O
 from plumbline.plans.oracles import DAILY, FORWARD, INTERACTIONS, LEDGER, MATCHES, MONTHLY, POLICIES, RANKING, SCORED, SQL, add
 
@@ -183,3 +185,19 @@ add("arff_reader", "n_name n_nationkey*", [], "SELECT n_name, CAST(n_nationkey A
 SQL["source_status"] = "SELECT name, url, name <> 'missing' AS cached, CASE WHEN name <> 'missing' THEN strlen(name) END AS bytes, CASE WHEN name <> 'missing' THEN sha256(name) END AS sha256 FROM (VALUES ('region', 'r'), ('nation', 'n'), ('missing', 'm')) t(name, url)"
 add("clean_retail", "is_return lines# codes# revenue*", [], "SELECT l_returnflag = 'R' AS is_return, count(*) AS lines, count(DISTINCT CASE WHEN l_linenumber <> 6 THEN l_partkey END) AS codes, round(sum(l_quantity * (l_extendedprice - 5000)), 2) AS revenue FROM lineitem WHERE l_linenumber <> 7 AND l_extendedprice > 5000 GROUP BY 1")
 add("clean_motor", '"ClaimNb"# policies# exposure*', [], 'SELECT least(c_custkey % 7, 4) AS "ClaimNb", count(*) AS policies, sum(least(c_custkey % 30 / CAST(20 AS DOUBLE), 1)) AS exposure FROM customer GROUP BY 1')
+
+# --- penalised fits: what an optimum must satisfy
+
+_PRIME = (1 << 31) - 1
+_CUTS = [sum(math.exp(-1) / math.factorial(i) for i in range(k + 1)) for k in range(12)]
+_REPLICATES = "draws(model, a, b) AS (VALUES " + ", ".join(
+    [f"('{p}/0.002', CAST(NULL AS BIGINT), CAST(NULL AS BIGINT))" for p in ("none", "l2", "l1", "elasticnet")] + [f"('replicate/{r}', {pow(16_807, r + 1, _PRIME)}, {pow(48_271, r + 1, _PRIME)})" for r in range(6)]
+) + ")"
+_STANDARD = "standard AS (" + " UNION ALL ".join(
+    f"SELECT id, key, y, '{c}' AS \"column\", ({c} - avg({c}) OVER ()) / stddev_pop({c}) OVER () AS x FROM derived" for c in O._DERIVED
+) + " UNION ALL SELECT id, key, y, 'intercept', 1.0 FROM derived)"
+add("penalty_conditions", 'model "column" moment*', [
+    "derived AS (SELECT id, CAST('0x' || substr(md5(CAST(id AS VARCHAR)), 1, 12) AS BIGINT) % 2147483647 AS key, y, " + ", ".join(O._DERIVED) + " FROM (SELECT l_orderkey * 10 + l_linenumber AS id, CAST(l_returnflag = 'R' AS INT) AS y, " + ", ".join(f"CAST({e} AS DOUBLE) AS {c}" for c, e in O._DERIVED.items()) + " FROM lineitem))",
+    _STANDARD, _REPLICATES,
+    "weighted AS (SELECT model, id, " + " + ".join(f"CAST((key * a + b) % {_PRIME} >= {math.floor(c * _PRIME)} AS INT)" for c in _CUTS) + " AS m FROM (SELECT DISTINCT id, key FROM standard), draws)",
+], "SELECT model, \"column\", round(sum(coalesce(m, 1) * x * y), 2) AS moment FROM standard JOIN weighted USING (id) GROUP BY 1, 2")

@@ -18,6 +18,7 @@ from plumbline.operators import recommend as RE
 from plumbline.operators import reduce as RD
 from plumbline.operators import regularise as RG
 from plumbline.operators import timeseries as TS
+from plumbline.operators.batched import Model, fit_all, moments
 from plumbline.plans.queries import query
 from plumbline.session import checkpointed
 from plumbline.sources import views as V
@@ -359,11 +360,19 @@ def correlated_pairs(spark, d):
 @query
 def penalties(spark, d):
     rows, columns = _engineered(spark, d)
-    out = None
-    for penalty in ("none", "l2", "l1", "elasticnet"):
-        one, _ = RG.fit_penalised(rows.where("part < 4"), rows.where("part = 4"), columns, penalty=penalty, c=0.01)
-        out = one if out is None else out.unionByName(one)
-    return out
+    models = [RG.penalty_model(p, 0.01) for p in ("none", "l2", "l1", "elasticnet")]
+    return RG.fit_penalised(rows.where("part < 4"), rows.where("part = 4"), columns, models)[0]
+
+
+@query
+def penalty_conditions(spark, d):
+    """Sums of column x fitted probability plus the penalty's pull, of penalised fits and of bootstrap replicates.
+
+    At an optimum they are the sums of column x label, weighted by the draws, which the labels alone give.
+    """
+    rows, columns = _engineered(spark, d)
+    models = [RG.penalty_model(p, 0.002) for p in ("none", "l2", "l1", "elasticnet")] + [Model(f"replicate/{r}", 0.002, 1.0, r) for r in range(6)]
+    return moments(rows, columns, fit_all(rows, columns, models)).withColumn("moment", F.round("moment", 2))
 
 
 @query
@@ -375,10 +384,10 @@ def regularisation_path(spark, d):
 @query
 def selection_stability(spark, d):
     rows, columns = _engineered(spark, d)
-    return RG.selection_frequency(spark, RG.bootstrap_fits(rows.select("id", "y", *columns), columns, c=0.002, replicates=200), columns)
+    return RG.selection_frequency(spark, RG.bootstrap_fits(rows.select("id", "y", *columns), columns, c=0.01, replicates=200), columns)
 
 
 @query
 def pairwise_stability(spark, d):
     rows, columns = _engineered(spark, d)
-    return RG.pairwise_stability(spark, RG.bootstrap_fits(rows.select("id", "y", *columns), columns, c=0.002, replicates=40, seed=1))
+    return RG.pairwise_stability(spark, RG.bootstrap_fits(rows.select("id", "y", *columns), columns, c=0.01, replicates=40, seed=1))
