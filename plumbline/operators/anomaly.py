@@ -9,12 +9,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
 
 from plumbline.functions.running import running_totals
-from plumbline.operators.clusters import distance
+from plumbline.operators import nearest as N
 from plumbline.operators.reduce import moments, second_moments
-from plumbline.session import ship
+from plumbline.session import checkpointed, ship
 
 
 def mahalanobis(rows: DataFrame) -> DataFrame:
@@ -97,49 +96,9 @@ def isolation_forest(rows: DataFrame, *, trees: int = 100, sample: int = 256, se
 def local_outlier_factor(rows: DataFrame, *, neighbours: int = 35) -> DataFrame:
     """(id, score): mean density of the nearest neighbours over one's own.
 
-    Neighbours are found exactly, block by block: each task holds a block of rows and streams past the
-    others' blocks, keeping the nearest, so no pair leaves a task.
+    Neighbours are found exactly by a metric index.
     """
-    ship(rows.sparkSession)
-    n = rows.count()
-    blocks = max(1, -(-n // 2000))
-    cut = rows.select(F.col("id").alias("i"), "x", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"))
-    left = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select("block", "other", F.lit(True).alias("own"), "i", "x")
-    right = cut.withColumn("to", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select(F.col("to").alias("block"), F.col("block").alias("other"), F.lit(False).alias("own"), "i", "x")
-    kind, arrow = dict(rows.dtypes)["id"], to_arrow_type(rows.schema["id"].dataType)
-
-    def emit(out):
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (arrow, arrow, pa.float64()), strict=True)], names=["i", "j", "d"])
-
-    def nearest(held):
-        mine, theirs = [r for r in held if r[2]], [r for r in held if not r[2]]
-        if not mine or not theirs:
-            return []
-        a, b = np.array([r[4] for r in mine]), np.array([r[4] for r in theirs])
-        d = np.sqrt(np.maximum((a**2).sum(1)[:, None] + (b**2).sum(1)[None, :] - 2 * a @ b.T, 0))
-        ids = [r[3] for r in theirs]
-        out = []
-        for k, row in enumerate(mine):
-            order = sorted((float(d[k, j]), ids[j]) for j in np.argpartition(d[k], min(neighbours + 1, len(ids) - 1))[: neighbours + 2].tolist() if ids[j] != row[3])
-            out += [(row[3], j, x) for x, j in order[:neighbours]]
-        return out
-
-    def run(batches):
-        held: list[tuple] = []
-        for batch in batches:
-            out = []
-            for row in zip(*(batch.column(c).to_pylist() for c in range(5)), strict=True):
-                if held and row[:2] != held[0][:2]:
-                    out += nearest(held)
-                    held = []
-                held.append(row)
-            if out:
-                yield emit(out)
-        if held and (out := nearest(held)):
-            yield emit(out)
-
-    found = left.unionByName(right).repartition("block", "other").sortWithinPartitions("block", "other").mapInArrow(run, f"i {kind}, j {kind}, d double")
-    knn = found.withColumn("r", F.row_number().over(Window.partitionBy("i").orderBy("d", "j"))).where(F.col("r") <= neighbours)
+    knn = checkpointed(N.nearest(N.build(rows), neighbours).select(F.col("id").alias("i"), F.col("other").alias("j"), "d"))
     reach = knn.groupBy("i").agg(F.max("d").alias("kd"))
     density = knn.join(reach.select(F.col("i").alias("j"), "kd"), "j").groupBy("i").agg((1 / (F.avg(F.greatest("d", "kd")) + 1e-10)).alias("lrd"))
     around = knn.join(density.select(F.col("i").alias("j"), F.col("lrd").alias("their")), "j").groupBy("i").agg(F.avg("their").alias("their"))

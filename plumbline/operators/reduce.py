@@ -13,9 +13,8 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
-from pyspark.sql.types import StructType
 
+from plumbline.operators import nearest as N
 from plumbline.operators.clusters import distance
 from plumbline.session import ship
 
@@ -172,92 +171,19 @@ def _sampled(rows: DataFrame, sample: int | None) -> DataFrame:
     return rows if sample is None else rows.orderBy(F.xxhash64("id", F.lit(0)), "id").limit(sample)
 
 
-def _distances(x: np.ndarray, others: np.ndarray) -> np.ndarray:
-    return np.round(np.sqrt(((others - x) ** 2).sum(axis=1)), 9)
-
-
-def _by_block_pair(rows: DataFrame, wanted: DataFrame, found, schema: str) -> DataFrame:
-    """``found`` of each pair of blocks: its rows of ``wanted`` (id, x, also) against a block of ``rows`` (id, x).
-
-    No pair of rows leaves a task; blocks have about 2,000 rows at most. ``found`` gets
-    the distances to the block's rows, infinite to the row itself.
-    """
-    ship(rows.sparkSession)
-    n = rows.count()
-    blocks = max(-(-n // 2000), min(8, -(-n // 100)), 1)
-    block, every = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    left = wanted.select(block.alias("block"), every.alias("other"), F.lit(True).alias("own"), "id", "x", "also")
-    right = rows.select(every.alias("block"), block.alias("other"), F.lit(False).alias("own"), "id", "x", F.lit(None).cast(wanted.schema["also"].dataType).alias("also"))
-    types = [to_arrow_type(f.dataType) for f in StructType.fromDDL(schema)]
-    names = StructType.fromDDL(schema).names
-
-    def flush(held):
-        mine, theirs = [r for r in held if r[2]], [r for r in held if not r[2]]
-        if not mine or not theirs:
-            return
-        ids, x = [r[3] for r in theirs], np.array([r[4] for r in theirs])
-        place = {j: at for at, j in enumerate(ids)}
-        out = []
-        for _, _, _, i, own, also in mine:
-            d = _distances(np.array(own), x)
-            if i in place:
-                d[place[i]] = np.inf
-            out += found(i, np.array(own), also, ids, d)
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
-
-    def run(batches):
-        held: list[tuple] = []
-        for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if held and row[:2] != held[0][:2]:
-                    yield from flush(held)
-                    held = []
-                held.append(row)
-        yield from flush(held)
-
-    return left.unionByName(right).repartition("block", "other").sortWithinPartitions("block", "other").mapInArrow(run, schema)
-
-
-def nearest(rows: DataFrame, k: int) -> DataFrame:
-    """(id, other): the ``k`` nearest rows of every row, exactly, by distance and id."""
-    kind = dict(rows.dtypes)["id"]
-
-    def found(i, x, _, ids, d):
-        last = min(k, len(d)) - 1
-        near = np.flatnonzero((d <= np.partition(d, last)[last]) & (d < np.inf))
-        return [(i, j, v) for v, j in sorted((float(d[at]), ids[at]) for at in near)[:k]]
-
-    pairs = _by_block_pair(rows, rows.select("id", "x", F.lit(0).alias("also")), found, f"id {kind}, other {kind}, d double")
-    return pairs.withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy("d", "other"))).where(F.col("r") <= k).select("id", "other")
-
-
-def ranks_of(rows: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(id, other, r): how many rows lie nearer to ``id`` than ``other`` does, counted over all rows."""
-    kind = dict(rows.dtypes)["id"]
-    also = pairs.join(rows.select(F.col("id").alias("other"), F.col("x").alias("y")), "other").groupBy("id").agg(F.collect_list(F.struct("other", "y")).alias("also"))
-
-    def found(i, x, also, ids, d):
-        for e, bound in zip(also, _distances(x, np.array([e["y"] for e in also])), strict=True):
-            yield i, e["other"], int((d < bound).sum()) + sum(ids[at] < e["other"] for at in np.flatnonzero(d == bound))
-
-    counts = _by_block_pair(rows, rows.join(also, "id").select("id", "x", "also"), found, f"id {kind}, other {kind}, n long")
-    return counts.groupBy("id", "other").agg(F.sum("n").alias("r"))
-
-
 def trustworthiness(rows: DataFrame, embedded: DataFrame, *, k: int = 12, sample: int | None = None, textbook: bool = False) -> DataFrame:
     """One row (trustworthiness) over all rows, or at most ``sample``: the penalty is r - k for ranks from 0 (with ``textbook`` from 1)."""
     rows, embedded = _sampled(rows, sample), _sampled(embedded, sample)
     n = rows.count()
     k = max(min(k, n - 2), 1)
     extra = 1 if textbook else 0
-    sums = ranks_of(rows, nearest(embedded, k)).agg(F.sum(F.when(F.col("r") >= k, F.col("r") - k + extra).otherwise(0)).alias("p"))
+    sums = N.ranks(N.build(rows), N.nearest(N.build(embedded), k).select("id", "other")).agg(F.sum(F.when(F.col("r") >= k, F.col("r") - k + extra).otherwise(0)).alias("p"))
     return sums.select((1 - F.lit(2 / (n * k * (2 * n - 3 * k - 1)) if n else None) * F.col("p")).alias("trustworthiness"))
 
 
 def neighbourhood_overlap(rows: DataFrame, embedded: DataFrame, *, k: int = 12, sample: int | None = None) -> DataFrame:
     """One row (overlap): the share of nearest neighbours, of all rows or at most ``sample``, that stay nearest."""
-    a, b = nearest(_sampled(rows, sample), k), nearest(_sampled(embedded, sample), k)
+    a, b = (N.nearest(N.build(_sampled(df, sample)), k).select("id", "other") for df in (rows, embedded))
     return a.join(b.withColumn("hit", F.lit(1)), ["id", "other"], "left").agg(F.avg(F.coalesce("hit", F.lit(0)).cast("double")).alias("overlap"))
 
 

@@ -6,7 +6,7 @@ import random
 import numpy as np
 import pytest
 from plumbline.functions import growing
-from plumbline.operators import batched, regularise, regimes
+from plumbline.operators import batched, nearest, regularise, regimes
 from plumbline.operators.calibration import logistic_scores
 from pyspark.sql import functions as F
 
@@ -92,3 +92,47 @@ def test_long_series_are_cut_and_equal_the_list(spark):
     for i in range(len(v)):
         assert labels["walk", i] == (-1 if i < 50 else 2 if v[i] >= np.quantile(v[:i], 0.8) else 0 if v[i] <= np.quantile(v[:i], 0.33) else 1)
     assert growing.expanding_quantiles(df.limit(0), [0.5]).count() == 0
+
+
+# --- neighbours
+
+
+def plain_neighbours(x, k):
+    d = np.round(np.sqrt(((x[:, None, :] - x[None, :, :]) ** 2).sum(axis=2)), 9)
+    out = {}
+    for i in range(len(x)):
+        near = sorted((d[i, j], j) for j in range(len(x)) if j != i)
+        out[i] = near
+    return {i: v[:k] for i, v in out.items()}, {(i, j): r for i, v in out.items() for r, (_, j) in enumerate(v)}
+
+
+@pytest.mark.parametrize("shape", ["blobs", "grid", "copies", "few"])
+def test_neighbours_are_those_of_all_pairs(spark, shape):
+    rng = np.random.default_rng(6)
+    x = {
+        "blobs": np.concatenate([rng.normal(size=(80, 5)) + 40 * c for c in rng.normal(size=(10, 1, 5))]),
+        "grid": np.array([(i, j) for i in range(20) for j in range(20)], float),
+        "copies": np.concatenate([np.zeros((150, 3)), rng.normal(size=(100, 3))]),
+        "few": rng.normal(size=(6, 2)),
+    }[shape]
+    k = 7
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(10_000, None)], "id long, x array<double>").repartition(5)
+    index = nearest.build(rows, block=40)
+    found = {}
+    for r in nearest.nearest(index, k).collect():
+        found.setdefault(r["id"], []).append((r["r"], r["d"], r["other"]))
+    expected, places = plain_neighbours(x, k)
+    assert {i: [(d, j) for _, d, j in sorted(v)] for i, v in found.items()} == expected
+    pairs = [(int(a), int(b)) for a, b in rng.integers(0, len(x), (300, 2)) if a != b]
+    got = {(r["id"], r["other"]): r["r"] for r in nearest.ranks(index, spark.createDataFrame(sorted(set(pairs)), "id long, other long")).collect()}
+    assert got == {p: places[p] for p in set(pairs)}
+    if shape == "blobs":
+        visits = sum(r["n"] for r in nearest.nearest(index, k, visits=True).collect())
+        assert visits < 0.3 * len(x) * len(index.cell) and len(index.cell) > 20 and index.size.sum() == len(x)
+
+
+def test_index_of_nothing_and_string_ids(spark):
+    none = spark.createDataFrame([], "id string, x array<double>")
+    assert nearest.nearest(nearest.build(none), 3).count() == 0
+    two = spark.createDataFrame([("a", [0.0, 0.0]), ("b", [3.0, 4.0])], "id string, x array<double>")
+    assert [tuple(r) for r in nearest.nearest(nearest.build(two), 3).orderBy("id").collect()] == [("a", "b", 5.0, 1), ("b", "a", 5.0, 1)]
