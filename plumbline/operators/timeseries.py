@@ -10,7 +10,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.stats import normal_cdf
+from plumbline.operators import plugins
 from plumbline.operators.overlap import ols
+from plumbline.operators.statespace import Arima, Holt, arma_filter
 from plumbline.session import ship
 
 #: MacKinnon's (1994) response surface for the Dickey-Fuller test with a constant, one series. Fixed values.
@@ -105,98 +107,22 @@ def spurious_regression(spark, n: int, *, trials: int, seed: int = 0) -> DataFra
     return fits.select("trial", "kind", "slope", t.alias("t"), (F.abs(t) > 1.96).alias("significant"), "r2")
 
 
-def _arima(history: np.ndarray, horizon: int, order: tuple[int, int, int]) -> np.ndarray:
-    """Conditional least squares by Gauss-Newton with numeric slopes; the last value if that fails."""
-    p, d, q = order
-    series = [np.asarray(history, float)]
-    for _ in range(d):
-        series.append(np.diff(series[-1]))
-    y = series[-1]
-    m = max(p, q)
-    if len(y) < 3 * (p + q + 2):
-        return np.full(horizon, history[-1])
-    mean = y.mean() if d == 0 else 0.0
-    z = y - mean
-
-    def errors(theta):
-        e = np.zeros(len(z))
-        for t in range(m, len(z)):
-            e[t] = z[t] - sum(theta[k] * z[t - 1 - k] for k in range(p)) - sum(theta[p + k] * e[t - 1 - k] for k in range(q))
-        return e
-
-    theta = np.full(p + q, 0.1)
-    best = errors(theta)
-    for _ in range(30):
-        slope = np.column_stack([(errors(theta + 1e-5 * np.eye(p + q)[k]) - best) / 1e-5 for k in range(p + q)])
-        step = -np.linalg.lstsq(slope, best, rcond=None)[0]
-        size = 1.0
-        while size > 1e-4:
-            trial = np.clip(theta + size * step, -0.98, 0.98)
-            e = errors(trial)
-            if e @ e < best @ best:
-                break
-            size /= 2
-        else:
-            break
-        done = abs(best @ best - e @ e) < 1e-10 * (best @ best)
-        theta, best = trial, e
-        if done:
-            break
-    z, e = list(z), list(best)
-    for _ in range(horizon):
-        value = sum(theta[k] * z[-1 - k] for k in range(p)) + sum(theta[p + k] * e[-1 - k] for k in range(q))
-        z.append(value)
-        e.append(0.0)
-    out = np.array(z[-horizon:]) + mean
-    for level in reversed(series[:-1]):
-        out = level[-1] + np.cumsum(out)
-    return out if np.isfinite(out).all() else np.full(horizon, history[-1])
-
-
-def _holt(history: np.ndarray, horizon: int) -> np.ndarray:
-    """Damped additive trend; smoothing and damping from a grid, refined once."""
-    y = np.asarray(history, float)
-    if len(y) < 4:
-        return np.full(horizon, y[-1])
-
-    def run(alpha, beta, phi):
-        level, trend, sse = y[0], y[1] - y[0], 0.0
-        for v in y[1:]:
-            ahead = level + phi * trend
-            sse += (v - ahead) ** 2
-            new = ahead + alpha * (v - ahead)
-            trend = phi * trend + beta * (new - ahead)
-            level = new
-        return sse, level, trend
-
-    grid = [(a, b, f) for a in (0.05, 0.2, 0.4, 0.6, 0.8, 0.95) for b in (0.01, 0.1, 0.3) for f in (0.8, 0.9, 0.98)]
-    a, b, f = min(grid, key=lambda g: run(*g)[0])
-    a, b, f = min(((min(max(a + x, 0.01), 0.99), min(max(b * s, 0.001), 0.5), f) for x in (-0.08, 0, 0.08) for s in (0.5, 1, 1.5)), key=lambda g: run(*g)[0])
-    _, level, trend = run(a, b, f)
-    return level + trend * np.cumsum(f ** np.arange(1, horizon + 1))
-
-
-def fold_forecasts(series: DataFrame, origins: list[int], horizon: int, *, order: tuple[int, int, int] = (1, 1, 1)) -> DataFrame:
-    """(model, origin, last, i, actual, forecast) of ARIMA and Holt, refitted at each origin; folds run in parallel.
-
-    A fold gets its history only, so no model sees what follows.
+def innovations(series: DataFrame, phi: list[float], theta: list[float]) -> DataFrame:
+    """(series, idx, innovation, variance): the exact filter of an ARMA process over each series (series, idx, value).
+
+    A series is filtered in order by one task; ``variance`` is that of the innovation over that of the noise.
     """
     ship(series.sparkSession)
-    picks = series.sparkSession.createDataFrame([(o,) for o in origins], "origin int")
-    rows = F.broadcast(picks).join(series.select("idx", "value"), F.col("idx") < F.col("origin") + horizon)
 
-    def fit(batches):
-        held: dict[int, list] = {}
-        for batch in batches:
-            for origin, idx, value in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                held.setdefault(origin, []).append((idx, value))
-        out = []
-        for origin, pairs in held.items():
-            values = np.array([v for _, v in sorted(pairs)])
-            history, future = values[:origin], values[origin:]
-            for name, ahead in (("arima", _arima(history, horizon, order)), ("holt", _holt(history, horizon))):
-                out += [(name, origin, origin - 1, i, float(future[i]), float(ahead[i])) for i in range(len(future))]
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.float64()), strict=True)], names=["model", "origin", "last", "i", "actual", "forecast"])
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("idx")
+        e, f, _ = arma_filter(table["value"].to_numpy(), np.array(phi), np.array(theta))
+        return pa.table([table["series"], table["idx"], pa.array(e), pa.array(f)], names=["series", "idx", "innovation", "variance"])
+
+    rows = series.select(F.col("series").cast("string").alias("series"), F.col("idx").cast("long").alias("idx"), F.col("value").cast("double").alias("value"))
+    return rows.groupBy("series").applyInArrow(run, "series string, idx long, innovation double, variance double")
+
 
-    return rows.select("origin", "idx", "value").repartition(F.col("origin")).mapInArrow(fit, "model string, origin int, last int, i int, actual double, forecast double")
+def fold_forecasts(series: DataFrame, origins: list[int], horizon: int, *, orders: tuple[tuple[int, int, int], ...] = ((1, 1, 1), (2, 1, 2))) -> DataFrame:
+    """(model, origin, last, i, actual, forecast) of ARIMA and Holt, refitted at each origin; folds run in parallel."""
+    return plugins.fold_forecasts(series, origins, horizon, [*(Arima(o) for o in orders), Holt()])

@@ -201,3 +201,27 @@ add("penalty_conditions", 'model "column" moment*', [
     _STANDARD, _REPLICATES,
     "weighted AS (SELECT model, id, " + " + ".join(f"CAST((key * a + b) % {_PRIME} >= {math.floor(c * _PRIME)} AS INT)" for c in _CUTS) + " AS m FROM (SELECT DISTINCT id, key FROM standard), draws)",
 ], "SELECT model, \"column\", round(sum(coalesce(m, 1) * x * y), 2) AS moment FROM standard JOIN weighted USING (id) GROUP BY 1, 2")
+
+
+# --- the filter, step by step: a state of two numbers and its covariance
+
+
+def _filter(model: str, a: float, b: float, m: float) -> str:
+    """ARMA(2, 1): state (x, y), x' = a x + y + e, y' = b x + m e; the start is the stationary covariance."""
+    # Stationary: P11 = a2 P11 + 2a P12 + P22 + 1; P12 = a b P11 + b P12 + m; P22 = b2 P11 + m2.
+    p11 = (1 + m * m + 2 * a * m / (1 - b)) / (1 - a * a - b * b - 2 * a * a * b / (1 - b))
+    p12, p22 = (a * b * p11 + m) / (1 - b), b * b * p11 + m * m
+    n = lambda v: f"CAST({v!r} AS DOUBLE)"
+    return f"""f{model}(idx, innovation, variance, x, y, p, q, r) AS (
+  SELECT CAST(0 AS BIGINT), CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE), CAST(0 AS DOUBLE), CAST(0 AS DOUBLE), {n(p11)}, {n(p12)}, {n(p22)}
+  UNION ALL
+  SELECT idx, e, p, {n(a)} * x1 + y1, {n(b)} * x1, r1 + 1, CAST({m!r} AS DOUBLE), CAST({m * m!r} AS DOUBLE)
+  FROM (SELECT z.idx AS idx, v - x AS e, p, x + (v - x) AS x1, y + q / p * (v - x) AS y1, r - q * q / p AS r1 FROM f{model} f JOIN z ON z.idx = f.idx + 1))"""
+
+
+add("kalman_innovations", "model idx# innovation* variance*", [
+    MONTHLY, "steps AS (SELECT idx, value - lag(value) OVER (ORDER BY idx) AS v FROM monthly)",
+    "z AS (SELECT idx, (v - avg(v) OVER ()) / stddev_pop(v) OVER () AS v FROM steps WHERE v IS NOT NULL)",
+    _filter("101", 0.5, 0.0, 0.4), _filter("201", 0.3, -0.2, -0.6),
+], "SELECT '101' AS model, idx, innovation, variance FROM f101 WHERE idx > 0 UNION ALL SELECT '201', idx, innovation, variance FROM f201 WHERE idx > 0")
+SQL["kalman_innovations"] = SQL["kalman_innovations"].replace("WITH ", "WITH RECURSIVE ", 1)

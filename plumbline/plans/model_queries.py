@@ -391,3 +391,16 @@ def selection_stability(spark, d):
 def pairwise_stability(spark, d):
     rows, columns = _engineered(spark, d)
     return RG.pairwise_stability(spark, RG.bootstrap_fits(rows.select("id", "y", *columns), columns, c=0.01, replicates=40, seed=1))
+
+
+@query
+def kalman_innovations(spark, d):
+    """Exact filters of ARMA processes of fixed coefficients over the standardised steps of the monthly series."""
+    from pyspark.sql import Window
+
+    steps = V.monthly(spark, d).select("idx", (F.col("value") - F.lag("value").over(Window.orderBy("idx"))).alias("value")).where("value is not null")
+    figures = steps.agg(F.avg("value").alias("m"), F.stddev_pop("value").alias("s"))
+    z = steps.crossJoin(F.broadcast(figures)).select(F.lit("monthly").alias("series"), "idx", ((F.col("value") - F.col("m")) / F.col("s")).alias("value"))
+    one = TS.innovations(z, [0.5], [0.4]).withColumn("model", F.lit("101"))
+    two = TS.innovations(z, [0.3, -0.2], [-0.6]).withColumn("model", F.lit("201"))
+    return one.unionByName(two).select("model", "idx", "innovation", "variance")

@@ -1,14 +1,14 @@
 """Batched penalised fits, quantiles of a growing past, neighbours, state-space forecasts and tails."""
 
 import math
-import random
+import sys
 
 import numpy as np
 import pytest
 from plumbline.functions import growing
-from plumbline.operators import batched, nearest, regularise, regimes
+from plumbline.operators import batched, forecast, nearest, plugins, regimes, regularise, statespace
 from plumbline.operators.calibration import logistic_scores
-from pyspark.sql import functions as F
+from pyspark import cloudpickle
 
 # --- batched fits
 
@@ -136,3 +136,85 @@ def test_index_of_nothing_and_string_ids(spark):
     assert nearest.nearest(nearest.build(none), 3).count() == 0
     two = spark.createDataFrame([("a", [0.0, 0.0]), ("b", [3.0, 4.0])], "id string, x array<double>")
     assert [tuple(r) for r in nearest.nearest(nearest.build(two), 3).orderBy("id").collect()] == [("a", "b", 5.0, 1), ("b", "a", 5.0, 1)]
+
+
+# --- state space and plug-ins
+
+
+def dense_likelihood(y, phi, theta, lags=3000):
+    """Log likelihood from the whole covariance matrix, by the weights of the infinite moving average."""
+    psi = np.zeros(lags)
+    psi[0] = 1
+    for j in range(1, lags):
+        psi[j] = (theta[j - 1] if j <= len(theta) else 0) + sum(phi[k] * psi[j - 1 - k] for k in range(len(phi)) if j - 1 - k >= 0)
+    cov = np.array([psi[: lags - h] @ psi[h:] for h in range(len(y))])[np.abs(np.subtract.outer(np.arange(len(y)), np.arange(len(y))))]
+    scale = y @ np.linalg.solve(cov, y) / len(y)
+    return -0.5 * (len(y) * math.log(2 * math.pi * scale) + np.linalg.slogdet(cov)[1] + len(y))
+
+
+def test_filter_has_the_exact_likelihood_and_finds_planted_models():
+    rng = np.random.default_rng(0)
+    e, y = rng.normal(size=850), np.zeros(850)
+    for t in range(2, 850):
+        y[t] = 0.6 * y[t - 1] - 0.3 * y[t - 2] + e[t] + 0.4 * e[t - 1]
+    y = y[50:]
+    for phi, theta in (([0.6, -0.3], [0.4]), ([0.9], [-0.5, 0.2]), ([], [0.7]), ([0.95], []), ([], [])):
+        assert statespace.log_likelihood(y[:120], np.array(phi), np.array(theta)) == pytest.approx(dense_likelihood(y[:120], phi, theta), abs=1e-6)
+    found = statespace.Arima((2, 0, 1)).fit(y + 5)
+    assert np.allclose(found.phi, [0.6, -0.3], atol=0.12) and np.allclose(found.theta, [0.4], atol=0.12) and abs(found.mean - 5) < 0.3
+    assert found.value == pytest.approx(dense_likelihood(y + 5 - found.mean, found.phi, found.theta), abs=1e-5)
+    walk = statespace.Arima((1, 1, 1))
+    assert np.isfinite(walk.forecast(np.cumsum(y[:200]), 6)).all() and (walk.forecast(np.ones(50), 3) == 1).all() and (walk.forecast(np.array([1.0, 2.0]), 2) == 2).all()
+    assert np.allclose(statespace.coefficients(statespace.raw_of(np.array([0.6, -0.3, 0.1]))), [0.6, -0.3, 0.1])
+
+
+def test_no_grid_point_beats_the_simplex():
+    rng = np.random.default_rng(1)
+    for series in (np.cumsum(rng.normal(size=60)) + 0.5 * np.arange(60), 10 + rng.normal(size=40)):
+        fitted, z = statespace.Holt().fit(series), (series - series[0]) / np.std(series)
+        grid = [statespace.Holt.start(z, a, a * b, f)[2] for a in np.linspace(0.02, 0.98, 9) for b in np.linspace(0.02, 0.98, 7) for f in np.linspace(0.81, 0.99, 5)]
+        assert fitted.sse / np.var(series) <= min(grid) + 1e-9 and 0 < fitted.beta <= fitted.alpha < 1
+    line = 3 + 2.0 * np.arange(30)
+    assert statespace.Holt().forecast(line, 2)[0] == pytest.approx(line[-1] + 2, abs=0.3)
+    rosenbrock = lambda x: (1 - x[0]) ** 2 + 100 * (x[1] - x[0] ** 2) ** 2
+    assert np.allclose(statespace.simplex(rosenbrock, np.array([-1.0, 2.0]))[0], [1, 1], atol=1e-4)
+
+
+class Middle:
+    """A user's forecaster: the median of the history."""
+
+    name = "middle"
+
+    def forecast(self, history, horizon):
+        return np.repeat(np.median(history), horizon)
+
+
+class FarFromMean:
+    def fit_score(self, x):
+        return np.abs(x - x.mean(axis=0)).sum(axis=1)
+
+
+class Counts:
+    def fit(self, categories, labels):
+        self.known = {c: categories.count(c) for c in categories}
+
+    def transform(self, categories):
+        return np.array([self.known.get(c, 0) for c in categories])
+
+
+def test_own_models_run_by_key(spark):
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers can't import tests
+    values = [float(10 + (k * 7) % 5 + k / 10) for k in range(60)]
+    series = spark.createDataFrame(list(enumerate(values)), "idx int, value double")
+    scores = {r["model"]: r for r in forecast.evaluate(series, [30, 40, 50], horizon=5, season=1, models=("random_walk",), own=(Middle(),)).collect()}
+    gap = [np.median(values[:o]) - np.array(values[o : o + 5]) for o in (30, 40, 50)]
+    assert scores["middle"]["bias"] == pytest.approx(np.mean([g.mean() for g in gap])) and scores["middle"]["folds"] == scores["random_walk"]["folds"] == 3
+    late = {r["model"]: r["bias"] for r in forecast.evaluate(series, [30], horizon=5, season=1, embargo=3, models=("random_walk",), own=(Middle(),)).collect()}
+    assert late["middle"] == pytest.approx(np.median(values[:27]) - np.mean(values[30:35]))
+    rows = [(k, f"{k}{i}", [float(i), float(i == 9) * 50]) for k in ("a", "b") for i in range(10)]
+    found = plugins.detect(spark.createDataFrame(rows, "key string, id string, x array<double>"), FarFromMean())
+    assert dict(found.dtypes)["id"] == "string" and {r["id"] for r in found.where("score > 40").collect()} == {"a9", "b9"}
+    coded = spark.createDataFrame([("k", i, "train" if i < 6 else "test", "xy"[i % 2], 1.0) for i in range(9)] + [("k", 9, "test", "z", 0.0)], "key string, id int, split string, category string, y double")
+    assert {r["id"]: r["encoded"] for r in plugins.encode(coded, Counts()).collect()} == {**dict.fromkeys(range(9), 3.0), 9: 0.0}
+    with pytest.raises(Exception, match="finite values expected"):
+        plugins.fold_forecasts(series, [30], 5, [type("Short", (Middle,), {"forecast": lambda s, h, n: [1.0]})()]).collect()

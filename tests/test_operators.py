@@ -274,7 +274,7 @@ def test_stationarity_and_spurious_regression(spark):
     share = {r["kind"]: r["s"] for r in timeseries.spurious_regression(spark, 300, trials=60).groupBy("kind").agg(F.avg(F.col("significant").cast("double")).alias("s")).collect()}
     assert share["levels"] > 0.6 and share["differences"] < 0.2
     trend = np.arange(60.0) * 2
-    assert timeseries._arima(trend, 3, (1, 1, 1))[0] == pytest.approx(trend[-1] + 2, abs=1)
+    assert timeseries.Arima((1, 1, 1)).forecast(trend, 3)[0] == pytest.approx(trend[-1] + 2, abs=1)
 
 
 def test_readers(spark, tmp_path):
