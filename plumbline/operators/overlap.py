@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-import math
-from dataclasses import dataclass
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.functions.stats import student_two_sided
+from plumbline.functions.tails import student_two_sided
 
 
 def forward_return(series: DataFrame, horizon: int, *, per_year: int = 12) -> DataFrame:
@@ -59,22 +56,26 @@ def offset_sweep(rows: DataFrame, horizon: int, *, least: int = 8) -> DataFrame:
     return rows.groupBy((F.col("idx") % horizon).alias("offset")).agg(*ols()).where(F.col("n") >= least)
 
 
-@dataclass(frozen=True)
-class Regression:
-    method: str
-    slope: float
-    standard_error: float
-    n_used: int
-    n_independent: float
+def judged(estimates: DataFrame, *, alpha: float = 0.05) -> DataFrame:
+    """``estimates`` (slope, se, n_independent, ...) with t, p and significant; a missing or zero error gives t = 0.
+
+    Degrees of freedom are those of the independent observations, 1 at least.
+    """
+    t = F.when(F.col("se") > 0, F.col("slope") / F.col("se")).otherwise(0.0)
+    judged = estimates.withColumn("t", t).withColumn("p", student_two_sided(F.col("t"), F.greatest(F.col("n_independent") - 2, F.lit(1.0))))
+    return judged.withColumn("significant", F.coalesce(F.col("p") < alpha, F.lit(False)))
+
 
-    @property
-    def t(self) -> float:
-        return self.slope / self.standard_error if self.standard_error > 0 else 0.0
+def overlapping_verdict(rows: DataFrame, horizon: int) -> DataFrame:
+    """(method, slope, se, n, n_independent, t, p, significant) of y on x: rows as if independent, and by their effective number."""
+    fit = rows.agg(*ols()).select("slope", "se", "n")
+    n, fair = F.col("n").cast("double"), F.col("n") / horizon
+    plain = fit.withColumn("method", F.lit("ols")).withColumn("n_independent", n)
+    wide = fit.withColumn("method", F.lit("effective")).withColumn("se", F.col("se") * F.sqrt(n / fair)).withColumn("n_independent", fair)
+    return judged(plain.unionByName(wide))
 
-    @property
-    def p(self) -> float:
-        return student_two_sided(self.t, max(self.n_independent - 2, 1.0))
 
-    @property
-    def significant(self) -> bool:
-        return self.p < 0.05 and math.isfinite(self.t)
+def slopes_by(rows: DataFrame, key: str) -> DataFrame:
+    """(key, slope, se, n, n_independent, t, p, significant) of y on x in each group, in one aggregation; groups without an error are left out."""
+    each = rows.groupBy(key).agg(*ols()).where(F.col("se").isNotNull())
+    return judged(each.select(key, "slope", "se", "n", F.col("n").cast("double").alias("n_independent")))

@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.running import running_totals
-from plumbline.functions.stats import chi2_tail, normal_cdf
+from plumbline.functions.stats import normal_cdf
+from plumbline.functions.tails import chi2_tail
 
 
 def order_gaps(ledger: DataFrame, *, cutoff: str | None = None, least: float = 0.5) -> DataFrame:
@@ -77,9 +78,9 @@ def log_rank_sums(rows: DataFrame, group: str) -> DataFrame:
     return sums.withColumn("chi2", F.when(F.col("variance") > 0, F.pow(F.col("observed_a") - F.col("expected_a"), 2) / F.col("variance")).otherwise(0.0))
 
 
-def log_rank(rows: DataFrame, group: str) -> dict:
-    found = log_rank_sums(rows, group).first().asDict()
-    return found | {"p_value": chi2_tail(found["chi2"])}
+def log_rank(rows: DataFrame, group: str) -> DataFrame:
+    """``log_rank_sums`` with p_value, the tail of chi-squared with one degree."""
+    return log_rank_sums(rows, group).withColumn("p_value", chi2_tail(F.col("chi2")))
 
 
 @dataclass(frozen=True)

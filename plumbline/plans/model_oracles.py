@@ -77,6 +77,12 @@ add("regression_verdict", "method n_independent* t* p* significant", [MONTHLY, F
     "pair AS (SELECT 'ols' AS method, CAST(n AS DOUBLE) AS n_independent, slope / se AS t FROM r UNION ALL SELECT 'effective', n / CAST(12 AS DOUBLE), slope / (se * sqrt(CAST(12 AS DOUBLE))) FROM r)",
     f"q AS (SELECT *, 1 - 2 * exp(lgamma((v + 1) / 2) - lgamma(v / 2)) / sqrt(v * pi()) * {_T} AS p FROM (SELECT *, greatest(n_independent - 2, 1) AS v FROM pair))"], "SELECT method, n_independent, t, p, p < 0.05 AS significant FROM q")
 _LOG_RANK = SQL["log_rank"]
+_DENSITY = "pow(1 + @ * @ / (n - 2), -(n - 1) / CAST(2 AS DOUBLE))"
+add("slopes_by_part", "l_partkey slope* t* p* significant", [
+    "g AS (SELECT l_partkey, regr_slope(l_discount, l_quantity) AS slope, regr_sxx(l_discount, l_quantity) AS sxx, regr_syy(l_discount, l_quantity) AS syy, regr_sxy(l_discount, l_quantity) AS sxy, count(*) AS n FROM lineitem GROUP BY 1)",
+    "e AS (SELECT *, sqrt(greatest(syy - sxy * sxy / sxx, 0) / (n - 2) / sxx) AS se FROM g WHERE n > 2 AND sxx > 0)", "t AS (SELECT *, CASE WHEN se > 0 THEN slope / se ELSE 0 END AS t FROM e)",
+    f"p AS (SELECT *, greatest(1 - 2 * exp(lgamma((n - 1) / CAST(2 AS DOUBLE)) - lgamma((n - 2) / CAST(2 AS DOUBLE))) / sqrt((n - 2) * pi()) * {_simpson(_DENSITY, 'abs(t)')}, 0) AS p FROM t)",
+], "SELECT l_partkey, slope, t, p, p < 0.05 AS significant FROM p")
 SQL["log_rank_p"] = f"SELECT chi2, round(greatest(2 * (1 - {_phi('sqrt(chi2)')}), 0), 6) + 0.0 AS p_value FROM ({_LOG_RANK})"
 
 # --- pricing

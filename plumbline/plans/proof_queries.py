@@ -132,16 +132,19 @@ def category_codes(spark, d):
 def regression_verdict(spark, d):
     """The overlapping regression as if rows were independent, and with its effective sample size."""
     rows = OV.forward_return(_monthly(spark, d), 12).where("forward is not null").select("x", F.col("forward").alias("y"))
-    r = rows.agg(*OV.ols()).first()
-    fair = OV.effective_sample_size(r["n"], 12)
-    found = [OV.Regression("ols", r["slope"], r["se"], r["n"], float(r["n"])), OV.Regression("effective", r["slope"], r["se"] * (r["n"] / fair) ** 0.5, r["n"], fair)]
-    return spark.createDataFrame([(f.method, f.n_independent, f.t, f.p, f.significant) for f in found], "method string, n_independent double, t double, p double, significant boolean")
+    return OV.overlapping_verdict(rows, 12).select("method", "n_independent", "t", "p", "significant")
+
+
+@query
+def slopes_by_part(spark, d):
+    """The slope of discount on quantity in each part's lines, with its p-value: all groups are one aggregation."""
+    rows = V.table(spark, d, "lineitem").select("l_partkey", F.col("l_quantity").cast("double").alias("x"), F.col("l_discount").cast("double").alias("y"))
+    return OV.slopes_by(rows, "l_partkey").select("l_partkey", "slope", "t", "p", "significant")
 
 
 @query
 def log_rank_p(spark, d):
-    found = SV.log_rank(_gaps_by_half(spark, d), "b")
-    return spark.createDataFrame([(float(found["chi2"]), float(found["p_value"]))], "chi2 double, p_value double")
+    return SV.log_rank(_gaps_by_half(spark, d), "b").select("chi2", "p_value")
 
 
 @query

@@ -262,9 +262,8 @@ def deflated_sharpe(spark, d):
     trials = BT.run_search(series, rules)
     best = trials.orderBy(F.desc("sharpe_ann"), "rule").select("rule").first()["rule"]
     returns = BT.strategy_returns(series, rules.where(F.col("rule") == best))
-    v = BT.deflated_sharpe(returns, trials, rules.count())
-    track = BT.minimum_track_record(v.sharpe_pp, skew=v.skew, kurtosis=v.kurtosis)
-    return spark.createDataFrame([(best, v.observed_ann, v.benchmark_ann, v.probability_real, v.n_trials, v.n_observations, v.survives, track)], "rule string, observed_ann double, benchmark_ann double, probability_real double, n_trials long, n_observations long, survives boolean, min_track_record double")
+    found = BT.deflated_sharpe(returns, trials, rules.count())
+    return found.select(F.lit(best).alias("rule"), "observed_ann", "benchmark_ann", "probability_real", F.lit(rules.count()).alias("n_trials"), F.col("n").alias("n_observations"), "survives", "min_track_record")
 
 
 # --- ratings and forecasts of matches

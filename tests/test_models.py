@@ -5,10 +5,18 @@ import sys
 
 import numpy as np
 import pytest
-from plumbline.functions import growing
-from plumbline.operators import batched, forecast, nearest, plugins, regimes, regularise, statespace
+from plumbline.functions import growing, stats, tails
+from plumbline.operators import batched, forecast, nearest, overlap, plugins, regimes, regularise, statespace
 from plumbline.operators.calibration import logistic_scores
 from pyspark import cloudpickle
+from pyspark.sql import functions as F
+
+
+
+def one(df):
+    (row,) = df.collect()
+    return row
+
 
 # --- batched fits
 
@@ -218,3 +226,30 @@ def test_own_models_run_by_key(spark):
     assert {r["id"]: r["encoded"] for r in plugins.encode(coded, Counts()).collect()} == {**dict.fromkeys(range(9), 3.0), 9: 0.0}
     with pytest.raises(Exception, match="finite values expected"):
         plugins.fold_forecasts(series, [30], 5, [type("Short", (Middle,), {"forecast": lambda s, h, n: [1.0]})()]).collect()
+
+
+# --- tails
+
+
+def test_tails_as_columns_are_those_of_single_figures(spark):
+    rows = [(t, df) for t in (0.0, 0.3, 1.0, 2.5, 8.0, 40.0, -1.7) for df in (1.0, 2.0, 7.5, 30.0, 400.0, 1e5)]
+    got = spark.createDataFrame(rows, "t double, df double").select("t", "df", tails.student_two_sided(F.col("t"), F.col("df")).alias("p"), tails.normal_cdf(F.col("t")).alias("z"), tails.chi2_tail(F.abs("t")).alias("c"), tails.gamma_tail(F.col("df"), F.col("df") + F.col("t")).alias("g")).collect()
+    for r in got:
+        assert r["p"] == pytest.approx(stats.student_two_sided(r["t"], r["df"]), rel=1e-9, abs=1e-13)
+        assert r["z"] == pytest.approx(stats.normal_cdf(r["t"]), rel=1e-9, abs=1e-14) and r["c"] == pytest.approx(stats.chi2_tail(abs(r["t"])), rel=1e-9, abs=1e-14)
+    # Whole shapes: the tail of a gamma variable is a Poisson sum; an F variable of (2, m) has a closed form.
+    for shape, x in ((1, 0.5), (3, 2.0), (12, 30.0), (40, 35.0)):
+        exact = sum(math.exp(-x + k * math.log(x) - math.lgamma(k + 1)) for k in range(shape))
+        assert one(spark.range(1).select(tails.gamma_tail(F.lit(shape), F.lit(x)).alias("p")))["p"] == pytest.approx(exact, rel=1e-10)
+    assert one(spark.range(1).select(tails.fisher_tail(3.0, 2, 10).alias("p")))["p"] == pytest.approx((1 + 2 * 3 / 10) ** -5, rel=1e-10)
+    shares = [1e-9, 0.01, 0.3, 0.5, 0.7, 0.975, 1 - 1e-6]
+    found = [r["z"] for r in spark.createDataFrame([(p,) for p in [*shares, 0.0, 1.0]], "p double").select(tails.normal_quantile(F.col("p")).alias("z")).collect()]
+    assert found[-2:] == [None, None] and all(z == pytest.approx(stats.normal_ppf(p), abs=1e-8) for z, p in zip(found, shares, strict=False))
+    lost = one(spark.createDataFrame([(None, 1.0)], "x double, s double").select(tails.gamma_tail(F.col("s"), F.col("x")).alias("g"), tails.student_two_sided(F.col("s"), F.col("x")).alias("t"), tails.beta_share(F.col("s"), F.col("s"), F.col("x")).alias("b")))
+    assert tuple(lost) == (None, None, None)
+
+
+def test_p_values_of_very_many_groups_are_one_plan(spark):
+    rows = spark.range(100_000 * 5).select((F.col("id") / 5).cast("long").alias("g"), F.rand(1).alias("x"), F.rand(2).alias("y"))
+    found = one(overlap.slopes_by(rows, "g").agg(F.count("*").alias("n"), F.avg(F.col("significant").cast("double")).alias("s"), F.avg("p").alias("p")))
+    assert found["n"] == 100_000 and abs(found["s"] - 0.05) < 0.005 and abs(found["p"] - 0.5) < 0.005

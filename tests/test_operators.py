@@ -103,11 +103,14 @@ def test_backtest_and_deflation(spark):
     assert rules.count() == 846
     held = backtest.strategy_returns(series, rules.where("rule = 'crossover(2,10)'")).orderBy("idx").collect()
     assert [r["held"] for r in held][:11] == [0.0] * 10 + [1.0] and held[10]["ret"] == pytest.approx(0.01 - 0.0005)
-    assert backtest.expected_max_sharpe(1, 1.0) == 0 and backtest.expected_max_sharpe(1000, 1.0) > backtest.expected_max_sharpe(10, 1.0)
-    assert math.isinf(backtest.minimum_track_record(0.0)) and backtest.minimum_track_record(0.1) > backtest.minimum_track_record(0.2)
+    luck = {r["n"]: r["l"] for r in spark.createDataFrame([(1,), (10,), (1000,)], "n long").select("n", backtest.best_of_luck(F.col("n"), F.lit(1.0)).alias("l")).collect()}
+    assert luck[1] == 0 and luck[1000] > luck[10] > 1.5
+    track = [r["t"] for r in spark.createDataFrame([(0.0,), (0.1,), (0.2,)], "s double").select(backtest.track_record(F.col("s")).alias("t")).collect()]
+    assert math.isinf(track[0]) and track[1] == pytest.approx(1 + (1 + 0.005) * (1.6448536269514722 / 0.1) ** 2) and track[1] > track[2]
     noise = spark.createDataFrame([(float(x),) for x in np.random.default_rng(1).normal(0.0002, 0.01, 500)], "ret double")
-    few, many = backtest.deflated_sharpe(noise, None, 2), backtest.deflated_sharpe(noise, None, 10_000)
-    assert many.probability_real < few.probability_real and not many.survives
+    few, many = one(backtest.deflated_sharpe(noise, None, 2)), one(backtest.deflated_sharpe(noise, None, 10_000))
+    assert many["probability_real"] < few["probability_real"] and not many["survives"] and many["n"] == 500
+    assert one(backtest.deflated_sharpe(noise.limit(2), None, 5))["probability_real"] is None
     path = backtest.shuffled_series(series)
     assert path.count() == 260 and path.agg(F.max("value")).first()[0] == pytest.approx(100 * 1.01**259)
 
