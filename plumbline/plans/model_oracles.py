@@ -231,3 +231,13 @@ add("kalman_innovations", "model idx# innovation* variance*", [
     _filter("101", 0.5, 0.0, 0.4), _filter("201", 0.3, -0.2, -0.6),
 ], "SELECT '101' AS model, idx, innovation, variance FROM f101 WHERE idx > 0 UNION ALL SELECT '201', idx, innovation, variance FROM f201 WHERE idx > 0")
 SQL["kalman_innovations"] = SQL["kalman_innovations"].replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+# --- sources and streams
+
+SQL["workbook_reader"] = f"""WITH {MONTHLY}
+SELECT 'Nations' AS sheet, n_name AS label, CAST(n_nationkey AS BIGINT) AS number, CAST(NULL AS DOUBLE) AS amount FROM nation
+UNION ALL SELECT 'Months & more', CAST(month AS VARCHAR), CAST(x AS BIGINT), round(value, 6) + 0.0 FROM monthly"""
+SQL["fetch_cache"] = f"""WITH {MONTHLY}, f AS (SELECT CAST(month AS VARCHAR) AS name, month || ' ' || CAST(x AS BIGINT) AS body FROM monthly)
+SELECT name, 'orders' AS note, CAST(strlen(body) AS BIGINT) AS bytes, sha256(body) AS sha256, CAST(1 AS BIGINT) AS times, name || '.txt' AS file FROM f"""
+add("streaming_volatility", "user_id event_id volatility*", [], "SELECT user_id, event_id, CASE WHEN count(*) OVER w = 21 THEN stddev_samp(value) OVER w * sqrt(252) END AS volatility FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 20 PRECEDING AND CURRENT ROW)")

@@ -14,6 +14,7 @@ import zipfile
 import pyarrow.fs as pafs
 from pyspark.sql import functions as F
 
+from plumbline.functions.running import exact_quantiles
 from plumbline.operators import anomaly as AN
 from plumbline.operators import calibration as CA
 from plumbline.operators import elo as ELO
@@ -25,8 +26,11 @@ from plumbline.operators import survival as SV
 from plumbline.operators.basket import shorten
 from plumbline.plans.queries import _categories, _gaps_by_half, _monthly, query
 from plumbline.session import checkpoint_dir
+from plumbline.sources import cache as CH
 from plumbline.sources import readers as RS
 from plumbline.sources import views as V
+from plumbline.sources.workbook import register, workbook_bytes
+from plumbline.streaming import windows as ST
 
 #: Matches of a season.
 SEASON = 500
@@ -224,3 +228,52 @@ def clean_motor(spark, d):
     """Policies with exposure capped at one year and claims at four, and the claims' frame."""
     raw = V.table(spark, d, "customer").select(F.col("c_custkey").alias("IDpol"), (F.col("c_custkey") % 30 / 20).alias("Exposure"), (F.col("c_custkey") % 7).cast("int").alias("ClaimNb"))
     return RS.clean_policies(raw).groupBy("ClaimNb").agg(F.count("*").alias("policies"), F.sum("Exposure").alias("exposure"))
+
+
+@query
+def workbook_reader(spark, d):
+    """The nations and the months through an Excel workbook of two sheets, dates among them."""
+    register(spark)
+    months = V.monthly(spark, d).select("month", "value", "x").orderBy("month").collect()  # a row a month
+    nations = V.table(spark, d, "nation").select("n_nationkey", "n_name").orderBy("n_nationkey").collect()
+    path = f"{_folder(spark)}/tables.xlsx"
+    _write(path, workbook_bytes({"Nations": (["Key", "Name"], [tuple(r) for r in nations]), "Months & more": (["Month", "Total Price", "Orders"], [tuple(r) for r in months])}))
+    one = spark.read.format("workbook").schema("_sheet string, key long, name string").option("sheets", "Nations").load(path)
+    two = spark.read.format("workbook").schema("_sheet string, month date, TotalPrice double, orders long").option("sheets", "Months & more").load(path)
+    return one.select(F.col("_sheet").alias("sheet"), F.col("name").alias("label"), F.col("key").alias("number"), F.lit(None).cast("double").alias("amount")).unionByName(
+        two.select(F.col("_sheet").alias("sheet"), F.col("month").cast("string").alias("label"), F.col("orders").alias("number"), F.col("TotalPrice").alias("amount"))
+    )
+
+
+@query
+def fetch_cache(spark, d):
+    """A file a month, fetched twice: what the manifest says of each, and how often it was recorded."""
+    months = V.monthly(spark, d).select(F.col("month").cast("string").alias("month"), F.col("x").cast("long").alias("n")).collect()  # a row a month
+    origin, folder = _folder(spark), _folder(spark)
+    for r in months:
+        _write(f"{origin}/{r['month']}.txt", f"{r['month']} {r['n']}".encode())
+    sources = [CH.Source(r["month"], f"{origin if '://' in origin else 'file://' + origin}/{r['month']}.txt", "orders") for r in months]
+    CH.fetch(spark, sources[::2], folder)
+    found = CH.fetch(spark, sources, folder)
+    times = CH.records(spark, folder).groupBy("name").agg(F.count("*").alias("times"))
+    return found.join(times, "name").select("name", "note", "bytes", "sha256", "times", F.regexp_extract("path", r"([^/]+)$", 1).alias("file"))
+
+
+@query
+def streaming_volatility(spark, d):
+    """Trailing volatility of the events' values by user, as a stream that is stopped and started again halfway."""
+    folder, store = _folder(spark), "spark.sql.streaming.stateStore.providerClass"
+    events = V.table(spark, d, "events").select(F.col("user_id").alias("series"), F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("ts"), "value")
+    halves = exact_quantiles(events, F.unix_micros("ts"), [0.5])
+    cut = events.crossJoin(F.broadcast(halves)).withColumn("late", F.unix_micros("ts") > F.get("cuts", F.lit(0))).drop("cuts")
+    before = spark.conf.get(store, None)
+    spark.conf.set(store, ST.STATE_STORE)
+    try:
+        for late in (False, True):
+            cut.where(F.col("late") == late).drop("late").write.mode("append").parquet(f"{folder}/in")
+            stream = ST.trailing_volatility(spark.readStream.schema(events.schema).parquet(f"{folder}/in"), window=21)
+            run = stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+            run.awaitTermination()
+    finally:
+        spark.conf.set(store, before) if before else spark.conf.unset(store)
+    return spark.read.parquet(f"{folder}/out").select(F.col("series").alias("user_id"), F.col("id").alias("event_id"), "volatility")
