@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.operators.batched import OFFSET, PRIME, STEP, row_key
+from plumbline.session import checkpointed, ship
+
 #: Rows of a replicate that one window of the permutation holds, about.
 BUCKET_ROWS = 50_000
 
@@ -48,34 +55,96 @@ def build_rules(baskets: DataFrame, *, min_support_count: int = 5, top_items: in
     return joined.select("antecedent", "consequent", n.alias("support_count"), (n / t).alias("support"), (n / na).alias("confidence"), (n / na / (nb / t)).alias("lift"), (nb / t).alias("consequent_support"), (n / t - na / t * (nb / t)).alias("leverage"))
 
 
-def permuted_baskets(baskets: DataFrame, replicates: int, *, seed: int = 0) -> DataFrame:
-    """(replicate, basket, item): the pool of items dealt anew to slots of the same sizes, duplicates in a basket dropped.
+def deal(keys: np.ndarray, codes: np.ndarray, owner: np.ndarray, replicate: int) -> tuple[np.ndarray, np.ndarray]:
+    """(basket, item) of a bucket's rows with its pool of items dealt anew to the same slots, duplicates in a basket dropped.
 
-    Slots and pool are ranked by bucket, so no replicate is one sorted task: rank within a bucket of a
-    hash and match the ranks of equal buckets, whose sizes are equal as both are dealt from one list. A
-    bucket has about ``BUCKET_ROWS`` rows, so small tables are one bucket a replicate.
+    Rows are in the order of their slots; the pool is in the order of an affine map of the rows' keys modulo a prime.
     """
-    buckets = max(1, baskets.count() // BUCKET_ROWS)
-    rows = baskets.select("basket", "item").withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    slots = rows.withColumn("h", F.xxhash64("replicate", "basket", "item", F.lit(seed)))
-    bucket = Window.partitionBy("replicate", "bucket")
-    slots = slots.withColumn("bucket", F.pmod(F.xxhash64("replicate", "basket", "item", F.lit(seed + 1)), F.lit(buckets)))
-    ranked = slots.withColumn("k", F.row_number().over(bucket.orderBy("basket", "item"))).withColumn("j", F.row_number().over(bucket.orderBy("h", "basket", "item")))
-    deal = ranked.select("replicate", "bucket", F.col("k").alias("slot"), "basket")
-    pool = ranked.select("replicate", "bucket", F.col("j").alias("slot"), "item")
-    return deal.join(pool, ["replicate", "bucket", "slot"]).select("replicate", "basket", "item").distinct()
+    a, b = pow(STEP, replicate + 1, PRIME), pow(OFFSET, replicate + 1, PRIME)
+    dealt = codes[np.argsort((keys * a + b) % PRIME, kind="stable")]
+    both = np.unique(owner * (int(codes.max(initial=0)) + 1) + dealt)
+    return np.divmod(both, int(codes.max(initial=0)) + 1)
+
+
+def _buckets(batches):
+    """(keys, items, owner) of each bucket of sorted rows (bucket, key, basket, item); owner numbers its baskets."""
+    held: list[tuple] = []
+    for batch in batches:
+        for row in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            if held and row[0] != held[0][0]:
+                yield _bucket(held)
+                held = []
+            held.append(row)
+    if held:
+        yield _bucket(held)
+
+
+def _bucket(held: list[tuple]) -> tuple[np.ndarray, list, np.ndarray]:
+    fresh = [k == 0 or held[k][2] != held[k - 1][2] for k in range(len(held))]
+    return np.array([r[1] for r in held], np.int64), [r[3] for r in held], np.cumsum(fresh) - 1
 
 
 def permutation_null(baskets: DataFrame, *, replicates: int = 20, top_items: int = 400, min_support_count: int = 5, seed: int = 0, max_basket: int = 60) -> DataFrame:
-    """(replicate, rules, max_lift, p99_lift, median_lift, share_over_2): what lift chance alone reaches, all replicates in one plan."""
-    dealt = permuted_baskets(baskets, replicates, seed=seed)
-    per = dealt.groupBy("replicate", "item").agg(F.count("*").alias("n"))
-    top = per.withColumn("k", F.row_number().over(Window.partitionBy("replicate").orderBy(F.desc("n"), "item"))).where(F.col("k") <= top_items).drop("k")
-    total = dealt.groupBy("replicate").agg(F.countDistinct("basket").alias("baskets"))
-    sets = dealt.join(top.select("replicate", "item"), ["replicate", "item"], "left_semi").groupBy("replicate", "basket").agg(F.sort_array(F.collect_set("item")).alias("items")).where(F.size("items").between(2, max_basket))
-    pairs = sets.select("replicate", "items", F.posexplode("items").alias("k", "a")).select("replicate", "a", F.explode(F.slice("items", F.col("k") + 2, F.size("items"))).alias("b"))
-    pairs = pairs.groupBy("replicate", "a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= min_support_count)
-    joined = pairs.join(top.select("replicate", F.col("item").alias("a"), F.col("n").alias("na")), ["replicate", "a"]).join(top.select("replicate", F.col("item").alias("b"), F.col("n").alias("nb")), ["replicate", "b"]).join(total, "replicate")
+    """(replicate, rules, max_lift, p99_lift, median_lift, share_over_2): what lift chance alone reaches.
+
+    Items are dealt anew to slots of the same sizes within buckets of whole baskets, about ``BUCKET_ROWS`` rows
+    each (small tables are one bucket), so a replicate needs no order of all rows. A task deals all replicates of
+    its buckets: a first pass counts items, which gives each replicate's top items (replicates x top_items
+    names), a second counts their pairs in arrays of fixed size. Replicate r of seed s is draw 1000 s + r.
+    """
+    spark = baskets.sparkSession
+    ship(spark)
+    buckets = max(1, baskets.count() // BUCKET_ROWS)
+    rows = baskets.select((row_key("basket") % buckets).alias("bucket"), row_key(F.concat_ws("/", F.col("basket").cast("string"), "item")).alias("key"), "basket", F.col("item").cast("string").alias("item"))
+    rows = checkpointed(rows.repartition("bucket").sortWithinPartitions("bucket", "basket", "item"))
+
+    def count(batches):
+        found: Counter = Counter()
+        for keys, items, owner in _buckets(batches):
+            names, codes = np.unique(items, return_inverse=True)
+            for r in range(replicates):
+                own, item = deal(keys, codes, owner, 1000 * seed + r)
+                found.update({(r, names[i]): int(n) for i, n in enumerate(np.bincount(item, minlength=len(names))) if n})
+                found[r, None] += len(np.unique(own))
+        if found:
+            yield pa.RecordBatch.from_pydict({"replicate": pa.array([r for r, _ in found], pa.int32()), "item": pa.array([None if i is None else str(i) for _, i in found], pa.string()), "n": pa.array(list(found.values()), pa.int64())})
+
+    per = checkpointed(rows.mapInArrow(count, "replicate int, item string, n long").groupBy("replicate", "item").agg(F.sum("n").alias("n")))
+    place = F.row_number().over(Window.partitionBy("replicate").orderBy(F.desc("n"), "item"))
+    top = per.where("item is not null").withColumn("k", place).where(F.col("k") <= top_items).orderBy("replicate", "item")
+    chosen: list[list[str]] = [[] for _ in range(replicates)]
+    for r in top.collect():  # replicates x top_items
+        chosen[r["replicate"]].append(r["item"])
+
+    def meet(batches):
+        """Pairs of top items, counted in one triangle a replicate; codes follow the order of the names."""
+        sums = [np.zeros(len(c) * len(c), np.int64) for c in chosen]
+        number = [{name: k for k, name in enumerate(c)} for c in chosen]
+        for keys, items, owner in _buckets(batches):
+            names, codes = np.unique(items, return_inverse=True)
+            for r in range(replicates):
+                own, item = deal(keys, codes, owner, 1000 * seed + r)
+                code = np.array([number[r].get(str(n), -1) for n in names])[item]
+                own, code = own[code >= 0], code[code >= 0]
+                order = np.lexsort((code, own))
+                own, code = own[order], code[order]
+                size = np.bincount(own)[own]
+                own, code = own[size <= max_basket], code[size <= max_basket]
+                for off in range(1, min(max_basket, len(own))):
+                    same = own[off:] == own[:-off]
+                    if not same.any():
+                        break
+                    sums[r] += np.bincount((code[:-off] * len(chosen[r]) + code[off:])[same], minlength=len(sums[r]))
+        for r, total in enumerate(sums):
+            at = np.flatnonzero(total)
+            if len(at):
+                a, b = np.divmod(at, len(chosen[r]))
+                yield pa.RecordBatch.from_pydict({"replicate": np.full(len(at), r, np.int32), "a": a.astype(np.int32), "b": b.astype(np.int32), "n": total[at]})
+
+    pairs = rows.mapInArrow(meet, "replicate int, a int, b int, n long").groupBy("replicate", "a", "b").agg(F.sum("n").alias("n")).where(F.col("n") >= min_support_count)
+    codes = F.broadcast(top.select("replicate", (F.row_number().over(Window.partitionBy("replicate").orderBy("item")) - 1).alias("c"), F.col("n").alias("m")))
+    joined = pairs.join(codes.withColumnRenamed("c", "a").withColumnRenamed("m", "na"), ["replicate", "a"]).join(codes.withColumnRenamed("c", "b").withColumnRenamed("m", "nb"), ["replicate", "b"])
+    joined = joined.join(F.broadcast(per.where("item is null").select("replicate", F.col("n").alias("baskets"))), "replicate")
     lift = joined.select("replicate", (F.col("n") * F.col("baskets") / (F.col("na") * F.col("nb"))).alias("lift"))
     # A pair is two rules of equal lift.
     return lift.groupBy("replicate").agg((2 * F.count("*")).alias("rules"), F.max("lift").alias("max_lift"), F.percentile("lift", 0.99).alias("p99_lift"), F.percentile("lift", 0.5).alias("median_lift"), F.avg((F.col("lift") > 2).cast("double")).alias("share_over_2"))
