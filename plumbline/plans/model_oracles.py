@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 
 from plumbline.plans import oracles as O
-from plumbline.plans.oracles import BASKETS, DAILY, FORWARD, INTERACTIONS, LEDGER, MATCHES, MONTHLY, POLICIES, RANKING, SCORED, SQL, add
+from plumbline.plans.oracles import BASKETS, DAILY, FORWARD, GAPS, INTERACTIONS, LEDGER, MATCHES, MONTHLY, POLICIES, RANKING, SCORED, SQL, add
 
 # --- ratings
 
@@ -256,3 +256,28 @@ add("permutation_null", "replicate rules# max_lift* p99_lift* median_lift* share
     "pairs AS (SELECT x.replicate, x.n AS na, y.n AS nb, x.item AS a, y.item AS b, count(*) AS n FROM sized x JOIN sized y ON x.replicate = y.replicate AND x.basket = y.basket AND x.item < y.item AND x.size <= 60 AND y.size <= 60 GROUP BY ALL HAVING count(*) >= 5)",
     "total AS (SELECT replicate, count(DISTINCT basket) AS t FROM dealt GROUP BY 1)", "lifts AS (SELECT replicate, n * t / CAST(na * nb AS DOUBLE) AS lift FROM pairs JOIN total USING (replicate))",
 ], "SELECT replicate, 2 * count(*) AS rules, max(lift) AS max_lift, quantile_cont(lift, 0.99) AS p99_lift, quantile_cont(lift, 0.5) AS median_lift, avg(CAST(lift > 2 AS DOUBLE)) AS share_over_2 FROM lifts GROUP BY 1")
+
+
+# --- fitted models: margins of GLMs, Newton's steps of a Cox regression written out
+
+add("glm_margins", "model factor level total*", [
+    POLICIES, "q AS (SELECT quantile_cont(nation, [0.2, 0.4, 0.6, 0.8]) AS c FROM policies WHERE exposure > 0)",
+    f"b AS (SELECT {O._BAND} AS balance_band, 'nat' || (len(list_filter(c, lambda v: v < nation)) + 1) AS nation_band, segment, claims, amount FROM policies, q WHERE exposure > 0)",
+    "l AS (SELECT claims, amount, unnest([{'f': 'segment', 'l': segment}, {'f': 'nation_band', 'l': nation_band}, {'f': 'balance_band', 'l': balance_band}]) AS u FROM b WHERE balance_band IS NOT NULL AND nation_band IS NOT NULL)",
+], "SELECT 'frequency' AS model, u.f AS factor, u.l AS level, CAST(sum(claims) AS DOUBLE) AS total FROM l GROUP BY ALL UNION ALL SELECT 'severity', u.f, u.l, CAST(sum(claims) AS DOUBLE) FROM l WHERE claims > 0 AND amount > 0 GROUP BY ALL")
+
+
+def _cox(steps: int) -> list[str]:
+    """Two covariates by Breslow's likelihood: each step adds up the risk sets at the coefficients before."""
+    parts = ["x AS (SELECT duration AS t, CAST(observed AS INT) AS d, first_value / 100000 AS x, CAST(first_items AS DOUBLE) AS y FROM gaps)", "b0 AS (SELECT CAST(0 AS DOUBLE) AS a, CAST(0 AS DOUBLE) AS b)"]
+    for k in range(steps):
+        parts.append(f"""s{k} AS (SELECT t, sum(d) AS d, sum(d * x) AS dx, sum(d * y) AS dy, sum(w) AS w, sum(w * x) AS wx, sum(w * y) AS wy, sum(w * x * x) AS wxx, sum(w * x * y) AS wxy, sum(w * y * y) AS wyy
+  FROM (SELECT x.*, exp(greatest(-30, least(30, a * x + b * y))) AS w FROM x, b{k}) GROUP BY t),
+r{k} AS (SELECT d, dx, dy, """ + ", ".join(f"sum({c}) OVER (ORDER BY t DESC ROWS UNBOUNDED PRECEDING) AS {c}" for c in ("w", "wx", "wy", "wxx", "wxy", "wyy")) + f""" FROM s{k}),
+g{k} AS (SELECT sum(dx - d * wx / w) AS gx, sum(dy - d * wy / w) AS gy, sum(d * (wxx / w - wx / w * wx / w)) AS hxx, sum(d * (wxy / w - wx / w * wy / w)) AS hxy, sum(d * (wyy / w - wy / w * wy / w)) AS hyy FROM r{k} WHERE d > 0),
+b{k + 1} AS (SELECT a + (hyy * gx - hxy * gy) / (hxx * hyy - hxy * hxy) AS a, b + (hxx * gy - hxy * gx) / (hxx * hyy - hxy * hxy) AS b, sqrt(hyy / (hxx * hyy - hxy * hxy)) AS ea, sqrt(hxx / (hxx * hyy - hxy * hxy)) AS eb FROM b{k}, g{k})""")
+    return parts
+
+
+add("cox_regression", "covariate coefficient* hazard_ratio* lower* upper* z* p_value*", [LEDGER, GAPS, *_cox(8), "found AS (SELECT 'value' AS covariate, a AS c, ea AS e FROM b8 UNION ALL SELECT 'items', b, eb FROM b8)"],
+    f"SELECT covariate, c AS coefficient, exp(c) AS hazard_ratio, exp(c - 1.96 * e) AS lower, exp(c + 1.96 * e) AS upper, c / e AS z, greatest(2 * (1 - {_phi('abs(c / e)')}), 0) AS p_value FROM found")

@@ -75,6 +75,22 @@ def tweedie_relativities(spark, d):
     return PR.fit_tweedie(PR.cap_losses(_policies(spark, d), "amount"), FACTORS).relativities(spark)
 
 
+@query
+def glm_margins(spark, d):
+    """(model, factor, level, total): what the fitted models of several factors add up to in each level.
+
+    At the maximum likelihood a Poisson model gives each level its observed claims, and a gamma model of mean
+    claims, weighted by claims, gives each level a sum of claims x observed / fitted equal to its claims.
+    """
+    rows = checkpointed(_policies(spark, d))
+    claimed = rows.where("claims > 0 and amount > 0")
+    often = PR.fit_frequency(rows, FACTORS).predict(rows).withColumn("part", F.col("predicted")).withColumn("model", F.lit("frequency"))
+    much = PR.fit_severity(rows, FACTORS).predict(claimed, per_exposure=False).withColumn("part", F.col("amount") / F.col("predicted")).withColumn("model", F.lit("severity"))
+    both = often.select("model", "part", *FACTORS).unionByName(much.select("model", "part", *FACTORS))
+    levels = F.explode(F.array(*(F.struct(F.lit(f).alias("factor"), F.col(f).alias("level")) for f in FACTORS)))
+    return both.select("model", "part", levels.alias("l")).groupBy("model", "l.factor", "l.level").agg(F.round(F.sum("part"), 2).alias("total"))
+
+
 @query
 def pricing_lift_table(spark, d):
     return PR.lift_table(_by_segment(spark, d))
