@@ -24,8 +24,8 @@ def time_split(rows: DataFrame, n: int, *, n_splits: int = 5, min_train: int = 0
 
 
 def group_split(rows: DataFrame, group: str, *, test_fraction: float = 0.25, seed: int = 0) -> DataFrame:
-    """``rows`` with role: whole groups are held out, those of least seeded hash."""
-    groups = rows.select(group).distinct().withColumn("_h", F.xxhash64(F.col(group), F.lit(seed)))
+    """``rows`` with role: whole groups are held out, those of least seeded hash (MD5, the same in every engine)."""
+    groups = rows.select(group).distinct().withColumn("_h", F.md5(F.concat_ws("/", F.col(group).cast("string"), F.lit(str(seed)))))
     n = groups.count()
     held = groups.orderBy("_h", group).limit(max(1, round(n * test_fraction))).select(F.col(group).alias("_held"))
     return rows.join(held, F.col(group).eqNullSafe(F.col("_held")), "left").withColumn("role", F.when(F.col("_held").isNull(), "train").otherwise("test")).drop("_held")

@@ -182,17 +182,17 @@ def _vectors(spark, d):
 
 @query
 def cluster_reseed(spark, d):
-    return CL.reseed_agreement(_vectors(spark, d), 5, seeds=4)
+    return CL.reseed_agreement(_vectors(spark, d), 5)
 
 
 @query
 def cluster_resample(spark, d):
-    return CL.resample_agreement(_vectors(spark, d), 5, rounds=3)
+    return CL.resample_agreement(_vectors(spark, d), 5)
 
 
 @query
 def cluster_inertia(spark, d):
-    return CL.inertia_curve(_vectors(spark, d), [2, 4, 6], starts=2)
+    return CL.inertia_curve(_vectors(spark, d), [2, 4, 6])
 
 
 @query
@@ -202,10 +202,10 @@ def cluster_verdict(spark, d):
 
 @query
 def shuffled_columns(spark, d):
-    """The null keeps each column's values: sums by column before and after."""
-    each = lambda rows: rows.select(F.posexplode("x").alias("k", "v")).groupBy("k").agg(F.round(F.sum("v"), 4).alias("total"))
+    """The null of every vector: coordinates weighted by their place, before and after each column was permuted."""
+    weighted = lambda rows, name: rows.select("id", F.aggregate(F.transform("x", lambda v, k: v.cast("double") * (k + 1)), F.lit(0.0), lambda s, v: s + v).alias(name))
     rows = _vectors(spark, d)
-    return each(rows).join(each(CL.shuffled_columns(rows)).withColumnRenamed("total", "shuffled"), "k")
+    return weighted(rows, "before").join(weighted(CL.shuffled_columns(rows), "after"), "id")
 
 
 @query
@@ -259,7 +259,7 @@ def _recommender(name, make):
 _recommender("popularity", RE.popularity)
 _recommender("item_knn", RE.item_knn)
 _recommender("random", RE.random_items)
-_recommender("als", lambda train, users: RE.als(train, users, factors=8, iterations=5))
+_recommender("als", lambda train, users: RE.als(train, users, factors=32, iterations=12))
 
 
 # --- decompositions
@@ -302,7 +302,7 @@ def customer_matrix(spark, d):
 
 def _detectors(spark, d):
     rows = _vectors(spark, d)
-    return {"mahalanobis": AN.mahalanobis(rows).cache(), "isolation": AN.isolation_forest(rows, trees=50).cache(), "lof": AN.local_outlier_factor(rows, neighbours=20).cache()}
+    return {"mahalanobis": AN.mahalanobis(rows).cache(), "isolation": AN.isolation_forest(rows, trees=300).cache(), "lof": AN.local_outlier_factor(rows, neighbours=20).cache()}
 
 
 @query

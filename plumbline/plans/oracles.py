@@ -154,7 +154,8 @@ roles AS (SELECT fold, CASE WHEN idx < s * fold - {embargo} THEN 'train' ELSE 't
 
 for _name, _gap in (("time_split", 0), ("purged_time_split", 21)):
     add(_name, "fold# role lo# hi# n#", [DAILY, _split(_gap)], "SELECT fold, role, min(idx) AS lo, max(idx) AS hi, count(*) AS n FROM roles GROUP BY 1, 2")
-add("group_split", "customers# held# sides#", [], "SELECT count(DISTINCT o_custkey) AS customers, greatest(1, CAST(round_even(count(DISTINCT o_custkey) * 0.25, 0) AS BIGINT)) AS held, 1 AS sides FROM orders")
+add("group_split", "customer sides# held# orders#", ["g AS (SELECT o_custkey AS customer, count(*) AS orders, row_number() OVER (ORDER BY md5(o_custkey || '/0'), o_custkey) AS k, count(*) OVER () AS n FROM orders GROUP BY 1)"],
+    "SELECT customer, 1 AS sides, CAST(k <= greatest(1, round_even(n * 0.25, 0)) AS INT) AS held, orders FROM g")
 
 # --- backtests
 
@@ -374,6 +375,10 @@ add("ranking_popularity", "precision* recall* ndcg* coverage* novelty* users#",
 add("ranking_item_knn", "precision* recall* ndcg* coverage* novelty* users#", [INTERACTIONS, SIMILAR, KNN, RANKING], _SCORE)
 add("adjusted_rand", "ari*", ["c AS (SELECT label AS a, vec_id % 5 AS b, count(*) AS n FROM embeddings GROUP BY 1, 2)", "s AS (SELECT sum(n * (n - 1) / CAST(2 AS DOUBLE)) AS s, sum(n) * (sum(n) - 1) / CAST(2 AS DOUBLE) AS t FROM c)", "x AS (SELECT sum(n * (n - 1) / CAST(2 AS DOUBLE)) AS s FROM (SELECT sum(n) AS n FROM c GROUP BY a))", "y AS (SELECT sum(n * (n - 1) / CAST(2 AS DOUBLE)) AS s FROM (SELECT sum(n) AS n FROM c GROUP BY b))"],
     "SELECT (s.s - x.s * y.s / t) / ((x.s + y.s) / 2 - x.s * y.s / t) AS ari FROM s, x, y")
-add("shuffled_columns", "k# total* shuffled*", ["e AS (SELECT unnest(range(0, 64)) AS k, unnest(embedding) AS v FROM embeddings)"], "SELECT k, round(sum(CAST(v AS DOUBLE)), 4) AS total, round(sum(CAST(v AS DOUBLE)), 4) AS shuffled FROM e GROUP BY 1")
+add("shuffled_columns", "id before* after*", [
+    "o AS (SELECT vec_id AS id, embedding AS x, row_number() OVER (ORDER BY CAST('0x' || substr(md5(vec_id || '/0'), 1, 12) AS BIGINT) % 2147483647, vec_id) - 1 AS i, count(*) OVER () AS n FROM embeddings)",
+    "e AS (SELECT id, i, n, unnest(range(0, 64)) AS k, unnest(x) AS v FROM o)", "m AS (SELECT (i - k * n // 64 + n) % n AS i, k, v FROM e)",
+    "b AS (SELECT i, sum((k + 1) * CAST(v AS DOUBLE)) AS before FROM e GROUP BY 1)", "a AS (SELECT i, sum((k + 1) * CAST(v AS DOUBLE)) AS after FROM m GROUP BY 1)",
+], "SELECT id, before, after FROM o JOIN b USING (i) JOIN a USING (i)")
 _DERIVED = {"l_quantity": "l_quantity", "l_extendedprice": "l_extendedprice", "l_discount": "l_discount", "l_tax": "l_tax", "price": "l_extendedprice / l_quantity", "net": "l_extendedprice * (1 - l_discount)", "tax": "l_extendedprice * l_tax"}
 add("correlated_pairs", "a b r*", [], " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, corr({_DERIVED[a]}, {_DERIVED[b]}) AS r FROM lineitem" for k, a in enumerate(_DERIVED) for b in list(_DERIVED)[k + 1 :]))
