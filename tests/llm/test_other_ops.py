@@ -133,12 +133,12 @@ PAGE = """<html><head><title>T</title><script>var a="</p><article>x</article>";<
 
 
 def kept(page):
-    return [t for t, keep, _ in blocks(page) if keep]
+    return [t for t, keep, *_ in blocks(page) if keep]
 
 
 def test_blocks_of_an_article():
     assert kept(PAGE) == ["Head & line", "One two <b> three", "Four bold"]
-    assert blocks("") == [] and kept("<nav>x") == [] and blocks("plain") == [("plain", True, False)]
+    assert blocks("") == [] and kept("<nav>x") == [] and blocks("plain") == [("plain", True, False, False)]
     assert blocks("<script>x") == [] and kept("<p>a<p>b") == ["a", "b"] and kept("a < b, c <d") == ["a < b, c <d"]
     assert kept("<b>x<article><p>y</b> z</p></article>") == ["y z"]
 
@@ -152,6 +152,43 @@ def test_marks_keep_headings_and_most_of_the_text():
     assert kept("<article><p>text</p><form>Send</form><aside>by</aside><footer>end</footer><header>top</header></article>") == ["text", "top"]
 
 
+LONG = "Ants live together in colonies of many thousands, and each of them knows what its sisters did an hour before."
+
+
+def test_names_nominate_and_make_up_decides():
+    article = lambda inner: f"<article><h1>Ants</h1><p>{LONG} They build.</p>{inner}</article>"
+    rest = lambda inner: kept(article(inner))[2:]
+    # Prose under a suspicious name stays; it is only nominated for the host's repetition.
+    assert rest(f'<section id="social"><h2>Social life of ants</h2><p>{LONG}</p></section>') == ["Social life of ants", LONG]
+    assert rest('<section id="social"><h2>Social life of ants</h2><p>They share all that they find.</p></section>') == ["Social life of ants", "They share all that they find."]
+    assert rest(f'<div class="post-share"><p>{LONG}</p></div>') == [LONG]
+    assert [s for _, _, _, s in blocks(article(f'<div class="post-share"><p>{LONG}</p></div><p>own</p>'))] == [False, False, True, False]
+    # Furniture goes: links, controls, or nothing like a sentence; comments go whatever they are made of.
+    assert rest(f'<div class="related"><p>{" ".join(f"<a href=x>{w}</a>" for w in LONG.split())}</p></div>') == []
+    assert rest(f'<div class="newsletter"><p>{LONG}</p><input name="mail"></div>') == rest('<div class="cookie-notice">We use cookies on this site</div>') == []
+    assert rest(f'<section id="comments"><h2>What readers say</h2><p>{LONG}</p></section>') == []
+    # An element that its name drops is opened where it holds the article or most of the text.
+    assert kept(f"<body><form id=aspnet><nav><a>Home</a></nav><article><h1>Ants</h1><p>{LONG}</p></article><input></form></body>") == ["Ants", LONG]
+    assert kept(f"<body><form><h1>Ants</h1><p>{LONG}</p><p>{LONG} Again.</p></form><p>Elsewhere</p></body>") == ["Ants", LONG, f"{LONG} Again.", "Elsewhere"]
+    assert kept(f"<article><p>{LONG}</p><form><p>Your name please</p><input></form></article>") == [LONG]
+    # A line of rights is no main text where no article bounds it.
+    assert kept(f"<div><p>{LONG}</p></div><div>Copyright 2020</div><div>&copy; 2020 Ants Ltd</div>") == [LONG]
+    assert kept(f"<div><h1>Copyright law of ants</h1><p>Copyright is {LONG}</p></div>")[-1] == f"Copyright is {LONG}"
+
+
+def test_repetition_decides_on_nominated_prose(spark):
+    rnd = random.Random(21)
+    prose = lambda n=60: " ".join(f"w{rnd.randrange(99_999)}" for _ in range(n))
+    notice, own, asides = prose(25), [prose() for _ in range(8)], [prose(25) for _ in range(8)]
+    said = lambda k: notice if k < 4 else asides[k]
+    rows = [(k, "http://h/", f'<nav><a>{prose(3)}</a></nav><article><h1>T{k}</h1><p>{t}</p><div class="site-notice"><p>{said(k)}</p></div><p>{t[:40].strip()} end{k}</p></article>') for k, t in enumerate(own)]
+    on, off = main_texts(spark, rows), main_texts(spark, rows, least_pages=0)
+    for k, t in enumerate(own):
+        lines = [f"T{k}", t, f"{t[:40].strip()} end{k}"]
+        assert off[k].split("\n") == [*lines[:2], said(k), lines[2]]
+        assert on[k].split("\n") == (lines if k < 4 else [*lines[:2], said(k), lines[2]])
+
+
 @pytest.mark.parametrize("page", ["<a " * 350_000, "<div>" * 100_000 + "</q>" * 100_000, "<i><div><b>" * 50_000 + "</i>" * 50_000, '<a x="' * 100_000, "<a " + "= " * 300_000, "<" * 1_000_000, '<div class="ad">' * 50_000 + "x", '<p class="' + "a" * 1_000_000 + '">x'])
 def test_long_pages_take_linear_time(page):
     began = time.perf_counter()
