@@ -258,3 +258,25 @@ SELECT ends.conv_id AS conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coale
        CAST(best.cost AS BIGINT) AS cost, best.audit AS audit, sha256(CASE WHEN best.said = '' THEN '' ELSE best.said[:-2] END) AS repaired_sha256
 FROM ends LEFT JOIN f ON ends.conv_id IS NOT DISTINCT FROM f.conv_id
 """
+
+#: Slot by slot: windows of each source's next block by whole numbers (weights are square roots, scaled by 2^52).
+SQL["op4_pfair_mixing"] = """
+WITH RECURSIVE d AS (
+  SELECT doc_id, source, CASE WHEN source IS NULL THEN '-' ELSE '+' || source END AS s, CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 15) AS BIGINT) AS h FROM documents
+), ranked AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY h, doc_id) - 1 AS r FROM d),
+w AS (SELECT s, CAST(sqrt(count(*)) * 4503599627370496 AS HUGEINT) AS a, (count(*) + 7) // 8 AS n FROM d GROUP BY s),
+lists AS (SELECT list(s ORDER BY s) AS names, list(a ORDER BY s) AS rates, list(CAST(n AS HUGEINT) ORDER BY s) AS blocks FROM w),
+mix(slot, start, phase, taken, first, pick, block) AS (
+  SELECT CAST(0 AS HUGEINT), CAST(0 AS HUGEINT), 0, list_transform(names, lambda x: CAST(0 AS HUGEINT)), list_transform(names, lambda x: CAST(0 AS HUGEINT)), CAST(NULL AS BIGINT), CAST(NULL AS HUGEINT) FROM lists
+  UNION ALL
+  SELECT CASE WHEN over THEN slot ELSE slot + 1 END, CASE WHEN over THEN slot ELSE start END, CASE WHEN over THEN phase + 1 ELSE phase END,
+         CASE WHEN over THEN taken ELSE list_transform(taken, lambda x, i: CASE WHEN i = best.i THEN x + 1 ELSE x END) END, CASE WHEN over THEN taken ELSE first END,
+         CASE WHEN over THEN NULL ELSE best.i END, CASE WHEN over THEN NULL ELSE taken[best.i] END
+  FROM (SELECT *, taken[best.i] >= blocks[best.i] AS over FROM (
+    SELECT *, list_sort(list_filter(list_transform(range(1, len(names) + 1), lambda i: CASE WHEN first[i] < blocks[i] AND (taken[i] - first[i]) * total // rates[i] <= slot - start
+      THEN {'d': ((taken[i] - first[i] + 1) * total + rates[i] - 1) // rates[i], 'g': ((taken[i] - first[i] + 2) * total + rates[i] - 1) // rates[i] - ((taken[i] - first[i] + 1) * total + rates[i] - 1) // rates[i], 's': names[i], 'i': i} END), lambda x: x IS NOT NULL))[1] AS best
+    FROM (SELECT mix.*, names, rates, blocks, CAST(list_sum(list_transform(rates, lambda a, i: CASE WHEN first[i] < blocks[i] THEN a ELSE 0 END)) AS HUGEINT) AS total FROM mix, lists
+          WHERE len(list_filter(range(1, len(names) + 1), lambda i: taken[i] < blocks[i])) > 0)))
+), placed AS (SELECT names[pick] AS s, CAST(block AS BIGINT) AS block, CAST(slot AS BIGINT) - 1 AS slot, phase FROM mix, lists WHERE pick IS NOT NULL)
+SELECT doc_id, source, slot * 8 + r % 8 AS position, slot, r // 8 AS block, phase FROM ranked JOIN placed ON ranked.s = placed.s AND r // 8 = block
+"""

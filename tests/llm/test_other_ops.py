@@ -5,6 +5,7 @@ import random
 import time
 import zlib
 from collections import Counter
+from itertools import islice
 
 import numpy as np
 import pytest
@@ -12,7 +13,7 @@ from plumbline.llm import warc
 from plumbline.llm.chat import mask_of, preference_pairs, text_of
 from plumbline.llm.classifier import classify, features, fit, train
 from plumbline.llm.html import blocks, extract_main_text
-from plumbline.llm.mixing import exact_weights, frame_schedule, integer_weights, mix_sources, plan_phases
+from plumbline.llm.mixing import Mix, exact_weights, mix_sources, schedule, slots
 from pyspark.sql import functions as F
 
 # --- mixing
@@ -23,23 +24,42 @@ def test_frames_stay_within_one_block():
     for _ in range(100):
         weights = {f"s{i}": rnd.randint(1, 30) for i in range(rnd.randint(1, 12))}
         total, got = sum(weights.values()), Counter()
-        for t, (source, block) in enumerate(frame_schedule(weights), 1):
+        for t, (source, block) in enumerate(islice(slots(weights), 3 * total), 1):
             assert block == got[source]
             got[source] += 1
             assert all(abs(got[s] - t * w / total) < 1 for s, w in weights.items())
-        assert got == Counter(weights)
+        assert got == Counter({s: 3 * w for s, w in weights.items()})
 
 
-def test_phases_fill_every_slot_once():
+def rows_of(mix, most=10**9):
+    return [(s, int(b), int(t), p) for names, blocks, at, p in mix.run(most) for s, b, t in zip(names, blocks, at, strict=True)]
+
+
+def test_runs_fill_every_slot_once_and_go_on_from_anywhere(spark, monkeypatch):
     rnd = random.Random(2)
-    for _ in range(100):
+    for trial in range(60):
         weights = {f"s{i}": rnd.randint(1, 20) for i in range(rnd.randint(1, 8))}
-        blocks_of, slots = {s: rnd.randint(0, 60) for s in weights}, Counter()
-        for p in plan_phases(blocks_of, weights):
-            for s, n in p["used"].items():
-                place = {j: at for at, (source, j) in enumerate(p["frame"]) if source == s}
-                slots.update(p["start"] + k // p["weights"][s] * p["total"] + place[k % p["weights"][s]] for k in range(n))
-        assert slots == Counter(range(sum(blocks_of.values())))
+        blocks = {s: rnd.randint(0, 60) for s in weights}
+        whole = rows_of(Mix(blocks, weights))
+        assert [t for _, _, t, _ in whole] == list(range(sum(blocks.values()))) and {(s, b) for s, b, _, _ in whole} == {(s, b) for s, n in blocks.items() for b in range(n)}
+        with monkeypatch.context() as m:  # frames as arrays or slot by slot
+            m.setattr("plumbline.llm.mixing.FRAME", 0)
+            assert rows_of(Mix(blocks, weights)) == whole
+        mix, parts = Mix(blocks, weights), []
+        while mix.slot < len(whole):
+            parts += rows_of(mix, rnd.randint(1, 15))
+        assert parts == whole
+        if trial < 3:  # pieces that tasks write
+            got = schedule(spark, blocks, weights, piece=7).collect()
+            assert sorted((r["s"], r["block"], r["slot"], r["phase"]) for r in got) == sorted(whole)
+
+
+def test_long_schedules_hold_no_slots():
+    weights = exact_weights({f"s{k}": 2.0**0.5 * (k + 1) ** 0.5 for k in range(5)})
+    began, seen, peak = time.perf_counter(), 0, 0
+    for names, own, _, _ in Mix(dict.fromkeys(weights, 60_000), weights).run(10**9):
+        seen, peak = seen + len(own), max(peak, len(names))
+    assert seen == 300_000 and peak <= 1 << 16 and time.perf_counter() - began < 30
 
 
 def test_mix_places_every_row(spark):
@@ -54,19 +74,15 @@ def test_mix_places_every_row(spark):
     for source, n in first.items():
         assert abs(n - len(slots) * weights[source] / 5) < 1
     assert mix_sources(df.limit(0)).count() == 0
-    assert integer_weights({"a": 0.5, "b": 0.25, "c": 0.25}) == {"a": 500, "b": 250, "c": 250}
-    with pytest.raises(ValueError):
-        integer_weights({"a": 0})
 
 
 def test_exact_weights_do_not_drift(spark):
     weights = {"+a": 1 / 3, "+b": 2**0.5, "+c": 1.0}
-    phase = plan_phases({"+a": 20_000, "+b": 40_000, "+c": 40_000}, exact_weights(weights))[0]
     got, total = Counter(), sum(weights.values())
-    for t, (s, _) in enumerate(phase["frame"], 1):
+    for t, (s, _) in enumerate(islice(slots(exact_weights(weights)), 60_000), 1):
         got[s] += 1
         assert all(abs(got[k] - t * w / total) < 1 for k, w in weights.items())
-    assert t > 50_000 and exact_weights({"a": 0.5, "b": 0.25, "c": 0.25}) == {"a": 2, "b": 1, "c": 1}
+    assert exact_weights({"a": 0.5, "b": 0.25, "c": 0.25}) == {"a": 2, "b": 1, "c": 1}
     for bad in (0, float("inf"), float("nan")):
         with pytest.raises(ValueError):
             exact_weights({"a": bad})
