@@ -332,7 +332,7 @@ def extract_main_text(
                 yield pa.RecordBatch.from_arrays([*part.columns[:4], pa.array([[t for t, *_ in page] for page in own], pa.list_(pa.string())), pa.array(flags, pa.binary())], names=["id", "url", "host", "mark", "texts", "flags"])
 
     folder = shared_folder(spark, "pages")
-    raw.mapInArrow(parse, f"id {kind}, url string, host long, mark string, texts array<string>, flags binary").write.parquet(folder)
+    raw.mapInArrow(parse, f"id {kind}, url string, host long, mark string, texts array<string>, flags binary").write.parquet(folder, compression="zstd")
     source = spark.read.schema(f"id {kind}, url string, host long, mark string, texts array<string>, flags binary").parquet(folder)
 
     def parsed(column, hosts, wanted=None, flags=None):
