@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from plumbline.llm.decontaminate import decontaminate
 from plumbline.llm.lm import lm_score
-from plumbline.llm.near import near_duplicates, prefix_depth
+from plumbline.llm.near import _met, near_duplicates, prefix_depth
 from plumbline.llm.quality import Features, Rule, cascade, default_rules, order_rules, quality_cascade
 from plumbline.llm.repeats import remove_repeats
 from plumbline.llm.suffixes import repeated_windows, suffix_order
@@ -286,7 +286,7 @@ def brute_near(rows):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("options", [{}, {"block": 8}, {"block_bytes": 2000}])
+@pytest.mark.parametrize("options", [{}, {"block": 8}, {"block_bytes": 2000}, {"block": 1}])
 def test_near_copies_match_brute_force(spark, options):
     rnd = random.Random(5)
     words = [chr(97 + a) + chr(97 + b) for a in range(20) for b in range(10)]
@@ -304,6 +304,29 @@ def test_near_copies_match_brute_force(spark, options):
     assert rows_of(found, "doc_id", "class_id", "copy_id", "n_copies", "n_links") == brute_near(rows)
 
 
+def test_chains_of_unlike_texts_are_verified_prefix_by_prefix(spark):
+    """Texts with a common half chain into one component of many blocks; a class is copied to its prefixes' blocks alone."""
+    rnd = random.Random(9)
+    word = lambda: f"w{rnd.randrange(10**6)}"
+    shared, rows = [word() for _ in range(104)], []
+    for i in range(160):
+        own = shared + [word() for _ in range(64)]
+        rows.append((i, " ".join(own)))
+        if i % 20 == 0:  # one near copy of some
+            own[130] = word()
+            rows.append((1000 + i, " ".join(own)))
+    plain = rows_of(near_duplicates(frame(spark, rows)), "doc_id", "class_id", "copy_id", "n_copies", "n_links")
+    assert plain == rows_of(near_duplicates(frame(spark, rows), block=2), "doc_id", "class_id", "copy_id", "n_copies", "n_links") == brute_near(rows)
+    assert sum(r[4] for r in plain) == 16
+
+
+def test_pairs_are_met_once_over_all_trees():
+    rng = np.random.default_rng(1)
+    left, right = rng.integers(0, 4, (50, 6)), rng.integers(0, 4, (40, 6))
+    one_by_one = [_met(left, right, tree) for tree in range(6)]
+    assert (np.sum(one_by_one, axis=0) == _met(left, right, -1)).all() and _met(left, right, -1).any() and not _met(left, right, -1).all()
+
+
 def test_near_copies_of_an_empty_table_and_depth(spark):
     assert near_duplicates(frame(spark, [(1, "a")]).limit(0)).count() == 0
     assert prefix_depth(0.8, 24, 0.99999) == 4
