@@ -62,6 +62,21 @@ def pairwise_stability(spark, fits: list[list[float]]) -> DataFrame:
     return spark.createDataFrame([(a, b, jaccard(picked[a], picked[b])) for a, b in combinations(range(len(picked)), 2)], "a int, b int, jaccard double")
 
 
+def engineer(rows: DataFrame, *, air: str, process: str, speed: str, torque: str, wear: str, grade: str) -> DataFrame:
+    """``rows`` as (id, y, features): the features that an engineer would build of a machine's readings, near copies of each other.
+
+    Temperatures in kelvin, speed in turns a minute, torque in newton metres, wear in minutes, grade L, M or H; a
+    null reading gives null features.
+    """
+    a, p, s, t, w = (F.col(c).cast("double") for c in (air, process, speed, torque, wear))
+    power = t * s * (2 * math.pi / 60)
+    features = {
+        "air_temp": a, "process_temp": p, "temp_difference": p - a, "temp_ratio": p / a, "speed": s, "torque": t, "power": power, "log_power": F.log1p(power), "tool_wear": w,
+        "wear_x_torque": w * t, "wear_squared": w * w, "torque_per_rpm": t / s, "is_low_quality": (F.col(grade) == "L").cast("double"), "is_high_quality": (F.col(grade) == "H").cast("double"),
+    }
+    return rows.select("id", "y", *(e.alias(n) for n, e in features.items()))
+
+
 def correlated_pairs(rows: DataFrame, columns: list[str]) -> DataFrame:
     """(a, b, r) of all pairs of columns, in one aggregation."""
     pairs = list(combinations(columns, 2))

@@ -281,3 +281,19 @@ b{k + 1} AS (SELECT a + (hyy * gx - hxy * gy) / (hxx * hyy - hxy * hxy) AS a, b
 
 add("cox_regression", "covariate coefficient* hazard_ratio* lower* upper* z* p_value*", [LEDGER, GAPS, *_cox(8), "found AS (SELECT 'value' AS covariate, a AS c, ea AS e FROM b8 UNION ALL SELECT 'items', b, eb FROM b8)"],
     f"SELECT covariate, c AS coefficient, exp(c) AS hazard_ratio, exp(c - 1.96 * e) AS lower, exp(c + 1.96 * e) AS upper, c / e AS z, greatest(2 * (1 - {_phi('abs(c / e)')}), 0) AS p_value FROM found")
+
+
+# --- calendars, frames and features
+
+add("trading_calendar", "day value* closed open_idx#", ["o AS (SELECT CAST(o_orderdate AS DATE) AS d, sum(o_totalprice) AS v FROM orders WHERE o_orderstatus = 'P' GROUP BY 1)",
+    "c AS (SELECT CAST(unnest(generate_series((SELECT min(d) FROM o), (SELECT max(d) FROM o), INTERVAL 1 DAY)) AS DATE) AS d)", "f AS (SELECT c.d AS d, coalesce(v, 0) AS v FROM c LEFT JOIN o ON c.d = o.d)"],
+    "SELECT CAST(d AS VARCHAR) AS day, v AS value, v = 0 AS closed, CASE WHEN v <> 0 THEN count(*) FILTER (v <> 0) OVER (ORDER BY d) - 1 END AS open_idx FROM f")
+add("motor_frames", "policy# exposure* claim_nb* area claims# amount*", [POLICIES, "sev AS (SELECT o_custkey AS p, count(*) AS n, sum(l_extendedprice) AS s FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_returnflag = 'R' GROUP BY 1)"],
+    "SELECT policy, least(exposure * 1.5, 1) AS exposure, CAST(least(claims + 1, 4) AS DOUBLE) AS claim_nb, segment AS area, coalesce(n, 0) AS claims, coalesce(s, 0) AS amount FROM policies LEFT JOIN sev ON policy = p")
+add("bank_features", "label age# job poutcome balance*", ["c AS (SELECT c_custkey AS age, c_mktsegment AS job, CASE WHEN c_nationkey > 3 THEN 'n' || c_nationkey END AS poutcome, c_acctbal AS balance FROM customer)",
+    "codes AS (SELECT *, " + ", ".join(f"CASE WHEN {c} IS NULL THEN -1 ELSE dense_rank() OVER (PARTITION BY {c} IS NULL ORDER BY {c}) - 1 END AS {c}_code" for c in ("job", "poutcome")) + " FROM c)"],
+    "SELECT CAST(balance > 5000 AS INT) AS label, age, CAST(job_code AS INT) AS job, CAST(poutcome_code AS INT) AS poutcome, balance FROM codes")
+_ENGINEERED = {"air_temp": "air", "process_temp": "process", "temp_difference": "process - air", "temp_ratio": "process / air", "speed": "speed", "torque": "torque", "power": "torque * speed * (2 * pi() / 60)", "log_power": "ln(1 + torque * speed * (2 * pi() / 60))", "tool_wear": "wear", "wear_x_torque": "wear * torque", "wear_squared": "wear * wear", "torque_per_rpm": "torque / speed", "is_low_quality": "CAST(grade = 'L' AS DOUBLE)", "is_high_quality": "CAST(grade = 'H' AS DOUBLE)"}
+add("engineered_features", "feature mean* with_y*", [
+    "m AS (SELECT CAST(l_returnflag = 'R' AS INT) AS y, CAST(l_quantity + 270 AS DOUBLE) AS air, CAST(l_quantity + 270 + l_tax * 100 AS DOUBLE) AS process, CAST(l_extendedprice / 50 + 100 AS DOUBLE) AS speed, CAST(l_discount * 500 + 3 AS DOUBLE) AS torque, CAST(l_suppkey AS DOUBLE) AS wear, CASE WHEN l_linestatus = 'O' THEN 'L' WHEN l_linenumber = 1 THEN 'H' ELSE 'M' END AS grade FROM lineitem)",
+], " UNION ALL ".join(f"SELECT '{n}' AS feature, avg({e}) AS mean, avg(({e}) * y) AS with_y FROM m" for n, e in _ENGINEERED.items()))

@@ -22,6 +22,7 @@ from plumbline.operators import encoding as EN
 from plumbline.operators import overlap as OV
 from plumbline.operators import pricing as PR
 from plumbline.operators import reduce as RD
+from plumbline.operators import regularise as RG
 from plumbline.operators import survival as SV
 from plumbline.operators.basket import shorten
 from plumbline.plans.queries import _categories, _gaps_by_half, _monthly, query
@@ -277,3 +278,48 @@ def streaming_volatility(spark, d):
     finally:
         spark.conf.set(store, before) if before else spark.conf.unset(store)
     return spark.read.parquet(f"{folder}/out").select(F.col("series").alias("user_id"), F.col("id").alias("event_id"), "volatility")
+
+
+@query
+def trading_calendar(spark, d):
+    """Every day between the first and the last order of those still pending, closed where there is none."""
+    orders = V.table(spark, d, "orders").where("o_orderstatus = 'P'").groupBy(F.col("o_orderdate").cast("date").alias("day")).agg(F.sum("o_totalprice").alias("value"))
+    return V.calendar(orders).select(F.col("day").cast("string").alias("day"), "value", "closed", "open_idx")
+
+
+@query
+def motor_frames(spark, d):
+    """Policies and single claims through two ARFF files: capped policies with the sum of their claims."""
+    often, much = _folder(spark), _folder(spark)
+    policies = V.policies(spark, d).select("policy", (F.col("exposure") * 1.5).alias("exposure"), (F.col("claims") + 1).alias("claims"), "segment")
+    lines = V.table(spark, d, "lineitem").where("l_returnflag = 'R'").join(V.table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    _write(f"{often}/head.arff", b"@relation freq\n@attribute IDpol numeric\n@attribute Exposure numeric\n@attribute ClaimNb numeric\n@attribute Area string\n@data")
+    _write(f"{much}/head.arff", b"@relation sev\n@attribute IDpol numeric\n@attribute ClaimAmount numeric\n@data")
+    policies.select(F.concat_ws(",", "policy", "exposure", "claims", F.concat(F.lit("'"), "segment", F.lit("'")))).write.mode("append").text(often)
+    lines.select(F.concat_ws(",", "o_custkey", "l_extendedprice")).write.mode("append").text(much)
+    frequency, severity = RS.read_motor(spark, often, much)
+    sums = severity.groupBy("IDpol").agg(F.count("*").alias("claims"), F.sum("ClaimAmount").alias("amount"))
+    return frequency.join(sums, "IDpol", "left").select(F.col("IDpol").cast("long").alias("policy"), F.col("Exposure").alias("exposure"), F.col("ClaimNb").alias("claim_nb"), F.col("Area").alias("area"), F.coalesce("claims", F.lit(0)).alias("claims"), F.coalesce("amount", F.lit(0.0)).alias("amount"))
+
+
+@query
+def bank_features(spark, d):
+    """The customers as a bank's calls through a file with semicolons and quoted names: label and coded features."""
+    folder = _folder(spark)
+    calls = V.table(spark, d, "customer").select(F.col("c_custkey").alias("age"), F.col("c_mktsegment").alias("job"), F.when(F.col("c_nationkey") > 3, F.concat(F.lit("n"), "c_nationkey")).alias("poutcome"), F.col("c_acctbal").alias("balance"), F.when(F.col("c_acctbal") > 5000, " Yes").otherwise("no").alias("y"))
+    calls.toDF('"age"', "job", " poutcome", "balance", '"y"').write.csv(folder, sep=";", header=True)
+    raw = RS.read_csv(spark, folder, "`age` long, job string, `poutcome ` string, balance double, `\"y\"` string", sep=";")
+    return RS.bank_view(raw).drop("id")
+
+
+@query
+def engineered_features(spark, d):
+    """Means of the features built of each line's figures, read as a machine's readings, and of their products with the label."""
+    lines = V.table(spark, d, "lineitem").select(
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), (F.col("l_returnflag") == "R").cast("double").alias("y"), (F.col("l_quantity") + 270).alias("air"), (F.col("l_quantity") + 270 + F.col("l_tax") * 100).alias("process"),
+        (F.col("l_extendedprice") / 50 + 100).alias("speed"), (F.col("l_discount") * 500 + 3).alias("torque"), F.col("l_suppkey").alias("wear"), F.when(F.col("l_linestatus") == "O", "L").when(F.col("l_linenumber") == 1, "H").otherwise("M").alias("grade"),
+    )
+    rows = RG.engineer(lines, air="air", process="process", speed="speed", torque="torque", wear="wear", grade="grade")
+    names = [c for c in rows.columns if c not in ("id", "y")]
+    one = rows.agg(*(F.avg(c).alias(c) for c in names), *(F.avg(F.col(c) * F.col("y")).alias(f"{c}_y") for c in names))
+    return one.select(F.explode(F.array(*(F.struct(F.lit(c).alias("feature"), F.col(c).alias("mean"), F.col(f"{c}_y").alias("with_y")) for c in names))).alias("e")).select("e.*")

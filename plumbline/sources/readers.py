@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from plumbline.operators.encoding import label_encode
 from plumbline.session import ship
 
 #: Stock codes that are fees and adjustments, not products. Fixed values.
@@ -101,6 +102,28 @@ def clean_policies(raw: DataFrame) -> DataFrame:
     return raw.withColumn("Exposure", F.least("Exposure", F.lit(1.0))).withColumn("ClaimNb", F.least("ClaimNb", F.lit(4)))
 
 
+def read_motor(spark: SparkSession, frequency: str, severity: str) -> tuple[DataFrame, DataFrame]:
+    """(policies, claims) of two ARFF files: cleaned policies, and each claim's amount with its policy.
+
+    They stay two frames, as how often and how much are models of their own; claims without an amount are left out.
+    """
+    return clean_policies(read_arff(spark, frequency)), read_arff(spark, severity).where("ClaimAmount is not null")
+
+
+def bank_view(raw: DataFrame, *, label: str = "y") -> DataFrame:
+    """Calls as rows (id, label, features): names without quotes and spaces, ``label`` 1 for yes, text columns as codes.
+
+    A code is the place of the value among the sorted distinct values of its column, -1 for null. ``id`` is a
+    hash of the row; it names equal rows alike.
+    """
+    rows = raw.toDF(*(c.strip().strip('"').strip() for c in raw.columns))
+    key = F.xxhash64(*(c for name in rows.columns for c in (F.col(f"`{name}`").isNull(), F.col(f"`{name}`"))))
+    texts = [c for c, kind in rows.dtypes if kind == "string" and c != label]
+    marked = rows.withColumn("id", key).withColumn("label", (F.lower(F.trim(label)) == "yes").cast("int")).drop(label)
+    coded = label_encode(marked, texts) if texts else marked
+    return coded.select("id", "label", *(F.col(f"{c}_code").alias(c) if c in texts else F.col(f"`{c}`") for c in rows.columns if c != label))
+
+
 def write_results(rows: DataFrame, path: str, *, digits: int = 6) -> None:
     """Rows as JSON lines, doubles rounded."""
     rows.select(*(F.round(c, digits).alias(c) if kind == "double" else F.col(c) for c, kind in rows.dtypes)).write.mode("overwrite").json(path)

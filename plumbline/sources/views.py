@@ -43,6 +43,20 @@ def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     return indexed(orders, "day")
 
 
+def calendar(series: DataFrame, *, day: str = "day", value: str = "value") -> DataFrame:
+    """(day, value, closed, open_idx): every day from the first to the last of ``series`` (one row a day at most), 0 where it has none.
+
+    Days of value 0 are ``closed``; ``open_idx`` numbers the others from 0, null on closed days. A null day is left out
+    and a null value counts as 0. The calendar is generated, one row a day, and joined to the series.
+    """
+    rows = series.where(F.col(day).isNotNull()).select(F.col(day).cast("date").alias("day"), F.coalesce(F.col(value).cast("double"), F.lit(0.0)).alias("value"))
+    ends = rows.agg(F.min("day").alias("low"), F.max("day").alias("high")).where("low is not null")
+    days = ends.select(F.explode(F.sequence("low", "high")).alias("day"))
+    filled = days.join(rows, "day", "left").select("day", F.coalesce("value", F.lit(0.0)).alias("value")).withColumn("closed", F.col("value") == 0)
+    opened = F.sum((~F.col("closed")).cast("int")).over(Window.orderBy("day")) - 1  # a row a day
+    return filled.withColumn("open_idx", F.when(~F.col("closed"), opened))
+
+
 def monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(month, value, x, idx): order value and order count of each month."""
     orders = table(spark, sf_dir, "orders").groupBy(F.trunc(F.col("o_orderdate").cast("date"), "MM").alias("month")).agg(F.sum("o_totalprice").alias("value"), F.count("*").cast("double").alias("x"))

@@ -10,7 +10,8 @@ from pathlib import Path
 
 import numpy as np
 import pytest
-from plumbline.sources import cache, readers, workbook
+from plumbline.operators import regularise
+from plumbline.sources import cache, readers, views, workbook
 from plumbline.streaming import windows
 from pyspark.sql import functions as F
 
@@ -129,3 +130,32 @@ def test_trailing_volatility_survives_restarts(spark, tmp_path):
         for k, (i, _) in enumerate(own):
             past = [v for _, v in own[max(0, k - 4) : k + 1]]
             assert got[s, i] is None if len(past) < 5 else got[s, i] == pytest.approx(np.std(past, ddof=1) * math.sqrt(4))
+
+
+def test_calendar_fills_gaps_and_marks_closures(spark):
+    rows = spark.createDataFrame([("2024-02-27", 5.0), ("2024-03-01", 2.0), ("2024-03-02", None), (None, 9.0), ("2024-03-04", 1.0)], "day string, value double")
+    got = [(str(r["day"]), r["value"], r["closed"], r["open_idx"]) for r in views.calendar(rows).orderBy("day").collect()]
+    assert got == [("2024-02-27", 5.0, False, 0), ("2024-02-28", 0.0, True, None), ("2024-02-29", 0.0, True, None), ("2024-03-01", 2.0, False, 1), ("2024-03-02", 0.0, True, None), ("2024-03-03", 0.0, True, None), ("2024-03-04", 1.0, False, 2)]
+    assert views.calendar(rows.limit(0)).count() == 0
+
+
+def test_bank_calls_become_rows_of_numbers(spark):
+    raw = spark.createDataFrame([(30, "b", None, " YES"), (40, "a", "x", "no"), (None, None, "x", None), (30, "b", None, " YES")], '`"age"` int, ` job` string, poutcome string, `"y"` string')
+    got = readers.bank_view(raw).collect()
+    assert sorted(((r["label"], r["age"], r["job"], r["poutcome"]) for r in got), key=str) == sorted([(1, 30, 1, -1), (1, 30, 1, -1), (0, 40, 0, 0), (None, None, -1, 0)], key=str)
+    assert len({r["id"] for r in got}) == 3 and set(readers.bank_view(raw).columns) == {"id", "label", "age", "job", "poutcome"}
+
+
+def test_motor_frames_stay_apart(spark, tmp_path):
+    (tmp_path / "f.arff").write_text("@relation f\n@attribute IDpol numeric\n@attribute ClaimNb numeric\n@attribute Exposure numeric\n@attribute Area string\n@data\n1,9,1.5,'A'\n2,0,0.5,'B'\n")
+    (tmp_path / "s.arff").write_text("@relation s\n@attribute IDpol numeric\n@attribute ClaimAmount numeric\n@data\n1,10\n1,20\n2,?\n")
+    policies, claims = readers.read_motor(spark, str(tmp_path / "f.arff"), str(tmp_path / "s.arff"))
+    assert sorted((r["IDpol"], r["ClaimNb"], r["Exposure"], r["Area"]) for r in policies.collect()) == [(1.0, 4.0, 1.0, "A"), (2.0, 0.0, 0.5, "B")]
+    assert sorted((r["IDpol"], r["ClaimAmount"]) for r in claims.collect()) == [(1.0, 10.0), (1.0, 20.0)]
+
+
+def test_engineered_features(spark):
+    rows = spark.createDataFrame([(1, 1.0, 300.0, 310.0, 1500.0, 40.0, 100.0, "L"), (2, 0.0, None, 310.0, 1500.0, 40.0, 100.0, None)], "id int, y double, a double, p double, s double, t double, w double, g string")
+    one, lost = regularise.engineer(rows, air="a", process="p", speed="s", torque="t", wear="w", grade="g").orderBy("id").collect()
+    assert one["power"] == pytest.approx(40 * 1500 * 2 * math.pi / 60) and one["log_power"] == pytest.approx(math.log1p(one["power"])) and one["temp_difference"] == 10 and one["wear_x_torque"] == 4000
+    assert (one["is_low_quality"], one["is_high_quality"]) == (1.0, 0.0) and lost["temp_ratio"] is None and len(one) == 16
