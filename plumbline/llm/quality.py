@@ -26,7 +26,8 @@ WINDOW = 5
 #: Marks that open a list item, and ends of cut-off lines. Fixed values.
 BULLETS = ("•", "‣", "▶", "◀", "◦", "■", "□", "▪", "▫", "–", "-", "*")
 CUT_OFF = ("...", "…")
-_LETTER = re.compile(r"[A-Za-z\u0080-\U0010FFFF]")
+#: A whole word without a letter (all bytes from 0x80 count as letters); each run is tried once, from its beginning.
+_LETTERLESS = re.compile(rb"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0DA-Za-z\x80-\xFF]++(?![^\x20\x09-\x0D])")
 
 
 class Features:
@@ -62,12 +63,16 @@ class Features:
     def _n_dup_lines(self) -> int:
         return len(self.lines) - len(set(self.lines))
 
+    def _codes(self) -> np.ndarray:
+        """A number for each word, equal for equal words, in the order in which they first come."""
+        numbers: dict[bytes, int] = {}
+        return np.fromiter((numbers.setdefault(w, len(numbers)) for w in self.words), np.int64, self.n_words)
+
     def _n_repeat_words(self) -> int:
         if self.n_words <= WINDOW:
             return 0
         # Windows of equal hash are compared word by word, so that chance matches don't count.
-        numbers: dict[bytes, int] = {}
-        words = np.fromiter((numbers.setdefault(w, len(numbers)) for w in self.words), np.int64, self.n_words)
+        words = self.codes
         size = self.n_words - WINDOW + 1
         mixed = np.zeros(size, np.uint64)
         for k in range(WINDOW):
@@ -96,25 +101,23 @@ class Features:
         return sum(x.endswith(CUT_OFF) for x in self.text_lines)
 
     def _n_lettered(self) -> int:
-        return sum(_LETTER.search(w) is not None for w in self.text.translate(_SPACED).split(" "))
+        return self.n_words - len(_LETTERLESS.findall(self.data))
 
     def _top_pair_chars(self) -> int:
         """Characters (with the space) in occurrences of the most frequent pair of words; ties: the most characters."""
         if self.n_words < 2:
             return 0
-        pairs: dict[tuple[bytes, bytes], int] = {}
-        for pair in zip(self.words, self.words[1:], strict=False):
-            pairs[pair] = pairs.get(pair, 0) + 1
-        most = max(pairs.values())
-        return max(most * (len(a.decode("utf-8", "replace")) + len(b.decode("utf-8", "replace")) + 1) for (a, b), n in pairs.items() if n == most)
+        codes = self.codes
+        kinds = int(codes.max()) + 1
+        _, first, counts = np.unique(codes[:-1] * kinds + codes[1:], return_index=True, return_counts=True)
+        most = int(counts.max())
+        chars = lambda w: len(w.decode("utf-8", "replace"))
+        return max(most * (chars(self.words[k]) + chars(self.words[k + 1]) + 1) for k in first[counts == most].tolist())
 
     def _n_chars(self) -> int:
         return len(self.text)
 
 
-_SPACED = {x: " " for x in range(0x09, 0x0E)}
-
-
 @dataclass(frozen=True)
 class Rule:
     name: str
