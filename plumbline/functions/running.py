@@ -57,28 +57,33 @@ def positions(df: DataFrame, key: Column, order: list[str], name: str = "idx") -
     return placed.join(F.broadcast(offsets), "_range").withColumn(name, F.col("_o") + F.col("_k") - 1).drop("_range", "_k", "_o")
 
 
-def exact_quantiles(df: DataFrame, value: str | Column, shares: list[float], name: str = "cuts") -> DataFrame:
-    """One row (``name``: array of doubles): the linearly interpolated quantiles of the values that are not null.
+def exact_quantiles(df: DataFrame, value: str | Column, shares: list[float], name: str = "cuts", *, groups: tuple[str, ...] = ()) -> DataFrame:
+    """(groups, ``name``: array of doubles): the linearly interpolated quantiles of the values that are not null, one row a group.
 
-    Values are counted first, and the counts run over ranges, so no task merges all distinct values. The array
-    is null if there are no values.
+    Values are counted first, and the counts run over ranges, so no task merges all distinct values, not even those of
+    one group. Without ``groups`` there is one row, whose array is null if there are no values; a group without values has none.
     """
     v = (F.col(value) if isinstance(value, str) else value).cast("double")
-    each = df.select(v.alias("_v")).where("_v is not null").groupBy("_v").agg(F.count("*").alias("_n"))
-    total = each.agg(F.sum("_n").alias("_all"))
-    run = running_totals(each, "_v", {"_upto": F.col("_n")}).crossJoin(F.broadcast(total))
+    each = df.select(*groups, v.alias("_v")).where("_v is not null").groupBy(*groups, "_v").agg(F.count("*").alias("_n"))
+    total = each.groupBy(*groups).agg(F.sum("_n").alias("_all"))
+    run = running_totals(each, "_v", {"_upto": F.col("_n")}, groups=groups)
+    if groups:
+        ends = total.select(*(F.col(g).alias(f"_t_{g}") for g in groups), "_all")
+        run = run.join(ends, reduce(lambda a, g: a & F.col(g).eqNullSafe(F.col(f"_t_{g}")), groups, F.lit(True))).drop(*(f"_t_{g}" for g in groups))
+    else:
+        run = run.crossJoin(F.broadcast(total))
 
     def at(rank: Column) -> Column:
         return F.max(F.when((F.col("_upto") > rank) & (F.col("_upto") - F.col("_n") <= rank), F.col("_v")))
 
     place = [(F.col("_all") - 1) * F.lit(float(q)) for q in shares]
-    row = run.agg(F.max("_all").alias("_all"), *(at(F.floor(p)).alias(f"_l{i}") for i, p in enumerate(place)), *(at(F.ceil(p)).alias(f"_h{i}") for i, p in enumerate(place)))
+    row = run.groupBy(*groups).agg(F.max("_all").alias("_all"), *(at(F.floor(p)).alias(f"_l{i}") for i, p in enumerate(place)), *(at(F.ceil(p)).alias(f"_h{i}") for i, p in enumerate(place)))
 
     def between(i: int, p: Column) -> Column:
         low, high = F.col(f"_l{i}"), F.col(f"_h{i}")
         return F.when(low == high, low).otherwise((F.ceil(p) - p) * low + (p - F.floor(p)) * high)
 
-    return row.select(F.when(F.col("_all").isNotNull(), F.array(*(between(i, p) for i, p in enumerate(place)))).alias(name))
+    return row.select(*groups, F.when(F.col("_all").isNotNull(), F.array(*(between(i, p) for i, p in enumerate(place)))).alias(name))
 
 
 def trapezoid(points: DataFrame, x: str, y: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.growing import expanding_quantiles
+from plumbline.functions.running import exact_quantiles
 
 
 def _order():
@@ -21,8 +22,9 @@ def label_by_quantile(value: Column, low: Column, high: Column) -> Column:
 
 def hindsight_labels(series: DataFrame, *, lower: float = 0.33, upper: float = 0.8) -> DataFrame:
     """``series`` with label, from quantiles of the whole series."""
-    cuts = series.groupBy("series").agg(F.percentile("value", lower).alias("_lo"), F.percentile("value", upper).alias("_hi"))
-    return series.join(cuts, "series").withColumn("label", label_by_quantile(F.col("value"), F.col("_lo"), F.col("_hi"))).drop("_lo", "_hi")
+    cuts = exact_quantiles(series, "value", [lower, upper], "_cuts", groups=("series",)).withColumnRenamed("series", "_s")
+    labelled = series.join(cuts, F.col("series").eqNullSafe(F.col("_s")))
+    return labelled.withColumn("label", label_by_quantile(F.col("value"), F.get("_cuts", F.lit(0)), F.get("_cuts", F.lit(1)))).drop("_cuts", "_s")
 
 
 def realtime_labels(series: DataFrame, *, lower: float = 0.33, upper: float = 0.8, warmup: int = 500) -> DataFrame:

@@ -1,7 +1,11 @@
+import os
 import sys
 from pathlib import Path
 
-import pytest
+# Several BLAS threads beside a busy session can wait for each other for good.
+os.environ.setdefault("OPENBLAS_NUM_THREADS", "1")
+
+import pytest  # noqa: E402
 
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 

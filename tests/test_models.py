@@ -5,7 +5,7 @@ import sys
 
 import numpy as np
 import pytest
-from plumbline.functions import growing, stats, tails
+from plumbline.functions import growing, running, stats, tails
 from plumbline.operators import batched, forecast, nearest, overlap, plugins, regimes, regularise, statespace
 from plumbline.operators.calibration import logistic_scores
 from pyspark import cloudpickle
@@ -253,3 +253,15 @@ def test_p_values_of_very_many_groups_are_one_plan(spark):
     rows = spark.range(100_000 * 5).select((F.col("id") / 5).cast("long").alias("g"), F.rand(1).alias("x"), F.rand(2).alias("y"))
     found = one(overlap.slopes_by(rows, "g").agg(F.count("*").alias("n"), F.avg(F.col("significant").cast("double")).alias("s"), F.avg("p").alias("p")))
     assert found["n"] == 100_000 and abs(found["s"] - 0.05) < 0.005 and abs(found["p"] - 0.5) < 0.005
+
+
+def test_quantiles_by_group_are_those_of_each(spark):
+    rng = np.random.default_rng(9)
+    groups = {"a": rng.normal(size=301), "b": rng.integers(0, 3, 200).astype(float), None: rng.normal(size=40), "one": np.array([5.0])}
+    rows = [(g, float(x)) for g, v in groups.items() for x in v] + [("a", None), ("lost", None)]
+    got = {r["g"]: r["cuts"] for r in running.exact_quantiles(spark.createDataFrame(rows, "g string, v double"), "v", [0.0, 0.33, 0.8, 1.0], groups=("g",)).collect()}
+    assert set(got) == set(groups) and all(np.allclose(got[g], np.quantile(v, [0.0, 0.33, 0.8, 1.0])) for g, v in groups.items())
+    series = spark.createDataFrame([(g, i, float(x)) for g, v in groups.items() for i, x in enumerate(v)], "series string, idx int, value double")
+    for r in regimes.hindsight_labels(series).collect():
+        low, high = np.quantile(groups[r["series"]], [0.33, 0.8])
+        assert r["label"] == (2 if r["value"] >= high else 0 if r["value"] <= low else 1)
