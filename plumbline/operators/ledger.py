@@ -46,6 +46,15 @@ def rfm(ledger: DataFrame, *, as_of: datetime.datetime | None = None, purchases_
     )
 
 
+def net_cents(ledger: DataFrame) -> DataFrame:
+    """(customer, cents): net revenue of each customer to the cent, halves up.
+
+    Lines are exact in ten-thousandths (prices and discounts have two digits), so sums do not depend on their order.
+    """
+    units = F.sum(F.round(F.col("revenue") * 10_000).cast("long"))
+    return ledger.where("customer is not null").groupBy("customer").agg(F.floor((units + 50) / 100).alias("cents"))
+
+
 def concentration(values: DataFrame, value: str) -> DataFrame:
     """The Lorenz curve from the largest value down: (value, customers, revenue) cumulative shares at each distinct value."""
     each = values.where(F.col(value) > 0).groupBy(F.col(value).alias("value")).agg(F.count("*").alias("k"))
