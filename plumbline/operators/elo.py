@@ -26,27 +26,39 @@ def walk_forward(matches: DataFrame, *, k: float = 20.0, advantage: float = 65.0
     """(league, idx, home_rating, away_rating, expected): ratings before each match, in the order of idx.
 
     Ratings depend on all matches before, so a league is one sequential fold; leagues run in parallel.
-    ``season`` names a column whose change pulls all ratings by ``regress`` towards the start.
+    ``season`` names a column whose change pulls all ratings by ``regress`` towards the start; a team's are pulled when it
+    plays next, once for each change since, so a change costs nothing for teams that do not play.
     """
     ship(matches.sparkSession)
     named = matches.select("league", "idx", F.col("home").cast("string").alias("home"), F.col("away").cast("string").alias("away"), "home_goals", "away_goals", (F.col(season).cast("string") if season else F.lit("")).alias("season"))
 
     def fold(batches):
-        ratings: dict[str, float] = {}
+        ratings: dict[str, tuple[float, int]] = {}  # rating and the number of changes it has seen
         league = now = None
+        changes = 0
+
+        def rating(team: str) -> float:
+            r, seen = ratings.get(team, (start, changes))
+            for _ in range(changes - seen):
+                pulled = r + regress * (start - r)
+                if pulled == r:  # as near to the start as it gets
+                    break
+                r = pulled
+            return r
+
         for batch in batches:
             out: list[tuple] = []
             for name, idx, home, away, hg, ag, term in zip(*(batch.column(c).to_pylist() for c in range(7)), strict=True):
                 if name != league:
-                    league, now, ratings = name, term, {}
+                    league, now, changes, ratings = name, term, 0, {}
                 if term != now:
-                    now, ratings = term, {team: r + regress * (start - r) for team, r in ratings.items()}
-                h, a = ratings.get(home, start), ratings.get(away, start)
+                    now, changes = term, changes + 1
+                h, a = rating(home), rating(away)
                 expected = 1 / (1 + 10 ** (-(h + advantage - a) / 400))
                 actual = 1.0 if hg > ag else 0.5 if hg == ag else 0.0
                 step = k * (1 + margin_factor * math.log1p(abs(hg - ag))) * (actual - expected)
-                ratings[home] = h + step
-                ratings[away] = ratings.get(away, start) - step
+                ratings[home] = h + step, changes
+                ratings[away] = rating(away) - step, changes
                 out.append((name, idx, h, a, expected))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.string(), pa.int32(), pa.float64(), pa.float64(), pa.float64()), strict=True)], names=["league", "idx", "home_rating", "away_rating", "expected"])
