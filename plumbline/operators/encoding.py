@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.operators.metrics import auc
+from plumbline.session import checkpointed
 
 
 def _smooth(total: Column, n: Column, prior: Column, m: float) -> Column:
@@ -72,11 +73,15 @@ def leak_by_rarity(encoded: DataFrame, *, least: int = 30) -> DataFrame:
 
 
 def fit_and_score(encoded: DataFrame) -> DataFrame:
-    """One row (train_auc, test_auc) of a logistic model on the encoded column alone; rows of (id, split, y, encoded)."""
-    rows = VectorAssembler(inputCols=["encoded"], outputCol="features").transform(encoded.select("id", "split", F.col("y").cast("double").alias("y"), "encoded"))
-    model = LogisticRegression(labelCol="y", regParam=0.0, maxIter=200, tol=1e-8).fit(rows.where("split = 'train'"))
-    scored = model.transform(rows).select("split", "y", F.get(vector_to_array("probability"), F.lit(1)).alias("score"))
-    train, test = (auc(scored.where(F.col("split") == side)).select(F.col("auc").alias(f"{side}_auc")) for side in ("train", "test"))
+    """One row (train_auc, test_auc) of a logistic model on the encoded column alone; rows of (id, split, y, encoded).
+
+    Rows are counted by encoding and label first: a few for each category, whatever its rows, serve the fit and both areas.
+    """
+    counts = checkpointed(encoded.groupBy("split", F.col("y").cast("double").alias("y"), "encoded").agg(F.count("*").cast("double").alias("n")))
+    cells = VectorAssembler(inputCols=["encoded"], outputCol="features").transform(counts)
+    model = LogisticRegression(labelCol="y", weightCol="n", regParam=0.0, maxIter=200, tol=1e-8).fit(cells.where("split = 'train'"))
+    scored = model.transform(cells).select("split", "y", F.get(vector_to_array("probability"), F.lit(1)).alias("score"), F.col("n").cast("long").alias("n"))
+    train, test = (auc(scored.where(F.col("split") == side), weight="n").select(F.col("auc").alias(f"{side}_auc")) for side in ("train", "test"))
     return train.crossJoin(test)
 
 

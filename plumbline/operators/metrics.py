@@ -11,10 +11,12 @@ from pyspark.sql import functions as F
 from plumbline.functions.running import exact_quantiles, running_totals
 
 
-def by_score(scored: DataFrame, *, digits: int | None = None, groups: tuple[str, ...] = ()) -> DataFrame:
-    """(groups, score, n, pos): rows and positives of each distinct (rounded) score."""
+def by_score(scored: DataFrame, *, digits: int | None = None, groups: tuple[str, ...] = (), weight: str | None = None) -> DataFrame:
+    """(groups, score, n, pos): rows and positives of each distinct (rounded) score; a row of ``scored`` may stand for ``weight`` rows."""
     rows = scored.where(F.col("score").isNotNull() & ~F.isnan("score") & F.col("y").isNotNull())
     score = F.col("score") if digits is None else F.round("score", digits)
+    if weight:
+        return rows.groupBy(*groups, score.alias("score")).agg(F.sum(weight).alias("n"), F.sum(F.col(weight) * F.col("y")).alias("pos"))
     return rows.groupBy(*groups, score.alias("score")).agg(F.count("*").alias("n"), F.sum("y").alias("pos"))
 
 
@@ -45,9 +47,9 @@ def roc(scored: DataFrame) -> DataFrame:
     return points.select("score", (F.col("fp") / F.greatest("m", F.lit(1))).alias("fpr"), (F.col("tp") / F.greatest("p", F.lit(1))).alias("tpr"))
 
 
-def auc(scored: DataFrame, *, groups: tuple[str, ...] = ()) -> DataFrame:
+def auc(scored: DataFrame, *, groups: tuple[str, ...] = (), weight: str | None = None) -> DataFrame:
     """(groups, auc): the share of (positive, negative) pairs in order, ties counting half; 0.5 if a class is missing."""
-    each = by_score(scored, groups=groups)
+    each = by_score(scored, groups=groups, weight=weight)
     run = running_totals(each, "score", {"negatives": F.col("n") - F.col("pos")}, groups=groups)
     own = F.col("n") - F.col("pos")
     figures = run.groupBy(*groups).agg(F.sum(F.col("pos") * (F.col("negatives") - own / 2)).alias("wins"), F.sum("pos").alias("p"), F.sum(own).alias("m"))

@@ -5,7 +5,7 @@ import time
 import numpy as np
 import pytest
 from plumbline.functions import tails
-from plumbline.operators import clusters, elo, ledger
+from plumbline.operators import clusters, elo, ledger, metrics, pricing
 from plumbline.plans import queries
 from pyspark.sql import functions as F
 
@@ -55,3 +55,24 @@ def test_tails_of_many_groups_are_columns_at_a_time(spark):
     assert 0.2 < found["s"] / found["n"] < 0.5 and time.monotonic() - began < 20
     one = spark.createDataFrame([(2.228138852, 10.0), (12.7062047, 1.0), (0.0, 3.0)], "t double, df double").select(tails.student_two_sided(F.col("t"), F.col("df")).alias("p")).collect()
     assert [r["p"] for r in one] == pytest.approx([0.05, 0.05, 1.0], abs=1e-9)
+
+
+def test_area_of_counted_rows_is_that_of_all_rows(spark):
+    cells = [(0.1, 0.0, 3), (0.1, 1.0, 1), (0.5, 1.0, 4), (0.7, 0.0, 2), (0.9, 1.0, 5)]
+    counted = spark.createDataFrame(cells, "score double, y double, n long")
+    every = spark.createDataFrame([(s, y) for s, y, n in cells for _ in range(n)], "score double, y double")
+    assert metrics.auc(counted, weight="n").first()["auc"] == pytest.approx(metrics.auc(every).first()["auc"], abs=1e-12)
+
+
+def test_a_fit_makes_its_rows_once(spark, monkeypatch):
+    """A reweighting reads what was written; rows that have to be joined again each time would be counted here."""
+    made = spark.sparkContext.accumulator(0)
+
+    def mark(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    rows = spark.createDataFrame([(f"{'abc'[i % 3]}", i % 5 % 3, 1.0) for i in range(60)], "segment string, claims int, exposure double")
+    pricing.fit_frequency(rows.mapInArrow(mark, rows.schema), ["segment"])
+    assert made.value <= 2 * 60
