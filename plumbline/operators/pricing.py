@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.running import exact_quantiles, running_totals
+from plumbline.session import checkpointed
 
 #: Exposure edges of the credibility table. Fixed values.
 EXPOSURE_EDGES = [0.0, 0.05, 0.15, 0.35, 0.6, 0.85, 1.0]
@@ -79,6 +80,8 @@ class Model:
 
 
 def _fit(rows: DataFrame, factors: list[str], name: str, **options) -> Model:
+    """The rows are written once, narrow: every reweighting reads them, and would make them anew."""
+    rows = checkpointed(rows.select(*factors, *(options[c] for c in ("labelCol", "weightCol", "offsetCol") if c in options)))
     design = Design.of(rows, factors)
     glm = GeneralizedLinearRegression(featuresCol="features", maxIter=50, tol=1e-10, **options).fit(design.apply(rows))
     return Model(name, design, [glm.intercept, *glm.coefficients.toArray().tolist()], glm)
