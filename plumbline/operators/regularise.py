@@ -8,8 +8,7 @@ from itertools import combinations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.operators import metrics as M
-from plumbline.operators.batched import Fit, Model, fit_all, scores
+from plumbline.operators.batched import Fit, Model, areas, fit_all, fit_narrowed, narrowed
 
 #: Share of the penalty that is l1, by name.
 SHARES = {"l1": 1.0, "l2": 0.0, "none": 0.0}
@@ -21,9 +20,11 @@ def penalty_model(penalty: str, c: float, l1_ratio: float = 0.5) -> Model:
 
 def fit_penalised(train: DataFrame, test: DataFrame, columns: list[str], models: list[Model]) -> tuple[DataFrame, list[Fit]]:
     """((model, train_auc, test_auc, selected), fits) of all models at once; selected: weights beyond 1e-6."""
-    fits = fit_all(train, columns, models)
+    draws = any(m.replicate is not None for m in models)
+    own, other = narrowed(train, columns, draws=draws), narrowed(test, columns, draws=draws)
+    fits = fit_narrowed(own, columns, models)
     picked = train.sparkSession.createDataFrame([(f.model.name, int(f.selected.sum())) for f in fits], "model string, selected int")
-    judged = [M.auc(scores(rows, columns, fits), groups=("model",)).withColumnRenamed("auc", name) for rows, name in ((train, "train_auc"), (test, "test_auc"))]
+    judged = [areas(rows, columns, fits, name) for rows, name in ((own, "train_auc"), (other, "test_auc"))]
     return picked.join(judged[0], "model").join(judged[1], "model").select("model", "train_auc", "test_auc", "selected"), fits
 
 
