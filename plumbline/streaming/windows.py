@@ -23,33 +23,28 @@ STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreP
 
 
 class TrailingVolatility(StatefulProcessor):
-    """For each series, a ring of the last ``window`` values and its volatility after each of them."""
+    """For each series, the last ``window`` values and its volatility after each of them."""
 
     def __init__(self, window: int, periods: int) -> None:
         self.window, self.root = window, math.sqrt(periods)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        # A ring: slot k holds value number n with n mod window = k; the count tells which slot is next.
-        self.ring = handle.getMapState("ring", "slot int", "value double")
-        self.count = handle.getValueState("count", "n long")
+        # The count of values so far and the last ``window`` of them: one read and one write for each series and trigger.
+        self.tail = handle.getValueState("tail", "n long, last array<double>")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         frames = [f for f in rows if len(f)]
         if not frames:
             return
         frame = pd.concat(frames).sort_values(["ts", "id"], kind="stable").reset_index(drop=True)
-        n = self.count.get()[0] if self.count.exists() else 0
-        held = {slot[0]: value[0] for slot, value in self.ring.iterator()} if n else {}
-        past = [held[k % self.window] for k in range(max(n - self.window, 0), n)]
-        values = np.concatenate([past, frame["value"].to_numpy(float)])
+        n, past = self.tail.get() if self.tail.exists() else (0, [])
+        values = np.concatenate([np.array(past, float), frame["value"].to_numpy(float)])
         out = np.full(len(frame), np.nan)
-        for k in range(len(frame)):
-            own = values[: len(past) + k + 1][-self.window :]
-            if len(own) == self.window:
-                out[k] = np.std(own, ddof=1) * self.root
-        for k, value in enumerate(values[-self.window :].tolist(), n + len(frame) - len(values[-self.window :])):
-            self.ring.updateValue((k % self.window,), (value,))
-        self.count.update((n + len(frame),))
+        own = values[-(len(frame) + self.window - 1) :]
+        if len(own) >= self.window:
+            ends = np.std(np.lib.stride_tricks.sliding_window_view(own, self.window), axis=1, ddof=1) * self.root
+            out[len(out) - len(ends) :] = ends
+        self.tail.update((n + len(frame), values[-self.window :].tolist()))
         yield pd.DataFrame({"series": key[0], "id": frame["id"], "ts": frame["ts"], "value": frame["value"], "volatility": [None if np.isnan(v) else float(v) for v in out]})
 
     def close(self) -> None:

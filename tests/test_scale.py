@@ -1,10 +1,12 @@
 """Steps that a larger table made slow: whole results, at sizes that cut them into several ranges, blocks and parts."""
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from plumbline.operators import metrics
 from plumbline.operators.batched import CUTS, OFFSET, PRIME, STEP, Fit, Model, _newton, areas, draw_weights, fit_all, narrowed
+from plumbline.streaming.windows import TrailingVolatility
 
 
 def labelled(spark, n: int):
@@ -39,3 +41,35 @@ def test_replicates_start_at_the_fit_of_all_rows(spark):
     assert all(np.abs(a.beta - b.beta).max() < 1e-9 for a, b in zip(fits, cold, strict=True))
     alone = fit_all(rows, ["a", "b"], [Model("3", 0.01, 1.0, 3)])[0]
     assert np.abs(alone.beta - fits[3].beta).max() < 1e-9
+
+
+def test_volatility_reads_and_writes_a_series_state_once():
+    class Value:
+        reads = writes = 0
+        held = None
+
+        def exists(self):
+            return self.held is not None
+
+        def get(self):
+            self.reads += 1
+            return self.held
+
+        def update(self, new):
+            self.writes, self.held = self.writes + 1, new
+
+    class Handle:
+        value = Value()
+
+        def getValueState(self, *_):  # noqa: N802
+            return self.value
+
+    processor, handle = TrailingVolatility(3, 4), Handle()
+    processor.init(handle)
+    data = np.array([1.0, 4.0, 2.0, 8.0, 5.0, 7.0, 7.5])
+    found = []
+    for part in (slice(0, 2), slice(2, 3), slice(3, 7)):
+        frame = pd.DataFrame({"id": np.arange(7)[part], "ts": np.arange(7)[part], "value": data[part]})
+        found += [v for out in processor.handleInputRows(("s",), iter([frame]), None) for v in out["volatility"]]
+    wanted = [np.std(data[k - 2 : k + 1], ddof=1) * 2 for k in range(2, 7)]
+    assert np.isnan(np.array(found[:2], float)).all() and np.allclose(found[2:], wanted) and (handle.value.reads, handle.value.writes) == (2, 3)
