@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from collections import Counter
-
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +13,8 @@ from plumbline.session import checkpointed, ship
 
 #: Rows of a replicate that one window of the permutation holds, about.
 BUCKET_ROWS = 50_000
+#: Cells (basket, item) of a bucket for each row up to which they are marked in an array; more are sorted.
+DENSE = 64
 
 
 def build_baskets(lines: DataFrame) -> DataFrame:
@@ -56,32 +57,51 @@ def build_rules(baskets: DataFrame, *, min_support_count: int = 5, top_items: in
 
 
 def deal(keys: np.ndarray, codes: np.ndarray, owner: np.ndarray, replicate: int) -> tuple[np.ndarray, np.ndarray]:
-    """(basket, item) of a bucket's rows with its pool of items dealt anew to the same slots, duplicates in a basket dropped.
+    """(basket, item), in this order, of a bucket's rows with its pool of items dealt anew to the same slots, duplicates in a basket dropped.
 
     Rows are in the order of their slots; the pool is in the order of an affine map of the rows' keys modulo a prime.
     """
     a, b = pow(STEP, replicate + 1, PRIME), pow(OFFSET, replicate + 1, PRIME)
-    dealt = codes[np.argsort((keys * a + b) % PRIME, kind="stable")]
-    both = np.unique(owner * (int(codes.max(initial=0)) + 1) + dealt)
-    return np.divmod(both, int(codes.max(initial=0)) + 1)
+    drawn, bits = (keys * a + b) % PRIME, len(keys).bit_length()
+    # Sorting numbers that end in the row's place is faster than sorting places by numbers; equal ones stay in order.
+    places = np.sort(drawn << bits | np.arange(len(keys))) & ((1 << bits) - 1) if bits <= 32 else np.argsort(drawn, kind="stable")
+    width = int(codes.max(initial=0)) + 1
+    cells, top = owner * width + codes[places], (int(owner.max(initial=0)) + 1) * width
+    if top > DENSE * max(1, len(keys)):
+        return np.divmod(np.unique(cells), width)
+    there = np.zeros(top, bool)
+    there[cells] = True
+    return np.divmod(np.flatnonzero(there), width)
 
 
 def _buckets(batches):
-    """(keys, items, owner) of each bucket of sorted rows (bucket, key, basket, item); owner numbers its baskets."""
-    held: list[tuple] = []
+    """(keys, names, codes, owner) of each bucket of sorted rows (bucket, key, basket, item): codes are places in the sorted names, owner numbers baskets."""
+    held, last = [], None
     for batch in batches:
-        for row in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-            if held and row[0] != held[0][0]:
+        if not batch.num_rows:
+            continue
+        bucket = pc.fill_null(batch.column(0), -1).to_numpy(zero_copy_only=False)
+        starts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+        for start, end in zip(starts, [*starts[1:], len(bucket)], strict=True):
+            if held and bucket[start] != last:
                 yield _bucket(held)
                 held = []
-            held.append(row)
+            held.append(batch.slice(start, end - start))
+            last = bucket[start]
     if held:
         yield _bucket(held)
 
 
-def _bucket(held: list[tuple]) -> tuple[np.ndarray, list, np.ndarray]:
-    fresh = [k == 0 or held[k][2] != held[k - 1][2] for k in range(len(held))]
-    return np.array([r[1] for r in held], np.int64), [r[3] for r in held], np.cumsum(fresh) - 1
+def _bucket(held: list[pa.RecordBatch]) -> tuple[np.ndarray, list[str], np.ndarray, np.ndarray]:
+    keys, baskets, items = (pa.concat_arrays([batch.column(i) for batch in held]) for i in (1, 2, 3))
+    found = items.dictionary_encode()
+    names = found.dictionary.to_pylist()
+    order = sorted(range(len(names)), key=names.__getitem__)
+    code = np.empty(len(names), np.int64)
+    code[order] = np.arange(len(names))
+    own = baskets.dictionary_encode(null_encoding="encode").indices.to_numpy()
+    owner = np.cumsum(np.concatenate([[False], own[1:] != own[:-1]]))
+    return keys.to_numpy(), [names[k] for k in order], code[found.indices.to_numpy()], owner
 
 
 def permutation_null(baskets: DataFrame, *, replicates: int = 20, top_items: int = 400, min_support_count: int = 5, seed: int = 0, max_basket: int = 60) -> DataFrame:
@@ -99,15 +119,17 @@ def permutation_null(baskets: DataFrame, *, replicates: int = 20, top_items: int
     rows = checkpointed(rows.repartition("bucket").sortWithinPartitions("bucket", "basket", "item"))
 
     def count(batches):
-        found: Counter = Counter()
-        for keys, items, owner in _buckets(batches):
-            names, codes = np.unique(items, return_inverse=True)
+        number: dict[str, int] = {}
+        sums, total = np.zeros((replicates, 0), np.int64), 0
+        for keys, names, codes, owner in _buckets(batches):
+            at = np.array([number.setdefault(n, len(number)) for n in names])
+            if len(number) > sums.shape[1]:
+                sums = np.concatenate([sums, np.zeros((replicates, max(len(number), 2 * sums.shape[1]) - sums.shape[1]), np.int64)], axis=1)
             for r in range(replicates):
-                own, item = deal(keys, codes, owner, 1000 * seed + r)
-                found.update({(r, names[i]): int(n) for i, n in enumerate(np.bincount(item, minlength=len(names))) if n})
-                found[r, None] += len(np.unique(own))
-        if found:
-            yield pa.RecordBatch.from_pydict({"replicate": pa.array([r for r, _ in found], pa.int32()), "item": pa.array([None if i is None else str(i) for _, i in found], pa.string()), "n": pa.array(list(found.values()), pa.int64())})
+                sums[r, at] += np.bincount(deal(keys, codes, owner, 1000 * seed + r)[1], minlength=len(names))
+            total += int(owner[-1]) + 1  # a basket has a slot at least, so it has an item
+        for r in range(replicates if total else 0):
+            yield pa.RecordBatch.from_pydict({"replicate": np.full(len(number) + 1, r, np.int32), "item": pa.array([*number, None], pa.string()), "n": np.append(sums[r, : len(number)], total)})
 
     per = checkpointed(rows.mapInArrow(count, "replicate int, item string, n long").groupBy("replicate", "item").agg(F.sum("n").alias("n")))
     place = F.row_number().over(Window.partitionBy("replicate").orderBy(F.desc("n"), "item"))
@@ -119,15 +141,16 @@ def permutation_null(baskets: DataFrame, *, replicates: int = 20, top_items: int
     def meet(batches):
         """Pairs of top items, counted in one triangle a replicate; codes follow the order of the names."""
         sums = [np.zeros(len(c) * len(c), np.int64) for c in chosen]
-        number = [{name: k for k, name in enumerate(c)} for c in chosen]
-        for keys, items, owner in _buckets(batches):
-            names, codes = np.unique(items, return_inverse=True)
+        number = {name: k for k, name in enumerate(sorted({name for c in chosen for name in c}))}
+        place = np.full((replicates, len(number) + 1), -1)  # the last is that of all other names
+        for r, c in enumerate(chosen):
+            place[r, [number[name] for name in c]] = np.arange(len(c))
+        for keys, names, codes, owner in _buckets(batches):
+            at = np.array([number.get(n, len(number)) for n in names])
             for r in range(replicates):
                 own, item = deal(keys, codes, owner, 1000 * seed + r)
-                code = np.array([number[r].get(str(n), -1) for n in names])[item]
-                own, code = own[code >= 0], code[code >= 0]
-                order = np.lexsort((code, own))
-                own, code = own[order], code[order]
+                code = place[r, at][item]
+                own, code = own[code >= 0], code[code >= 0]  # names are sorted, so a basket's codes are
                 size = np.bincount(own)[own]
                 own, code = own[size <= max_basket], code[size <= max_basket]
                 for off in range(1, min(max_basket, len(own))):
