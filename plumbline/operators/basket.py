@@ -13,6 +13,8 @@ from plumbline.session import checkpointed, ship
 
 #: Rows of a replicate that one window of the permutation holds, about.
 BUCKET_ROWS = 50_000
+#: Pairs of all items that one task counts, about.
+PAIR_ROWS = 1 << 20
 #: Cells (basket, item) of a bucket for each row up to which they are marked in an array; more are sorted.
 DENSE = 64
 
@@ -35,12 +37,19 @@ def _top(baskets: DataFrame, n: int) -> DataFrame:
 def pair_counts(baskets: DataFrame, *, keep: DataFrame | None = None, max_basket: int = 60) -> DataFrame:
     """(a, b, n) with a < b of kept items; baskets with more than ``max_basket`` of them are skipped (the feature's limit).
 
-    Pairs are made inside a basket's sorted item array, so no self join and no shuffle beyond the basket's.
+    Pairs are made inside a basket's sorted item array, so no self join and no shuffle beyond the basket's. Pairs of kept items are
+    few, and tasks add them up before they meet. Pairs of all items hardly repeat: their number is found first, and go to
+    as many tasks as leave each about ``PAIR_ROWS`` to count, whatever the size of the table.
     """
     kept = baskets if keep is None else baskets.join(F.broadcast(keep.select("item")), "item", "left_semi")
     sets = kept.groupBy("basket").agg(F.sort_array(F.collect_set("item")).alias("items")).where(F.size("items").between(2, max_basket))
+    if keep is None:
+        sets = checkpointed(sets.select("items"))
     first = sets.select("items", F.posexplode("items").alias("k", "a"))
     pairs = first.select("a", F.explode(F.slice("items", F.col("k") + 2, F.size("items"))).alias("b"))
+    if keep is None:
+        total = sets.agg(F.sum((F.size("items") * (F.size("items") - 1) / 2).cast("long"))).first()[0] or 0
+        pairs = pairs.repartition(max(-(-total // PAIR_ROWS), int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "a", "b")
     return pairs.groupBy("a", "b").agg(F.count("*").alias("n"))
 
 

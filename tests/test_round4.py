@@ -9,6 +9,7 @@ from plumbline.operators import basket
 from plumbline.operators.batched import OFFSET, PRIME, STEP
 from plumbline.plans import model_queries, queries  # noqa: F401
 from plumbline.sources import views
+from pyspark.sql import functions as F
 
 LINES = "/root/testdata/sf0.001"
 
@@ -68,3 +69,11 @@ def test_buckets_go_on_over_batches():
     whole = pa.RecordBatch.from_arrays(columns, ["bucket", "key", "basket", "item"])
     found = [(k.tolist(), n, c.tolist(), o.tolist()) for k, n, c, o in basket._buckets([whole.slice(0, 2), whole.slice(0, 0), whole.slice(2, 2), whole.slice(4)])]
     assert found == [([5, 6, 7], ["a", "b"], [1, 0, 1], [0, 0, 1]), ([8, 9], ["a", "c"], [1, 0], [0, 1])]
+
+
+def test_a_task_counts_a_bounded_number_of_pairs(spark, monkeypatch):
+    monkeypatch.setattr(basket, "PAIR_ROWS", 500, raising=False)
+    lines = spark.range(6000).select((F.col("id") % 1500).alias("basket"), F.col("id").cast("string").alias("item"))
+    found = basket.pair_counts(basket.build_baskets(lines))
+    sizes = [r["count"] for r in found.groupBy(F.spark_partition_id().alias("task")).count().collect()]
+    assert sum(sizes) == 9000 and max(sizes) < 1000
