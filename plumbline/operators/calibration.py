@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -10,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.operators import metrics as M
+from plumbline.session import checkpointed
 
 
 def logit(score: Column) -> Column:
@@ -21,10 +24,18 @@ def _assemble(rows: DataFrame, columns: list[str]) -> DataFrame:
     return VectorAssembler(inputCols=columns, outputCol="features").transform(rows)
 
 
+def _weights(weight: str | None) -> list[Column]:
+    return [F.col(weight).cast("double").alias("weight")] if weight else []
+
+
+def _options(weight: str | None) -> dict[str, str]:
+    return {"weightCol": "weight"} if weight else {}
+
+
 class Uncalibrated:
     name = "uncalibrated"
 
-    def fit(self, rows: DataFrame) -> Uncalibrated:
+    def fit(self, rows: DataFrame, weight: str | None = None) -> Uncalibrated:
         return self
 
     def transform(self, rows: DataFrame) -> DataFrame:
@@ -36,9 +47,9 @@ class Platt:
 
     name = "platt"
 
-    def fit(self, rows: DataFrame) -> Platt:
-        data = _assemble(rows.select(F.col("y").cast("double").alias("label"), logit(F.col("score")).alias("z")), ["z"])
-        model = LogisticRegression(regParam=0.0, maxIter=200, tol=1e-10).fit(data)
+    def fit(self, rows: DataFrame, weight: str | None = None) -> Platt:
+        data = _assemble(rows.select(F.col("y").cast("double").alias("label"), logit(F.col("score")).alias("z"), *_weights(weight)), ["z"])
+        model = LogisticRegression(regParam=0.0, maxIter=200, tol=1e-10, **_options(weight)).fit(data)
         self.a, self.b = float(model.coefficients[0]), float(model.intercept)
         return self
 
@@ -51,8 +62,9 @@ class Isotonic:
 
     name = "isotonic"
 
-    def fit(self, rows: DataFrame) -> Isotonic:
-        self.model = IsotonicRegression(featuresCol="score", labelCol="label").fit(rows.select(F.col("y").cast("double").alias("label"), F.col("score").cast("double").alias("score")))
+    def fit(self, rows: DataFrame, weight: str | None = None) -> Isotonic:
+        data = rows.select(F.col("y").cast("double").alias("label"), F.col("score").cast("double").alias("score"), *_weights(weight))
+        self.model = IsotonicRegression(featuresCol="score", labelCol="label", **_options(weight)).fit(data)
         return self
 
     def transform(self, rows: DataFrame) -> DataFrame:
@@ -62,9 +74,27 @@ class Isotonic:
 
 def report(calibrator, fit_rows: DataFrame, test_rows: DataFrame, *, bins: int = 12) -> DataFrame:
     """One row (method, auc, brier, ece, mce) on the test rows."""
-    scored = calibrator.fit(fit_rows).transform(test_rows).select("id", "y", "score")
-    errors = M.calibration_errors(scored, bins=bins)
-    return M.auc(scored).crossJoin(M.brier(scored)).crossJoin(errors).select(F.lit(calibrator.name).alias("method"), "auc", "brier", "ece", "mce")
+    return reports([calibrator], fit_rows, test_rows, bins=bins)
+
+
+def reports(calibrators: list, fit_rows: DataFrame, test_rows: DataFrame, *, bins: int = 12) -> DataFrame:
+    """(method, auc, brier, ece, mce) of each calibrator on the test rows."""
+    return reports_of_counts(calibrators, counted(fit_rows), counted(test_rows), bins=bins)
+
+
+def counted(rows: DataFrame, *groups: str) -> DataFrame:
+    """(groups, y, score, n): rows of equal label and score, counted once and written, as fits and figures all read them."""
+    return checkpointed(rows.groupBy(*groups, "y", "score").agg(F.count("*").alias("n")))
+
+
+def reports_of_counts(calibrators: list, fit_counts: DataFrame, test_counts: DataFrame, *, bins: int = 12) -> DataFrame:
+    """``reports`` of counted rows (y, score, n). A calibrated score follows from the score alone, so all methods' figures come from one table of counts."""
+    judged = [c.fit(fit_counts, "n").transform(test_counts).select(F.lit(c.name).alias("method"), "y", F.col("score").cast("double").alias("score"), "n") for c in calibrators]
+    each = checkpointed(reduce(DataFrame.unionByName, judged).groupBy("method", "y", "score").agg(F.sum("n").alias("n")))
+    off = F.pow(F.col("score") - F.col("y"), 2)
+    brier = each.groupBy("method").agg((F.sum(off * F.col("n")) / F.sum(F.when(off.isNotNull(), F.col("n")))).alias("brier"))
+    errors = M.calibration_errors(each, bins=bins, groups=("method",), weight="n")
+    return M.auc(each, groups=("method",), weight="n").join(brier, "method").join(errors, "method").select("method", "auc", "brier", "ece", "mce")
 
 
 def logistic_scores(train: DataFrame, test: DataFrame, columns: list[str], *, penalty: str = "l2", c: float = 1.0, l1_ratio: float = 0.5, weight: str | None = None):
@@ -82,9 +112,9 @@ def logistic_scores(train: DataFrame, test: DataFrame, columns: list[str], *, pe
 
 
 def standardise(train: DataFrame, rows: DataFrame, columns: list[str], *, sample: bool = False) -> DataFrame:
-    """``rows`` with columns centred and scaled by the training rows' mean and (population) deviation."""
+    """``rows`` with columns centred and scaled by the training rows' mean and (population) deviation, which are found once."""
     sd = F.stddev_samp if sample else F.stddev_pop
-    figures = train.agg(*(F.avg(c).alias(f"_m_{c}") for c in columns), *(sd(c).alias(f"_s_{c}") for c in columns))
+    figures = checkpointed(train.agg(*(F.avg(c).alias(f"_m_{c}") for c in columns), *(sd(c).alias(f"_s_{c}") for c in columns)))
     out = rows.crossJoin(F.broadcast(figures))
     for c in columns:
         out = out.withColumn(c, (F.col(c) - F.col(f"_m_{c}")) / F.when(F.col(f"_s_{c}") > 0, F.col(f"_s_{c}")).otherwise(1.0))

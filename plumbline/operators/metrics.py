@@ -118,19 +118,27 @@ def calibration_curve(scored: DataFrame, *, bins: int = 10) -> DataFrame:
     return _per_bin(scored.withColumn("bin", uniform_bin(F.col("score"), bins)), bins)
 
 
-def quantile_reliability(scored: DataFrame, *, bins: int = 12) -> DataFrame:
-    """(bin, predicted, observed, n) on quantile bins: a bin begins at an inner distinct quantile and holds at least one row."""
-    q = [k / bins for k in range(bins + 1)]
-    edges = exact_quantiles(scored, "score", q, "edges").select(F.array_distinct("edges").alias("edges"))
-    inner = F.slice("edges", F.lit(2), F.greatest(F.size("edges") - 2, F.lit(0)))
-    binned = scored.crossJoin(F.broadcast(edges.select(inner.alias("inner")))).withColumn("bin", F.size(F.filter("inner", lambda e: e <= F.col("score"))))
-    return binned.groupBy("bin").agg(F.avg("score").alias("predicted"), F.avg("y").alias("observed"), F.count("*").alias("n"))
-
+def quantile_reliability(scored: DataFrame, *, bins: int = 12, groups: tuple[str, ...] = (), weight: str | None = None) -> DataFrame:
+    """(groups, bin, predicted, observed, n) on quantile bins: a bin begins at an inner distinct quantile and holds at least one row.
 
-def calibration_errors(scored: DataFrame, *, bins: int = 12) -> DataFrame:
-    """One row (ece, mce): weighted mean and largest gap of the quantile reliability bins."""
+    ``groups`` are few; a row may stand for ``weight`` rows.
+    """
+    q = [k / bins for k in range(bins + 1)]
+    edges = exact_quantiles(scored, "score", q, "edges", groups=groups, weight=weight).select(*groups, F.array_distinct("edges").alias("edges"))
+    inner = edges.select(*groups, F.slice("edges", F.lit(2), F.greatest(F.size("edges") - 2, F.lit(0))).alias("inner"))
+    joined = scored.join(F.broadcast(inner), list(groups), "left") if groups else scored.crossJoin(F.broadcast(inner))
+    binned = joined.withColumn("bin", F.size(F.filter("inner", lambda e: e <= F.col("score"))))
+    if weight is None:
+        return binned.groupBy(*groups, "bin").agg(F.avg("score").alias("predicted"), F.avg("y").alias("observed"), F.count("*").alias("n"))
+    mean = lambda c: F.sum(F.col(c) * F.col(weight)) / F.sum(F.when(F.col(c).isNotNull(), F.col(weight)))
+    return binned.groupBy(*groups, "bin").agg(mean("score").alias("predicted"), mean("y").alias("observed"), F.sum(weight).alias("n"))
+
+
+def calibration_errors(scored: DataFrame, *, bins: int = 12, groups: tuple[str, ...] = (), weight: str | None = None) -> DataFrame:
+    """(groups, ece, mce), one row without groups: weighted mean and largest gap of the quantile reliability bins."""
     gap = F.abs(F.col("predicted") - F.col("observed"))
-    return quantile_reliability(scored, bins=bins).agg((F.sum(F.col("n") * gap) / F.sum("n")).alias("ece"), F.max(gap).alias("mce"))
+    cells = quantile_reliability(scored, bins=bins, groups=groups, weight=weight)
+    return cells.groupBy(*groups).agg((F.sum(F.col("n") * gap) / F.sum("n")).alias("ece"), F.max(gap).alias("mce"))
 
 
 def top_k(scored: DataFrame, k: int | Column) -> DataFrame:

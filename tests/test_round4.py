@@ -77,3 +77,9 @@ def test_a_task_counts_a_bounded_number_of_pairs(spark, monkeypatch):
     found = basket.pair_counts(basket.build_baskets(lines))
     sizes = [r["count"] for r in found.groupBy(F.spark_partition_id().alias("task")).count().collect()]
     assert sum(sizes) == 9000 and max(sizes) < 1000
+
+
+def test_calibrators_read_the_lines_a_few_times(spark, read):
+    """The scaling, the number of rows, the fit's own two readings and one for all scores."""
+    assert len(queries.QUERIES["calibrators"](spark, LINES).collect()) == 3
+    assert read.value <= 8 * 6_000, read.value / 6_000
