@@ -73,7 +73,7 @@ def projection_quality(spark, d):
     """How well the first coordinates of the vectors keep neighbours and distances."""
     rows = _vectors(spark, d)
     flat = rows.select("id", F.slice("x", 1, KEPT).alias("x"))
-    return RD.trustworthiness(rows, flat).crossJoin(RD.neighbourhood_overlap(rows, flat)).crossJoin(RD.pairwise_distance_corr(rows, flat))
+    return RD.neighbourhoods_kept(rows, flat).crossJoin(RD.pairwise_distance_corr(rows, flat))
 
 
 def _rebuilt(spark, found):

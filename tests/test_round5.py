@@ -1,7 +1,7 @@
 """Whole results of steps that were cut or too slow on larger tables."""
 
 import numpy as np
-from plumbline.operators import recommend
+from plumbline.operators import recommend, reduce
 from plumbline.plans import model_queries, queries  # noqa: F401
 from pyspark.sql import functions as F
 
@@ -31,3 +31,41 @@ def test_als_of_few_items_is_a_pass_a_step(spark):
     scores = np.where(has > 0, -np.inf, side(has, y) @ y.T)
     wanted = {(u, f"i{i:02d}", k) for u in range(0, 80, 2) for k, i in enumerate(np.argsort(-scores[u], kind="stable")[:5])}
     assert {tuple(r) for r in found} == wanted and jobs < 45, jobs
+
+
+def test_distances_of_all_pairs_are_correlated(spark, monkeypatch):
+    """More rows than the sample of 600 that was taken before, over several groups and blocks, with copies and rows without a vector."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(900, 6)) * [3, 1, 1, 1, 1, 0.1] + 50
+    x[700:720] = x[5]
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(900, None)], "id long, x array<double>")
+    flat = rows.select("id", F.slice("x", 2, 3).alias("x"))
+    pairs = np.triu_indices(900, 1)
+    full, cut = (np.sqrt(((v[:, None] - v[None]) ** 2).sum(axis=2))[pairs] for v in (x, x[:, 1:4]))
+    wanted = np.corrcoef(full, cut)[0, 1]
+    assert abs(reduce.pairwise_distance_corr(rows, flat).first()[0] - wanted) < 1e-12
+    monkeypatch.setattr(reduce.N, "PAGE", 2000)  # five groups
+    assert abs(reduce.pairwise_distance_corr(rows, flat).first()[0] - wanted) < 1e-12
+    assert reduce.pairwise_distance_corr(rows.limit(1), flat).first()[0] is None
+    same = rows.where("id >= 700 and id < 720")
+    assert reduce.pairwise_distance_corr(same, same).first()[0] is None
+
+
+def test_ranks_tell_the_overlap(spark, monkeypatch):
+    """Both measures from one search, with ties, over several pages."""
+    rng = np.random.default_rng(6)
+    x = np.round(rng.normal(size=(700, 5)), 1)
+    x[100:130] = x[3]
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, x array<double>")
+    flat = rows.select("id", F.slice("x", 1, 2).alias("x"))
+    monkeypatch.setattr(reduce.N, "PAGE", 1500)
+    monkeypatch.setattr(reduce.N, "BLOCK", 50)
+    order = []
+    for v in (x, x[:, :2]):
+        d = np.round(np.sqrt(((v[:, None] - v[None]) ** 2).sum(axis=2)), 9)
+        np.fill_diagonal(d, np.inf)
+        order.append(np.argsort(np.argsort(d, axis=1, kind="stable"), axis=1))
+    near = order[1] < 12
+    trust = 1 - 2 / (700 * 12 * (1400 - 37)) * np.maximum(order[0] - 12, 0)[near].sum()
+    found = reduce.neighbourhoods_kept(rows, flat).first()
+    assert abs(found["trustworthiness"] - trust) < 1e-9 and abs(found["overlap"] - (order[0][near] < 12).mean()) < 1e-9
