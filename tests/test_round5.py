@@ -1,5 +1,7 @@
 """Whole results of steps that were cut or too slow on larger tables."""
 
+from hashlib import md5
+
 import numpy as np
 from plumbline.operators import recommend, reduce
 from plumbline.plans import model_queries, queries  # noqa: F401
@@ -69,3 +71,18 @@ def test_ranks_tell_the_overlap(spark, monkeypatch):
     trust = 1 - 2 / (700 * 12 * (1400 - 37)) * np.maximum(order[0] - 12, 0)[near].sum()
     found = reduce.neighbourhoods_kept(rows, flat).first()
     assert abs(found["trustworthiness"] - trust) < 1e-9 and abs(found["overlap"] - (order[0][near] < 12).mean()) < 1e-9
+
+
+def test_random_items_are_drawn_from_all(spark, monkeypatch):
+    """Every unseen item can be drawn; before, a user was offered only the first places of one order."""
+    train = spark.createDataFrame([(u, f"i{i}") for u in range(40) for i in range(60) if (u + i) % 7 == 0], "user long, item string")
+    users = spark.createDataFrame([(u,) for u in range(45)], "user long")
+    wanted = set()
+    for u in range(45):
+        unseen = [f"i{i}" for i in range(60) if u >= 40 or (u + i) % 7]
+        best = sorted(unseen, key=lambda i: (-int(md5(f"{u}/{i}/0".encode()).hexdigest()[:8], 16), i))[:4]
+        wanted |= {(u, i, k) for k, i in enumerate(best)}
+    found = {tuple(r) for r in recommend.random_items(train, users, k=4).collect()}
+    assert found == wanted and len({i for _, i, _ in found}) > 50
+    monkeypatch.setattr(recommend, "DRAWN", 20)
+    assert {tuple(r) for r in recommend.random_items(train, users, k=4).collect()} == wanted
