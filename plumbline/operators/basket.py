@@ -8,6 +8,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.functions.running import exact_quantiles
 from plumbline.operators.batched import OFFSET, PRIME, STEP, row_key
 from plumbline.session import checkpointed, ship
 
@@ -15,6 +16,8 @@ from plumbline.session import checkpointed, ship
 BUCKET_ROWS = 50_000
 #: Pairs of all items that one task counts, about.
 PAIR_ROWS = 1 << 20
+#: Names whose pairs a task of the permutation counts in an array; items of a basket beyond which its pairs go to other tasks, and of a block.
+HELD, WIDE = 256, 1000
 #: Cells (basket, item) of a bucket for each row up to which they are marked in an array; more are sorted.
 DENSE = 64
 
@@ -34,15 +37,15 @@ def _top(baskets: DataFrame, n: int) -> DataFrame:
     return item_counts(baskets).orderBy(F.desc("n"), "item").limit(n)
 
 
-def pair_counts(baskets: DataFrame, *, keep: DataFrame | None = None, max_basket: int = 60) -> DataFrame:
-    """(a, b, n) with a < b of kept items; baskets with more than ``max_basket`` of them are skipped (the feature's limit).
+def pair_counts(baskets: DataFrame, *, keep: DataFrame | None = None, max_basket: int | None = 60) -> DataFrame:
+    """(a, b, n) with a < b of kept items; baskets with more than ``max_basket`` of them are skipped (the feature's limit; None: none).
 
     Pairs are made inside a basket's sorted item array, so no self join and no shuffle beyond the basket's. Pairs of kept items are
     few, and tasks add them up before they meet. Pairs of all items hardly repeat: their number is found first, and go to
     as many tasks as leave each about ``PAIR_ROWS`` to count, whatever the size of the table.
     """
     kept = baskets if keep is None else baskets.join(F.broadcast(keep.select("item")), "item", "left_semi")
-    sets = kept.groupBy("basket").agg(F.sort_array(F.collect_set("item")).alias("items")).where(F.size("items").between(2, max_basket))
+    sets = kept.groupBy("basket").agg(F.sort_array(F.collect_set("item")).alias("items")).where((F.size("items") > 1) & (F.size("items") <= max_basket if max_basket else F.lit(True)))
     if keep is None:
         sets = checkpointed(sets.select("items"))
     first = sets.select("items", F.posexplode("items").alias("k", "a"))
@@ -53,7 +56,7 @@ def pair_counts(baskets: DataFrame, *, keep: DataFrame | None = None, max_basket
     return pairs.groupBy("a", "b").agg(F.count("*").alias("n"))
 
 
-def build_rules(baskets: DataFrame, *, min_support_count: int = 5, top_items: int = 400, max_basket: int = 60) -> DataFrame:
+def build_rules(baskets: DataFrame, *, min_support_count: int = 5, top_items: int = 400, max_basket: int | None = None) -> DataFrame:
     """Rules in both directions among the top items: support, confidence, lift, consequent support and leverage."""
     top = _top(baskets, top_items)
     total = baskets.select("basket").distinct().agg(F.count("*").alias("baskets"))
@@ -113,73 +116,96 @@ def _bucket(held: list[pa.RecordBatch]) -> tuple[np.ndarray, list[str], np.ndarr
     return keys.to_numpy(), [names[k] for k in order], code[found.indices.to_numpy()], owner
 
 
-def permutation_null(baskets: DataFrame, *, replicates: int = 20, top_items: int = 400, min_support_count: int = 5, seed: int = 0, max_basket: int = 60) -> DataFrame:
-    """(replicate, rules, max_lift, p99_lift, median_lift, share_over_2): what lift chance alone reaches.
+def _pairs(own: np.ndarray, item: np.ndarray):
+    """(a, b): the pairs of items of each basket, a before b, some of them at a time."""
+    end, at, off, held = np.searchsorted(own, own, side="right"), np.arange(len(own)), 1, []
+    while True:
+        at = at[at + off < end[at]]
+        held.append((item[at], item[at + off]))
+        if not len(at) or sum(len(a) for a, _ in held) >= PAIR_ROWS:
+            yield tuple(np.concatenate(c) for c in zip(*held, strict=True))
+            held = []
+        if not len(at):
+            return
+        off += 1
+
+
+def permutation_null(baskets: DataFrame, *, replicates: int = 20, min_support_count: int = 5, seed: int = 0) -> DataFrame:
+    """(replicate, rules, max_lift, p99_lift, median_lift, share_over_2): what lift chance alone reaches, of all items and baskets.
 
     Items are dealt anew to slots of the same sizes within buckets of whole baskets, about ``BUCKET_ROWS`` rows
     each (small tables are one bucket), so a replicate needs no order of all rows. A task deals all replicates of
-    its buckets: a first pass counts items, which gives each replicate's top items (replicates x top_items
-    names), a second counts their pairs in arrays of fixed size. Replicate r of seed s is draw 1000 s + r.
+    its buckets and counts items and pairs: up to ``HELD`` names in arrays, more by bucket. Baskets of more than ``WIDE``
+    items are cut into blocks of them, whose pairs are made by other tasks. Replicate r of seed s is draw 1000 s + r.
     """
     spark = baskets.sparkSession
     ship(spark)
     buckets = max(1, baskets.count() // BUCKET_ROWS)
     rows = baskets.select((row_key("basket") % buckets).alias("bucket"), row_key(F.concat_ws("/", F.col("basket").cast("string"), "item")).alias("key"), "basket", F.col("item").cast("string").alias("item"))
     rows = checkpointed(rows.repartition("bucket").sortWithinPartitions("bucket", "basket", "item"))
+    held, wide = HELD, WIDE
+    kinds = {"replicate": pa.int32(), "a": pa.string(), "b": pa.string(), "n": pa.int64(), "low": pa.list_(pa.string()), "high": pa.list_(pa.string())}
+
+    def counted(r, n, a=None, b=None, low=None, high=None):
+        columns = [np.full(len(n), r, np.int32), a, b, n, low, high]
+        return pa.RecordBatch.from_arrays([pa.nulls(len(n), k) if c is None else pa.array(c, k) for c, k in zip(columns, kinds.values(), strict=True)], names=list(kinds))
+
+    def told(number, alone, sums):
+        """What the arrays of a task have counted."""
+        names = np.array([*number, None], object)
+        for r in range(replicates if number else 0):
+            yield counted(r, alone[r, : len(number)], names[:-1])
+            at = np.flatnonzero(sums[r])
+            a, b = np.divmod(at, held)
+            yield counted(r, sums[r][at], names[a], names[b])
 
     def count(batches):
         number: dict[str, int] = {}
-        sums, total = np.zeros((replicates, 0), np.int64), 0
+        alone, sums, total = np.zeros((replicates, held), np.int64), np.zeros((replicates, held * held), np.int64), 0
         for keys, names, codes, owner in _buckets(batches):
-            at = np.array([number.setdefault(n, len(number)) for n in names])
-            if len(number) > sums.shape[1]:
-                sums = np.concatenate([sums, np.zeros((replicates, max(len(number), 2 * sums.shape[1]) - sums.shape[1]), np.int64)], axis=1)
+            few, label = len(names) <= held, np.array(names, object)
+            if few and len(number) + sum(n not in number for n in names) > held:
+                yield from told(number, alone, sums)
+                number = {}
+                alone[:], sums[:] = 0, 0
+            at = np.array([number.setdefault(n, len(number)) for n in names]) if few else None
             for r in range(replicates):
-                sums[r, at] += np.bincount(deal(keys, codes, owner, 1000 * seed + r)[1], minlength=len(names))
+                own, item = deal(keys, codes, owner, 1000 * seed + r)
+                singles = np.bincount(item, minlength=len(names))
+                if few:
+                    alone[r, at] += singles
+                else:
+                    yield counted(r, singles, label)
+                size = np.bincount(own)
+                for basket in np.flatnonzero(size > wide):  # names are sorted, so a basket's blocks are
+                    one = label[item[own == basket]]
+                    blocks = [one[k : k + wide].tolist() for k in range(0, len(one), wide)]
+                    for i, low in enumerate(blocks):
+                        yield counted(r, np.ones(len(blocks) - i, np.int64), low=[low] * (len(blocks) - i), high=blocks[i:])
+                small = size[own] <= wide
+                for a, b in _pairs(own[small], item[small]):
+                    if few:
+                        sums[r] += np.bincount(at[a] * held + at[b], minlength=held * held)
+                    else:
+                        pairs, n = np.unique(a * len(names) + b, return_counts=True)
+                        a, b = np.divmod(pairs, len(names))
+                        yield counted(r, n, label[a], label[b])
             total += int(owner[-1]) + 1  # a basket has a slot at least, so it has an item
+        yield from told(number, alone, sums)
         for r in range(replicates if total else 0):
-            yield pa.RecordBatch.from_pydict({"replicate": np.full(len(number) + 1, r, np.int32), "item": pa.array([*number, None], pa.string()), "n": np.append(sums[r, : len(number)], total)})
-
-    per = checkpointed(rows.mapInArrow(count, "replicate int, item string, n long").groupBy("replicate", "item").agg(F.sum("n").alias("n")))
-    place = F.row_number().over(Window.partitionBy("replicate").orderBy(F.desc("n"), "item"))
-    top = per.where("item is not null").withColumn("k", place).where(F.col("k") <= top_items).orderBy("replicate", "item")
-    chosen: list[list[str]] = [[] for _ in range(replicates)]
-    for r in top.collect():  # replicates x top_items
-        chosen[r["replicate"]].append(r["item"])
-
-    def meet(batches):
-        """Pairs of top items, counted in one triangle a replicate; codes follow the order of the names."""
-        sums = [np.zeros(len(c) * len(c), np.int64) for c in chosen]
-        number = {name: k for k, name in enumerate(sorted({name for c in chosen for name in c}))}
-        place = np.full((replicates, len(number) + 1), -1)  # the last is that of all other names
-        for r, c in enumerate(chosen):
-            place[r, [number[name] for name in c]] = np.arange(len(c))
-        for keys, names, codes, owner in _buckets(batches):
-            at = np.array([number.get(n, len(number)) for n in names])
-            for r in range(replicates):
-                own, item = deal(keys, codes, owner, 1000 * seed + r)
-                code = place[r, at][item]
-                own, code = own[code >= 0], code[code >= 0]  # names are sorted, so a basket's codes are
-                size = np.bincount(own)[own]
-                own, code = own[size <= max_basket], code[size <= max_basket]
-                for off in range(1, min(max_basket, len(own))):
-                    same = own[off:] == own[:-off]
-                    if not same.any():
-                        break
-                    sums[r] += np.bincount((code[:-off] * len(chosen[r]) + code[off:])[same], minlength=len(sums[r]))
-        for r, total in enumerate(sums):
-            at = np.flatnonzero(total)
-            if len(at):
-                a, b = np.divmod(at, len(chosen[r]))
-                yield pa.RecordBatch.from_pydict({"replicate": np.full(len(at), r, np.int32), "a": a.astype(np.int32), "b": b.astype(np.int32), "n": total[at]})
-
-    pairs = rows.mapInArrow(meet, "replicate int, a int, b int, n long").groupBy("replicate", "a", "b").agg(F.sum("n").alias("n")).where(F.col("n") >= min_support_count)
-    codes = F.broadcast(top.select("replicate", (F.row_number().over(Window.partitionBy("replicate").orderBy("item")) - 1).alias("c"), F.col("n").alias("m")))
-    joined = pairs.join(codes.withColumnRenamed("c", "a").withColumnRenamed("m", "na"), ["replicate", "a"]).join(codes.withColumnRenamed("c", "b").withColumnRenamed("m", "nb"), ["replicate", "b"])
-    joined = joined.join(F.broadcast(per.where("item is null").select("replicate", F.col("n").alias("baskets"))), "replicate")
-    lift = joined.select("replicate", (F.col("n") * F.col("baskets") / (F.col("na") * F.col("nb"))).alias("lift"))
+            yield counted(r, np.array([total]))
+
+    found = checkpointed(rows.mapInArrow(count, "replicate int, a string, b string, n long, low array<string>, high array<string>"))
+    blocks = found.where("low is not null").select("replicate", "low", "high").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+    apart = blocks.select("replicate", F.explode("low").alias("a"), "high").select("replicate", "a", F.explode("high").alias("b"), F.lit(1).cast("long").alias("n")).where("a < b")
+    pairs = found.where("b is not null").select("replicate", "a", "b", "n").unionByName(apart).groupBy("replicate", "a", "b").agg(F.sum("n").alias("n")).where(F.col("n") >= min_support_count)
+    single = found.where("a is not null and b is null").groupBy("replicate", "a").agg(F.sum("n").alias("na"))
+    totals = found.where("a is null and low is null").groupBy("replicate").agg(F.sum("n").alias("baskets"))  # a row for each replicate
+    joined = pairs.join(single, ["replicate", "a"]).join(single.select("replicate", F.col("a").alias("b"), F.col("na").alias("nb")), ["replicate", "b"]).join(F.broadcast(totals), "replicate")
+    lift = checkpointed(joined.select("replicate", (F.col("n") * F.col("baskets") / (F.col("na") * F.col("nb"))).alias("lift")))
     # A pair is two rules of equal lift.
-    return lift.groupBy("replicate").agg((2 * F.count("*")).alias("rules"), F.max("lift").alias("max_lift"), F.percentile("lift", 0.99).alias("p99_lift"), F.percentile("lift", 0.5).alias("median_lift"), F.avg((F.col("lift") > 2).cast("double")).alias("share_over_2"))
+    figures = lift.groupBy("replicate").agg((2 * F.count("*")).alias("rules"), F.max("lift").alias("max_lift"), F.avg((F.col("lift") > 2).cast("double")).alias("share_over_2"))
+    return figures.join(exact_quantiles(lift, "lift", [0.99, 0.5], groups=("replicate",)), "replicate").select("replicate", "rules", "max_lift", F.get("cuts", F.lit(0)).alias("p99_lift"), F.get("cuts", F.lit(1)).alias("median_lift"), "share_over_2")
 
 
 def holdout_check(rules: DataFrame, later: DataFrame, *, top: int = 50) -> DataFrame:

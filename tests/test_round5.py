@@ -1,9 +1,12 @@
 """Whole results of steps that were cut or too slow on larger tables."""
 
+from collections import Counter
 from hashlib import md5
+from itertools import combinations
 
 import numpy as np
-from plumbline.operators import recommend, reduce
+from plumbline.operators import basket, recommend, reduce
+from plumbline.operators.batched import OFFSET, PRIME, STEP
 from plumbline.plans import model_queries, queries  # noqa: F401
 from pyspark.sql import functions as F
 
@@ -86,3 +89,31 @@ def test_random_items_are_drawn_from_all(spark, monkeypatch):
     assert found == wanted and len({i for _, i, _ in found}) > 50
     monkeypatch.setattr(recommend, "DRAWN", 20)
     assert {tuple(r) for r in recommend.random_items(train, users, k=4).collect()} == wanted
+
+
+def test_the_null_takes_all_items_and_baskets(spark, monkeypatch):
+    """More than 400 items, and a basket of more than 60: both were cut before."""
+    rng = np.random.default_rng(8)
+    rows = [(b, f"i{i:03d}") for b in range(300) for i in rng.choice(40, 5, replace=False)] + [(300, f"i{i:03d}") for i in range(500)] + [(b, f"i{i:03d}") for b in range(301, 311) for i in range(b % 2, 90, 2)]
+    baskets = spark.createDataFrame(sorted(set(rows)), "basket long, item string")
+    own = sorted(set(rows))
+    key = lambda text: int(md5(text.encode()).hexdigest()[:12], 16) % PRIME
+    wanted = {}
+    for r in range(2):
+        drawn = sorted(own, key=lambda s: ((key(f"{s[0]}/{s[1]}") * pow(STEP, r + 1, PRIME) + pow(OFFSET, r + 1, PRIME)) % PRIME, *s))
+        sets: dict[int, set] = {}
+        for (b, _), (_, item) in zip(own, drawn, strict=True):
+            sets.setdefault(b, set()).add(item)
+        alone, pairs = Counter(i for s in sets.values() for i in s), Counter(p for s in sets.values() for p in combinations(sorted(s), 2))
+        lifts = [n * len(sets) / (alone[a] * alone[b]) for (a, b), n in pairs.items() if n >= 5]
+        wanted[r] = (2 * len(lifts), max(lifts), np.quantile(lifts, 0.99), np.quantile(lifts, 0.5), np.mean(np.array(lifts) > 2))
+    for name, value in (("HELD", 256), ("HELD", 600), ("WIDE", 30)):
+        monkeypatch.setattr(basket, name, value)
+        found = {r[0]: tuple(r)[1:] for r in basket.permutation_null(basket.build_baskets(baskets), replicates=2).collect()}
+        assert found.keys() == wanted.keys() and all(np.allclose(found[r], wanted[r], atol=1e-12) for r in wanted)
+
+
+def test_rules_of_large_baskets(spark):
+    """As the query's SQL has it, a basket of more than 60 items counts, too."""
+    baskets = spark.createDataFrame([(b, f"i{i:03d}") for b in range(6) for i in range(70)], "basket long, item string")
+    assert basket.build_rules(basket.build_baskets(baskets)).count() == 70 * 69
