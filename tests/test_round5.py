@@ -5,7 +5,7 @@ from hashlib import md5
 from itertools import combinations
 
 import numpy as np
-from plumbline.operators import basket, recommend, reduce
+from plumbline.operators import basket, clusters, recommend, reduce
 from plumbline.operators.batched import OFFSET, PRIME, STEP
 from plumbline.plans import model_queries, queries  # noqa: F401
 from pyspark.sql import functions as F
@@ -117,3 +117,26 @@ def test_rules_of_large_baskets(spark):
     """As the query's SQL has it, a basket of more than 60 items counts, too."""
     baskets = spark.createDataFrame([(b, f"i{i:03d}") for b in range(6) for i in range(70)], "basket long, item string")
     assert basket.build_rules(basket.build_baskets(baskets)).count() == 70 * 69
+
+
+def test_all_fits_take_one_pass_a_step(spark):
+    """Spark's k-means took several jobs a step of each fit, and labels of all fits were joined by id."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(500, 4)) + 6 * rng.integers(0, 3, (500, 1))
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, x array<double>").repartition(3)
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("fits", "")
+    found = {(r["seed_a"], r["seed_b"]): r["ari"] for r in clusters.reseed_agreement(rows, 5, seeds=4).collect()}
+    jobs = len(tracker.getJobIdsForGroup("fits"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    fits = clusters.fit_centres(rows, 5, [0, 1, 2, 3])
+    labels = {r["id"]: r["labels"] for r in fits.labels().collect()}
+    for f in range(4):
+        own = np.array([labels[i][f] for i in range(500)])
+        assert np.allclose(fits.centres[f], [x[own == c].mean(axis=0) for c in range(5)], atol=1e-3)  # a fixed point
+        assert (((x[:, None] - fits.centres[f]) ** 2).sum(axis=2).argmin(axis=1) == own).all()
+    table = lambda f: spark.createDataFrame([(i, v[f]) for i, v in labels.items()], "id long, label int")
+    assert len(found) == 6 and abs(found[1, 3] - clusters.adjusted_rand(table(1), table(3)).first()[0]) < 1e-12 and jobs < 75, jobs
+    part = clusters.resample_agreement(rows, 3, rounds=2).collect()
+    assert [r["round"] for r in part] == [0, 1] and all(r["ari"] > 0.9 for r in part)
+    assert clusters.fit_labels(rows.limit(2), 5, seed=0).count() == 2 and clusters.fit_labels(rows.limit(0), 5, seed=0).count() == 0
