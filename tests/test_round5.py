@@ -5,7 +5,7 @@ from hashlib import md5
 from itertools import combinations
 
 import numpy as np
-from plumbline.operators import basket, clusters, recommend, reduce
+from plumbline.operators import basket, clusters, recommend, reduce, trees
 from plumbline.operators.batched import OFFSET, PRIME, STEP
 from plumbline.plans import model_queries, queries  # noqa: F401
 from pyspark.sql import functions as F
@@ -140,3 +140,27 @@ def test_all_fits_take_one_pass_a_step(spark):
     part = clusters.resample_agreement(rows, 3, rounds=2).collect()
     assert [r["round"] for r in part] == [0, 1] and all(r["ari"] > 0.9 for r in part)
     assert clusters.fit_labels(rows.limit(2), 5, seed=0).count() == 2 and clusters.fit_labels(rows.limit(0), 5, seed=0).count() == 0
+
+
+def test_trees_of_counts_are_those_of_rows(spark):
+    """A cell of n rows counts n times, and 250 rounds find what 5 of depth 3 do not."""
+    rng = np.random.default_rng(9)
+    codes = rng.integers(0, 4, (2000, 4))
+    y = rng.random(2000) < 1 / (1 + np.exp(-1.5 * (codes - 1.5) @ [1, -1, 0.5, 0.25]))
+    cells, own = np.unique(codes, axis=0, return_inverse=True)
+    own = own.ravel()
+    counted = [np.bincount(own, y == v, len(cells)).astype(float) for v in (False, True)]
+    whole = trees.boosted(codes, (~y).astype(float), y.astype(float), rounds=30)
+    assert np.allclose(trees.boosted(cells, *counted, rounds=30)[own], whole, atol=1e-9)
+    loss = lambda p: -np.where(y, np.log(p), np.log(1 - p)).mean()
+    assert loss(trees.boosted(cells, *counted)[own]) < loss(trees.boosted(cells, *counted, rounds=5)[own]) - 0.01
+    assert loss(trees.forest(cells, *counted)[own]) < 0.6
+
+
+def test_tree_models_take_all_rounds(spark):
+    rows = spark.createDataFrame([(float(i % 3 == 0), float(i % 7), float(i % 3), i % 5) for i in range(600)], "label double, a double, b double, part int")
+    found = trees.scores(trees.cells(rows, ["a", "b"], {"random": F.col("part") == 4}))
+    rows = found.collect()
+    assert sum(r["n"] for r in rows) == 240 and {r["model"] for r in rows} == {"boosted", "forest"}
+    assert all((r["score"] > 0.5) == (r["y"] > 0.5) for r in rows if r["model"] == "boosted")
+    assert trees.scores.__kwdefaults__ == {"rounds": 250, "trees": 250}
